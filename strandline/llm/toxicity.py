@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 Fit. Of the labelled rows, at most MAX_PER_CLASS of each label are used, those with the smallest hash of the id, and of rows
-that share one of three min-hashes of their word 4-grams (copies and near copies) one. Document counts of each word give log-odds of
-the two labels under a Dirichlet prior that follows the words of both; a word scores what is left after ERRORS standard
-errors if that is MIN_SCORE or more, every other word costs DRIFT. The scores of clean documents give lambda and K of
+that share one of three min-hashes of their word 4-grams (copies and near copies) one. The tokens of a word are itself and
+its beginnings of PREFIXES bytes, as some languages make many words of one stem; a word scores like its best token. Document
+counts of each token give log-odds of the two labels under a Dirichlet prior that follows the tokens of both; a token scores what is
+left after ERRORS standard errors if that is MIN_SCORE or more, every other word costs DRIFT. The scores of clean documents give lambda and K of
 the extreme-value law of Karlin and Altschul.
 
 Score. A linear scan (Ruzzo and Tompa) finds all maximal segments of a text. The chance that a clean text of this length
@@ -35,11 +36,33 @@ PRIOR_DOCS = 20.0
 ERRORS = 3.0
 MIN_SCORE = 1.0
 DRIFT = -0.7
+PREFIXES = (4, 5, 6, 7)
+#: Words whose score a Python worker remembers before it starts afresh.
+WORDS_KEPT = 300_000
 SIGNIFICANT = 0.01
 #: -ln(chance) of one segment counts up to this much.
 MOST_EVIDENCE = 60.0
 
 
+def tokens_of(word: bytes) -> list[bytes]:
+    return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k)]
+
+
+class _WordScores(dict):
+    """Scores of words as they come up; None: no token of it has one."""
+
+    def __init__(self, scores: dict[bytes, float]):
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: bytes) -> float | None:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = [s for s in map(self.scores.get, tokens_of(word)) if s is not None]
+        self[word] = best = max(found, default=None)
+        return best
+
+
 @dataclass
 class ToxicModel:
     scores: dict[bytes, float] = field(default_factory=dict)
@@ -48,11 +71,16 @@ class ToxicModel:
     weight: float = 0.0
     bias: float = -30.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal segments (start word, end word, score)."""
         words = words_of(text)
-        get = self.scores.get
-        got = [get(w) for w in words]
+        known = self.__dict__.get("_known")
+        if known is None:
+            known = self._known = _WordScores(self.scores)
+        got = [known[w] for w in words]
         at = [i for i, s in enumerate(got) if s is not None]
         return len(words), maximal_segments([(i, got[i]) for i in at], DRIFT)
 
@@ -121,8 +149,12 @@ def _word_documents(batches):
     for b in batches:
         for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
             w = words_of(text)
+            uses: dict[bytes, int] = {}
             for x, n in Counter(w).items():
-                c = counts.setdefault(x, [0, 0, 0])
+                for t in tokens_of(x):
+                    uses[t] = uses.get(t, 0) + n
+            for t, n in uses.items():
+                c = counts.setdefault(t, [0, 0, 0])
                 c[y] += 1
                 c[2] += n * (not y)
             if not y:
@@ -213,14 +245,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weight and bias of a one-dimensional logistic regression, by Newton steps with a slight ridge."""
-    t = np.zeros(2)
-    z = np.stack([x, np.ones_like(x)], 1)
-    ridge = np.diag([1e-2, 1e-3])
-    for _ in range(60):
+    """Weight and bias of a one-dimensional logistic regression with a slight ridge, by Newton steps that are halved until
+    the loss falls."""
+    t, z = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
+    w = w / w.sum()
+    ridge = np.diag([1e-4, 1e-6])
+
+    def loss(t: np.ndarray) -> float:
+        m = z @ t
+        return float((w * (np.logaddexp(0, m) - y * m)).sum() + t @ ridge @ t / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ t, -40, 40)))
         step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (y - p)) - ridge @ t)
-        t = t + np.clip(step, -2, 2)
+        size = 1.0
+        while size > 1e-6 and loss(t + size * step) >= loss(t):
+            size /= 2
+        if size <= 1e-6:
+            break
+        t = t + size * step
     return max(0.0, float(t[0])), float(t[1])
 
 
