@@ -187,12 +187,11 @@ def near_links(prints: DataFrame) -> DataFrame:
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), embedding(F.col("fp")).bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(mask)]))
     rows = prints.select("fp", at.alias("at")).select("at.grid", "at.cell", "fp")
     rows = rows.repartition("grid", "cell")
-    sizes = rows.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes.hint("shuffle_hash"), ["grid", "cell"])
-    small = rows.where(F.col("n") <= CELL_ROWS).select("grid", "cell", "fp").sortWithinPartitions("grid", "cell")
+    heavy = rows.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    small = rows.join(heavy, ["grid", "cell"], "left_anti").sortWithinPartitions("grid", "cell")
     # two blocks meet in one task: block numbers i <= j; a row of block b goes to all (b, j) and (i, b)
     blocks = F.ceil(F.col("n") * 2 / CELL_ROWS).cast("int")
-    large = rows.where(F.col("n") > CELL_ROWS).select("grid", "cell", "fp", blocks.alias("of")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
+    large = rows.join(heavy, ["grid", "cell"]).select("grid", "cell", "fp", blocks.alias("of")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     large = large.select("grid", "cell", "fp", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
     large = large.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
