@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.common import cut
+
 DEPTH = 4
 MAX_CHILDREN = 32
 MERGE_Z = 1.96
@@ -77,8 +79,8 @@ def segments(path: Column) -> Column:
             .otherwise(s)
         )
 
-    cut = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    return F.transform(cut, general)
+    deep = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(deep, general)
 
 
 def templates(counted: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     counted = urls.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("r").alias("labelled"), F.count_if(F.col("r.verdict") == "block").alias("blocked")
     )
-    named = templates(counted)
+    named = cut(templates(cut(counted)))
     judged = judge_templates(named.select("host", "template", "n", "labelled", "blocked")).where("rejected").select("host", "template", "rejected")
     bad = named.join(judged, ["host", "template"]).select("host", "segs", "template", "rejected")
     out = urls.join(bad, ["host", "segs"], "left")
