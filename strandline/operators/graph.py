@@ -48,3 +48,50 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     alone = alone.join(stars.unionByName(roots).select("node"), "node", "left_anti")
     return stars.unionByName(roots).unionByName(alone)
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b) for each edge and its reverse."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree, lo, hi): number of neighbours, the smallest and the largest."""
+    return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(i, j, k) with i < j < k and all three edges; edges have src < dst."""
+    ij = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"))
+    jk = edges.select(F.col("src").alias("j"), F.col("dst").alias("k"))
+    ik = edges.select(F.col("src").alias("i"), F.col("dst").alias("k"))
+    return ij.join(jk, "j").join(ik, ["i", "k"], "left_semi").select("i", "j", "k")
+
+
+def common_neighbours(edges: DataFrame) -> DataFrame:
+    """(src, dst, common) for each edge. Each triangle gives one to each of its sides, so wedges come from triangles alone."""
+    t = triangles(edges)
+    side = lambda a, b: t.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    n = side("i", "j").unionByName(side("j", "k")).unionByName(side("i", "k")).groupBy("src", "dst").agg(F.count("*").alias("common"))
+    return edges.select("src", "dst").join(n, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
+
+
+def prune_to_fixpoint(edges: DataFrame, min_common: int) -> DataFrame:
+    """Edges left after those with fewer than min_common common neighbours are removed again and again."""
+    e = cut_lineage(edges.select("src", "dst"))
+    n = e.count()
+    while True:
+        e = cut_lineage(common_neighbours(e).where(F.col("common") >= min_common).select("src", "dst"))
+        now = e.count()
+        if now == n:
+            return e
+        n = now
+
+
+def repulsion_within_radius(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
+    """(src, dst) of nodes of one component at most `radius` apart that no edge joins. nodes: node, component."""
+    cell = F.floor(F.col("node") / radius)
+    a = nodes.select(F.col("node").alias("src"), "component", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = nodes.select(F.col("node").alias("dst"), "component", cell.alias("cell"))
+    pairs = a.join(b, ["component", "cell"]).where((F.col("src") < F.col("dst")) & (F.col("dst") - F.col("src") <= radius)).select("src", "dst")
+    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
