@@ -17,17 +17,18 @@ def to_bed(alignments: DataFrame) -> DataFrame:
     return x.select(F.col("rname").alias("contig"), F.col("pos0").alias("start0"), (F.col("pos0") + reference_span(F.col("ops"))).alias("end0"), "qname", strand.alias("strand"))
 
 
-def blocks(alignments: DataFrame) -> DataFrame:
-    """One row per operation with where it begins: qname, k, op, len, q (query) and r (reference)."""
-    x = alignments.select("qname", "pos0", F.posexplode("ops").alias("k", "o")).select("qname", "pos0", "k", "o.*")
-    before = Window.partitionBy("qname").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+def blocks(alignments: DataFrame, *keys: str) -> DataFrame:
+    """One row per operation with where it begins: qname, k, op, len, q (query) and r (reference). qname, with further keys if
+    given, tells alignments apart."""
+    x = alignments.select("qname", F.col("pos0").alias("_pos0"), *keys, F.posexplode("ops").alias("k", "o")).select("qname", "_pos0", *keys, "k", "o.*")
+    before = Window.partitionBy("qname", *keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     moved = lambda kinds: F.coalesce(F.sum(F.when(F.col("op").isin(*kinds), F.col("len"))).over(before), F.lit(0))
-    return x.select("qname", "k", "op", "len", moved("MIS=X").alias("q"), (F.col("pos0") + moved("MDN=X")).alias("r"))
+    return x.select("qname", "k", "op", "len", moved("MIS=X").alias("q"), (F.col("_pos0") + moved("MDN=X")).alias("r"))
 
 
-def aligned_pairs(alignments: DataFrame) -> DataFrame:
+def aligned_pairs(alignments: DataFrame, *keys: str) -> DataFrame:
     """(qname, qpos, rpos) of every position in match blocks."""
-    m = blocks(alignments).where(F.col("op").isin("M", "=", "X"))
+    m = blocks(alignments, *keys).where(F.col("op").isin("M", "=", "X"))
     return m.select("qname", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("d"), "q", "r").select("qname", (F.col("q") + F.col("d")).alias("qpos"), (F.col("r") + F.col("d")).alias("rpos"))
 
 

@@ -112,7 +112,7 @@ def correlation_clusters(
     """(component, cut, node, score) of the best of some restarts in each component. edges: component, src, dst, sign (1 or -1).
     Clusters of fewer than min_size nodes or a span under min_span are dropped; the same seed gives the same result."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         component, restart = key
         g = _Graph(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["sign"].tolist())
         rng = np.random.default_rng([seed, int(component) & 0x7FFFFFFF, int(restart)])
@@ -156,7 +156,7 @@ def smith_waterman(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: in
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """(component, src, dst, weight): the heaviest spanning tree of each component. edges: component, src, dst, weight."""
 
-    def kruskal(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kruskal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
 
         def root(x):

@@ -404,7 +404,7 @@ def distinct_keep_first(spark, sf_dir):
 # ---------------------------------------------------------------- sequences and alignments
 
 _OPS = r"list_zip(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2), list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: CAST(x AS BIGINT)))"
-_EXPLODED = f"e AS (SELECT qname, flag, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)) AS op, CAST(unnest(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1)) AS BIGINT) AS len FROM v_cigar)"
+_EXPLODED = "e AS (SELECT rid, qname, rname, pos0, flag, unnest(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)) AS op, CAST(unnest(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1)) AS BIGINT) AS len FROM (SELECT *, row_number() OVER () AS rid FROM v_cigar) v)"
 
 
 def _ops(spark, sf_dir):
@@ -417,7 +417,7 @@ def cigar_parse(spark, sf_dir):
 
 
 @query(
-    f"WITH {_EXPLODED}, s AS (SELECT qname, sum(CASE WHEN op = '=' THEN len ELSE 0 END) AS m, sum(CASE WHEN op = 'X' THEN len ELSE 0 END) AS x, sum(CASE WHEN op = 'I' THEN len ELSE 0 END) AS i, sum(CASE WHEN op = 'D' THEN len ELSE 0 END) AS d, count(*) FILTER (WHERE op = 'I') AS ie, count(*) FILTER (WHERE op = 'D') AS de FROM e WHERE (flag & 2308) = 0 GROUP BY qname) SELECT qname, CAST(m AS BIGINT) AS matches, CAST(x AS BIGINT) AS mismatches, CAST(i AS BIGINT) AS ins, CAST(d AS BIGINT) AS del, ie AS ins_events, de AS del_events, round(100 * m / (m + x), 6) AS by_matches, round(100 * m / (m + x + ie + de), 6) AS by_events, round(100 * m / (m + x + i + d), 6) AS by_all FROM s",
+    f"WITH {_EXPLODED}, s AS (SELECT any_value(qname) AS qname, sum(CASE WHEN op = '=' THEN len ELSE 0 END) AS m, sum(CASE WHEN op = 'X' THEN len ELSE 0 END) AS x, sum(CASE WHEN op = 'I' THEN len ELSE 0 END) AS i, sum(CASE WHEN op = 'D' THEN len ELSE 0 END) AS d, count(*) FILTER (WHERE op = 'I') AS ie, count(*) FILTER (WHERE op = 'D') AS de FROM e WHERE (flag & 2308) = 0 GROUP BY rid) SELECT qname, CAST(m AS BIGINT) AS matches, CAST(x AS BIGINT) AS mismatches, CAST(i AS BIGINT) AS ins, CAST(d AS BIGINT) AS del, ie AS ins_events, de AS del_events, round(100 * m / (m + x), 6) AS by_matches, round(100 * m / (m + x + ie + de), 6) AS by_events, round(100 * m / (m + x + i + d), 6) AS by_all FROM s",
     ("v_cigar",),
 )
 def identity_by_cigar(spark, sf_dir):
@@ -426,7 +426,7 @@ def identity_by_cigar(spark, sf_dir):
 
 
 @query(
-    f"WITH {_EXPLODED} SELECT qname, CAST(sum(CASE WHEN op = 'S' THEN len ELSE 0 END) AS BIGINT) AS clip, CAST(sum(CASE WHEN op IN ('M','D','N','=','X') THEN len ELSE 0 END) AS BIGINT) AS ref_span, CAST(sum(CASE WHEN op IN ('M','I','=','X') THEN len ELSE 0 END) AS BIGINT) AS query_span, CAST(sum(CASE WHEN op IN ('M','D') THEN len ELSE 0 END) AS BIGINT) AS md_span FROM e GROUP BY qname",
+    f"WITH {_EXPLODED} SELECT any_value(qname) AS qname, CAST(sum(CASE WHEN op = 'S' THEN len ELSE 0 END) AS BIGINT) AS clip, CAST(sum(CASE WHEN op IN ('M','D','N','=','X') THEN len ELSE 0 END) AS BIGINT) AS ref_span, CAST(sum(CASE WHEN op IN ('M','I','=','X') THEN len ELSE 0 END) AS BIGINT) AS query_span, CAST(sum(CASE WHEN op IN ('M','D') THEN len ELSE 0 END) AS BIGINT) AS md_span FROM e GROUP BY rid",
     ("v_cigar",),
 )
 def cigar_spans(spark, sf_dir):
@@ -451,13 +451,13 @@ def cigar_match_form(spark, sf_dir):
     return _ops(spark, sf_dir).select("qname", S.format_cigar(plain).alias("condensed"))
 
 
-@query("SELECT rname, qname, pos0, flag FROM (SELECT *, row_number() OVER (PARTITION BY rname ORDER BY pos0, qname) AS k FROM v_cigar) t WHERE k = 1", ("v_cigar",))
+@query("SELECT rname, qname, pos0, flag FROM (SELECT *, row_number() OVER (PARTITION BY rname ORDER BY pos0, qname, flag) AS k FROM v_cigar) t WHERE k = 1", ("v_cigar",))
 def dedup_read_names(spark, sf_dir):
-    return R.keep_first(spark_view(spark, sf_dir, "v_cigar"), ["rname"], ["pos0", "qname"]).select("rname", "qname", "pos0", "flag")
+    return R.keep_first(spark_view(spark, sf_dir, "v_cigar"), ["rname"], ["pos0", "qname", "flag"]).select("rname", "qname", "pos0", "flag")
 
 
 @query(
-    f"WITH {_EXPLODED}, s AS (SELECT qname, sum(CASE WHEN op IN ('M','D','N','=','X') THEN len ELSE 0 END) AS r FROM e GROUP BY qname) SELECT rname AS contig, pos0 AS start0, CAST(pos0 + r AS BIGINT) AS end0, qname, CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END AS strand FROM v_cigar JOIN s USING (qname) WHERE (flag & 2308) = 0",
+    f"WITH {_EXPLODED}, s AS (SELECT rid, any_value(qname) AS qname, any_value(rname) AS rname, any_value(pos0) AS pos0, any_value(flag) AS flag, sum(CASE WHEN op IN ('M','D','N','=','X') THEN len ELSE 0 END) AS r FROM e GROUP BY rid) SELECT rname AS contig, pos0 AS start0, CAST(pos0 + r AS BIGINT) AS end0, qname, CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END AS strand FROM s WHERE (flag & 2308) = 0",
     ("v_cigar",),
 )
 def alignments_to_bed(spark, sf_dir):
@@ -465,13 +465,14 @@ def alignments_to_bed(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT qname, pos0, CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) AS s, CAST(regexp_extract(cigar, 'S([0-9]+)=', 1) AS BIGINT) AS a, CAST(regexp_extract(cigar, '=([0-9]+)X', 1) AS BIGINT) AS x FROM v_cigar WHERE rname % 20 = 0 AND (flag & 2308) = 0) SELECT qname, s + k AS qpos, pos0 + k AS rpos FROM (SELECT qname, s, pos0, unnest(range(0, a + x)) AS k FROM p) t",
+    """WITH p AS (SELECT DISTINCT qname, pos0, cigar, CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) AS s, CAST(regexp_extract(cigar, 'S([0-9]+)=', 1) AS BIGINT) + CAST(regexp_extract(cigar, '=([0-9]+)X', 1) AS BIGINT) AS a, CAST(regexp_extract(cigar, 'X([0-9]+)I', 1) AS BIGINT) AS i, CAST(regexp_extract(cigar, 'I([0-9]+)=', 1) AS BIGINT) AS b, CAST(regexp_extract(cigar, '=([0-9]+)D', 1) AS BIGINT) AS d, CAST(regexp_extract(cigar, 'D([0-9]+)=', 1) AS BIGINT) AS c FROM v_cigar WHERE (flag & 2308) = 0)
+    SELECT qname, CAST(sum(a + b + c) AS BIGINT) AS pairs, CAST(sum(a * s + a * (a - 1) // 2 + b * (s + a + i) + b * (b - 1) // 2 + c * (s + a + i + b) + c * (c - 1) // 2) AS BIGINT) AS q_sum, CAST(sum(a * pos0 + a * (a - 1) // 2 + b * (pos0 + a) + b * (b - 1) // 2 + c * (pos0 + a + b + d) + c * (c - 1) // 2) AS BIGINT) AS r_sum FROM p GROUP BY qname""",
     ("v_cigar",),
 )
 def aligned_pairs(spark, sf_dir):
-    """The pairs of each first match block, up to the first insertion, of a twentieth of the contigs (the feature is by region)."""
-    x = _ops(spark, sf_dir).where("rname % 20 = 0").where(S.primary(F.col("flag"))).withColumn("ops", F.slice("ops", 1, 3))
-    return AL.aligned_pairs(x).select("qname", "qpos", "rpos")
+    """All pairs of all alignments, told by their number and sums for each name."""
+    x = _ops(spark, sf_dir).where(S.primary(F.col("flag"))).select("qname", "pos0", "cigar", "ops").dropDuplicates(["qname", "pos0", "cigar"])
+    return AL.aligned_pairs(x, "pos0", "cigar").groupBy("qname").agg(F.count("*").alias("pairs"), F.sum("qpos").alias("q_sum"), F.sum("rpos").alias("r_sum"))
 
 
 @query(r"SELECT id, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc FROM v_seq", ("v_seq",))
@@ -742,4 +743,4 @@ def psv_cluster_similarity(spark, sf_dir):
 def smith_waterman(spark, sf_dir):
     """Neighbouring texts against each other; the tests compare with the plain recurrence."""
     s = spark_view(spark, sf_dir, "v_seq")
-    return C.smith_waterman(s.select("id", F.substr("seq", F.lit(1), F.lit(200)).alias("a")).join(s.select((F.col("id") + 1).alias("id"), F.substr("seq", F.lit(1), F.lit(200)).alias("b")), "id"))
+    return C.smith_waterman(s.select("id", F.col("seq").alias("a")).join(s.select((F.col("id") + 1).alias("id"), F.col("seq").alias("b")), "id"))
