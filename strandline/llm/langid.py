@@ -77,14 +77,15 @@ def features(text: str | None) -> np.ndarray | None:
     return x / np.sqrt(np.float32(counts.sum()))
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Weights, the bias last, of a linear SVM with squared hinge loss, by dual coordinate descent. y: 1 or -1."""
-    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+def train_svm(z: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = COST, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent over some rows of z, whose last column is 1
+    and makes the bias. y: 1 or -1 for each row of z. Rows are used in place, as z is the largest thing on the driver."""
+    rows = np.arange(len(z)) if rows is None else rows
     q = np.einsum("ij,ij->i", z, z) + 1 / (2 * cost)
     w, a = np.zeros(z.shape[1], np.float32), np.zeros(len(z))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in order.permutation(len(z)):
+        for i in order.permutation(rows):
             step = max(0.0, a[i] - (y[i] * float(w @ z[i]) - 1 + a[i] / (2 * cost)) / q[i]) - a[i]
             if step:
                 a[i] += step
@@ -150,17 +151,19 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return LanguageModel()
-    x = np.stack([np.frombuffer(bytes(r["x"]), np.uint8) for r in found]).astype(np.float32)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    z = np.ones((len(found), (1 << BITS) + 1), np.float32)
+    for row, r in zip(z, found, strict=True):
+        row[:-1] = np.frombuffer(r["x"], np.uint8)
+        row[:-1] /= np.sqrt(row[:-1] @ row[:-1])
     lang = np.array([r["lang"] for r in found])
     family = np.array([family_of(v) for v in lang])
     families = sorted(set(family.tolist()))
     model = LanguageModel(langs, families)
     if len(families) > 1:
-        model.family_weights = np.stack([train_svm(x, np.where(family == f, 1, -1)) for f in families])
+        model.family_weights = np.stack([train_svm(z, np.where(family == f, 1, -1)) for f in families])
     model.pairs = [(a, b) for a, b in combinations(langs, 2) if family_of(a) == family_of(b)]
     if model.pairs:
-        model.pair_weights = np.stack([train_svm(x[m], np.where(lang[m] == a, 1, -1)) for a, b in model.pairs for m in [(lang == a) | (lang == b)]])
+        model.pair_weights = np.stack([train_svm(z, np.where(lang == a, 1, -1), np.flatnonzero((lang == a) | (lang == b))) for a, b in model.pairs])
     return model
 
 
