@@ -174,20 +174,28 @@ def minor_allele(ref: Column, alt: Column, min_cov: int, max_cov: int) -> Column
     return F.when((ref > 0) & ref.between(min_cov, max_cov) & (alt > max_cov), F.lit(".")).when((alt > 0) & alt.between(min_cov, max_cov) & (ref > max_cov), F.lit("1"))
 
 
-def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of n trials, as the sum of its terms in logarithms; the k-th of a table is not needed as n is small."""
+def _log_choose(k: Column, n: Column) -> Column:
+    terms = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i))
+
+
+def binomial_test(k: Column, n: Column, p: float) -> Column:
+    """Two-sided exact p-value of k successes in n trials: the sum of all outcomes that are no likelier than k, where a relative
+    1e-7 counts as equal. One pass over the outcomes, each term from the one before; 0 <= k <= n."""
     lp, lq = math.log(p), math.log1p(-p)
-    # log n! by running sums would be quadratic; terms follow from each other instead
-    start = F.struct((n * F.lit(lq)).alias("t"), F.exp(n * F.lit(lq)).alias("s"))
+    # the accumulator carries the log-likelihood of k, which would be computed anew in each step otherwise
+    start = F.struct((_log_choose(k, n) + k * F.lit(lp) + (n - k) * F.lit(lq)).alias("at"), (n * F.lit(lq)).alias("t"), F.lit(0.0).alias("s"))
 
     def step(a, i):
-        t = a["t"] + F.log((n - i + 1) / i) + F.lit(lp - lq)
-        return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
+        more = F.when(a["t"] <= a["at"] + 1e-7, F.exp(a["t"])).otherwise(0.0)
+        after = F.when(i < n, a["t"] + F.log((n - i) / (i + 1)) + F.lit(lp - lq)).otherwise(a["t"])
+        return F.struct(a["at"].alias("at"), after.alias("t"), (a["s"] + more).alias("s"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1), F.least(k, n).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(k < 0, F.lit(0.0)).otherwise(F.least(F.aggregate(terms, start, step)["s"], F.lit(1.0)))
+    return F.least(F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["s"], F.lit(1.0))
 
 
-def log_binomial(k: Column, n: Column, p: float) -> Column:
-    """Log of p^k (1-p)^(n-k), the part of the likelihood that depends on p."""
-    return k * F.lit(math.log(p)) + (n - k) * F.lit(math.log1p(-p))
+def linkage_score(k: Column, n: Column, accuracy: float) -> Column:
+    """log10(1 + ratio) of the exact p-values of k of n under linkage (accuracy) and by chance (1 - accuracy). Where the second
+    underflows to zero the score is infinite, where both do it is 0."""
+    linked, chance = binomial_test(k, n, accuracy), binomial_test(k, n, 1 - accuracy)
+    return F.when(chance > 0, F.log10(linked / F.nullif(chance, F.lit(0.0)) + 1)).when(linked > 0, F.lit(math.inf)).otherwise(F.lit(0.0))

@@ -128,7 +128,7 @@ def correlation_clusters(
     return found.join(best, ["component", "restart"]).select("component", "cut", "node", "score")
 
 
-def smith_waterman(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -2) -> DataFrame:
+def smith_waterman(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: int = -1) -> DataFrame:
     """(id, score, end_a, end_b) of the best local alignment of columns a and b; linear gap costs, rows by numpy."""
 
     def align(a: str, b: str) -> tuple[int, int, int]:

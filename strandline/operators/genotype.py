@@ -6,12 +6,10 @@ made from the site table, which is small, so that pairs without a common read st
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import binomial_cdf, log_binomial, minor_allele
+from strandline.functions.sequence import linkage_score, minor_allele
 
 
 def site_counts(matrix: DataFrame) -> DataFrame:
@@ -53,37 +51,29 @@ def read_bounds(matrix: DataFrame) -> DataFrame:
     return out.select("read_id", F.when(few, 0).otherwise(F.col("a")).alias("first"), F.when(few, 0).otherwise(F.col("b")).alias("last"))
 
 
-def linkage(matrix: DataFrame, min_cov: int, max_cov: int, p_error: float = 0.2) -> DataFrame:
-    """For pairs i < j where i has a minor allele and some read spans from i to j or later: n_overlap (reads with both), n_i and
-    n_j (of these, reads with the minor allele), n_shared (with both), lrt_i, lrt_j and lrt, the smaller one.
+def linkage(matrix: DataFrame, min_cov: int, max_cov: int, min_shared: int = 5, accuracy: float = 0.8, order: str = "read_id") -> DataFrame:
+    """For sites i < j where i has a minor allele: n_overlap (reads with both), n_i and n_j (of these, reads with the minor
+    allele), n_shared (with both), lrt_i, lrt_j and lrt, the smaller one.
 
-    lrt_i compares how often reads with i's minor allele have j's minor allele under linkage (1 - p_error) and by chance
-    (p_error); pairs without such reads have 0. A site without a minor allele counts as having none in any read."""
+    The scores compare the shared reads of n_i (n_j) under linkage and by chance; with fewer than min_shared they are 0. A site j
+    without a minor allele counts as having none in any read. `order` is the column with the order of the alignments: a pair
+    is left out if the first read with j's minor allele comes after the last one with i's. Pairs without a common read stay."""
     sites = minor_alleles(matrix, min_cov, max_cov)
-    code = F.when(F.col("minor") == ".", 0).when(F.col("minor") == "1", 1)
-    sites = sites.withColumn("m", code)
-    reads = matrix.join(sites.select("site", "m"), "site").select("read_id", "site", F.coalesce((F.col("allele") == F.col("m")).cast("int"), F.lit(0)).alias("has"))
-    with_minor = sites.where("m is not null").select("site")
-    span = matrix.groupBy("read_id").agg(F.min("site").alias("a"), F.max("site").alias("b"))
-    # how far reads that begin at or before a site reach: pairs beyond it can't share a read
-    reach = matrix.join(span, "read_id").groupBy("site").agg(F.max("b").alias("end"))
-    left = with_minor.join(reach, "site").select(F.col("site").alias("i"), "end")
+    sites = sites.select("site", F.when(F.col("minor") == ".", 0).when(F.col("minor") == "1", 1).alias("m"))
+    reads = matrix.join(sites, "site").select("read_id", F.col(order).alias("place"), "site", F.coalesce((F.col("allele") == F.col("m")).cast("int"), F.lit(0)).alias("has"))
+    ends = reads.where("has = 1").groupBy("site").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    left = ends.select(F.col("site").alias("i"), "last")
+    right = sites.select("site").join(ends, "site", "left").select(F.col("site").alias("j"), "first")
     # sites x sites; a site table is small next to the reads
-    pairs = left.join(sites.select(F.col("site").alias("j")), (F.col("i") < F.col("j")) & (F.col("j") <= F.col("end"))).select("i", "j")
-    a = reads.join(with_minor, "site", "left_semi").select("read_id", F.col("site").alias("i"), F.col("has").alias("x"))
+    pairs = left.join(right, (F.col("i") < F.col("j")) & (F.col("first").isNull() | (F.col("first") <= F.col("last")))).select("i", "j")
+    a = reads.join(ends, "site", "left_semi").select("read_id", F.col("site").alias("i"), F.col("has").alias("x"))
     b = reads.select("read_id", F.col("site").alias("j"), F.col("has").alias("y"))
     counts = a.join(b, "read_id").where("i < j").groupBy("i", "j").agg(
         F.count("*").alias("n_overlap"), F.sum("x").alias("n_i"), F.sum("y").alias("n_j"), F.sum(F.col("x") * F.col("y")).alias("n_shared")
     )
     out = pairs.join(counts, ["i", "j"], "left").select("i", "j", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_overlap", "n_i", "n_j", "n_shared")])
-    ratio = lambda n: log_binomial(F.col("n_shared"), n, 1 - p_error) - log_binomial(F.col("n_shared"), n, p_error)
-    out = out.withColumn("lrt_i", ratio(F.col("n_i"))).withColumn("lrt_j", ratio(F.col("n_j")))
-    return out.withColumn("lrt", F.least("lrt_i", "lrt_j"))
-
-
-def linkage_p(out: DataFrame, p: float = 0.5) -> DataFrame:
-    """Adds the chance of at most n_shared of n_i reads."""
-    return out.withColumn("p_shared", binomial_cdf(F.col("n_shared"), F.col("n_i"), p))
+    score = lambda n: F.when(F.col("n_shared") >= min_shared, linkage_score(F.col("n_shared"), F.col(n), accuracy)).otherwise(F.lit(0.0))
+    return out.withColumn("lrt_i", score("n_i")).withColumn("lrt_j", score("n_j")).withColumn("lrt", F.least("lrt_i", "lrt_j"))
 
 
 def psv_edges(links: DataFrame, min_lrt: float) -> DataFrame:
@@ -137,22 +127,14 @@ def concordance(assigned: DataFrame) -> DataFrame:
 
 
 def mec_assignment(matrix: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(read_id, cut, mec, matches): the cut with the fewest mismatches, then most matches, then the lowest number; -1 for reads
-    that share no site. Sites of several cuts don't count. cuts: cut, site."""
-    alone = cuts.groupBy("site").agg(F.min("cut").alias("cut"), F.count("*").alias("n")).where("n = 1").select("site", "cut")
+    """(read_id, cut, mec, matches): the cut with the fewest mismatches, then most variants in common, then the lowest number, of
+    those with at least one variant in common; -1 for reads without. Sites of several cuts don't count. cuts: cut, site."""
+    alone = cuts.groupBy("site").agg(F.min("cut").alias("own"), F.count("*").alias("n")).where("n = 1").select("site", "own")
     # at its own cut's sites a read should have the variant, at the others' the reference
-    every = cuts.select("cut").distinct()
-    x = matrix.join(alone.select("site", F.col("cut").alias("own")), "site")
-    per = x.groupBy("read_id", "own").agg(F.count_if(F.col("allele") == 1).alias("alt"), F.count_if(F.col("allele") == 0).alias("ref"))
-    total = per.groupBy("read_id").agg(F.sum("alt").alias("all_alt"), F.sum("ref").alias("all_ref"))
-    s = per.join(total, "read_id").select(
-        "read_id",
-        F.col("own").alias("cut"),
-        (F.col("ref") + F.col("all_alt") - F.col("alt")).alias("mec"),
-        (F.col("alt") + F.col("all_ref") - F.col("ref")).alias("matches"),
-    )
-    s = s.join(every, "cut", "left_semi")
-    best = s.groupBy("read_id").agg(F.min(F.struct("mec", (-F.col("matches")).alias("k"), "cut")).alias("b"))
+    per = matrix.join(alone, "site").groupBy("read_id", "own").agg(F.count_if(F.col("allele") == 1).alias("alt"), F.count_if(F.col("allele") == 0).alias("ref"))
+    total = F.sum("alt").over(Window.partitionBy("read_id"))
+    s = per.withColumn("mec", F.col("ref") + total - F.col("alt")).where("alt > 0")
+    best = s.groupBy("read_id").agg(F.min(F.struct("mec", (-F.col("alt")).alias("k"), F.col("own").alias("cut"))).alias("b"))
     out = matrix.select("read_id").distinct().join(best, "read_id", "left")
     return out.select("read_id", F.coalesce("b.cut", F.lit(-1)).alias("cut"), F.col("b.mec").alias("mec"), (-F.col("b.k")).alias("matches"))
 
@@ -180,7 +162,3 @@ def cluster_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """(p, r, n): common positions of each cluster p and contig r; positions of several contigs don't count. a: p, pos; b: r, pos."""
     one = b.groupBy("pos").agg(F.min("r").alias("r"), F.count_distinct("r").alias("k")).where("k = 1")
     return a.join(one, "pos").groupBy("p", "r").agg(F.count("*").alias("n"))
-
-
-CHI2_95 = 3.841
-LOG2 = math.log(2)

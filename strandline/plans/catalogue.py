@@ -542,34 +542,50 @@ def read_bounds(spark, sf_dir):
     return G.read_bounds(spark_view(spark, sf_dir, "v_matrix_sparse"))
 
 
-def link_sql(m: str, lo: int, hi: int) -> str:
+def test_sql(k: str, n: str, p: float) -> str:
+    """The two-sided exact binomial p-value as a subquery over the outcomes."""
+    term = lambda x: f"(lgamma({n} + 1) - lgamma({x} + 1) - lgamma({n} - {x} + 1) + {x} * ln({p}) + ({n} - {x}) * ln(1 - {p}))"
+    return f"(SELECT least(1.0, sum(exp({term('o.x')}))) FROM outcomes o WHERE o.x <= {n} AND {term('o.x')} <= {term(k)} + 1e-7)"
+
+
+def score_sql(n: str) -> str:
+    """Scores of the different (n_shared, n)."""
+    return f"SELECT n_shared, {n} AS n, log10({test_sql('n_shared', n, 0.8)} / {test_sql('n_shared', n, 0.2)} + 1) AS score FROM (SELECT DISTINCT n_shared, {n} FROM ln) t"
+
+
+def link_sql(m: str, lo: int, hi: int, shared: int) -> str:
     return f"""
 {SITES.format(m=m)}, k AS (SELECT site, CASE {minor_sql(lo, hi)} WHEN '.' THEN 0 WHEN '1' THEN 1 END AS m FROM s),
 r AS (SELECT read_id, x.site, coalesce((allele = m)::INT, 0) AS has FROM {m} x JOIN k ON k.site = x.site),
-e AS (SELECT x.site, max(b) AS fin FROM {m} x JOIN (SELECT read_id, max(site) AS b FROM {m} GROUP BY 1) z ON z.read_id = x.read_id GROUP BY 1),
-pr AS (SELECT a.site AS i, b.site AS j FROM k a JOIN e ON e.site = a.site JOIN k b ON a.site < b.site AND b.site <= fin WHERE a.m IS NOT NULL),
+e AS (SELECT site, min(read_id) AS first, max(read_id) AS last FROM r WHERE has = 1 GROUP BY 1),
+pr AS (SELECT a.site AS i, b.site AS j FROM k a JOIN e x ON x.site = a.site JOIN k b ON a.site < b.site LEFT JOIN e y ON y.site = b.site WHERE a.m IS NOT NULL AND coalesce(y.first <= x.last, TRUE)),
 ct AS (SELECT a.site AS i, b.site AS j, count(*) AS n_overlap, sum(a.has) AS n_i, sum(b.has) AS n_j, sum(a.has * b.has) AS n_shared FROM r a JOIN r b ON a.read_id = b.read_id AND a.site < b.site GROUP BY 1, 2),
 ln AS (SELECT pr.i, pr.j, CAST(coalesce(n_overlap, 0) AS BIGINT) AS n_overlap, CAST(coalesce(n_i, 0) AS BIGINT) AS n_i, CAST(coalesce(n_j, 0) AS BIGINT) AS n_j, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared FROM pr LEFT JOIN ct ON ct.i = pr.i AND ct.j = pr.j),
-lk AS (SELECT *, n_shared * ln(4.0) - (n_i - n_shared) * ln(4.0) AS lrt_i, n_shared * ln(4.0) - (n_j - n_shared) * ln(4.0) AS lrt_j FROM ln)
+outcomes AS (SELECT unnest(range(0, (SELECT max(greatest(n_i, n_j)) FROM ln) + 1)) AS x),
+si AS ({score_sql('n_i')}), sj AS ({score_sql('n_j')}),
+lk AS (SELECT ln.*, CASE WHEN ln.n_shared >= {shared} THEN si.score ELSE 0 END AS lrt_i, CASE WHEN ln.n_shared >= {shared} THEN sj.score ELSE 0 END AS lrt_j FROM ln JOIN si ON si.n_shared = ln.n_shared AND si.n = n_i JOIN sj ON sj.n_shared = ln.n_shared AND sj.n = n_j)
 """
 
 
+SPARSE = link_sql("v_matrix_sparse", 2, 4, 1)
+
+
 def _links(spark, sf_dir):
-    return G.linkage(spark_view(spark, sf_dir, "v_matrix_sparse"), 2, 4)
+    return G.linkage(spark_view(spark, sf_dir, "v_matrix_sparse"), 2, 4, min_shared=1)
 
 
-@query(f"WITH {link_sql('v_matrix_sparse', 2, 4)} SELECT i, j, n_overlap, n_i, n_j, n_shared FROM lk", ("v_matrix_sparse",))
+@query(f"WITH {SPARSE} SELECT i, j, n_overlap, n_i, n_j, n_shared FROM lk", ("v_matrix_sparse",))
 def linkage_counts(spark, sf_dir):
     return _links(spark, sf_dir).select("i", "j", "n_overlap", "n_i", "n_j", "n_shared")
 
 
-@query(f"WITH {link_sql('v_matrix_sparse', 2, 4)} SELECT i, j, round(lrt_i, 6) + 0 AS lrt_i, round(lrt_j, 6) + 0 AS lrt_j, round(least(lrt_i, lrt_j), 6) + 0 AS lrt FROM lk", ("v_matrix_sparse",))
+@query(f"WITH {SPARSE} SELECT i, j, round(lrt_i, 6) + 0 AS lrt_i, round(lrt_j, 6) + 0 AS lrt_j, round(least(lrt_i, lrt_j), 6) + 0 AS lrt FROM lk", ("v_matrix_sparse",))
 def linkage_lrt(spark, sf_dir):
     z = lambda c: (F.round(F.col(c), 6) + 0).alias(c)
     return _links(spark, sf_dir).select("i", "j", z("lrt_i"), z("lrt_j"), z("lrt"))
 
 
-@query(f"WITH {link_sql('v_matrix', 12, 25)} SELECT i, j, n_overlap, n_i, n_j, n_shared, round(least(lrt_i, lrt_j), 6) + 0 AS lrt FROM lk", ("v_matrix",))
+@query(f"WITH {link_sql('v_matrix', 12, 25, 5)} SELECT i, j, n_overlap, n_i, n_j, n_shared, round(least(lrt_i, lrt_j), 6) + 0 AS lrt FROM lk", ("v_matrix",))
 def linkage_dense(spark, sf_dir):
     out = G.linkage(spark_view(spark, sf_dir, "v_matrix"), 12, 25)
     return out.select("i", "j", "n_overlap", "n_i", "n_j", "n_shared", (F.round("lrt", 6) + 0).alias("lrt"))
@@ -578,7 +594,7 @@ def linkage_dense(spark, sf_dir):
 PSV_EDGES = "ed AS (SELECT i AS src, j AS dst, n_shared / greatest(n_i, 1) AS weight FROM lk WHERE least(lrt_i, lrt_j) > 0.5)"
 
 
-@query(f"WITH {link_sql('v_matrix_sparse', 2, 4)}, {PSV_EDGES} SELECT src, dst, round(weight, 6) AS weight FROM ed", ("v_matrix_sparse",))
+@query(f"WITH {SPARSE}, {PSV_EDGES} SELECT src, dst, round(weight, 6) AS weight FROM ed", ("v_matrix_sparse",))
 def psv_edges(spark, sf_dir):
     return G.psv_edges(_links(spark, sf_dir), 0.5).select("src", "dst", _r("weight"))
 
@@ -603,7 +619,7 @@ def repulsion_edges(spark, sf_dir):
 
 
 _SQL["repulsion_edges"] = _recursive(
-    duck_views("v_matrix_sparse") + f", {link_sql('v_matrix_sparse', 2, 4).strip()}, {PSV_EDGES}",
+    duck_views("v_matrix_sparse") + f", {SPARSE.strip()}, {PSV_EDGES}",
     components_sql("ed").strip()
     + ", sp AS (SELECT a AS node, min(b) AS lo, max(b) AS hi FROM bo GROUP BY a), nd AS (SELECT cc.node, component, lo, hi FROM cc JOIN sp ON sp.node = cc.node) SELECT lk.i AS src, lk.j AS dst FROM lk JOIN nd x ON x.node = lk.i JOIN nd y ON y.node = lk.j WHERE n_shared <= 1 AND x.component = y.component AND lk.i > y.lo AND lk.i < y.hi AND lk.j > x.lo AND lk.j < x.hi",
 )
@@ -663,7 +679,7 @@ def cut_score(spark, sf_dir):
 def correlation_clusters(spark, sf_dir):
     """Randomised: the tests check planted clusters and the invariants of the result."""
     links = H.cut_lineage(G.linkage(spark_view(spark, sf_dir, "v_matrix"), 12, 25))
-    edges = H.cut_lineage(G.psv_edges(links, -20.0))
+    edges = H.cut_lineage(G.psv_edges(links, 0.01))
     comps = H.connected_components(edges)
     signed = edges.select("src", "dst", F.lit(1).alias("sign")).unionByName(G.repulsion_edges(links, edges, comps, 0).withColumn("sign", F.lit(-1)))
     signed = signed.join(comps.select(F.col("node").alias("src"), "component"), "src")
@@ -710,7 +726,7 @@ def _cuts(m):
 
 
 @query(
-    f"WITH {_CUTS}, x AS (SELECT read_id, al.cut, count(*) FILTER (WHERE allele = 1) AS alt, count(*) FILTER (WHERE allele = 0) AS ref FROM v_matrix_sparse v JOIN al ON al.site = v.site GROUP BY 1, 2), y AS (SELECT read_id, cut, ref + sum(alt) OVER (PARTITION BY read_id) - alt AS mec, alt + sum(ref) OVER (PARTITION BY read_id) - ref AS matches FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY mec, matches DESC, cut) AS k FROM y) SELECT r.read_id, coalesce(z.cut, -1) AS cut, CAST(mec AS BIGINT) AS mec, CAST(matches AS BIGINT) AS matches FROM (SELECT DISTINCT read_id FROM v_matrix_sparse) r LEFT JOIN z ON z.read_id = r.read_id AND k = 1",
+    f"WITH {_CUTS}, x AS (SELECT read_id, al.cut, count(*) FILTER (WHERE allele = 1) AS alt, count(*) FILTER (WHERE allele = 0) AS ref FROM v_matrix_sparse v JOIN al ON al.site = v.site GROUP BY 1, 2), y AS (SELECT read_id, cut, ref + sum(alt) OVER (PARTITION BY read_id) - alt AS mec, alt AS matches FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY mec, matches DESC, cut) AS k FROM y WHERE matches > 0) SELECT r.read_id, coalesce(z.cut, -1) AS cut, CAST(mec AS BIGINT) AS mec, CAST(matches AS BIGINT) AS matches FROM (SELECT DISTINCT read_id FROM v_matrix_sparse) r LEFT JOIN z ON z.read_id = r.read_id AND k = 1",
     ("v_matrix", "v_matrix_sparse"),
 )
 def mec_assignment(spark, sf_dir):
