@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import primary, reference_span, reverse_strand
+from strandline.operators.intervals import parse_region
 
 NUMBERED_RANGES = 64
 
@@ -52,3 +55,43 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFram
     shift = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = x.join(F.broadcast(shift.select("_p", "_s")), "_p")
     return out.withColumn(name, F.col("_s") + F.col("_k")).drop("_p", "_k", "_s")
+
+
+def overhangs(alignments: DataFrame, least: int = 2000) -> DataFrame:
+    """(qname, end, clip_start, clip_end): the part of each read that hangs over the contig's head or tail by more than `least`, where
+    it aligns less than `least` away from that end; the head goes first. Columns: qname, q_len, q_start, q_end, t_len, t_start, t_end."""
+    rest = F.col("t_len") - F.col("t_end")
+    head, tail = F.col("q_start") - F.col("t_start"), F.col("q_len") - F.col("q_end") - rest
+    zero = F.lit(0).cast("bigint")
+    at_head = F.when((F.col("t_start") < least) & (head > least), F.struct(F.lit("head").alias("end"), zero.alias("clip_start"), head.alias("clip_end")))
+    at_tail = F.when((rest < least) & (tail > least), F.struct(F.lit("tail").alias("end"), (F.col("q_end") + rest).alias("clip_start"), F.col("q_len").alias("clip_end")))
+    return alignments.select("qname", F.coalesce(at_head, at_tail).alias("_o")).where("_o is not null").select("qname", "_o.*")
+
+
+def common_run(pairs: DataFrame) -> DataFrame:
+    """(id, run, length): the longest text that occurs in both columns a and b; of several, the one that ends last in a. Null counts as
+    empty. Rows are compared by numpy, one row of the table of run lengths at a time."""
+
+    def longest(a: str, b: str) -> str:
+        y = np.array([ord(c) for c in b], np.int64)
+        above, best = np.zeros(len(y) + 1, np.int64), (0, 0)
+        for i, c in enumerate(a, 1):
+            row = np.zeros_like(above)
+            row[1:] = np.where(y == ord(c), above[:-1] + 1, 0)
+            best = max(best, (int(row.max()), i))
+            above = row
+        return a[best[1] - best[0] : best[1]]
+
+    def work(frames):
+        for f in frames:
+            runs = [longest(a or "", b or "") for a, b in zip(f["a"], f["b"], strict=True)]
+            yield pd.DataFrame({"id": f["id"], "run": pd.Series(runs, dtype=object), "length": pd.Series([len(r) for r in runs], dtype="int64")})
+
+    return pairs.select("id", "a", "b").mapInPandas(work, "id bigint, run string, length bigint")
+
+
+def lift(local: DataFrame, region: str = "region") -> DataFrame:
+    """Adds contig, start0 and end0 on the genome to rows of a `chr:start-end` region with offsets lo and hi in it; nulls where it
+    doesn't parse."""
+    r = parse_region(F.col(region))
+    return local.select("*", r["contig"].alias("contig"), (r["start0"] + F.col("lo")).alias("start0"), (r["start0"] + F.col("hi")).alias("end0"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import linkage_score, minor_allele
+from strandline.operators.graph import both_ways, cut_lineage
 
 
 def site_counts(matrix: DataFrame) -> DataFrame:
@@ -162,3 +163,57 @@ def cluster_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """(p, r, n): common positions of each cluster p and contig r; positions of several contigs don't count. a: p, pos; b: r, pos."""
     one = b.groupBy("pos").agg(F.min("r").alias("r"), F.count_distinct("r").alias("k")).where("k = 1")
     return a.join(one, "pos").groupBy("p", "r").agg(F.count("*").alias("n"))
+
+
+def conflicts(matrix: DataFrame, min_cov: int, max_cov: int) -> DataFrame:
+    """(i, j, n_shared, n_conflict) of sites i < j that both have a minor allele in some common reads: reads with both minor alleles,
+    and reads with the minor allele at one and the major allele at the other."""
+    sites = minor_alleles(matrix, min_cov, max_cov).where("minor is not null").select("site", "minor")
+    x = matrix.join(sites, "site").select("read_id", "site", (F.col("allele") == F.when(F.col("minor") == ".", 0).otherwise(1)).cast("int").alias("has"))
+    pairs = x.select("read_id", F.col("site").alias("i"), F.col("has").alias("a")).join(x.select("read_id", F.col("site").alias("j"), F.col("has").alias("b")), "read_id").where("i < j")
+    out = pairs.groupBy("i", "j").agg(F.sum("a").alias("n_i"), F.sum("b").alias("n_j"), F.sum(F.expr("a * b")).alias("n_shared"), F.count_if(F.col("a") != F.col("b")).alias("n_conflict"))
+    return out.where("n_i > 0 and n_j > 0").select("i", "j", "n_shared", "n_conflict")
+
+
+def similar_reads(scores: DataFrame, cutoff: float = 10.0) -> DataFrame:
+    """(src, dst, weight) of read pairs with a score of at least cutoff."""
+    return scores.where(F.col("score") >= cutoff).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight"))
+
+
+def fragment_cover(matrix: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(cut, read_id, n, first, last): how many sites of a cut a read has, and from where to where. cuts: cut, site."""
+    return matrix.join(cuts, "site").groupBy("cut", "read_id").agg(F.count("*").alias("n"), F.min("site").alias("first"), F.max("site").alias("last"))
+
+
+def best_contig(similarity: DataFrame) -> DataFrame:
+    """(p, r, n): the contig with most positions in common with each cluster; the lowest one among equals."""
+    best = F.max(F.struct("n", (-F.col("r")).alias("k"))).alias("b")
+    return similarity.groupBy("p").agg(best).select("p", (-F.col("b.k")).alias("r"), F.col("b.n").alias("n"))
+
+
+def compare_partitions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(grp, overlap, n_a, n_b, mean_only_a, mean_both): of each group of a, the reads that b puts into the group of the same number, the
+    sizes, and in how many groups of a its reads are on average, for those that b lacks and those that it has. Rows: read_id, grp."""
+    many = a.groupBy("read_id").agg(F.count("*").alias("times"))
+    x = a.distinct().join(many, "read_id").join(b.select("read_id", "grp").distinct().withColumn("hit", F.lit(True)), ["read_id", "grp"], "left")
+    hit = F.col("hit").isNotNull()
+    out = x.groupBy("grp").agg(F.count_if(hit).alias("overlap"), F.avg(F.when(~hit, F.col("times"))).alias("mean_only_a"), F.avg(F.when(hit, F.col("times"))).alias("mean_both"))
+    size = lambda d, n: d.groupBy("grp").agg(F.count("*").alias(n))
+    out = out.join(size(a, "n_a"), "grp").join(size(b, "n_b"), "grp", "left")
+    return out.select("grp", "overlap", "n_a", F.coalesce("n_b", F.lit(0)).alias("n_b"), "mean_only_a", "mean_both")
+
+
+def smooth(matrix: DataFrame, edges: DataFrame, rounds: int = 10, min_changes: int = 1) -> DataFrame:
+    """The matrix after every allele has become that of most neighbours (src, dst) with a signal at the site, again and again until
+    fewer than min_changes change. All reads change at once in a round; ties and reads without neighbours keep their allele."""
+    nb = both_ways(edges)
+    m = cut_lineage(matrix.select("read_id", "site", "allele"))
+    for _ in range(rounds):
+        votes = m.join(nb.withColumnRenamed("a", "read_id"), "read_id").groupBy(F.col("b").alias("read_id"), "site").agg(F.sum(F.col("allele") * 2 - 1).alias("vote"))
+        said = F.when(F.col("vote") > 0, 1).when(F.col("vote") < 0, 0).otherwise(F.col("allele"))
+        after = cut_lineage(m.join(votes, ["read_id", "site"], "left").select("read_id", "site", said.alias("now"), "allele"))
+        changed = after.where("now <> allele").count()
+        m = after.select("read_id", "site", F.col("now").alias("allele"))
+        if changed < min_changes:
+            break
+    return m

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,10 +88,85 @@ def prune_to_fixpoint(edges: DataFrame, min_common: int) -> DataFrame:
         n = now
 
 
-def repulsion_within_radius(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
-    """(src, dst) of nodes of one component at most `radius` apart that no edge joins. nodes: node, component."""
+def repulsion_within_radius(nodes: DataFrame, edges: DataFrame, radius: int, load: float | None = None) -> DataFrame:
+    """(src, dst) of nodes of one component less than `radius` apart that no edge joins. nodes: node, component.
+
+    load: from its nearest one on, a src (with at least one neighbour) takes partners until they are more than load times its degree."""
     cell = F.floor(F.col("node") / radius)
     a = nodes.select(F.col("node").alias("src"), "component", F.explode(F.array(cell, cell + 1)).alias("cell"))
     b = nodes.select(F.col("node").alias("dst"), "component", cell.alias("cell"))
-    pairs = a.join(b, ["component", "cell"]).where((F.col("src") < F.col("dst")) & (F.col("dst") - F.col("src") <= radius)).select("src", "dst")
+    pairs = a.join(b, ["component", "cell"]).where((F.col("src") < F.col("dst")) & (F.col("dst") - F.col("src") < radius)).select("src", "dst")
+    out = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    if load is None:
+        return out
+    ranked = out.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    own = degrees(edges).select(F.col("node").alias("src"), "degree")
+    return ranked.join(own, "src").where(F.col("_k") - 1 <= load * F.col("degree")).select("src", "dst")
+
+
+def repulsion_in_span(edges: DataFrame, width: int) -> DataFrame:
+    """(src, dst), src < dst, of nodes without an edge of which at least one lies strictly between the other's smallest and largest
+    neighbour. Spans and nodes meet in bins of `width` positions."""
+    span = degrees(edges).where("hi - lo > 1")
+    bins = F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor((F.col("hi") - 1) / width)))
+    x = span.select("node", "lo", "hi", bins.alias("bin"))
+    y = both_ways(edges).select(F.col("a").alias("other")).distinct().withColumn("bin", F.floor(F.col("other") / width))
+    found = x.join(y, "bin").where("other > lo and other < hi and other <> node")
+    pairs = found.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
     return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def cut_neighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(cut, node) of nodes outside a cut with an edge into it. members: node, cut."""
+    m = members.select(F.col("node").alias("a"), "cut")
+    near = both_ways(edges).join(m, "a").select("cut", F.col("b").alias("node")).distinct()
+    return near.join(members.select("cut", "node"), ["cut", "node"], "left_anti")
+
+
+def tally_between(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(low, high, n): edges between each pair of different cuts. members: node, cut."""
+    side = lambda n, c: members.select(F.col("node").alias(n), F.col("cut").alias(c))
+    x = edges.select("src", "dst").join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a <> b")
+    return x.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.count("*").alias("n"))
+
+
+def signed_degrees(edges: DataFrame) -> DataFrame:
+    """(node, attract, repulse): neighbours by edges of positive and of negative sign. edges: src, dst, sign."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "sign")
+    return ends.groupBy("node").agg(F.count_if(F.col("sign") > 0).alias("attract"), F.count_if(F.col("sign") < 0).alias("repulse"))
+
+
+def heaviest_edges(edges: DataFrame, most: int) -> DataFrame:
+    """Edges that are among the `most` heaviest of at least one end; of equal weights, the larger neighbour counts as heavier."""
+    ends = edges.select("src", "dst", "weight", F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to")))).alias("e"))
+    k = F.row_number().over(Window.partitionBy("e.at").orderBy(F.desc("weight"), F.desc("e.to")))
+    return ends.withColumn("_k", k).where(F.col("_k") <= most).select("src", "dst", "weight").distinct()
+
+
+def purity(members: DataFrame, edges: DataFrame, min_size: int = 10) -> DataFrame:
+    """(component, size, node_purity, n_edges, edge_purity): share of the most frequent colour among the nodes, and among the edges,
+    of each component of at least min_size nodes. members: node, component, color; edges: src, dst, color. Null colours are no
+    colour, but count for the size; components without edges have a null edge purity."""
+
+    def share(df: DataFrame, size: str, name: str) -> DataFrame:
+        c = df.groupBy("component", "color").agg(F.count("*").alias("n"))
+        top = F.coalesce(F.max(F.when(F.col("color").isNotNull(), F.col("n"))), F.lit(0))
+        return c.groupBy("component").agg(F.sum("n").alias(size), (top / F.sum("n")).alias(name))
+
+    nodes = share(members, "size", "node_purity").where(F.col("size") >= min_size)
+    inner = share(edges.join(members.select(F.col("node").alias("src"), "component"), "src"), "n_edges", "edge_purity")
+    return nodes.join(inner, "component", "left").select("component", "size", "node_purity", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "edge_purity")
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, node, steps): the fewest edges from each source (column node) to every node within `most` steps. Each round goes on
+    from the nodes found in the round before only."""
+    nb = both_ways(edges)
+    seen = front = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).distinct())
+    for k in range(1, most + 1):
+        reached = front.join(nb.withColumnRenamed("a", "node"), "node").select("source", F.col("b").alias("node")).distinct()
+        front = cut_lineage(reached.join(seen, ["source", "node"], "left_anti").withColumn("steps", F.lit(k)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

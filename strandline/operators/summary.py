@@ -115,3 +115,40 @@ def rank_trim(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99)
     c = c.withColumn("upto", F.sum("k").over(run)).withColumn("n", F.sum("k").over(Window.partitionBy(F.lit(0))))
     at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.round(p * F.col("n"))), F.col(column)))
     return c.agg(at(low).alias("low"), at(high).alias("high"))
+
+
+def identity_band(per_id: Column) -> Column:
+    """Colour `r,g,b` of an identity in percent."""
+    # fixed values: lower bound of the band and its colour
+    bands = {100.0: "0,100,0", 99.99: "0,150,0", 99.8: "0,200,0", 99.0: "192,192,192", 95.0: "230,230,230"}
+    out = F.when(per_id.isNull(), F.lit(None).cast("string"))
+    for low, color in bands.items():
+        out = out.when(per_id >= low, color)
+    return out.otherwise("255,255,0")
+
+
+def rescale_percent(df: DataFrame, column: str) -> DataFrame:
+    """Fractions become percent if any value of the column is at most 1; what reaches 100 becomes 99.999999."""
+    one = df.agg(F.coalesce(F.bool_or(F.col(column) <= 1.0), F.lit(False)).alias("_f"))  # one row
+    x = df.crossJoin(F.broadcast(one))
+    v = F.when(F.col("_f"), F.col(column) * 100).otherwise(F.col(column))
+    return x.withColumn(column, F.when(v >= 100, F.lit(99.999999)).otherwise(v)).drop("_f")
+
+
+def psv_density(df: DataFrame) -> DataFrame:
+    """Adds `per_kb`, sites for each 1,000 bases of length; null for a length of zero."""
+    return df.withColumn("per_kb", F.try_divide(F.col("n_psvs") * 1000, F.col("length")))
+
+
+def second_depth_histogram(counts: DataFrame, width: int, below: int = 140) -> DataFrame:
+    """(bin, n): positions by the depth of their second most common base, of those whose two most common ones sum to less than `below`.
+    counts: a, c, g, t."""
+    top = F.sort_array(F.array("a", "c", "g", "t"), asc=False)
+    x = counts.select(top[0].alias("x"), top[1].alias("y")).where(F.col("x") + F.col("y") < below)
+    return x.groupBy((F.floor(F.col("y") / width) * width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def totals(df: DataFrame) -> DataFrame:
+    """One row: collapse_mbp, each collapse's length once, and assembled_mbp, all lengths. df: collapse, collapse_length, length."""
+    once = df.groupBy("collapse").agg(F.max("collapse_length").alias("c"), F.sum("length").alias("l"))
+    return once.agg((F.sum("c") / 1e6).alias("collapse_mbp"), (F.sum("l") / 1e6).alias("assembled_mbp"))

@@ -78,15 +78,20 @@ def pileup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=PILEUP, quote="", escape="")
 
 
-def pileup_counts(bases: Column, ref: Column) -> Column:
+def pileup_counts(bases: Column, ref: Column, compat: bool = False) -> Column:
     """Struct (A, C, G, T, del, ins) of a pileup string: `^` and the quality behind it, `$`, and the letters of an insertion or
-    deletion are not bases; `.` and `,` are the reference; `*` is a deleted base; an insertion counts once."""
-    clean = F.regexp_replace(F.regexp_replace(bases, r"\^.", ""), r"\$", "")
+    deletion are not bases; `.` and `,` are the reference; `*` is a deleted base; an insertion counts once.
+
+    compat: as an old parser has it, `$` and `-` also take the next character with them, so that deleted bases count as bases, and
+    of a longer length only the first digit is apart from the inserted letters."""
+    clean = F.regexp_replace(bases, r"[\^$-].?", "") if compat else F.regexp_replace(F.regexp_replace(bases, r"\^.", ""), r"\$", "")
     ins = F.regexp_extract_all(clean, F.lit(r"(\+)[0-9]+"), F.lit(1))
     # an indel's letters go by its length: what follows the number is cut off piece by piece
     pieces = F.split(clean, r"[+-](?=[0-9])")
     first = F.element_at(pieces, 1)
-    others = F.transform(F.slice(pieces, 2, 1_000_000), lambda p: F.substr(p, F.length(F.regexp_extract(p, "^([0-9]+)", 1)) + F.regexp_extract(p, "^([0-9]+)", 1).cast("int") + 1))
+    number = lambda p: F.regexp_extract(p, "^([0-9]+)", 1)
+    digits = lambda p: F.lit(1) if compat else F.length(number(p))
+    others = F.transform(F.slice(pieces, 2, 1_000_000), lambda p: F.substr(p, digits(p) + number(p).cast("int") + 1))
     plain = F.upper(F.concat(first, F.array_join(others, "")))
     plain = F.replace(F.replace(plain, F.lit(","), F.lit(".")), F.lit("."), F.upper(ref))
     n = lambda b: (F.length(plain) - F.length(F.replace(plain, F.lit(b), F.lit("")))).cast("int")

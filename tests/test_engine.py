@@ -120,6 +120,9 @@ def test_pileup(spark):
     for bases, want in (("AACCT*+2ACG", (2, 2, 1, 1, 1, 1)), ("^]AC", (1, 1, 0, 0, 0, 0)), ("A$CG", (1, 1, 1, 0, 0, 0)), ("A-2CGT", (1, 0, 0, 1, 0, 0)), (".,+10ACGTACGTACa", (1, 0, 2, 0, 0, 1))):
         r = one(spark, formats.pileup_counts(F.col("b"), F.lit("G")), b=bases)
         assert tuple(r) == want, bases
+    for bases, want in (("A$CG", (1, 0, 1, 0, 0, 0)), ("A-2CGT", (1, 1, 1, 1, 0, 0)), ("AACCT*+2ACG$", (2, 2, 1, 1, 1, 1)), ("+10ACGTACGTACa", (1, 1, 0, 0, 0, 1))):
+        r = one(spark, formats.pileup_counts(F.col("b"), F.lit("G"), compat=True), b=bases)
+        assert tuple(r) == want, bases
 
 
 def planted(spark, bridge=False):
@@ -180,10 +183,52 @@ def test_graph_helpers(spark):
     nodes = values(spark, "node bigint, component bigint", [(0, 0), (3, 0), (6, 0), (7, 1)])
     near = H.repulsion_within_radius(nodes, values(spark, "src bigint, dst bigint", [(0, 3)]), 4)
     assert [(r.src, r.dst) for r in near.collect()] == [(3, 6)]
+    assert H.repulsion_within_radius(nodes, values(spark, "src bigint, dst bigint", [(0, 3)]), 3).count() == 0
     w = values(spark, "component bigint, src bigint, dst bigint, weight double", [(0, 0, 1, 5.0), (0, 1, 2, 1.0), (0, 0, 2, 4.0)])
     assert sorted((r.src, r.dst) for r in C.spanning_forest(w).collect()) == [(0, 1), (0, 2)]
 
 
+def test_repulsion_load(spark):
+    """A node with one neighbour gets edges until the next would find more than load times its degree."""
+    nodes = values(spark, "node bigint, component bigint", [(i, 0) for i in range(6)])
+    edges = values(spark, "src bigint, dst bigint", [(0, 5), (4, 5)])
+    got = H.repulsion_within_radius(nodes, edges, 10, load=1.0).collect()
+    assert sorted((r.src, r.dst) for r in got) == [(0, 1), (0, 2)]
+
+
+def test_tsd(spark):
+    rnd = random.Random(9)
+    text = lambda: "".join(rnd.choice("AC") for _ in range(rnd.randint(0, 12)))
+    pairs = [(i, text(), text()) for i in range(40)] + [(40, None, "A"), (41, "GATTACA", "CATTAG")]
+    got = {r.id: r for r in AL.common_run(values(spark, "id bigint, a string, b string", pairs)).collect()}
+    for i, a, b in pairs:
+        a, b = a or "", b or ""
+        best = max((n for n in range(len(a) + 1) for k in range(len(a) - n + 1) if a[k : k + n] in b), default=0)
+        assert got[i].length == best and len(got[i].run) == best and got[i].run in a and got[i].run in b
+    assert got[41].run == "ATTA"
+
+
+def test_overhang(spark):
+    rows = [("head", 9000, 5000, 9000, 9000, 100, 4100), ("tail", 9000, 0, 4000, 5000, 900, 4900), ("in", 9000, 1000, 8000, 9000, 1000, 8000)]
+    df = values(spark, "qname string, q_len bigint, q_start bigint, q_end bigint, t_len bigint, t_start bigint, t_end bigint", rows)
+    got = {r.qname: (r.end, r.clip_start, r.clip_end) for r in AL.overhangs(df).collect()}
+    assert got == {"head": ("head", 0, 4900), "tail": ("tail", 4100, 9000)}
+
+
+def test_identity_band(spark):
+    for per_id, want in ((100.0, "0,100,0"), (99.995, "0,150,0"), (99.8, "0,200,0"), (99.5, "192,192,192"), (96.0, "230,230,230"), (90.0, "255,255,0"), (None, None)):
+        assert one(spark, R.identity_band(F.lit(per_id).cast("double"))) == want
+
+
+def test_consensus_smoothing(spark):
+    rows = [(r, s, int(r < 4)) for r in range(8) for s in range(3)]
+    rows = [(r, s, 1 - a if (r, s) == (0, 1) else a) for r, s, a in rows]
+    m = values(spark, "read_id bigint, site int, allele int", rows)
+    near = [(a, b) for a in range(8) for b in range(a + 1, 8) if (a < 4) == (b < 4)]
+    got = G.smooth(m, values(spark, "src bigint, dst bigint", near), rounds=5)
+    assert {(r.read_id, r.site): r.allele for r in got.collect()} == {(r, s): int(r < 4) for r in range(8) for s in range(3)}
+
+
 def test_smith_waterman(spark):
     rnd = random.Random(4)
     pairs = [(i, "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 25))), "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 25)))) for i in range(40)]
