@@ -760,3 +760,165 @@ def smith_waterman(spark, sf_dir):
     """Neighbouring texts against each other; the tests compare with the plain recurrence."""
     s = spark_view(spark, sf_dir, "v_seq")
     return C.smith_waterman(s.select("id", F.col("seq").alias("a")).join(s.select((F.col("id") + 1).alias("id"), F.col("seq").alias("b")), "id"))
+
+
+@query()
+def tsd_align(spark, sf_dir):
+    """The longest exact run that neighbouring texts share; the tests compare with brute force."""
+    s = spark_view(spark, sf_dir, "v_seq")
+    return AL.common_run(s.select("id", F.col("seq").alias("a")).join(s.select((F.col("id") + 1).alias("id"), F.col("seq").alias("b")), "id"))
+
+
+# ---------------------------------------------------------------- more of graphs, reads and reports
+
+
+@query(
+    f"WITH {_BOTH}, sp AS (SELECT a AS node, min(b) AS lo, max(b) AS hi FROM bo GROUP BY 1) SELECT DISTINCT least(x.node, y.node) AS src, greatest(x.node, y.node) AS dst FROM sp x JOIN sp y ON y.node > x.lo AND y.node < x.hi AND x.node <> y.node WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.a = x.node AND bo.b = y.node)",
+    ("v_edges_dense",),
+)
+def span_repulsion(spark, sf_dir):
+    return H.repulsion_in_span(spark_view(spark, sf_dir, "v_edges_dense"), 16)
+
+
+@query()
+def radius_repulsion(spark, sf_dir):
+    e = H.cut_lineage(spark_view(spark, sf_dir, "v_edges"))
+    return H.repulsion_within_radius(H.connected_components(e), e, 50, load=1.0)
+
+
+_SQL["radius_repulsion"] = _recursive(
+    duck_views("v_edges"),
+    components_sql("v_edges").strip()
+    + ", dg AS (SELECT a AS node, count(*) AS degree FROM bo GROUP BY 1), pr AS (SELECT x.node AS src, y.node AS dst, row_number() OVER (PARTITION BY x.node ORDER BY y.node) AS k FROM cc x JOIN cc y ON x.component = y.component AND x.node < y.node AND y.node - x.node < 50 WHERE NOT EXISTS (SELECT 1 FROM bo WHERE a = x.node AND b = y.node)) SELECT src, dst FROM pr JOIN dg ON dg.node = src WHERE k - 1 <= degree",
+)
+
+
+@query(f"WITH {_BOTH} SELECT DISTINCT a % 4 AS cut, b AS node FROM bo WHERE a % 4 <> b % 4", ("v_edges_dense",))
+def cut_boundary(spark, sf_dir):
+    e = spark_view(spark, sf_dir, "v_edges_dense")
+    return H.cut_neighbours(e, _members(e))
+
+
+def _members(e):
+    return H.degrees(e).select("node", (F.col("node") % 4).alias("cut"))
+
+
+@query("SELECT least(src % 4, dst % 4) AS low, greatest(src % 4, dst % 4) AS high, count(*) AS n FROM v_edges_dense WHERE src % 4 <> dst % 4 GROUP BY 1, 2", ("v_edges_dense",))
+def repulsion_tally(spark, sf_dir):
+    e = spark_view(spark, sf_dir, "v_edges_dense")
+    return H.tally_between(e, _members(e))
+
+
+@query(f"WITH s AS (SELECT src, dst, CASE WHEN (src + dst) % 5 = 0 THEN -1 ELSE 1 END AS sign FROM v_edges_dense), x AS (SELECT src AS node, sign FROM s UNION ALL SELECT dst, sign FROM s) SELECT node, count(*) FILTER (WHERE sign > 0) AS attract, count(*) FILTER (WHERE sign < 0) AS repulse FROM x GROUP BY 1", ("v_edges_dense",))
+def signed_degrees(spark, sf_dir):
+    e = spark_view(spark, sf_dir, "v_edges_dense").withColumn("sign", F.when((F.col("src") + F.col("dst")) % 5 == 0, -1).otherwise(1))
+    return H.signed_degrees(e)
+
+
+@query(
+    "WITH s AS (SELECT src, dst, src * dst % 17 AS weight FROM v_edges_dense), x AS (SELECT src AS a, dst AS b, * FROM s UNION ALL SELECT dst, src, * FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS k FROM x) SELECT DISTINCT src, dst, weight FROM k WHERE k <= 5",
+    ("v_edges_dense",),
+)
+def trim_edges(spark, sf_dir):
+    return H.heaviest_edges(spark_view(spark, sf_dir, "v_edges_dense").withColumn("weight", F.expr("src * dst % 17")), 5)
+
+
+@query()
+def component_purity(spark, sf_dir):
+    e = H.cut_lineage(spark_view(spark, sf_dir, "v_edges"))
+    out = H.purity(H.connected_components(e).withColumn("color", F.col("node") % 3), e.withColumn("color", (F.col("src") + F.col("dst")) % 3), 4)
+    return out.select("component", "size", _r("node_purity"), "n_edges", _r("edge_purity"))
+
+
+_SQL["component_purity"] = _recursive(
+    duck_views("v_edges"),
+    components_sql("v_edges").strip()
+    + ", nc AS (SELECT component, node % 3 AS color, count(*) AS n FROM cc GROUP BY 1, 2), ec AS (SELECT component, (src + dst) % 3 AS color, count(*) AS n FROM v_edges JOIN cc ON node = src GROUP BY 1, 2), n AS (SELECT component, CAST(sum(n) AS BIGINT) AS size, max(n) / sum(n) AS p FROM nc GROUP BY 1), e AS (SELECT component, CAST(sum(n) AS BIGINT) AS n, max(n) / sum(n) AS p FROM ec GROUP BY 1) SELECT component, size, round(n.p, 6) AS node_purity, e.n AS n_edges, round(e.p, 6) AS edge_purity FROM n JOIN e USING (component) WHERE size >= 4",
+)
+
+
+@query()
+def path_lengths(spark, sf_dir):
+    e = H.cut_lineage(spark_view(spark, sf_dir, "v_edges"))
+    return H.path_lengths(e, H.degrees(e).where("node % 20 = 0").select("node"), 4)
+
+
+_SQL["path_lengths"] = _recursive(
+    duck_views("v_edges"),
+    "RECURSIVE bo AS (SELECT src AS a, dst AS b FROM v_edges UNION SELECT dst, src FROM v_edges), w(source, node, steps) AS (SELECT DISTINCT a, a, 0 FROM bo WHERE a % 20 = 0 UNION SELECT source, b, steps + 1 FROM w JOIN bo ON a = node WHERE steps < 4) SELECT source, node, min(steps) AS steps FROM w GROUP BY 1, 2",
+)
+
+
+@query(
+    f"WITH {SITES.format(m='v_matrix')}, k AS (SELECT site, CASE {minor_sql(12, 25)} WHEN '.' THEN 0 WHEN '1' THEN 1 END AS m FROM s), x AS (SELECT read_id, v.site, (allele = m)::INT AS has FROM v_matrix v JOIN k ON k.site = v.site WHERE m IS NOT NULL) SELECT a.site AS i, b.site AS j, CAST(sum(a.has * b.has) AS BIGINT) AS n_shared, count(*) FILTER (WHERE a.has <> b.has) AS n_conflict FROM x a JOIN x b ON a.read_id = b.read_id AND a.site < b.site GROUP BY 1, 2 HAVING sum(a.has) > 0 AND sum(b.has) > 0",
+    ("v_matrix",),
+)
+def site_conflicts(spark, sf_dir):
+    return G.conflicts(spark_view(spark, sf_dir, "v_matrix"), 12, 25)
+
+
+@query(
+    "SELECT x.read_id AS src, y.read_id AS dst, CAST(sum(CASE WHEN x.allele = y.allele THEN 1.0 ELSE -1.0 END) AS DOUBLE) AS weight FROM v_matrix_sparse x JOIN v_matrix_sparse y ON x.site = y.site AND x.read_id < y.read_id GROUP BY 1, 2 HAVING sum(CASE WHEN x.allele = y.allele THEN 1 ELSE -1 END) >= 2",
+    ("v_matrix_sparse",),
+)
+def similar_reads(spark, sf_dir):
+    return G.similar_reads(G.read_scores(spark_view(spark, sf_dir, "v_matrix_sparse")), 2.0)
+
+
+@query(f'WITH {_CUTS} SELECT cut, read_id, count(*) AS n, min(v.site) AS "first", max(v.site) AS "last" FROM v_matrix_sparse v JOIN ct ON ct.site = v.site GROUP BY 1, 2', ("v_matrix", "v_matrix_sparse"))
+def fragment_cover(spark, sf_dir):
+    return G.fragment_cover(spark_view(spark, sf_dir, "v_matrix_sparse"), _cuts(spark_view(spark, sf_dir, "v_matrix")))
+
+
+@query(
+    "WITH a AS (SELECT readid, cut AS grp FROM v_phase), b AS (SELECT readid, min(cut) AS grp FROM v_phase GROUP BY 1), m AS (SELECT readid, count(*) AS times FROM a GROUP BY 1), x AS (SELECT a.grp, times, b.grp IS NOT NULL AS hit FROM a JOIN m ON m.readid = a.readid LEFT JOIN b ON b.readid = a.readid AND b.grp = a.grp) SELECT grp, count(*) FILTER (WHERE hit) AS overlap, count(*) AS n_a, (SELECT count(*) FROM b WHERE b.grp = x.grp) AS n_b, round(avg(times) FILTER (WHERE NOT hit), 6) AS mean_only_a, round(avg(times) FILTER (WHERE hit), 6) AS mean_both FROM x GROUP BY grp",
+    ("v_phase",),
+)
+def partition_compare(spark, sf_dir):
+    a = spark_view(spark, sf_dir, "v_phase").select(F.col("readid").alias("read_id"), F.col("cut").alias("grp"))
+    out = G.compare_partitions(a, a.groupBy("read_id").agg(F.min("grp").alias("grp")))
+    return out.select("grp", "overlap", "n_a", "n_b", _r("mean_only_a"), _r("mean_both"))
+
+
+@query(
+    "WITH n AS (SELECT o_custkey % 50 AS p, l_suppkey % 9 AS r, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT p, r, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, r) AS k FROM n) t WHERE k = 1",
+)
+def best_contig(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 50).alias("p"))
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_suppkey") % 9).alias("r")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return G.best_contig(x.groupBy("p", "r").agg(F.count("*").alias("n")))
+
+
+@query("SELECT collapse, cut, CASE WHEN per_id >= 100 THEN '0,100,0' WHEN per_id >= 99.99 THEN '0,150,0' WHEN per_id >= 99.8 THEN '0,200,0' WHEN per_id >= 99 THEN '192,192,192' WHEN per_id >= 95 THEN '230,230,230' ELSE '255,255,0' END AS color, count(*) AS n FROM v_assembly GROUP BY 1, 2, 3", ("v_assembly",))
+def identity_bands(spark, sf_dir):
+    return spark_view(spark, sf_dir, "v_assembly").groupBy("collapse", "cut", R.identity_band(F.col("per_id")).alias("color")).agg(F.count("*").alias("n"))
+
+
+@query("WITH t AS (SELECT list_sort([a, c, g, t], 'DESC') AS v FROM v_pileup) SELECT CAST(floor(v[2] / 3) * 3 AS BIGINT) AS bin, count(*) AS n FROM t WHERE v[1] + v[2] < 140 GROUP BY 1", ("v_pileup",))
+def second_depth_histogram(spark, sf_dir):
+    return R.second_depth_histogram(spark_view(spark, sf_dir, "v_pileup"), 3)
+
+
+@query("SELECT round(sum(c) / 1e6, 6) AS collapse_mbp, round(sum(l) / 1e6, 6) AS assembled_mbp FROM (SELECT collapse, max(length) AS c, sum(length) AS l FROM v_assembly GROUP BY 1) t", ("v_assembly",))
+def totals_bar(spark, sf_dir):
+    x = spark_view(spark, sf_dir, "v_assembly")
+    longest = x.groupBy("collapse").agg(F.max("length").alias("collapse_length"))
+    return R.totals(x.join(longest, "collapse")).select(_r("collapse_mbp"), _r("assembled_mbp"))
+
+
+@query(
+    "WITH f AS (SELECT l_orderkey, l_linenumber, l_discount AS d, bool_or(l_discount <= 1.0) OVER () AS small FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN (CASE WHEN small THEN d * 100 ELSE d END) >= 100 THEN 99.999999 WHEN small THEN d * 100 ELSE d END, 6) AS d FROM f",
+)
+def rescale_percent(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("d"))
+    return R.rescale_percent(x, "d").select("l_orderkey", "l_linenumber", _r("d"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, concat('chr', CAST(l_suppkey AS VARCHAR)) AS contig, l_partkey * 100 + l_linenumber AS start0, l_partkey * 100 + l_linenumber + CAST(l_quantity AS BIGINT) AS end0 FROM lineitem",
+)
+def region_lift(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    region = I.format_region(F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")), F.col("l_partkey") * 100, F.col("l_partkey") * 100 + 90)
+    x = x.select("l_orderkey", "l_linenumber", region.alias("region"), F.col("l_linenumber").cast("bigint").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity").cast("bigint")).alias("hi"))
+    return AL.lift(x).select("l_orderkey", "l_linenumber", "contig", "start0", "end0")
