@@ -29,19 +29,71 @@ def blocks(alignments: DataFrame, *keys: str) -> DataFrame:
     return x.select("qname", "k", "op", "len", moved("MIS=X").alias("q"), (F.col("_pos0") + moved("MDN=X")).alias("r"))
 
 
-def aligned_pairs(alignments: DataFrame, *keys: str) -> DataFrame:
+def match_blocks(ops: Column, pos0: Column) -> Column:
+    """Array of (q, r, len): where each match block begins on the read and on the reference. Within the row, without a shuffle."""
+    kind = "array<struct<q:bigint,r:bigint,len:bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("q"), pos0.cast("bigint").alias("r"), F.array().cast(kind).alias("out"))
+
+    def step(a, x):
+        moves = lambda k: F.when(x["op"].isin(*k), x["len"]).otherwise(0)
+        one = F.struct(a["q"].alias("q"), a["r"].alias("r"), x["len"].alias("len"))
+        out = F.when(x["op"].isin("M", "=", "X") & (x["len"] > 0), F.concat(a["out"], F.array(one))).otherwise(a["out"])
+        return F.struct((a["q"] + moves("MIS=X")).alias("q"), (a["r"] + moves("MDN=X")).alias("r"), out.alias("out"))
+
+    return F.aggregate(ops, start, step)["out"]
+
+
+def aligned_pairs(alignments: DataFrame) -> DataFrame:
     """(qname, qpos, rpos) of every position in match blocks."""
-    m = blocks(alignments, *keys).where(F.col("op").isin("M", "=", "X"))
-    return m.select("qname", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("d"), "q", "r").select("qname", (F.col("q") + F.col("d")).alias("qpos"), (F.col("r") + F.col("d")).alias("rpos"))
+    m = alignments.select("qname", F.explode(match_blocks(F.col("ops"), F.col("pos0"))).alias("m"))
+    m = m.select("qname", "m.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m.len") - 1)).alias("d"))
+    return m.select("qname", (F.col("q") + F.col("d")).alias("qpos"), (F.col("r") + F.col("d")).alias("rpos"))
+
+
+def _pieces(alignments: DataFrame, chunk: int) -> DataFrame:
+    """(qname, contig, bin, r, text): match blocks with the read's letters, cut where a chunk of the reference ends."""
+    m = alignments.select("qname", F.col("rname").alias("contig"), "seq", F.explode(match_blocks(F.col("ops"), F.col("pos0"))).alias("m"))
+    bins = F.explode(F.sequence(F.floor(F.col("m.r") / chunk), F.floor((F.col("m.r") + F.col("m.len") - 1) / chunk)))
+    m = m.select("qname", "contig", "seq", "m.*", bins.alias("bin"))
+    lo, hi = F.greatest("r", F.col("bin") * chunk), F.least(F.col("r") + F.col("len"), (F.col("bin") + 1) * chunk)
+    text = F.substr("seq", (F.col("q") + lo - F.col("r") + 1).cast("int"), (hi - lo).cast("int"))
+    return m.select("qname", "contig", "bin", lo.alias("r"), F.upper(text).alias("text"))
+
+
+def _letters(text: str) -> Column:
+    """The letters of a text with their numbers, as array elements."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct((i - 1).alias("d"), F.substr(F.col(text), i, F.lit(1)).alias("base")))
+
+
+def base_rows(alignments: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(qname, contig, rpos, base) of every aligned letter but N. Only letters leave the row, never a copy of the read with each."""
+    x = _pieces(alignments, chunk).where("text <> ''")
+    x = x.select("qname", "contig", "r", F.explode(_letters("text")).alias("l"))
+    return x.select("qname", "contig", (F.col("r") + F.col("l.d")).alias("rpos"), F.col("l.base").alias("base")).where("base <> 'N'")
+
+
+def _chunks(reference: DataFrame, chunk: int) -> DataFrame:
+    """(contig, bin, part): the reference in chunks."""
+    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / chunk)))
+    x = reference.where("seq <> ''").select("contig", "seq", bins.alias("bin"))
+    return x.select("contig", "bin", F.upper(F.substr("seq", (F.col("bin") * chunk + 1).cast("int"), F.lit(chunk))).alias("part"))
+
+
+def with_reference_base(positions: DataFrame, reference: DataFrame, chunk: int = 1024) -> DataFrame:
+    """Adds `ref`, the base at (contig, rpos); positions outside of the reference go. reference: contig, seq."""
+    x = positions.withColumn("bin", F.floor(F.col("rpos") / chunk)).join(_chunks(reference, chunk), ["contig", "bin"])
+    ref = F.substr("part", (F.col("rpos") - F.col("bin") * chunk + 1).cast("int"), F.lit(1))
+    return x.withColumn("ref", ref).where("ref <> ''").select(*positions.columns, "ref")
 
 
-def snvs(alignments: DataFrame, reference: DataFrame) -> DataFrame:
+def snvs(alignments: DataFrame, reference: DataFrame, chunk: int = 1024) -> DataFrame:
     """(qname, contig, rpos, ref, alt) where read and reference differ and neither is N. alignments have rname and seq too;
-    reference: contig, seq."""
-    p = aligned_pairs(alignments).join(alignments.select("qname", F.col("rname").alias("contig"), F.col("seq").alias("read")), "qname")
-    p = p.join(reference, "contig")
-    alt, ref = F.upper(F.substr("read", (F.col("qpos") + 1).cast("int"), F.lit(1))), F.upper(F.substr("seq", (F.col("rpos") + 1).cast("int"), F.lit(1)))
-    return p.select("qname", "contig", "rpos", ref.alias("ref"), alt.alias("alt")).where("ref <> alt and ref <> 'N' and alt <> 'N' and ref <> '' and alt <> ''")
+    reference: contig, seq. Pieces of reads meet chunks of the reference; only pieces that differ are looked at by letter."""
+    x = _pieces(alignments, chunk).join(_chunks(reference, chunk), ["contig", "bin"])
+    x = x.withColumn("other", F.substr("part", (F.col("r") - F.col("bin") * chunk + 1).cast("int"), F.length("text"))).where("text <> other")
+    x = x.select("qname", "contig", "r", "other", F.explode(_letters("text")).alias("l"))
+    out = x.select("qname", "contig", (F.col("r") + F.col("l.d")).alias("rpos"), F.substr("other", F.col("l.d") + 1, F.lit(1)).alias("ref"), F.col("l.base").alias("alt"))
+    return out.where("ref <> alt and ref <> 'N' and alt <> 'N' and ref <> ''")
 
 
 def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:

@@ -65,11 +65,12 @@ def linkage(matrix: DataFrame, min_cov: int, max_cov: int, min_shared: int = 5,
     ends = reads.where("has = 1").groupBy("site").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     left = ends.select(F.col("site").alias("i"), "last")
     right = sites.select("site").join(ends, "site", "left").select(F.col("site").alias("j"), "first")
-    # sites x sites; a site table is small next to the reads
-    pairs = left.join(right, (F.col("i") < F.col("j")) & (F.col("first").isNull() | (F.col("first") <= F.col("last")))).select("i", "j")
+    # sites x sites of one region; above 32 bits a site has the number of its region
+    region = F.shiftright(F.col("i").cast("bigint"), 32) == F.shiftright(F.col("j").cast("bigint"), 32)
+    pairs = left.join(right, region & (F.col("i") < F.col("j")) & (F.col("first").isNull() | (F.col("first") <= F.col("last")))).select("i", "j")
     a = reads.join(ends, "site", "left_semi").select("read_id", F.col("site").alias("i"), F.col("has").alias("x"))
     b = reads.select("read_id", F.col("site").alias("j"), F.col("has").alias("y"))
-    counts = a.join(b, "read_id").where("i < j").groupBy("i", "j").agg(
+    counts = a.join(b, "read_id").where(region & (F.col("i") < F.col("j"))).groupBy("i", "j").agg(
         F.count("*").alias("n_overlap"), F.sum("x").alias("n_i"), F.sum("y").alias("n_j"), F.sum(F.col("x") * F.col("y")).alias("n_shared")
     )
     out = pairs.join(counts, ["i", "j"], "left").select("i", "j", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_overlap", "n_i", "n_j", "n_shared")])
