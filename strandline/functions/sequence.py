@@ -76,9 +76,23 @@ def identity_counts(ops: Column) -> Column:
     return F.aggregate(ops, zero, step)
 
 
-def identities(df: DataFrame, ops: str = "ops") -> DataFrame:
-    """Adds the counts and the identity by matches, by events and by all bases, in percent."""
-    out = df.withColumn("_i", identity_counts(F.col(ops))).select(*df.columns, "_i.*")
+def cs_counts(cs: Column) -> Column:
+    """The struct of identity_counts, from a short-form `cs` tag."""
+    lens = lambda pattern: F.transform(F.regexp_extract_all(cs, F.lit(pattern), F.lit(1)), lambda x: F.length(x))
+    total = lambda arr: F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    ins, dele = lens(r"\+([a-z]+)"), lens("-([a-z]+)")
+    return F.struct(
+        total(F.regexp_extract_all(cs, F.lit(":([0-9]+)"), F.lit(1))).alias("matches"),
+        F.length(F.regexp_replace(cs, r"[^*]", "")).cast("bigint").alias("mismatches"),
+        total(ins).alias("ins"), total(dele).alias("del"), F.size(ins).cast("bigint").alias("ins_events"), F.size(dele).cast("bigint").alias("del_events"),
+    )
+
+
+def identities(df: DataFrame, ops: str = "ops", cs: Column | None = None) -> DataFrame:
+    """Adds the counts and the identity by matches, by events and by all bases, in percent. cs: a tag that goes before the
+    operations where it isn't null."""
+    counts = identity_counts(F.col(ops)) if cs is None else F.when(cs.isNotNull(), cs_counts(cs)).otherwise(identity_counts(F.col(ops)))
+    out = df.withColumn("_i", counts).select(*df.columns, "_i.*")
     m = F.col("matches")
     share = lambda *more: F.when(sum(map(F.col, more), m) > 0, 100 * m / sum(map(F.col, more), m))
     return out.select(
@@ -125,6 +139,42 @@ def condense_cigar(ops: Column) -> Column:
     return F.aggregate(plain, F.array().cast("array<struct<op:string,len:bigint>>"), step)
 
 
+def drop_opposite_indels(ops: Column, below: int = 4) -> Column:
+    """Operations without pairs of an insertion and a deletion of one length around a match block shorter than `below`; from left to
+    right, so that an indel goes with its first partner."""
+    kind = "array<struct<op:string,len:bigint>>"
+
+    def step(a, x):
+        match, first = F.try_element_at(a, F.lit(-1)), F.try_element_at(a, F.lit(-2))
+        opposite = ((first["op"] == "I") & (x["op"] == "D")) | ((first["op"] == "D") & (x["op"] == "I"))
+        hit = F.coalesce(opposite & (first["len"] == x["len"]) & (x["len"] > 0) & match["op"].isin("M", "=") & (match["len"] < below), F.lit(False))
+        gone = lambda o: F.struct(o["op"].alias("op"), F.lit(0).cast("bigint").alias("len"))
+        return F.when(hit, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), F.array(gone(first), match, gone(x)))).otherwise(F.concat(a, F.array(x)))
+
+    return F.filter(F.aggregate(ops, F.array().cast(kind), step), lambda x: x["len"] > 0)
+
+
+def flank_identity(ops: Column, flank: int, end: bool = False) -> Column:
+    """Matches as a share of the matched, mismatched, inserted and deleted bases at one end: whole operations until they sum to at
+    least `flank`; 0 without any."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(a, x):
+        more = a["n"] < flank
+        add = lambda kinds: F.when(more & x["op"].isin(*kinds), x["len"]).otherwise(0)
+        return F.struct((a["m"] + add("M=")).alias("m"), (a["n"] + add("M=XID")).alias("n"))
+
+    c = F.aggregate(F.reverse(ops) if end else ops, zero, step)
+    return F.when(c["n"] > 0, c["m"] / c["n"]).otherwise(F.lit(0.0))
+
+
+def hard_mask(seq: Column, start0: Column, end0: Column) -> Column:
+    """The sequence with N from start0 to end0, clipped at its ends."""
+    lo = F.least(F.greatest(start0, F.lit(0)), F.length(seq)).cast("int")
+    hi = F.greatest(lo, F.least(end0, F.length(seq)).cast("int"))
+    return F.concat(F.substr(seq, F.lit(1), lo), F.repeat(F.lit("N"), hi - lo), F.substr(seq, hi + 1))
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 

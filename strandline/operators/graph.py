@@ -170,3 +170,13 @@ def path_lengths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def prune_cut_tree(tree: DataFrame, min_cut: int, min_size: int = 0) -> DataFrame:
+    """(node, component) after the edges of a cut tree with a cut under min_cut are gone; components of fewer than min_size nodes go
+    too. tree: src, dst, cut."""
+    nodes = tree.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    c = connected_components(tree.where(F.col("cut") >= min_cut))
+    c = nodes.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    large = c.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("component")
+    return c.join(large, "component", "left_semi").select("node", "component")

@@ -16,6 +16,11 @@ FAI = "contig string, len bigint, offset bigint, linebases int, linewidth int"
 PILEUP = "contig string, pos1 bigint, ref string, depth int, bases string, quals string"
 SIMPLE_VCF = "contig string, pos1 bigint, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
 COLLAPSE = "contig string, start0 bigint, end0 bigint, mean double, median double, repeat_bp bigint, len bigint"
+M5 = (
+    "qname string, q_len bigint, q_start bigint, q_end bigint, q_strand string, tname string, t_len bigint, t_start bigint, t_end bigint, t_strand string, score int, "
+    "n_match bigint, n_mismatch bigint, n_ins bigint, n_del bigint, mapq int, q_aligned string, pattern string, t_aligned string"
+)
+CUT_TREE = "src int, dst int, cut bigint"
 TRF_NAMES = "start end PeriodSize CopyNumber ConsensusSize PercentMatches PercentIndels Score A C G T Entropy Motif Sequence".split()
 RM_NAMES = "score div del ins contig start end q_left strand repeat class r_st r_en r_left id".split()
 
@@ -196,3 +201,38 @@ def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     nodes = x.select(body("node").alias("b")).select(attrs.alias("attrs"))
     edges = x.select(body("edge").alias("b")).select(attrs.alias("attrs"))
     return nodes.select(F.col("attrs")["id"].cast("bigint").alias("id"), "attrs"), edges.select(F.col("attrs")["source"].cast("bigint").alias("src"), F.col("attrs")["target"].cast("bigint").alias("dst"), "attrs")
+
+
+def blasr_m5(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Alignments of the space-delimited 19-column format."""
+    return spark.read.csv(path, sep=" ", schema=M5, quote="", escape="")
+
+
+def cut_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of a Gomory-Hu tree: src, dst, cut."""
+    return spark.read.csv(path, sep=" ", schema=CUT_TREE)
+
+
+def string_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of an edge list whose first two words are the ends; transitively reduced edges (last word `TR`) are left out."""
+    x = _fields(spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''"), r"\s+")
+    return x.where((F.size("f") >= 2) & (F.element_at("f", -1) != "TR")).select(F.col("f")[0].alias("src"), F.col("f")[1].alias("dst"))
+
+
+def partition_vector(spark: SparkSession, path: str) -> DataFrame:
+    """(node, part) of a file with one number a line; the node is the line's place."""
+    return _numbered(spark, path).where("trim(value) <> ''").select(F.col("line_no").alias("node"), F.trim("value").cast("int").alias("part"))
+
+
+def file_of_files(spark: SparkSession, path: str, reader) -> DataFrame:
+    """What reader(spark, paths) makes of all files that a list names, one path a line. Lists name files, not rows, so they are short."""
+    names = [r.value.strip() for r in spark.read.text(path).collect()]
+    return reader(spark, [n for n in names if n])
+
+
+def drop_repeated_headers(df: DataFrame) -> DataFrame:
+    """Rows but those that repeat the header, as concatenated tables have them: every column says its own name."""
+    same = F.lit(True)
+    for c in df.columns:
+        same = same & F.col(c).cast("string").eqNullSafe(F.lit(c))
+    return df.where(~same)

@@ -102,6 +102,36 @@ def test_cigar_and_identity(spark):
     assert (i.by_matches, i.by_events, i.by_all) == (90.0, pytest.approx(9000 / 102), pytest.approx(9000 / 110))
 
 
+def test_cs_flank_and_masks(spark):
+    ops = lambda c: S.parse_cigar(F.lit(c))
+    counts = {"matches": 16, "mismatches": 2, "ins": 5, "del": 3, "ins_events": 2, "del_events": 1}
+    assert one(spark, S.cs_counts(F.col("cs")), cs=":6*ag*ct:10-acg+tt+aaa").asDict() == counts
+    both = values(spark, "cigar string, cs string", [("90=10X", None), ("90=10X", ":1*ag")]).withColumn("ops", S.parse_cigar(F.col("cigar")))
+    assert sorted(r.by_matches for r in S.identities(both, cs=F.col("cs")).collect()) == [50.0, 90.0]
+    assert one(spark, S.format_cigar(S.drop_opposite_indels(ops("5M4I3M4D6M")))) == "5M3M6M"
+    assert one(spark, S.format_cigar(S.drop_opposite_indels(ops("4I2M4D2M4I4M4D3I3M2D")))) == "2M2M4I4M4D3I3M2D"
+    for end, want in ((False, 5 / 9), (True, 8 / 10)):
+        assert one(spark, S.flank_identity(ops("3S5=4I20=2X2D8="), 9, end)) == pytest.approx(want)
+    assert one(spark, S.flank_identity(ops("3S"), 9)) == 0.0
+    for lo, hi, want in ((1, 3, "ANNT"), (-5, 1, "NCGT"), (3, 99, "ACGN"), (9, 12, "ACGT"), (2, 1, "ACGT")):
+        assert one(spark, S.hard_mask(F.col("s"), F.lit(lo), F.lit(hi)), s="ACGT") == want
+
+
+def test_more_sources(spark, tmp_path):
+    m5 = "q 9000 0 4000 + t 5000 900 4900 - -99 1 2 3 4 254 AC || AC\n"
+    r = formats.blasr_m5(spark, write(tmp_path, "a.m5", m5)).first()
+    assert (r.q_end, r.t_start, r.mapq, r.pattern) == (4000, 900, 254, "||")
+    tree = formats.cut_tree(spark, write(tmp_path, "a.gh", "0 1 9\n1 2 1\n2 3 8\n3 4 7\n5 4 1\n"))
+    assert sorted((r.node, r.component) for r in H.prune_cut_tree(tree, 2, 2).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
+    assert H.prune_cut_tree(tree, 2).count() == 6
+    assert [tuple(r) for r in formats.string_graph(spark, write(tmp_path, "a.sg", "a:B b:E x\nb:E c:B TR\n\n")).collect()] == [("a:B", "b:E")]
+    assert [tuple(r) for r in formats.partition_vector(spark, write(tmp_path, "a.part", "1\n0\n1\n")).collect()] == [(0, 1), (1, 0), (2, 1)]
+    one_, two = write(tmp_path, "1.fa", ">a\nAC\n"), write(tmp_path, "2.fa", ">b\nGT\n")
+    both = formats.file_of_files(spark, write(tmp_path, "a.fofn", f"{one_}\n{two}\n"), formats.fasta)
+    assert sorted((r.id, r.seq) for r in both.collect()) == [("a", "AC"), ("b", "GT")]
+    assert formats.drop_repeated_headers(values(spark, "x string, y string", [("1", "2"), ("x", "y"), ("x", None)])).count() == 2
+
+
 def test_het_filter_and_alleles(spark):
     df = values(spark, "a int, c int, g int, t int", [(30, 25, 1, 0), (30, 5, 1, 0), (30, 25, 22, 0)])
     assert [r.x for r in df.select(S.heterozygous([F.col(c) for c in "acgt"], 20, 20, 40).alias("x")).collect()] == [True, False, False]
