@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import primary, reference_span, reverse_strand
+from strandline.functions.sequence import primary, reference_span, reverse_complement, reverse_strand
 from strandline.operators.intervals import parse_region
 
 NUMBERED_RANGES = 64
@@ -50,14 +50,14 @@ def aligned_pairs(alignments: DataFrame) -> DataFrame:
     return m.select("qname", (F.col("q") + F.col("d")).alias("qpos"), (F.col("r") + F.col("d")).alias("rpos"))
 
 
-def _pieces(alignments: DataFrame, chunk: int) -> DataFrame:
-    """(qname, contig, bin, r, text): match blocks with the read's letters, cut where a chunk of the reference ends."""
-    m = alignments.select("qname", F.col("rname").alias("contig"), "seq", F.explode(match_blocks(F.col("ops"), F.col("pos0"))).alias("m"))
+def _pieces(alignments: DataFrame, chunk: int, *keep: str) -> DataFrame:
+    """(qname, contig, bin, q, r, text): match blocks with the read's letters, cut where a chunk of the reference ends."""
+    m = alignments.select("qname", F.col("rname").alias("contig"), "seq", *keep, F.explode(match_blocks(F.col("ops"), F.col("pos0"))).alias("m"))
     bins = F.explode(F.sequence(F.floor(F.col("m.r") / chunk), F.floor((F.col("m.r") + F.col("m.len") - 1) / chunk)))
-    m = m.select("qname", "contig", "seq", "m.*", bins.alias("bin"))
+    m = m.select("qname", "contig", "seq", *keep, "m.*", bins.alias("bin"))
     lo, hi = F.greatest("r", F.col("bin") * chunk), F.least(F.col("r") + F.col("len"), (F.col("bin") + 1) * chunk)
-    text = F.substr("seq", (F.col("q") + lo - F.col("r") + 1).cast("int"), (hi - lo).cast("int"))
-    return m.select("qname", "contig", "bin", lo.alias("r"), F.upper(text).alias("text"))
+    q = F.col("q") + lo - F.col("r")
+    return m.select("qname", "contig", *keep, "bin", q.alias("q"), lo.alias("r"), F.upper(F.substr("seq", (q + 1).cast("int"), (hi - lo).cast("int"))).alias("text"))
 
 
 def _letters(text: str) -> Column:
@@ -72,6 +72,35 @@ def base_rows(alignments: DataFrame, chunk: int = 1024) -> DataFrame:
     return x.select("qname", "contig", (F.col("r") + F.col("l.d")).alias("rpos"), F.col("l.base").alias("base")).where("base <> 'N'")
 
 
+def bases_at(alignments: DataFrame, positions: DataFrame, *keep: str, chunk: int = 1024) -> DataFrame:
+    """(qname, qpos, base) of every alignment at some positions, with the columns of these and those of `keep` from alignments. Pieces
+    of reads meet positions by chunk, so that only the letters asked for are taken. positions: contig, rpos, ..."""
+    at = positions.withColumn("bin", F.floor(F.col("rpos") / chunk))
+    x = _pieces(alignments, chunk, *keep).join(at, ["contig", "bin"]).where((F.col("rpos") >= F.col("r")) & (F.col("rpos") < F.col("r") + F.length("text")))
+    d = F.col("rpos") - F.col("r")
+    base = F.substr("text", (d + 1).cast("int"), F.lit(1))
+    return x.select("qname", *keep, *positions.columns, (F.col("q") + d).alias("qpos"), base.alias("base")).where("base <> 'N'")
+
+
+def psv_locations(alignments: DataFrame, psvs: DataFrame) -> DataFrame:
+    """(collapse, ccid, grp, qpos, truealt): where assembled contigs have the variants of their own cluster, on the contig's strand. The
+    name of a contig holds `group.N`. psvs: contig, rpos, alt, grp."""
+    x = alignments.withColumn("q_len", F.length("seq")).withColumn("reverse", reverse_strand(F.col("flag")))
+    x = bases_at(x, psvs.select("contig", "rpos", "alt", "grp"), "q_len", "reverse")
+    own = F.regexp_extract("qname", r"group\.([0-9]+)", 1)
+    x = x.where((own == F.col("grp").cast("string")) & (F.col("base") == F.col("alt")))
+    qpos = F.when(F.col("reverse"), F.col("q_len") - F.col("qpos") - 1).otherwise(F.col("qpos"))
+    true = F.when(F.col("reverse"), reverse_complement(F.col("base"))).otherwise(F.col("base"))
+    return x.select(F.col("contig").alias("collapse"), F.col("qname").alias("ccid"), "grp", qpos.alias("qpos"), true.alias("truealt"))
+
+
+def psv_mismatches(located: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Rows of psv_locations whose contig has another base there, with `base`; none in a right table. seqs: id, seq."""
+    base = F.upper(F.substr("seq", (F.col("qpos") + 1).cast("int"), F.lit(1)))
+    x = located.join(seqs.select(F.col("id").alias("ccid"), "seq"), "ccid")
+    return x.select(*located.columns, base.alias("base")).where("base <> truealt")
+
+
 def _chunks(reference: DataFrame, chunk: int) -> DataFrame:
     """(contig, bin, part): the reference in chunks."""
     bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / chunk)))

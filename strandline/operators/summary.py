@@ -152,3 +152,10 @@ def totals(df: DataFrame) -> DataFrame:
     """One row: collapse_mbp, each collapse's length once, and assembled_mbp, all lengths. df: collapse, collapse_length, length."""
     once = df.groupBy("collapse").agg(F.max("collapse_length").alias("c"), F.sum("length").alias("l"))
     return once.agg((F.sum("c") / 1e6).alias("collapse_mbp"), (F.sum("l") / 1e6).alias("assembled_mbp"))
+
+
+def most_frequent(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """(keys, name, n): the most frequent name of each group, the first in order among equals; nulls don't count."""
+    c = df.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), name)
+    return c.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

@@ -57,13 +57,12 @@ def resolve(alignments: DataFrame, reference: DataFrame, contigs: DataFrame, par
     p = params.for_platform()
     lim = p.limits
     reads = alignments.where(primary(F.col("flag")) & (reference_span(F.col("ops")) >= p.min_aln))
-    bases = AL.base_rows(reads)
-    sites = H.cut_lineage(candidate_sites(nucleotide_counts(bases), reference, p))
+    sites = H.cut_lineage(candidate_sites(nucleotide_counts(AL.base_rows(reads)), reference, p))
     if sites.isEmpty():
         raise EmptyStageError("no candidate sites")
     order = AL.number_rows(reads.select("rname", "pos0", "qname"), ["rname", "pos0", "qname"], "read_id").select("qname", "read_id")
     number = F.shiftleft(F.col("contig_idx").cast("bigint"), 32) + F.col("rpos")
-    seen = bases.join(sites.join(contigs.select("contig", "contig_idx"), "contig"), ["contig", "rpos"]).join(order, "qname")
+    seen = AL.bases_at(reads, sites.join(contigs.select("contig", "contig_idx"), "contig")).join(order, "qname")
     matrix = H.cut_lineage(seen.select("read_id", "qname", number.alias("site"), (F.col("base") == F.col("alt")).cast("int").alias("allele")))
     links = H.cut_lineage(G.linkage(matrix, lim["min_cov"], lim["max_cov"], p.min_shared, p.accuracy))
     edges = H.cut_lineage(G.psv_edges(links, p.min_lrt))

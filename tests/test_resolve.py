@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import alignment as AL
+from strandline.operators import summary as R
 from strandline.params import EmptyStageError, Params
 from strandline.plans.resolve import resolve
 
@@ -52,6 +53,26 @@ def test_bases_and_snvs_over_chunks(spark):
     assert sorted((x.qname, x.rpos, x.ref, x.alt) for x in AL.snvs(df, contig, 16).collect()) == sorted(want)
 
 
+def test_psv_locations(spark):
+    rows = [("group.0.a", "c", 0, 2, "1S6M", "TACGTAC"), ("group.1.b", "c", 16, 0, "4M1D4M", "GGATCGTA"), ("group.0.c", "c", 0, 4, "2M", "NN")]
+    df = spark.createDataFrame(rows, ROWS).withColumn("ops", S.parse_cigar(F.col("cigar")))
+    psvs = spark.createDataFrame([("c", 3, "C", 0), ("c", 3, "T", 1), ("c", 4, "G", 1), ("c", 4, "N", 0), ("c", 5, "C", 1), ("c", 5, "A", 0)], "contig string, rpos bigint, alt string, grp int")
+    for chunk in (3, 1024):
+        got = {(r.qname, r.rpos, r.qpos, r.base) for r in AL.bases_at(df, psvs.select("contig", "rpos").distinct(), chunk=chunk).collect()}
+        assert got == {("group.0.a", 3, 2, "C"), ("group.0.a", 4, 3, "G"), ("group.0.a", 5, 4, "T"), ("group.1.b", 3, 3, "T"), ("group.1.b", 5, 4, "C")}
+    found = AL.psv_locations(df, psvs)
+    assert sorted(tuple(r) for r in found.collect()) == [("c", "group.0.a", 0, 2, "C"), ("c", "group.1.b", 1, 3, "G"), ("c", "group.1.b", 1, 4, "A")]
+    seqs = spark.createDataFrame([("group.0.a", "TACGTAC"), ("group.1.b", "TACGATCA")], "id string, seq string")
+    assert [(r.qpos, r.truealt, r.base) for r in AL.psv_mismatches(found, seqs).collect()] == []
+    wrong = seqs.where("id <> 'group.1.b'").unionByName(spark.createDataFrame([("group.1.b", "TACGTTCA")], "id string, seq string"))
+    assert [(r.qpos, r.truealt, r.base) for r in AL.psv_mismatches(found, wrong).collect()] == [(4, "A", "T")]
+
+
+def test_most_frequent(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (1, None), (1, None), (2, "z"), (2, "z"), (2, "a")], "g int, name string")
+    assert sorted(tuple(r) for r in R.most_frequent(df, "name", "g").collect()) == [(1, "a", 1), (2, "z", 2)]
+
+
 def copies(n_reads=60, n_sites=18, gap=20):
     """Two contigs; on each, three copies that differ from the contig at every third site."""
     rows, refs, truth = [], [], {}
