@@ -465,6 +465,17 @@ def test_simhash_links_of_dense_groups(spark, rows, monkeypatch):
         assert got.get(signed[i], signed[i]) == c
 
 
+def test_simhash_common_fingerprints(spark, monkeypatch):
+    """Rows of common fingerprints take another way to the same components, null and repeated ids included."""
+    texts = ["one two three four five six"] * 40 + ["seven eight nine ten eleven"] * 12 + [None, "", "lonely words here now"]
+    docs = spark.createDataFrame([(None if i == 3 else i // 2 if i < 8 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = lambda: sorted(map(repr, simhash.components(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(simhash, "COMMON_ROWS", 10)
+    monkeypatch.setattr(simhash, "COMMON_SHARE", 50)
+    assert rows() == want and len(want) == len(texts)
+
+
 def test_simhash_hard(spark, hard, empty):
     got = simhash.components(hard).collect()
     assert len(got) == len(HARD) + 2
