@@ -7,6 +7,7 @@ results are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,34 @@ WINDOW = 24
 BIN = 96
 
 
+def _sql_text(sql: str, views: tuple[str, ...]) -> str:
+    text = sql.strip()
+    head = duck_views(*views) if views else ""
+    if head and text.upper().startswith("WITH "):
+        text = f"{head}, {text[5:]}"
+    elif head:
+        text = f"{head} {text}"
+    return text
+
+
 def query(sql: str | None = None, views: tuple[str, ...] = ()):
     def keep(f):
         _QUERIES[f.__name__] = f
         if sql:
-            text = sql.strip()
-            head = duck_views(*views) if views else ""
-            if head and text.upper().startswith("WITH "):
-                text = f"{head}, {text[5:]}"
-            elif head:
-                text = f"{head} {text}"
-            _SQL[f.__name__] = text
+            _SQL[f.__name__] = _sql_text(sql, views)
+        return f
+
+    return keep
+
+
+def thinned(sql: str, views: tuple[str, ...]):
+    """Registers a query of the thinned matrix, and as NAME_dense the same on all events; f takes the matrix view as `view`."""
+
+    def keep(f):
+        query(sql, views)(f)
+        name = f"{f.__name__}_dense"
+        _QUERIES[name] = partial(f, view="v_matrix")
+        _SQL[name] = _sql_text(sql.replace("v_matrix_sparse", "v_matrix"), ("v_matrix",))
         return f
 
     return keep
@@ -537,9 +555,9 @@ def allele_rank(spark, sf_dir):
     return G.allele_ranks(G.site_counts(spark_view(spark, sf_dir, "v_matrix")))
 
 
-@query('SELECT read_id, CASE WHEN count(*) <= 1 THEN 0 ELSE min(site) END AS "first", CASE WHEN count(*) <= 1 THEN 0 ELSE max(site) END AS "last" FROM v_matrix_sparse GROUP BY 1', ("v_matrix_sparse",))
-def read_bounds(spark, sf_dir):
-    return G.read_bounds(spark_view(spark, sf_dir, "v_matrix_sparse"))
+@thinned('SELECT read_id, CASE WHEN count(*) <= 1 THEN 0 ELSE min(site) END AS "first", CASE WHEN count(*) <= 1 THEN 0 ELSE max(site) END AS "last" FROM v_matrix_sparse GROUP BY 1', ("v_matrix_sparse",))
+def read_bounds(spark, sf_dir, view="v_matrix_sparse"):
+    return G.read_bounds(spark_view(spark, sf_dir, view))
 
 
 def test_sql(k: str, n: str, p: float) -> str:
@@ -689,20 +707,20 @@ def correlation_clusters(spark, sf_dir):
 # ---------------------------------------------------------------- reads
 
 
-@query(
+@thinned(
     "SELECT x.read_id AS a, y.read_id AS b, count(*) FILTER (WHERE x.allele = y.allele) AS matches, count(*) FILTER (WHERE x.allele <> y.allele) AS mismatches, CAST(count(*) FILTER (WHERE x.allele = y.allele) - 1.0 * count(*) FILTER (WHERE x.allele <> y.allele) AS DOUBLE) AS score FROM v_matrix_sparse x JOIN v_matrix_sparse y ON x.site = y.site AND x.read_id < y.read_id GROUP BY 1, 2",
     ("v_matrix_sparse",),
 )
-def read_distance_matrix(spark, sf_dir):
-    return G.read_scores(spark_view(spark, sf_dir, "v_matrix_sparse"))
+def read_distance_matrix(spark, sf_dir, view="v_matrix_sparse"):
+    return G.read_scores(spark_view(spark, sf_dir, view))
 
 
-@query(
+@thinned(
     "WITH s AS (SELECT x.read_id, y.read_id AS other, CAST(sum(CASE WHEN x.allele = y.allele THEN 1.0 ELSE -1.0 END) AS DOUBLE) AS score FROM v_matrix_sparse x JOIN v_matrix_sparse y ON x.site = y.site AND x.read_id <> y.read_id GROUP BY 1, 2) SELECT read_id, other, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY score DESC, other) AS INT) AS rank FROM s) t WHERE rank <= 5",
     ("v_matrix_sparse",),
 )
-def top_k_neighbours(spark, sf_dir):
-    return G.top_neighbours(G.read_scores(spark_view(spark, sf_dir, "v_matrix_sparse")), 5)
+def top_k_neighbours(spark, sf_dir, view="v_matrix_sparse"):
+    return G.top_neighbours(G.read_scores(spark_view(spark, sf_dir, view)), 5)
 
 
 @query("SELECT read_id % 5 AS grp, site, CASE WHEN count(*) < 10 THEN 'n' WHEN avg(allele) > 0.7 THEN '1' WHEN 1 - avg(allele) > 0.7 THEN '.' ELSE 'u' END AS call, count(*) AS n FROM v_matrix GROUP BY 1, 2", ("v_matrix",))
@@ -725,25 +743,25 @@ def _cuts(m):
     return sites.select((F.col("site") % 6).alias("cut"), "site").unionByName(sites.where("site % 12 = 0").select(F.lit(1).alias("cut"), "site"))
 
 
-@query(
+@thinned(
     f"WITH {_CUTS}, x AS (SELECT read_id, al.cut, count(*) FILTER (WHERE allele = 1) AS alt, count(*) FILTER (WHERE allele = 0) AS ref FROM v_matrix_sparse v JOIN al ON al.site = v.site GROUP BY 1, 2), y AS (SELECT read_id, cut, ref + sum(alt) OVER (PARTITION BY read_id) - alt AS mec, alt AS matches FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY mec, matches DESC, cut) AS k FROM y WHERE matches > 0) SELECT r.read_id, coalesce(z.cut, -1) AS cut, CAST(mec AS BIGINT) AS mec, CAST(matches AS BIGINT) AS matches FROM (SELECT DISTINCT read_id FROM v_matrix_sparse) r LEFT JOIN z ON z.read_id = r.read_id AND k = 1",
     ("v_matrix", "v_matrix_sparse"),
 )
-def mec_assignment(spark, sf_dir):
-    return G.mec_assignment(spark_view(spark, sf_dir, "v_matrix_sparse"), _cuts(spark_view(spark, sf_dir, "v_matrix")))
+def mec_assignment(spark, sf_dir, view="v_matrix_sparse"):
+    return G.mec_assignment(spark_view(spark, sf_dir, view), _cuts(spark_view(spark, sf_dir, "v_matrix")))
 
 
-@query(f"WITH {_CUTS} SELECT * FROM (SELECT read_id, cut, count(*) FILTER (WHERE allele = 1) AS alt, count(*) FILTER (WHERE allele = 0) AS ref FROM v_matrix_sparse v JOIN ct ON ct.site = v.site GROUP BY 1, 2) t WHERE alt >= 1 AND alt > ref", ("v_matrix", "v_matrix_sparse"))
-def read_supports_cluster(spark, sf_dir):
-    return G.supports(spark_view(spark, sf_dir, "v_matrix_sparse"), _cuts(spark_view(spark, sf_dir, "v_matrix")))
+@thinned(f"WITH {_CUTS} SELECT * FROM (SELECT read_id, cut, count(*) FILTER (WHERE allele = 1) AS alt, count(*) FILTER (WHERE allele = 0) AS ref FROM v_matrix_sparse v JOIN ct ON ct.site = v.site GROUP BY 1, 2) t WHERE alt >= 1 AND alt > ref", ("v_matrix", "v_matrix_sparse"))
+def read_supports_cluster(spark, sf_dir, view="v_matrix_sparse"):
+    return G.supports(spark_view(spark, sf_dir, view), _cuts(spark_view(spark, sf_dir, "v_matrix")))
 
 
-@query(
+@thinned(
     "WITH s AS (SELECT x.read_id, y.read_id AS other, count(*) FILTER (WHERE x.allele = y.allele) AS m, count(*) FILTER (WHERE x.allele <> y.allele) AS d FROM v_matrix_sparse x JOIN v_matrix_sparse y ON x.site = y.site AND x.read_id <> y.read_id GROUP BY 1, 2) SELECT read_id, round(avg(CASE WHEN read_id % 3 = other % 3 THEN m END), 6) AS inner_match, round(avg(CASE WHEN read_id % 3 = other % 3 THEN d END), 6) AS inner_mismatch, round(avg(CASE WHEN read_id % 3 <> other % 3 THEN m END), 6) AS outer_match, round(avg(CASE WHEN read_id % 3 <> other % 3 THEN d END), 6) AS outer_mismatch FROM s GROUP BY 1",
     ("v_matrix_sparse",),
 )
-def inner_outer_scores(spark, sf_dir):
-    m = spark_view(spark, sf_dir, "v_matrix_sparse")
+def inner_outer_scores(spark, sf_dir, view="v_matrix_sparse"):
+    m = spark_view(spark, sf_dir, view)
     out = G.inner_outer_scores(m, m.select("read_id").distinct().withColumn("grp", F.col("read_id") % 3))
     return out.select("read_id", *[_r(c) for c in out.columns[1:]])
 
@@ -857,17 +875,17 @@ def site_conflicts(spark, sf_dir):
     return G.conflicts(spark_view(spark, sf_dir, "v_matrix"), 12, 25)
 
 
-@query(
+@thinned(
     "SELECT x.read_id AS src, y.read_id AS dst, CAST(sum(CASE WHEN x.allele = y.allele THEN 1.0 ELSE -1.0 END) AS DOUBLE) AS weight FROM v_matrix_sparse x JOIN v_matrix_sparse y ON x.site = y.site AND x.read_id < y.read_id GROUP BY 1, 2 HAVING sum(CASE WHEN x.allele = y.allele THEN 1 ELSE -1 END) >= 2",
     ("v_matrix_sparse",),
 )
-def similar_reads(spark, sf_dir):
-    return G.similar_reads(G.read_scores(spark_view(spark, sf_dir, "v_matrix_sparse")), 2.0)
+def similar_reads(spark, sf_dir, view="v_matrix_sparse"):
+    return G.similar_reads(G.read_scores(spark_view(spark, sf_dir, view)), 2.0)
 
 
-@query(f'WITH {_CUTS} SELECT cut, read_id, count(*) AS n, min(v.site) AS "first", max(v.site) AS "last" FROM v_matrix_sparse v JOIN ct ON ct.site = v.site GROUP BY 1, 2', ("v_matrix", "v_matrix_sparse"))
-def fragment_cover(spark, sf_dir):
-    return G.fragment_cover(spark_view(spark, sf_dir, "v_matrix_sparse"), _cuts(spark_view(spark, sf_dir, "v_matrix")))
+@thinned(f'WITH {_CUTS} SELECT cut, read_id, count(*) AS n, min(v.site) AS "first", max(v.site) AS "last" FROM v_matrix_sparse v JOIN ct ON ct.site = v.site GROUP BY 1, 2', ("v_matrix", "v_matrix_sparse"))
+def fragment_cover(spark, sf_dir, view="v_matrix_sparse"):
+    return G.fragment_cover(spark_view(spark, sf_dir, view), _cuts(spark_view(spark, sf_dir, "v_matrix")))
 
 
 @query(

@@ -41,6 +41,25 @@ def test_query_equals_sql(spark, small, duck, name):
     assert rounded(tuple(r[c] for c in cols) for r in got.collect()) == rounded(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+WHOLE = "read_distance_matrix top_k_neighbours mec_assignment read_supports_cluster inner_outer_scores similar_reads fragment_cover read_bounds".split()
+
+
+def test_read_queries_on_all_events(spark, small, duck):
+    """Each has a twin that no event is kept from."""
+    cells = {(a, b): c for a, b, c in duck.sql("select user_id, json_extract_string(props,'$.k')::int, max((event_type='purchase')::int) from events group by 1, 2").fetchall()}
+    reads = sorted({a for a, _ in cells})
+    want = set()
+    for k, a in enumerate(reads):
+        for b in reads[k + 1 :]:
+            both = [x == cells[b, s] for (r, s), x in cells.items() if r == a and (b, s) in cells]
+            if both:
+                want.add((a, b, sum(both), len(both) - sum(both)))
+    got = catalogue.queries()["read_distance_matrix_dense"](spark, small).select("a", "b", "matches", "mismatches").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert all("event_id % 6" not in catalogue.oracle_sql()[f"{n}_dense"] for n in WHOLE)
+    assert {r.read_id for r in catalogue.queries()["read_bounds_dense"](spark, small).collect()} == set(reads)
+
+
 def values(spark, ddl, rows):
     return spark.createDataFrame(rows, ddl)
 
