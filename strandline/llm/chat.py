@@ -11,7 +11,8 @@ texts a backslash becomes `\\b` and `<` becomes `\\l`, in roles also `>` becomes
 marker, and reading back splits at the markers and undoes this. The mask covers the texts of assistant turns.
 
 Order: by turn number, then place in the record, role and text; repeated rows are repeated turns. Null roles and texts
-are empty, a null turn number comes first. Columns of other names are ignored. A conversation of any length becomes one row.
+are empty, a null turn number comes first; a table with the columns role and text has a turn in every row without another
+layout, in a row without any value too. Columns of other names are ignored. A conversation of any length becomes one row.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ LOSS_ROLE = "assistant"
 @dataclass(frozen=True)
 class Layout:
     """name; paths that must and that may have a value; turns as (role or path of it, path of the text), or the path of a list
-    of messages with the names of its role and text."""
+    of messages with the names of its role and text; columns that the table must have, with or without a value."""
 
     name: str
     required: tuple[str, ...]
@@ -39,6 +40,10 @@ class Layout:
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict, hash=False)
+    columns: tuple[str, ...] = ()
+
+    def fits(self, known: set[str]) -> bool:
+        return known.issuperset((*self.required, *self.columns))
 
     def fingerprints(self) -> list[str]:
         subsets = chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1))
@@ -52,6 +57,8 @@ def fingerprint_of(paths: list[str]) -> str:
 _SHARE_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 LAYOUTS = (
     Layout("turn_rows", ("turn",), ("role", "text"), turns=(("@role", "text"),)),
+    # where a table has columns for turns, their rows may lack a number, role and text
+    Layout("unnumbered_rows", (), ("role", "text"), turns=(("@role", "text"),), columns=("role", "text")),
     Layout("prompt_completion", ("prompt", "completion"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", ("prompt", "response"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
@@ -95,7 +102,7 @@ def layout_name(df: DataFrame) -> Column:
     print_ = fingerprint(df)
     out = F.lit(None).cast("string")
     for x in LAYOUTS:
-        if known.issuperset(x.required):
+        if x.fits(known):
             out = F.when(print_.isin(x.fingerprints()), F.lit(x.name)).otherwise(out)
     return out
 
@@ -138,7 +145,7 @@ def _canonical_rows(df: DataFrame, id_col: str) -> DataFrame:
     turns = F.lit(None).cast(TURNS)
     name = F.col("_layout")
     for x in LAYOUTS:
-        if known.issuperset(x.required):
+        if x.fits(known):
             turns = F.when(name == x.name, _turns(x, known)).otherwise(turns)
     return df.withColumn("_layout", layout_name(df)).select(F.col(id_col).alias("id"), turns.alias("turns")).where("turns is not null")
 

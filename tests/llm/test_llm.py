@@ -155,6 +155,20 @@ def test_chat_hard_rows(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_null_turns_equal_sql(spark, tmp_path):
+    """Rows without a turn number are turns, whole conversations and empty rows of them included."""
+    rows = [(1, 2, "user", "b"), (1, None, "user", "a"), (1, None, None, "c"), (2, None, "assistant", "x"), (2, None, "user", None)]
+    rows += [(3, None, None, None), (3, None, None, None), (4, None, "assistant", None), (5, -9, None, None), (5, None, "user", "z")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.OP2_SQL).fetchall()
+    assert sorted(tuple(r) for r in queries.op2_chat(spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 6
+    given = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+    assert chat.rejected(given).count() == 0
+    assert chat.format_conversations(given.drop("turn")).count() == 5
+
+
 # 3 BPE
 
 
