@@ -342,6 +342,22 @@ def test_pii_method():
     assert pii.redact("call +1 (555) 123-4567 now", pii.find("call +1 (555) 123-4567 now")) == "call [PHONE] now"
 
 
+def test_pii_whole_spans():
+    """Secrets to their real end; ibans before capital words and numbers, behind one another and behind what only looks like one."""
+    for n in (6, 128, 129, 300, 100000):
+        assert pii.redact(f"a token={'x' * n} b", pii.find(f"a token={'x' * n} b")) == "a [KEY] b"
+    for n in (20, 64, 65, 5000):
+        assert pii.redact(f"a sk-{'x1' * n} b", pii.find(f"a sk-{'x1' * n} b")) == "a [KEY] b"
+    assert pii.find("sk-" + "x" * 19) == [] and pii.find("token=12345") == []
+    spaced, plain, de = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    for before, after in (("", ""), ("", " BIC DEUTDEFF"), ("", " I paid"), ("", " 100 EUR"), ("REF AB12 CODE 1234 ", " NOW"), ("(", ")."), ("", " Bank"), ("", " ")):
+        for iban in (spaced, plain, de):
+            assert [x[:3] for x in pii.find(before + iban + after) if x[0] == "iban"] == [("iban", len(before), len(before + iban))], (before, iban, after)
+    assert [x[1:3] for x in pii.find(f"{de} {spaced}") if x[0] == "iban"] == [(0, 27), (28, 55)]
+    assert not [x for x in pii.find(f"X{plain} {plain}x {spaced[:-1]}3 BIC {plain}0") if x[0] == "iban"]
+    assert not [x for x in pii.find("AB12 " * 40000) if x[0] == "iban" and x[2] - x[1] < 15]
+
+
 def test_pii_hard(spark, hard, empty):
     rows = {r.doc_id: r for r in pii.find_pii(hard).collect()}
     assert rows[0].spans == "" and rows[0].base_sha256 == sha(b"") and rows[10].n_ip == 0
