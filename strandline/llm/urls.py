@@ -5,7 +5,10 @@ decide are the labelled ones. The tree of a host has a level for each path segme
 
 1. Segments that are variable by their form (numbers, numbers with an extension, long hexadecimal strings) become
    wildcards at once. Urls are then counted by (host, template) before anything else, so a hot host is small.
-2. From the root on, a node with more than MAX_CHILDREN different segments gets one wildcard branch for all of them.
+2. From the root on, a segment stays a branch of its node if it has at least MIN_SHARE of the node's urls, or if at least
+   MIN_LABELLED of its urls are labelled and their blocked share differs significantly from that of the node's other urls. The
+   others become wildcards: `*` for paths that have labelled urls up to this segment, `*?` for those that have none. Below a
+   wildcard, too, a path without labelled urls is kept apart by a `?`, so that no path has the labels of another one.
 3. Sibling branches whose labelled shares don't differ significantly (two proportions, |z| < MERGE_Z, compared with the
    neighbour in order of the share) are merged and judged together, on what they have in common.
 4. A merged template is rejected if its share of blocked urls, smoothed with PRIOR urls of the overall share, is at least
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import cut
 
 DEPTH = 4
-MAX_CHILDREN = 32
+MIN_SHARE = 1 / 32
 MERGE_Z = 1.96
 PRIOR = 10.0
 REJECT = 0.8
@@ -84,23 +87,40 @@ def segments(path: Column) -> Column:
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """Adds `template`, with a wildcard for the segments of nodes that have too many. counted: host, segs, n, ..."""
-    out = counted.withColumn("node", F.lit(""))
+    """Adds `template`, with wildcards for the rare segments of each node. counted: host, segs, n, labelled, blocked."""
+    # node so far, and whether a wildcard is in it
+    out = counted.withColumn("node", F.lit("")).withColumn("pooled", F.lit(False))
     for level in range(DEPTH + 1):
-        seg = F.get("segs", F.lit(level))
-        here = out.withColumn("seg", seg)
-        kids = here.where("seg is not null").groupBy("host", "node", "seg").agg(F.lit(1).alias("one"))
-        wide = kids.groupBy("host", "node").agg(F.count("*").alias("kids")).where(F.col("kids") > MAX_CHILDREN).select("host", "node", F.lit(True).alias("wide"))
-        step = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("seg"))))
-        out = here.join(wide, ["host", "node"], "left").withColumn("node", step).drop("seg", "wide")
-    return out.withColumnRenamed("node", "template")
+        out = out.withColumn("seg", F.get("segs", F.lit(level))).withColumn("prefix", F.slice("segs", 1, level + 1))
+        # by the path itself, not by the node, which may hold several paths
+        known = out.where("labelled > 0 and seg is not null").select("host", "prefix", F.lit(False).alias("bare")).distinct()
+        out = cut(out.join(known, ["host", "prefix"], "left").withColumn("bare", F.col("seg").isNotNull() & F.col("bare").isNull()).drop("prefix"))
+        kids = out.where("seg is not null").groupBy("host", "node", "seg", "bare").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        total = kids.groupBy("host", "node").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+        rest = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
+        unlike = (F.col("labelled") >= MIN_LABELLED) & (rest[0] > 0) & differ(F.col("labelled"), F.col("blocked"), *rest)
+        named = kids.join(total, ["host", "node"]).where((F.col("n") >= MIN_SHARE * F.col("all_n")) | unlike).select("host", "node", "seg", "bare", F.lit(True).alias("named"))
+        out = out.join(named, ["host", "node", "seg", "bare"], "left")
+        out = out.withColumn("pooled", F.col("seg").isNotNull() & (F.col("pooled") | F.col("named").isNull()))
+        name = F.concat(F.when(F.col("named"), F.col("seg")).otherwise(F.lit("*")), F.when(F.col("pooled") & F.col("bare"), F.lit("?")).otherwise(F.lit("")))
+        step = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), name))
+        out = out.withColumn("node", step).drop("seg", "bare", "named")
+    return out.drop("pooled").withColumnRenamed("node", "template")
+
+
+def differ(labelled: Column, blocked: Column, other_labelled: Column, other_blocked: Column) -> Column:
+    """Whether the blocked shares of two groups of labelled urls differ significantly."""
+    most = lambda n: F.greatest(n, F.lit(1))
+    pooled = (blocked + other_blocked + 1) / (labelled + other_labelled + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / most(labelled) + 1 / most(other_labelled)))
+    return F.abs(blocked / most(labelled) - other_blocked / most(other_labelled)) >= MERGE_Z * error
 
 
 def judge_templates(counted: DataFrame) -> DataFrame:
     """(host, template, parent, n, labelled, blocked, grp, purity, rejected). counted: host, template, n, labelled, blocked.
 
-    After wildcards a node has at most MAX_CHILDREN named branches, so the windows below see few rows each; one host with
-    many nodes is many windows."""
+    After wildcards a node has at most 1 / MIN_SHARE frequent branches and those that differ, of MIN_LABELLED labelled urls at
+    least, so the windows below see few rows each; one host with many nodes is many windows."""
     t = counted.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     total = t.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select((F.col("b") / F.greatest(F.col("l"), F.lit(1))).alias("overall"))
     t = t.crossJoin(F.broadcast(total))  # one row
@@ -108,12 +128,9 @@ def judge_templates(counted: DataFrame) -> DataFrame:
     t = t.withColumn("share", (F.col("blocked") + PRIOR * F.col("overall")) / (F.col("labelled") + PRIOR))
     w = Window.partitionBy("host", "parent").orderBy("share", "template")
     before = {c: F.lag(c).over(w) for c in ("labelled", "blocked")}
-    pooled = (F.col("blocked") + before["blocked"] + 1) / (F.col("labelled") + before["labelled"] + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(before["labelled"], F.lit(1))))
-    rate = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
-    rate_before = before["blocked"] / F.greatest(before["labelled"], F.lit(1))
     # branches without labels have nothing to compare and stay by themselves
-    apart = before["labelled"].isNull() | (F.col("labelled") == 0) | (before["labelled"] == 0) | (F.abs(rate - rate_before) >= MERGE_Z * error)
+    unlike = differ(F.col("labelled"), F.col("blocked"), before["labelled"], before["blocked"])
+    apart = before["labelled"].isNull() | (F.col("labelled") == 0) | (before["labelled"] == 0) | unlike
     t = t.withColumn("grp", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = Window.partitionBy("host", "parent", "grp")
     all_l, all_b = F.sum("labelled").over(g), F.sum("blocked").over(g)

@@ -290,6 +290,33 @@ def test_urls_templates(spark):
     assert Counter(r.verdict for r in out.collect()) == {"block": 60, "allow": 60}
 
 
+def test_urls_wildcards_by_share(spark):
+    """Frequent and different segments stay branches however many others there are, and no path has the labels of another one."""
+    counted = [("h", ["en", "{n}"], 400, 0, 0), ("h", ["es", "{n}"], 400, 400, 400), ("h", ["odd", "{n}"], 30, 30, 30)]
+    counted += [("h", [f"good{i}", "{n}"], 5, 5, 0) for i in range(100)] + [("h", [f"new{i}", "{n}"], 5, 0, 0) for i in range(100)]
+    named = urls.templates(spark.createDataFrame(counted, "host string, segs array<string>, n bigint, labelled bigint, blocked bigint"))
+    at = {r.segs[0]: r.template for r in named.collect()}
+    assert len(at) == len(counted) and (at["en"], at["es"], at["odd"], at["good7"], at["new7"]) == ("/en/{n}", "/es/{n}", "/odd/{n}", "/*/{n}", "/*?/{n}?")
+    judged = {r.template for r in urls.judge_templates(named.select("host", "template", "n", "labelled", "blocked")).where("rejected").collect()}
+    assert judged == {"/es/{n}", "/odd/{n}"}
+
+
+@pytest.mark.parametrize("langs", [2, 20, 60])
+def test_urls_clean_branches_stay_clean(spark, langs):
+    """On a host where only /es/ and /fr/ are blocked, clean branches are allowed with any number of them."""
+    rows = [f"http://x.net/{s}/{i}" for s in ("es", "fr") for i in range(30)] + [f"http://x.net/l{k}/{i}" for k in range(langs) for i in range(2)]
+    out = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")).collect()
+    assert all((r.verdict == "block") == r.path.startswith(("/es/", "/fr/")) for r in out) and len(out) == len(rows)
+
+
+def test_urls_below_wildcards(spark):
+    """A path without labels below a wildcard isn't judged by the labels of other paths there."""
+    rules = tuple(("block", "h.org", f"/u{i}/{p}/") for i in range(60) for p in ("b" if i % 2 else "a"))
+    rows = [f"http://h.org/u{i}/{p}/{k}" for i in range(60) for p in "ab" for k in range(2)]
+    out = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules=rules).collect()
+    assert Counter((r.verdict, r.rule is None) for r in out) == {("block", False): 120, ("allow", True): 120}
+
+
 # 5 PII
 
 PLAIN = {
