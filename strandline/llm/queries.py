@@ -104,16 +104,20 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest id stays; of rows that share an id, one."""
-    found = simhash.components(docs).select("doc_id", "component_id")
+    """Of each component one row stays: one with the smallest id, or of a component without ids any; of several such rows the
+    first by fingerprint, text and a checksum."""
+    found = simhash.components(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
     # ids that go are few next to those that stay, so the texts needn't move where Spark finds them small
-    gone = found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("gone"), F.count("*").alias("n"))
-    gone = gone.where("gone or n > 1")
-    name = fresh(docs, "row_")
-    out = docs.join(gone.where("gone").select("doc_id"), "doc_id", "left_anti")
-    twice = gone.where("not gone").select("doc_id")
-    again = out.join(twice, "doc_id", "left_semi").withColumn(name, F.lit(1)).dropDuplicates(["doc_id"]).drop(name)
-    return out.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    ids = found.groupBy("doc_id").agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n"))
+    out = docs.where("doc_id is not null").join(ids.where("doc_id is not null and (n > 1 or not stays)").select("doc_id"), "doc_id", "left_anti")
+    # an id doesn't tell rows without one or with a repeated one apart; their fingerprints are made again
+    name, many_id, keep_id, keep_fp = (fresh(docs, x) for x in ("print_", "many_", "keep_id_", "keep_fp_"))
+    many = ids.where("doc_id is null or n > 1").select(F.col("doc_id").alias(many_id))
+    again = docs.join(many, F.col("doc_id").eqNullSafe(F.col(many_id)), "left_semi").withColumn(name, simhash.fingerprint_column(F.col("text")))
+    keep = found.where("stays").groupBy("doc_id", "component").agg(F.min("fp").alias(keep_fp)).select(F.col("doc_id").alias(keep_id), keep_fp)
+    again = again.join(keep, (F.col(name) == F.col(keep_fp)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    one = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("one")
+    return out.select(docs.columns).unionByName(again.groupBy("doc_id", name).agg(one).select("one.*"))
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,19 +218,21 @@ def _links_of_blocks(batches):
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, fp, component_id (smallest id that links lead to, the own one included)."""
+    """One row per row of docs: the id, fp, component_id (smallest id that links lead to, the own one included), component (its
+    smallest fingerprint, which tells components without or with equal ids apart)."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")))
     first = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     links = cut(near_links(first.select("fp")).distinct())
     reach = connected_components(links, "src", "dst")  # node, component: the smallest node of it
     smallest = reach.join(first, reach["node"] == first["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    named = reach.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    named = cut(first.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    named = reach.join(smallest, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    names = F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component")
+    named = cut(first.join(named, "fp", "left").select("fp", "n", *names))
     # the rows of a common fingerprint stay where they are; what is left has no large group for the join by fingerprint
     total = first.agg(F.sum("n")).first()[0] or 0
     common = F.col("n") > max(COMMON_ROWS, total // COMMON_SHARE)
-    few = named.where(common).select("fp", F.col("component_id").alias("at"), F.lit(True).alias("found"))
+    few = named.where(common).select("fp", F.col("component_id").alias("at"), F.col("component").alias("of"), F.lit(True).alias("found"))
     rows = prints.join(F.broadcast(few), "fp", "left")  # fewer than COMMON_SHARE rows
-    out = [F.col("id").alias(id_col), "fp", "component_id"]
+    out = [F.col("id").alias(id_col), "fp", "component_id", "component"]
     rare = rows.where("found is null").join(named.where(~common), "fp").select(*out)
-    return rare.unionByName(rows.where("found").withColumn("component_id", F.col("at")).select(*out))
+    return rare.unionByName(rows.where("found").withColumn("component_id", F.col("at")).withColumn("component", F.col("of")).select(*out))

@@ -543,6 +543,20 @@ def test_simhash_hard(spark, hard, empty):
     assert Counter(r.doc_id for r in kept.collect()).most_common(1)[0][1] == 1
 
 
+@pytest.mark.parametrize("common", [10000, 1])
+def test_near_dedup_by_row(spark, monkeypatch, common):
+    """Each component keeps one row, whatever ids its rows share or lack."""
+    monkeypatch.setattr(simhash, "COMMON_ROWS", common)
+    monkeypatch.setattr(simhash, "COMMON_SHARE", 50)
+    a, b, c, d, e, f = ("alpha beta gamma delta", "one two three four five", "red green blue black", "north south east west", "cat dog cow hen pig", "iron gold zinc lead tin")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, d), (7, e), (7, f), (7, f), (9, e), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = queries.stage_simhash(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr)
+    assert got == sorted([(1, a), (5, b), (None, c), (None, d), (7, e), (7, f)], key=repr)
+
+
 # 8 decontamination
 
 
