@@ -1,10 +1,12 @@
-"""Spark sessions for local work; on a cluster the caller brings the session."""
+"""Spark sessions for local work, and checkpoints; on a cluster the caller brings the session."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, memory: str = "8g", app: str = "strandline") -> SparkSession:
@@ -21,3 +23,21 @@ def local_session(cpus: int | None = None, memory: str = "8g", app: str = "stran
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder;
+    elsewhere that is an error, as executors don't share local folders."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder of checkpoint_folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
