@@ -4,6 +4,8 @@ A record may be laid out as one row per turn (conv_id, turn, role, text), as pro
 and output, or as a list of messages, under several names. The fingerprint of a record is the SHA-256 of the sorted paths
 of its nested fields that have a value, the record's id left out; LAYOUTS gives, for each layout, its required and its
 optional paths and where turns come from. The fingerprints of all admissible path sets are known before any row is read.
+Only paths that some layout has count, a column `messages` or `conversations` only if its entries have roles, and of a row with
+a turn number and a role or text only these three; so a `system` or a text column `messages` beside a turn changes nothing.
 Records with another fingerprint make no turns; `rejected` returns them.
 
 Template. A turn is `<turn ROLE>TEXT</turn>` and a line end; a turn that the loss mask covers is `<turn ROLE loss>`. In roles and
@@ -11,8 +13,10 @@ texts a backslash becomes `\\b` and `<` becomes `\\l`, in roles also `>` becomes
 marker, and reading back splits at the markers and undoes this. The mask covers the texts of assistant turns.
 
 Order: by turn number, then place in the record, role and text; repeated rows are repeated turns. Null roles and texts
-are empty, a null turn number comes first; a table with the columns role and text has a turn in every row without another
-layout, in a row without any value too. Columns of other names are ignored. A conversation of any length becomes one row.
+are empty, a null turn number comes first (one that is no number counts as null); a table with the columns role and text has a
+turn in every row without another layout, in a row without any value too. Null entries of a list are no turns; a conversation of
+empty lists only stays, without turns and with an empty text. Columns of other names are ignored. An empty table gives no
+conversation. A conversation of any length becomes one row.
 """
 
 from __future__ import annotations
@@ -59,14 +63,15 @@ LAYOUTS = (
     Layout("turn_rows", ("turn",), ("role", "text"), turns=(("@role", "text"),)),
     # where a table has columns for turns, their rows may lack a number, role and text
     Layout("unnumbered_rows", (), ("role", "text"), turns=(("@role", "text"),), columns=("role", "text")),
-    Layout("prompt_completion", ("prompt", "completion"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", ("prompt", "response"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
-    Layout("question_answer", ("question", "answer"), turns=(("user", "question"), ("assistant", "answer"))),
-    Layout("messages", ("messages", "messages[].role"), ("messages[].content",), messages=("messages", "role", "content")),
-    Layout("conversations", ("conversations", "conversations[].from"), ("conversations[].value",), messages=("conversations", "from", "value"), roles=_SHARE_ROLES),
+    Layout("prompt_completion", ("prompt", "completion"), ("system", "turn"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", ("prompt", "response"), ("system", "turn"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction", ("instruction", "output"), ("input", "system", "turn"), turns=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
+    Layout("question_answer", ("question", "answer"), ("turn",), turns=(("user", "question"), ("assistant", "answer"))),
+    Layout("messages", ("messages",), ("messages[].role", "messages[].content", "turn"), messages=("messages", "role", "content"), columns=("messages[].role",)),
+    Layout("conversations", ("conversations",), ("conversations[].from", "conversations[].value", "turn"), messages=("conversations", "from", "value"), roles=_SHARE_ROLES, columns=("conversations[].from",)),
 )
-PATHS = sorted({p for x in LAYOUTS for p in (*x.required, *x.optional)})
+#: Of a row with a turn number, other paths don't count beside these.
+TURN_ROW = ("turn", "role", "text")
 
 
 def _fields(schema: T.StructType) -> dict[str, T.DataType]:
@@ -89,28 +94,37 @@ def _present(path: str) -> Column:
     return F.col(path).isNotNull()
 
 
+def _usable(df: DataFrame) -> tuple[list[Layout], set[str]]:
+    """The layouts that the columns of a table can hold, and the paths of any layout that it has."""
+    has = set(_fields(df.schema))
+    # a list of messages only counts if its entries have roles
+    has -= {x.messages[0] for x in LAYOUTS if x.messages and not has.issuperset(x.columns)}
+    return [x for x in LAYOUTS if x.fits(has)], has & {p for x in LAYOUTS for p in (*x.required, *x.optional)}
+
+
 def fingerprint(df: DataFrame) -> Column:
     """Of each row, over those of its nested paths that some layout knows."""
-    known = [p for p in sorted(_fields(df.schema)) if p in PATHS]
-    paths = [F.when(_present(p), F.lit(p)) for p in known]
+    known = sorted(_usable(df)[1])
+    turn_row = F.lit(False)
+    if "turn" in known and {"role", "text"} & set(known):
+        turn_row = F.col("turn").isNotNull() & F.coalesce(*[F.col(p).cast("string") for p in ("role", "text") if p in known]).isNotNull()
+    paths = [F.when(_present(p) if p in TURN_ROW else _present(p) & ~turn_row, F.lit(p)) for p in known]
     return F.sha2(F.concat_ws("\n", *paths).cast("binary"), 256) if paths else F.lit(fingerprint_of([]))
 
 
 def layout_name(df: DataFrame) -> Column:
     """The layout that a row's fingerprint selects, or null."""
-    known = {p for p in _fields(df.schema) if p in PATHS}
     print_ = fingerprint(df)
     out = F.lit(None).cast("string")
-    for x in LAYOUTS:
-        if x.fits(known):
-            out = F.when(print_.isin(x.fingerprints()), F.lit(x.name)).otherwise(out)
+    for x in _usable(df)[0]:
+        out = F.when(print_.isin(x.fingerprints()), F.lit(x.name)).otherwise(out)
     return out
 
 
 def _turn(place: Column, role: Column, text: Column, turn: Column) -> Column:
     empty = F.lit("")
     return F.struct(
-        turn.cast("bigint").alias("turn"),
+        turn.try_cast("bigint").alias("turn"),
         place.cast("int").alias("place"),
         F.coalesce(role.cast("string"), empty).alias("role"),
         F.coalesce(text.cast("string"), empty).alias("text"),
@@ -129,7 +143,7 @@ def _turns(x: Layout, known: set[str]) -> Column:
             r = F.coalesce(names[r], r) if names is not None else r
             return _turn(i, r, m.getField(text) if text in inner else F.lit(None), turn)
 
-        return F.transform(F.col(top), one)
+        return F.transform(F.filter(F.col(top), lambda m: m.isNotNull()), one)
     out = []
     for i, (role, path) in enumerate(x.turns):
         parts = [F.col(p) for p in path.split("+") if p in known]
@@ -141,12 +155,10 @@ def _turns(x: Layout, known: set[str]) -> Column:
 
 
 def _canonical_rows(df: DataFrame, id_col: str) -> DataFrame:
-    known = {p for p in _fields(df.schema) if p in PATHS}
+    fit, known = _usable(df)
     turns = F.lit(None).cast(TURNS)
-    name = F.col("_layout")
-    for x in LAYOUTS:
-        if x.fits(known):
-            turns = F.when(name == x.name, _turns(x, known)).otherwise(turns)
+    for x in fit:
+        turns = F.when(F.col("_layout") == x.name, _turns(x, known)).otherwise(turns)
     return df.withColumn("_layout", layout_name(df)).select(F.col(id_col).alias("id"), turns.alias("turns")).where("turns is not null")
 
 
@@ -158,8 +170,8 @@ def rejected(df: DataFrame) -> DataFrame:
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, turns) with one row per id. Rows of one layout only, so that single turns travel, not lists, where a row is a turn."""
     rows = _canonical_rows(df, id_col)
-    one = rows.select("id", F.explode("turns").alias("t")).select("id", "t.*")
-    return one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "role", "text"))).alias("turns"))
+    one = rows.select("id", F.explode_outer("turns").alias("t"))  # an empty list keeps its conversation
+    return one.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -6,13 +6,14 @@ back, and all other columns stay in the JVM. A factory builds the per-task state
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import cut_lineage
+
 #: Characters that one call of a text function gets at most, unless a single text is longer.
 CHUNK_CHARS = 4_000_000
 
@@ -106,10 +107,5 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+#: Ends the lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+cut = cut_lineage

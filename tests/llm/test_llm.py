@@ -169,6 +169,25 @@ def test_chat_null_turns_equal_sql(spark, tmp_path):
     assert chat.format_conversations(given.drop("turn")).count() == 5
 
 
+def test_chat_lists_and_further_columns(spark):
+    """Empty lists keep their conversation, null entries are no turns, and columns that no layout of the table needs change nothing."""
+    rows = [
+        '{"conv_id":1,"messages":[]}',
+        '{"conv_id":2,"messages":[null,{"role":"user","content":"x"},{"role":null}]}',
+        '{"conv_id":3,"turn":2,"role":"user","text":"t","system":"s"}',
+        '{"conv_id":3,"turn":1,"role":"assistant","text":null,"prompt":"p","messages":[{"role":"user","content":"z"}]}',
+        '{"conv_id":4,"turn":5,"prompt":"p","completion":"c"}',
+        '{"conv_id":4,"turn":4,"messages":[{"role":"user","content":"z"}]}',
+        '{"conv_id":5,"prompt":"p"}',
+    ]
+    df = spark.read.json(spark.sparkContext.parallelize(rows))
+    got = {r.conv_id: [(t.role, t.text) for t in r.t] for r in chat.format_conversations(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [], 2: [("user", "x"), ("", "")], 3: [("assistant", ""), ("user", "t")], 4: [("user", "z"), ("user", "p"), ("assistant", "c")]}
+    assert [r.conv_id for r in chat.rejected(df).collect()] == [5]
+    clash = spark.createDataFrame([(1, "x", "user", "hi", "m", "p", "s"), (1, "-3", "user", "ho", None, None, None)], "conv_id bigint, turn string, role string, text string, messages string, prompt string, system string")
+    assert [[(t.turn, t.text) for t in r.turns] for r in chat.format_conversations(clash).collect()] == [[(None, "hi"), (-3, "ho")]]
+
+
 # 3 BPE
 
 
