@@ -7,23 +7,26 @@ matrix with packed bits, suffix positions sampled at every RATE-th place and at
 searched backwards at once; occurrences are located by walking to a sampled position; hit words are merged into spans.
 
 Phrases are the windows of WINDOW consecutive words of an item; an item of fewer words, but not none, is one phrase.
-The phrases travel in blocks of at most BLOCK_CHARS characters of benchmark text; each further block is one more pass over
-the documents, so that no broadcast grows with the benchmark.
+The phrases travel in blocks of about BLOCK_CHARS characters of benchmark text. The driver holds one block at a time; each further
+block is one more pass over the documents, after a checkpoint of the passes before it, so that a task, too, holds one block only.
 
 Null, empty and wordless texts have no words, no hits and aren't contaminated. Items without words never occur; rows of
-the benchmark with equal ids are one item, a null id counts as the empty text. An empty benchmark contaminates nothing.
+the benchmark with equal ids are one item, a null id counts as the empty text. An empty benchmark contaminates nothing. Rows of the
+documents are judged one by one, all their columns stay, and an empty table gives no rows; the result takes the place of a column
+of its name, and another name for it can be given. `without_spans` takes the hit words out of a text.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fresh, text_column
+from strandline.llm.common import cut, fresh, text_column
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
@@ -89,7 +92,7 @@ class FmIndex:
         self.levels = max(1, top.bit_length())
         sa = self._suffixes(text)
         bwt = text[sa - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 2))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.bits: list[tuple[Bits, int]] = []
         row = bwt
         for level in range(self.levels - 1, -1, -1):
@@ -255,13 +258,15 @@ def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "hits", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs and a struct column `out`: n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, merged)."""
-    spark, keep, names = docs.sparkSession, docs.columns, []
-    for phrases in phrase_blocks(benchmark, item_col, item_text_col, block_chars) or [Phrases([])]:
+    spark, keep, names = docs.sparkSession, [c for c in docs.columns if c.lower() != out.lower()], []
+    blocks = chain(phrase_blocks(benchmark, item_col, item_text_col, block_chars), [None])
+    phrases = next(blocks) or Phrases([])
+    while phrases:
         names.append(name := fresh(docs, "hits_of_block"))
         docs = docs.withColumn(name, hits_column(spark, F.col(text_col), phrases))
-    if not names:
-        names.append(name := fresh(docs, "hits_of_block"))
-        docs = docs.withColumn(name, hits_column(spark, F.col(text_col), Phrases([])))
+        phrases = next(blocks, None)
+        if phrases:
+            docs = cut(docs)
     # spans of several blocks may overlap; the longest reach so far decides what a span adds
     spans = F.array_sort(F.concat(*[F.col(n)["spans"] for n in names])) if len(names) > 1 else F.col(names[0])["spans"]
     zero = F.struct(F.lit(0).cast("bigint").alias("reach"), F.lit(0).cast("bigint").alias("n"))
@@ -288,6 +293,20 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     )
 
 
+def without_spans(text: str | None, spans: list) -> str | None:
+    """The text without the words of some spans (start, end), and without what stands between these."""
+    if not text or not spans:
+        return text
+    raw = text.encode("utf-8", "replace")
+    plain = raw.translate(WORD_BYTES)
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", plain)]
+    out, done = [], 0
+    for start, end in spans:
+        out.append(raw[done : at[start][0]])
+        done = at[end - 1][1]
+    return b"".join([*out, raw[done:]]).decode()
+
+
 def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW):
     """What shard_hits finds, by comparing every place with a set of phrases; for tests."""
     owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
@@ -307,4 +326,4 @@ def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], wi
     return out
 
 
-__all__ = ["Bits", "FmIndex", "Phrases", "brute_force", "hits_column", "pa", "phrase_blocks", "shard_hits", "with_hits", "words_of"]
+__all__ = ["Bits", "FmIndex", "Phrases", "brute_force", "hits_column", "phrase_blocks", "shard_hits", "with_hits", "without_spans", "words_of"]
