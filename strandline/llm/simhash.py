@@ -4,14 +4,18 @@ Fingerprints are 64 bits, the majority of the XXH64 bits of a text's 4-word shin
 in at most RADIUS bits. A fingerprint is embedded as the bit counts of its 32 two-bit segments; the Manhattan distance of
 two embeddings never exceeds their Hamming distance. The segments form RADIUS + 3 groups, so that of a pair within the
 radius at least three groups have equal counts: each choice of three groups is one grid, and its cells hold every such
-pair. Within a cell, the difference of the total bit counts is checked first (the same bound, over one segment), then
-the bits themselves. A pair is reported by the first grid in which it meets, and a cell reports a spanning forest of its
-links only, so that large groups of near copies don't become all their pairs.
+pair. Within a cell, fingerprints are in order of their total bit counts, whose difference bounds the range; then the Manhattan
+distance of the embeddings is checked as a lower bound, and the bits themselves only of pairs that it leaves. Counts are kept as
+thermometer codes (0: 00, 1: 01, 2: 11), so that the Manhattan distance is the number of bits in which two codes differ. A pair
+is reported by the first grid in which it meets, and a cell reports a spanning forest of its links only, so that large groups of
+near copies don't become all their pairs.
 
 Equal fingerprints are one vertex from the start. Cells of more than CELL_ROWS fingerprints are dealt out as pairs of
 blocks, so that no task gets a whole large cell.
 
-Null, empty and blank texts have fingerprint zero, which links like any other. Rows with equal ids are judged one by one.
+Null, empty and blank texts have fingerprint zero, which links like any other. Rows with equal ids are judged one by one; null ids
+are no names of components; an empty table gives no rows. Of the input only the id and the text are read, so that further columns
+can't clash with the results.
 """
 
 from __future__ import annotations
@@ -96,9 +100,16 @@ def first_grid() -> np.ndarray:
 
 
 def embedding(fp: Column) -> Column:
-    """Bit counts of the two-bit segments, each in its own two bits."""
+    """Bit counts of the two-bit segments, as thermometer codes of two bits each."""
     low, high = (x.bitwiseAND(F.lit(0x5555555555555555)) for x in (fp, F.shiftrightunsigned(fp, 1)))
-    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseOR(high))
+
+
+def embeddings(fp: np.ndarray) -> np.ndarray:
+    """The same of an array; two embeddings differ in as many bits as their Manhattan distance says."""
+    even = np.uint64(0x5555555555555555)
+    low, high = fp & even, fp >> np.uint64(1) & even
+    return (low & high) << np.uint64(1) | low | high
 
 
 def _signed(x: int) -> int:
@@ -111,7 +122,7 @@ def linked(grid: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarr
     new = np.r_[True, (grid[order][1:] != grid[order][:-1]) | (cell[order][1:] != cell[order][:-1])]
     run = np.cumsum(new)
     f, g = fp[order], grid[order]
-    e = f - ((f >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    e = embeddings(f)
     ones = np.bitwise_count(f).astype(np.int16)
     a_out, b_out = [], []
     at, shift = np.arange(len(f)), 1
@@ -123,10 +134,11 @@ def linked(grid: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarr
         if not len(at):
             break
         near = at + shift
-        hit = np.bitwise_count(f[at] ^ f[near]) <= RADIUS
-        i, j = at[hit], near[hit]
-        if len(i):
-            differ = e[i] ^ e[j]
+        differ = e[at] ^ e[near]
+        close = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
+        if len(close):
+            close = close[np.bitwise_count(f[at[close]] ^ f[near[close]]) <= RADIUS]
+            i, j, differ = at[close], near[close], differ[close]
             equal = sum((((differ & np.uint64(m)) == 0).astype(np.int64) << k) for k, m in enumerate(masks()))
             mine = first_grid()[equal] == g[i]
             a_out.append(i[mine])
