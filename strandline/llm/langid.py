@@ -5,11 +5,15 @@ roots of counts, scaled to length one; a text of any length is counted whole. Th
 for each family against the rest; within a family one SVM for each pair of languages, each adding its squashed margin to
 the votes of its two languages. The score is the share of the winner at both steps.
 
-Fit. About MAX_PER_LANGUAGE rows of each language are used, those whose hashed id is under the threshold that leaves so
-many; SVMs are trained on the driver by dual coordinate descent. Languages that FAMILIES doesn't know are a family each.
-
-Null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learned. Null languages are
-never learned. Ties go to the language that is first in order.
+Fit. About MAX_PER_LANGUAGE rows of each language are used, fewer where that would be over MAX_ROWS rows of all, so that what the
+driver holds doesn't grow with the number of languages; those whose hashed id is under the threshold that leaves so many. Vectors
+travel with 8 bits a feature. SVMs are trained on the driver by dual coordinate descent. Languages that FAMILIES doesn't know are
+a family each. Each classifier has one row of weights, so that the model grows with the languages, not with the documents.
+
+Null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learned, as from an empty
+table. Null languages are never learned. Ties go to the language that is first in order. Repeated rows are learned and judged
+one by one, texts of any length are counted whole, and only the id, the text and the language are read, so that further columns
+can't clash with the results.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from strandline.llm.common import text_column
 
 BITS = 13
 MAX_PER_LANGUAGE = 1_500
+MAX_ROWS = 9_000
 ROUNDS = 12
 COST = 4.0
 
@@ -125,7 +130,7 @@ class LanguageModel:
         return best, score * votes[best] / sum(votes.values())
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_PER_LANGUAGE) -> LanguageModel:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_PER_LANGUAGE, most_rows: int = MAX_ROWS) -> LanguageModel:
     """Learns from rows with a language for which `usable`, an expression over columns of docs, holds."""
     rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     hash_ = F.xxhash64("id", "lang")
@@ -134,10 +139,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     if not langs:
         return LanguageModel()
     # hashes are even, so the share of them below a threshold is known
-    keep = F.lit(False)
-    for lang in langs:
-        share = min(1.0, most / sizes[lang])
-        keep = F.when(F.col("lang") == lang, F.pmod(hash_, F.lit(1 << 30)) < int(share * (1 << 30))).otherwise(keep)
+    most = min(most, most_rows / len(langs))
+    limits = F.create_map(*[F.lit(x) for g in langs for x in (g, int(min(1.0, most / sizes[g]) * (1 << 30)))])
+    keep = F.pmod(hash_, F.lit(1 << 30)) < limits[F.col("lang")]
 
     def vectors(batches):
         for b in batches:
@@ -161,6 +165,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     model = LanguageModel(langs, families)
     if len(families) > 1:
         model.family_weights = np.stack([train_svm(z, np.where(family == f, 1, -1)) for f in families])
+    del found
     model.pairs = [(a, b) for a, b in combinations(langs, 2) if family_of(a) == family_of(b)]
     if model.pairs:
         model.pair_weights = np.stack([train_svm(z, np.where(lang == a, 1, -1), np.flatnonzero((lang == a) | (lang == b))) for a, b in model.pairs])
