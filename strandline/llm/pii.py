@@ -5,9 +5,12 @@ score only tells how sure the finder is. The further kinds are reported from a s
 hold), ssn (needs a context word), key (credentials with a fixed prefix or behind a name like `password=`).
 
 Per kind, matches are leftmost and don't overlap; a match that fails its check is dropped and the search goes on behind
-it, behind its first four characters for an iban, which ends where mod-97 holds at the border of a group. Secrets have no upper
-length. Offsets are code points, ends are exclusive. Nulls and empty texts have no spans. Every pattern runs in linear time,
-also on very long runs of digits or letters. Repeated rows give repeated results.
+it, behind its first four characters for an iban, which has the length of its country or, of a country that isn't listed, ends
+where mod-97 holds at the border of a group. Secrets have no upper length. Offsets are code points, ends are exclusive.
+Every pattern runs in linear time, also on very long runs of digits or letters, and texts of any length are searched whole.
+
+Nulls and empty texts have no spans; repeated rows give repeated results; an empty table gives no rows; of the input only the
+id and the text are read, so that further columns can't clash with the results.
 """
 
 from __future__ import annotations
@@ -30,15 +33,24 @@ BOOST = 0.35
 
 # A score without context, and the words that speak for each kind.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "key": 0.7}
+# English, German, French and Spanish
 CONTEXT = {
-    "email": ("mail", "email", "contact", "write"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "bank", "account"),
+    "email": ("mail", "email", "contact", "write", "kontakt", "schreiben", "courriel", "contacter", "correo", "escribir"),
+    "ip": ("ip", "address", "host", "server", "adresse", "rechner", "serveur", "direcci\u00f3n", "servidor"),
+    "card": ("card", "visa", "credit", "payment", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "pago"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "anruf", "handy", "t\u00e9l\u00e9phone", "appeler", "tel\u00e9fono", "llamar"),
+    "iban": ("iban", "bank", "account", "konto", "compte", "banque", "cuenta", "banco"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
-    "key": ("key", "secret", "token", "password"),
+    "key": ("key", "secret", "token", "password", "schl\u00fcssel", "passwort", "cl\u00e9", "clave", "contrase\u00f1a"),
 }
+# Characters of an IBAN by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "XK": 20,
+}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -51,7 +63,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b|\b(?:password|passwd|secret|api_key|token)=[^\s&;,]{6,}+")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -105,13 +117,15 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """The pattern runs on over following words, so that shorter ends at the borders of groups are tried, the longest first."""
+    """The pattern runs on over following words, so that the end is where the country's length says, or, for a country without one,
+    the last border of a group at which mod-97 holds."""
     at = 0
     while m := _IBAN.search(text, at):
         start, end = m.span()
         at = start + 4  # without a valid end, one may begin inside
-        while len(code := text[start:end].replace(" ", "")) >= 15:
-            if text[end - 1] != " " and text[end : end + 1] not in _ALNUM and mod97(code):
+        size = IBAN_LENGTH.get(m[0][:2])
+        while len(code := text[start:end].replace(" ", "")) >= (size or 15):
+            if len(code) == (size or len(code)) and text[end - 1] != " " and text[end : end + 1] not in _ALNUM and mod97(code):
                 yield start, end
                 at = end
                 break
