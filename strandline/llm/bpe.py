@@ -14,7 +14,8 @@ Decoding emits the labels of the arcs.
 Which characters are letters, numbers or white space, and what their lower case is, depends on a Unicode version; the
 tables are read off the library that the results must equal, once on the driver.
 
-Nulls and empty texts have no tokens; texts of any length are processed whole; repeated rows give repeated results.
+Nulls and empty texts have no tokens; texts of any length are processed whole; repeated rows give repeated results; an empty table
+gives no rows. Of the input only the id and the text are read, so that further columns can't clash with the results.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import sys
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,6 +203,7 @@ class WordBpe:
         self._ready()
 
     def _ready(self) -> None:
+        self._marks = sorted({x[:2] for x in self.special})  # what a special token begins with
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pattern = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+"
         self._words = regex.compile(pattern.format(*map(_ranges, self.classes.values())))
@@ -231,7 +235,7 @@ class WordBpe:
     def _encode_piece(self, piece: str) -> bytes:
         out: list[int] = []
         at = 0
-        if "<|" in piece:
+        if any(m in piece for m in self._marks):
             for m in self._split.finditer(piece):
                 self._plain(piece[at : m.start()], out)
                 out.append(self.special[m[0]])
@@ -287,8 +291,8 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def bpe_column(spark, text: Column, path: str, keep: bool = True) -> Column:
-    """Struct column: n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array) and decoded (string)."""
+def bpe_column(spark, text: Column, path: str, keep: bool = True, decoded: bool = True) -> Column:
+    """Struct column: n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array of int) and decoded (string; it can be left out)."""
     shared = spark.sparkContext.broadcast(load(path))
 
     def factory():
@@ -296,16 +300,24 @@ def bpe_column(spark, text: Column, path: str, keep: bool = True) -> Column:
 
         def work(texts):
             packed = [bpe.encode(t) for t in texts]
-            decoded = [bpe.decode(p) for p in packed]
-            cols = [[len(p) // 4 for p in packed], [_sha(_little(p)) for p in packed], [_sha(d) for d in decoded]]
-            return [*cols, [array("I", p).tolist() for p in packed], [d.decode() for d in decoded]] if keep else cols
+            plain = [bpe.decode(p) for p in packed]
+            cols = [[len(p) // 4 for p in packed], [_sha(_little(p)) for p in packed], [_sha(d) for d in plain]]
+            if keep:
+                cols.append(_id_lists(packed))
+            return [*cols, [d.decode() for d in plain]] if keep and decoded else cols
 
         return work
 
-    ddl = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<bigint>,decoded:string" * keep
+    ddl = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" + ",decoded:string" * decoded) * keep
     return text_column(text, ddl, factory)
 
 
+def _id_lists(packed: list[bytes]) -> pa.ListArray:
+    """The ids as Arrow lists over the packed bytes, without a Python object for each id."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.uint32).view(np.int32)))
+
+
 def _little(packed: bytes) -> bytes:
     if sys.byteorder == "little":
         return packed

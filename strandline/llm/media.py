@@ -8,7 +8,8 @@ Reading expands mu-law and A-law by tables of 256 entries, decodes ADPCM blocks
 (step by step in time, all blocks at once), and resamples to 16-bit PCM at another rate with a polyphase filter in
 integers, so that results are the same everywhere. The PCM is stored as a WAVE file of its own.
 
-Null and empty texts are a payload of 64 zero bytes. Texts of any length are stored whole; equal texts give equal values.
+Null and empty texts are a payload of 64 zero bytes. Texts of any length are stored whole; equal texts give equal values, also in
+repeated rows; an empty table gives no rows. Of the input only the id and the text are read, so that further columns can't clash.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def alaw_table() -> np.ndarray:
 
 @functools.cache
 def step_table() -> np.ndarray:
-    """The 89 ADPCM steps: from 7 on, each 1.1 times the one before, as the published table rounds them."""
-    # The first steps, which rounding alone doesn't give.
+    """The 89 ADPCM steps."""
+    # The published table.
     steps = [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]
     return np.array(steps, np.int32)
 

@@ -16,7 +16,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_documents(table(spark, sf_dir, "documents"), keep=False)
+    """With the two stored files of each text, `media` and `pcm`."""
+    return media.store_documents(table(spark, sf_dir, "documents"))
 
 
 #: Conversation -7, as a record of another layout.
@@ -51,7 +52,9 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
+    """Beside the digests, the score of each span, in the order of `spans`."""
+    scores = F.array_join(F.transform("found", lambda x: F.format_number(x["score"], 2)), ",").alias("scores")
+    return pii.find_pii(table(spark, sf_dir, "documents")).select("*", scores).drop("found")
 
 
 def toxic_usable(id_: Column) -> Column:
@@ -97,7 +100,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
+    """Documents with a score of 0.5 or more go. Null and empty texts have the score of no evidence; rows are judged one by one, so
+    repeated ids and rows without one are, too; no row of an empty table goes on."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxic_usable(F.col("id")))
     name = fresh(docs, "toxicity")
     return docs.withColumn(name, toxicity.score_column(spark, F.col("text"), model)["score"]).where(F.col(name) < 0.5).drop(name)
@@ -121,13 +125,14 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, by the operator's rule."""
+    """Contaminated documents go, by the operator's rule. Texts without words aren't contaminated; rows are judged one by one."""
     name = fresh(docs, "hits")
     return decontam.with_hits(docs, table(spark, sf_dir, "benchmark"), out=name).where(~F.col(name)["contaminated"]).drop(name)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts becomes its kind in brackets; n_chars follows."""
+    """Personal data in texts becomes its kind in brackets; n_chars follows. Every row stays; texts without a span, null ones among
+    them, and their n_chars stay as they are."""
     name = fresh(docs, "redacted")
     out = docs.withColumn(name, pii.redacted_column(F.col("text")))
     changed = F.col(name)["n_spans"] > 0
@@ -137,10 +142,12 @@ def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with digests of ids and decoded text."""
-    path = tokenizer_path()
-    out = docs.select("doc_id", bpe.bpe_column(spark, F.col("text"), path, keep=False).alias("b"))
-    return out.select("doc_id", "b.*")
+    """The token ids of each document, with their number and digests of ids and decoded text, beside the columns that it has but the
+    text, which the ids hold; a column named as a result goes. Nulls have no tokens."""
+    name = fresh(docs, "bpe")
+    out = docs.withColumn(name, bpe.bpe_column(spark, F.col("text"), tokenizer_path(), keep=True, decoded=False))
+    made = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return out.select(*[c for c in docs.columns if c.lower() not in ("text", *made)], *[F.col(name)[c].alias(c) for c in made])
 
 
 def queries() -> dict:
