@@ -528,6 +528,19 @@ def clustered(seed, n, spread):
     return sorted(out)
 
 
+def test_simhash_embedding(spark):
+    """Embeddings differ by the Manhattan distance of the counts, in both forms, which never exceeds the Hamming distance."""
+    rnd = random.Random(6)
+    prints = [0, (1 << 64) - 1, 1 << 63, *(rnd.getrandbits(64) for _ in range(300))]
+    e = simhash.embeddings(np.array(prints, np.uint64)).tolist()
+    counts = [[(x >> 2 * k & 3).bit_count() for k in range(32)] for x in prints]
+    for i in range(1, len(prints)):
+        far = sum(abs(a - b) for a, b in zip(counts[i], counts[i - 1], strict=True))
+        assert (e[i] ^ e[i - 1]).bit_count() == far <= (prints[i] ^ prints[i - 1]).bit_count()
+    signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp bigint")
+    assert sorted(r.e % (1 << 64) for r in signed.select(simhash.embedding(F.col("fp")).alias("e")).collect()) == sorted(e)
+
+
 @pytest.mark.parametrize("rows", [2048, 64])
 def test_simhash_links_of_dense_groups(spark, rows, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", rows)
@@ -608,7 +621,8 @@ def test_fm_index_on_random_shards():
 
 def test_decontamination_blocks_and_hard(spark, hard, empty):
     bench = spark.createDataFrame([(1, "same text here for all"), (2, "a b c"), (None, "é" * 70000), (3, None), (4, "x"), (4, "here for")], "item_id bigint, text string")
-    one = decontam.with_hits(hard, bench).select("doc_id", "hits.*").collect() if "hits" not in hard.columns else None
+    clash = decontam.with_hits(hard, bench)
+    assert sorted(clash.columns) == sorted(hard.columns) and clash.select("hits.n_words").count() == len(HARD) + 2
     one = decontam.with_hits(hard, bench, out="found").select("doc_id", "found.*").drop("spans").collect()
     many = decontam.with_hits(hard, bench, out="found", block_chars=5).select("doc_id", "found.*").drop("spans").collect()
     key = lambda r: str(r)
@@ -620,6 +634,22 @@ def test_decontamination_blocks_and_hard(spark, hard, empty):
     assert not any(r.contaminated or r.n_items for r in none)
 
 
+def test_hit_words_taken_out():
+    rnd = random.Random(4)
+    for _ in range(300):
+        t = "".join(rnd.choice(["wa", "wb", "É", " ", " ", ". ", "-"]) for _ in range(rnd.randint(0, 30)))
+        w = decontam.words_of(t)
+        p = decontam.Phrases([("1", "wa wb"), ("2", "É"), ("3", "wb wb wa")], 2)
+        (n,), (spans,), _ = decontam.shard_hits([t], p)
+        gone = {i for s in spans for i in range(s["start"], s["end"])}
+        left = decontam.without_spans(t, [(s["start"], s["end"]) for s in spans])
+        assert decontam.words_of(left.replace(".", " ")) == [x for i, x in enumerate(w) if i not in gone] or any(a["end"] - a["start"] for a in spans), t
+        if not spans:
+            assert left == t
+    assert decontam.without_spans("Say wa-WB, then é end", [(1, 3)]) == "Say , then é end"
+    assert decontam.without_spans(None, []) is None and decontam.without_spans("", []) == ""
+
+
 # 9 quality
 
 
@@ -664,6 +694,19 @@ def test_language_held_out(spark, medium):
     assert np.mean(right) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_rows_are_bounded(spark):
+    """What goes to the driver is bounded however many languages there are."""
+    docs = spark.createDataFrame([(i, f"word{i % 30} {'abcdefghij'[i % 10] * 5}", f"l{i % 30}") for i in range(3000)], "doc_id bigint, text string, lang string")
+    seen = []
+    real = langid.train_svm
+    try:
+        langid.train_svm = lambda z, *a, **k: seen.append(len(z)) or real(z, *a, **k)
+        assert len(langid.fit(docs, F.lit(True), most_rows=300).langs) == 30
+    finally:
+        langid.train_svm = real
+    assert max(seen) < 600
+
+
 def test_language_hard(spark, hard, empty):
     model = langid.fit(hard, F.lit(True))
     assert model.langs == ["en"]
@@ -694,5 +737,23 @@ def test_pipeline_against_plain_stages(spark, small, library):
     hits = decontam.brute_force([kept[1][d] for d in ids], items)
     assert set(kept[2]) == {d for d, (n, h, _) in zip(ids, hits, strict=True) if not (h and 20 * h >= n)}
     assert {d: pii.redact(t, pii.find(t)) for d, t in kept[2].items()} == kept[3]
-    got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, small).collect()}
+    rows = corpus_pipeline.run(spark, small).collect()
+    assert all(sha(np.array(r.ids, "<u4").tobytes()) == r.ids_sha256 and len(r.ids) == r.n_tokens for r in rows)
+    got = {r.doc_id: r.ids_sha256 for r in rows}
     assert got == {d: sha(np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for d, t in kept[3].items()}
+
+
+def test_pipeline_hard(spark, small, hard, empty):
+    """Each stage on nulls, empty and long texts, repeated rows, further columns with names that operators use, and no rows."""
+    import corpus_pipeline
+
+    for given in (hard, empty):
+        at = given
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, small)
+            if name != "bpe":
+                assert out.columns == given.columns, name
+            rows = out.collect()
+            assert given is hard or not rows
+            at = spark.createDataFrame(rows, out.schema)
+        assert given is empty or {r.doc_id for r in rows} == {None, 0, 3, 4, 5, 6, 8, 9, 10, 11}
