@@ -1,14 +1,17 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE_WORDS words. Every passage is encoded as a vector of surface features; a
-hidden layer embeds it; gated attention (tanh times sigmoid, softmax over the passages of the document) weighs the
-embeddings; a logistic unit scores the weighted sum. All layers are learned together, from document labels only.
+A document is a bag of passages of PASSAGE_WORDS words. Every passage is encoded as a vector of surface features and of
+hashed byte trigrams; a hidden layer embeds it; gated attention (tanh times sigmoid, softmax over the passages of the document)
+weighs the embeddings; a logistic unit scores the weighted sum. All layers are learned together, from document labels only.
 
-Fit. At most MAX_PER_CLASS labelled rows of each label are used, those with the smallest hash of the id; training is
-full-batch Adam in numpy on the driver, with rows weighted back to the labels' true shares.
+Fit. At most MAX_PER_CLASS labelled rows of each label are used, those with the smallest hash of the id, and of these, by a hash
+of the text, at most as many as have MAX_PASSAGES passages together; a row comes with all its passages. Training is full-batch
+Adam in numpy on the driver, with rows weighted back to the labels' true shares. Labels other than 0 and 1 and labels of an id
+that disagree don't count.
 
 Null texts and texts without a word are one passage without features. With labels of one kind only, every score is that label; with
-none it is 0.5. Documents are read whole, passage by passage.
+none, as for an empty table, it is 0.5. Documents are read whole, passage by passage; repeated rows give repeated results; of the
+input only the id and the text are read, so that further columns can't clash with the results.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from strandline.llm.toxicity import training_rows
 
 PASSAGE_WORDS = 64
 MAX_PER_CLASS = 2_000
-HIDDEN, ATTENTION, STEPS, RATE = 16, 8, 400, 0.02
-#: Passages of a training document that the driver gets at most, evenly spread; scoring uses all passages.
-FIT_PASSAGES = 12
-N_FEATURES = 16
+HIDDEN, ATTENTION, STEPS, RATE, RIDGE = 16, 8, 150, 0.02, 3e-3
+#: Passages of all training rows together; scoring has no such bound.
+MAX_PASSAGES = 60_000
+SURFACE, TRIGRAMS = 16, 64
+N_FEATURES = SURFACE + TRIGRAMS
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white, 5 comma or full stop, 6 beyond ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[32, 9, 10, 11, 12, 13]], _KIND[[44, 46]], _KIND[128:] = 1, 2, 3, 4, 5, 6
@@ -62,7 +66,22 @@ def encode_passages(text: str | None) -> np.ndarray:
     share = per / chars[:, None]
     out = [*share.T, share[:, 0] > 0.08, share[:, 2] > 0.3, distinct / size, repeats, mean / 8, spread / 5, short, long]
     out += [np.full(len(starts), whole), np.full(len(starts), np.log1p(n) / 8)]
-    return np.stack([np.asarray(c, np.float32) for c in out], 1)
+    grams = np.sqrt(trigrams(joined, np.diff(np.append(at, len(joined)))) / chars[:, None])
+    return np.concatenate([np.stack([np.asarray(c, np.float32) for c in out], 1), grams.astype(np.float32)], 1)
+
+
+def trigrams(joined: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many byte trigrams of each hash begin in each of the passages, which follow one another and have these lengths."""
+    of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    counts = np.zeros(len(lengths) * TRIGRAMS, np.int64)
+    for start in range(0, len(joined) - 2, 1 << 20):  # bounded memory for very long texts; two bytes carry over
+        part = joined[start : start + (1 << 20) + 2].astype(np.uint32)
+        three = (part[:-2] << np.uint32(16)) + (part[1:-1] << np.uint32(8)) + part[2:]
+        h = three * np.uint32(2654435761) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
+        first = of[start : start + len(h)]
+        lo, hi = int(first[0]), int(first[-1]) + 1
+        counts[lo * TRIGRAMS : hi * TRIGRAMS] += np.bincount((first - lo).astype(np.int64) * TRIGRAMS + h, minlength=(hi - lo) * TRIGRAMS)
+    return counts.reshape(-1, TRIGRAMS)
 
 
 @dataclass
@@ -103,11 +122,11 @@ class MilModel:
 
 def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> MilModel:
     """Gated attention, trained by Adam on all bags at once."""
-    x = np.concatenate(bags).astype(np.float64)
+    x = np.concatenate(bags)
     of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     at = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]]
-    mean, std = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = (x - mean) / std
+    mean, std = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3
+    x = ((x - mean) / std).astype(np.float32)
     r = np.random.default_rng(seed)
     p = {
         "e": r.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)),
@@ -118,8 +137,9 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
         "c": r.normal(0, 0.3, HIDDEN),
         "b": np.zeros(1),
     }
-    m, v = ({k: np.zeros_like(t) for k, t in p.items()} for _ in range(2))
-    weight = weight / weight.sum()
+    m, v = ({k: np.zeros(t.shape, np.float32) for k, t in p.items()} for _ in range(2))
+    weight, y = (weight / weight.sum()).astype(np.float32), y.astype(np.float32)
+    p = {k: t.astype(np.float32) for k, t in p.items()}
     for step in range(1, STEPS + 1):
         pre = x @ p["e"] + p["eb"]
         h = np.maximum(pre, 0)
@@ -139,7 +159,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
         d_pre = d_h * (pre > 0)
         g = {"e": x.T @ d_pre, "eb": d_pre.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_s, "a": (t * s).T @ d_att, "c": z.T @ d_out, "b": np.array([d_out.sum()])}
         for k in p:
-            grad = g[k] + 1e-4 * p[k]
+            grad = g[k] + RIDGE * p[k]
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
             p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -149,14 +169,20 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_PER_CLASS) -> MilModel:
     """Learns from rows of docs for which `usable`, an expression over a column named id, holds."""
     rows, weigh = training_rows(docs, labels, label, usable, id_col, text_col, most)
+    rows = rows.withColumn("h", F.xxhash64("text"))
 
     def bags(batches):
         for b in batches:
             got = [encode_passages(t) for t in b["text"].to_pylist()]
-            got = [x[np.unique(np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int))] for x in got]
             yield pa.RecordBatch.from_arrays([b["y"], pa.array([x.tobytes() for x in got], pa.binary())], ["y", "x"])
 
-    found = sorted(((r["y"], bytes(r["x"])) for r in rows.mapInArrow(bags, "y int, x binary").collect()))
+    # passages of each training row, a few thousand numbers
+    words = F.size(F.filter(F.split("text", "[ \t\n\u000b\f\r]+"), lambda w: w != ""))
+    sizes = sorted((r["h"], max(1, -(-r["n"] // PASSAGE_WORDS))) for r in rows.select("h", F.coalesce(words, F.lit(0)).alias("n")).collect())
+    within = np.cumsum([n for _, n in sizes]) <= MAX_PASSAGES
+    if not within.all():
+        rows = rows.where(F.col("h") < sizes[int(within.sum())][0])
+    found = sorted(((r["y"], bytes(r["x"])) for r in rows.select("text", "y").mapInArrow(bags, "y int, x binary").collect()))
     y = np.array([a for a, _ in found], float)
     if not len(y) or y.min() == y.max():
         return MilModel(None, float(y[0]) if len(y) else 0.5)
