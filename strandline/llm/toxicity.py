@@ -12,8 +12,12 @@ has a segment as good follows from the law; a segment is significant if it is un
 is the sum of -ln(chance) over its significant segments, and a logistic curve over it, fitted on the same rows weighted
 back to the labels' true shares, gives the score.
 
-Null and empty texts have no segments and get the score of no evidence. Labels that are null, or of documents that don't
-exist, don't count; with no labels of one kind every score is the share of label 1 (0 if there are none). Texts are read whole.
+The settings were chosen by cross-validation within rows that may be learned from (tests/llm/choose_toxicity.py).
+
+Null and empty texts have no segments and get the score of no evidence. Labels that are null, neither 0 nor 1, of documents that
+don't exist or of an id whose labels disagree don't count; with no labels of one kind every score is the share of label 1 (0 if
+there are none). Texts are read whole; repeated rows give repeated results; an empty table gives no rows; of the input only the
+id and the text are read, so that further columns can't clash with the results.
 """
 
 from __future__ import annotations
@@ -32,16 +36,14 @@ from strandline.llm.common import cut, text_column
 from strandline.llm.decontam import words_of
 
 MAX_PER_CLASS = 8_000
-PRIOR_DOCS = 20.0
-ERRORS = 3.0
+PRIOR_DOCS = 5.0
+ERRORS = 2.0
 MIN_SCORE = 1.0
 DRIFT = -0.7
 PREFIXES = (4, 5, 6, 7)
 #: Words whose score a Python worker remembers before it starts afresh.
 WORDS_KEPT = 300_000
 SIGNIFICANT = 0.01
-#: -ln(chance) of one segment counts up to this much.
-MOST_EVIDENCE = 60.0
 
 
 def tokens_of(word: bytes) -> list[bytes]:
@@ -84,19 +86,21 @@ class ToxicModel:
         at = [i for i, s in enumerate(got) if s is not None]
         return len(words), maximal_segments([(i, got[i]) for i in at], DRIFT)
 
-    def chance(self, score: float, n: int) -> float:
-        """That a clean text of n words has a segment of at least this score."""
-        return -math.expm1(-self.k * max(n, 1) * math.exp(-self.lam * score))
+    def surprise(self, score: float, n: int) -> float:
+        """-ln of the chance that a clean text of n words has a segment of at least this score."""
+        expected = math.log(self.k * max(n, 1)) - self.lam * score
+        # for a small expected number the chance is that number
+        return -expected if expected < -30 else -math.log(-math.expm1(-math.exp(expected)))
 
     def passages(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
         """Evidence, and the significant passages (start word, end word, score, chance)."""
         n, found = self.segments(text)
         out, evidence = [], 0.0
         for a, b, s in found:
-            p = self.chance(s, n)
-            if p < SIGNIFICANT:
-                out.append((a, b, s, p))
-                evidence += min(MOST_EVIDENCE, -math.log(max(p, 1e-300)))
+            e = self.surprise(s, n)
+            if e > -math.log(SIGNIFICANT):
+                out.append((a, b, s, math.exp(-e)))
+                evidence += e
         return evidence, out
 
     def score_of(self, evidence: float) -> float:
@@ -180,7 +184,8 @@ def sketches(text: str | None) -> list[int]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, float]]:
     """(text, y) of at most `most` labelled rows of each label, and what a row of each label weighs. usable: of the id."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(usable)
     known = known.join(texts.select("id").distinct(), "id", "left_semi")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -220,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     odds = F.log(a / (toxic + PRIOR_DOCS - a)) - F.log(b / (clean + PRIOR_DOCS - b))
     error = F.sqrt(1 / a + 1 / b)
     sure = odds - ERRORS * error
-    # words that tell the labels apart are few: over three errors by chance alone, one in a thousand
+    # tokens of a bounded sample that tell the labels apart; over two errors by chance alone, one in forty
     telling = counted.where((F.length("word") > 0) & (sure >= MIN_SCORE)).select("word", sure.alias("s"), "uses").collect()
     total = counted.where(F.length("word") == 0).agg(F.sum("uses")).first()[0] or 0
     model = ToxicModel({bytes(r["word"]): r["s"] for r in telling})
