@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, chat, decontam, langid, media, pii, quality, queries, simhash, toxicity, urls
+from tests.llm import choose_toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 HARD = [None, "", " \n\t", "x", "a b c", "ÄÖ ß", "same text here for all", "same text here for all", "w " * 30000, "é" * 70000, "1" * 50000, "\x00\x1c\x85 ."]
@@ -442,26 +444,63 @@ def test_toxicity_held_out(spark, medium):
     assert auc(held_out(rows, medium, "toxic")) > 0.7
 
 
+def test_toxicity_equals_plain_version(spark, medium):
+    """Fit and scores of the query, row by row, against the operator without Spark and with the plain definition of segments."""
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{medium}/documents.parquet' join '{medium}/labels.parquet' using (doc_id) where toxic in (0, 1)").fetchall()
+    learned = choose_toxicity.without_copies([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0])
+    model = choose_toxicity.fit([t for _, t, _ in learned], [y for *_, y in learned])
+    given = dict(duckdb.sql(f"select doc_id, text from '{medium}/documents.parquet'").fetchall())
+    n = 0
+    for r in queries.op6_toxicity(spark, medium).collect():
+        words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), given[r.doc_id] or ""))]
+        evidence = 0.0
+        known = [max((model.scores[t] for t in [w, *(w[:k] + b"*" for k in (4, 5, 6, 7) if len(w) > k)] if t in model.scores), default=None) for w in words]
+        if len(words) < 60:
+            found = [s for *_, s in plain_segments([toxicity.DRIFT if v is None else v for v in known])]
+        else:
+            found = [s for *_, s in toxicity.maximal_segments([(i, v) for i, v in enumerate(known) if v is not None], toxicity.DRIFT)]
+        for s in found:
+            p = 1 - math.exp(-model.k * len(words) * math.exp(-model.lam * s))
+            if p < 0.01:
+                evidence += -math.log(p) if p > 1e-9 else model.lam * s - math.log(model.k * len(words))
+                n += 1
+        want = 1 / (1 + math.exp(-(model.weight * math.log1p(evidence) + model.bias)))
+        assert r.score == pytest.approx(want, abs=1e-5), r.doc_id
+    assert n > 20
+
+
+def test_toxicity_conflicting_labels(spark):
+    docs = spark.createDataFrame([(i, "bad bad words here" if i % 2 else "good fine words here") for i in range(40)], "doc_id bigint, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    one = toxicity.training_rows(docs, spark.createDataFrame([*labels, (3, 0), (4, 1), (5, 1), (6, 7), (None, 1)], "doc_id bigint, toxic int"), "toxic", F.lit(True), "doc_id", "text", 100)[1]
+    assert one == {0: 1.0, 1: 1.0}
+    known = spark.createDataFrame([*labels, (3, 0), (5, 1), (6, 7)], "doc_id bigint, toxic int")
+    picked = toxicity.training_rows(docs.withColumn("text", F.repeat(F.concat(F.lit("w"), F.col("doc_id"), F.lit(" ")), F.lit(6))), known, "toxic", F.lit(True), "doc_id", "text", 100)[0]
+    assert sorted(r.text.split()[-1] for r in picked.collect()) == sorted(f"w{i}" for i in range(40) if i != 3)
+
+
+def plain_segments(x):
+    """Ruzzo and Tompa's definition: the best segment, then recursively left and right of it."""
+    best = None
+    for i in range(len(x)):
+        s = 0.0
+        for j in range(i, len(x)):
+            s += x[j]
+            if s > 1e-12 and (best is None or s > best[0] + 1e-12 or (abs(s - best[0]) <= 1e-12 and j + 1 - i < best[2] - best[1])):
+                best = (s, i, j + 1)
+    if not best:
+        return []
+    s, i, j = best
+    return plain_segments(x[:i]) + [(i, j, s)] + [(a + j, b + j, c) for a, b, c in plain_segments(x[j:])]
+
+
 def test_maximal_segments_equal_brute_force():
     rnd = random.Random(2)
 
-    def plain(x):
-        """Ruzzo and Tompa's definition: the best segment, then recursively left and right of it."""
-        best = None
-        for i in range(len(x)):
-            for j in range(i + 1, len(x) + 1):
-                s = sum(x[i:j])
-                if s > 0 and (best is None or s > best[0] or (s == best[0] and (j - i) < best[2] - best[1])):
-                    best = (s, i, j)
-        if not best:
-            return []
-        s, i, j = best
-        return plain(x[:i]) + [(i, j, s)] + [(a + j, b + j, c) for a, b, c in plain(x[j:])]
-
     for _ in range(400):
         x = [rnd.choice([-1.0, -1.0, -1.0, 1.25, 2.5, 0.5]) for _ in range(rnd.randint(0, 14))]
         got = toxicity.maximal_segments([(i, v) for i, v in enumerate(x) if v > 0], -1.0)
-        want = plain(x)
+        want = plain_segments(x)
         assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want)) and len(got) == len(want)
 
 
@@ -660,6 +699,60 @@ def test_quality_held_out(spark, medium):
     assert auc(held_out(rows, medium, "quality")) > 0.9
 
 
+def plain_passages(text):
+    """A vector for each passage, one at a time."""
+    words = (text or "").encode().split()
+    if not words:
+        return np.zeros((1, quality.N_FEATURES))
+    out = []
+    for k in range(0, len(words), 64):
+        part = words[k : k + 64]
+        size = [len(w) for w in part]
+        # the space behind a passage counts for it, if another one follows
+        raw = b" ".join(words[k:])[: sum(size) + len(part) - (k + 64 >= len(words))]
+        share = [sum(map(f, raw)) / len(raw) for f in (
+            lambda c: not (97 <= c < 123 or 65 <= c < 91 or 48 <= c < 58 or c in b" ,." or c >= 128), lambda c: 97 <= c < 123, lambda c: 65 <= c < 91,
+            lambda c: 48 <= c < 58, lambda c: c in b",.", lambda c: c >= 128)]
+        again = sum(k + i > 0 and words[k + i] == words[k + i - 1] for i in range(len(part)))
+        v = [*share, share[0] > 0.08, share[2] > 0.3, len(set(part)) / len(part), again / len(part), np.mean(size) / 8, np.std(size) / 5]
+        v += [np.mean([n <= 2 for n in size]), np.mean([n >= 14 for n in size]), len(set(words)) / len(words), math.log1p(len(words)) / 8]
+        grams = np.zeros(64)
+        follow = b" ".join(words[k:])[: len(raw) + 2]
+        for i in range(min(len(raw), len(follow) - 2)):
+            grams[int.from_bytes(follow[i : i + 3], "big") * 2654435761 % (1 << 32) >> 26] += 1
+        out.append([*v, *np.sqrt(grams / len(raw))])
+    return np.array(out, float)
+
+
+def test_quality_scores_equal_plain_version(spark, small, texts):
+    """Every row's score by the plain encoder and one bag at a time."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"), queries.quality_usable(F.col("id")))
+    got = {r.doc_id: r.score for r in queries.op9_quality(spark, small).collect()}
+    assert model.w is not None and len(got) == len(texts)
+    for d, t in texts.items():
+        bag = plain_passages(t)
+        assert np.allclose(bag, quality.encode_passages(t), atol=1e-4), d
+        x = np.maximum((bag - model.w["mean"]) / model.w["std"] @ model.w["e"] + model.w["eb"], 0)
+        att = [float(np.tanh(h @ model.w["v"]) / (1 + np.exp(-(h @ model.w["u"]))) @ model.w["a"]) for h in x]
+        e = np.exp(np.array(att) - max(att))
+        z = sum(w * (h @ model.w["c"]) for w, h in zip(e / e.sum(), x, strict=True)) + model.w["b"][0]
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-3), d
+
+
+def test_quality_learns_from_all_passages(spark, monkeypatch):
+    """A row is learned from with all its passages; what bounds the fit is the number of rows."""
+    long = " ".join(f"word{i}" for i in range(64 * 40))
+    docs = spark.createDataFrame([(i, long if i < 4 else f"short {i}") for i in range(12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y, w, seed=11: seen.append(sorted(map(len, bags))) or quality.MilModel(None))
+    quality.fit(docs, labels, F.lit(True))
+    monkeypatch.setattr(quality, "MAX_PASSAGES", 30)
+    quality.fit(docs, labels, F.lit(True))
+    assert seen[0] == [1] * 8 + [40] * 2 and seen[1:] in ([], [[1] * len(seen[-1])])
+
+
 def test_attention_finds_the_telling_passage():
     rng = np.random.default_rng(0)
     bags, y = [], []
@@ -694,6 +787,46 @@ def test_language_held_out(spark, medium):
     assert np.mean(right) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_equals_plain_version(spark, medium):
+    """Every row's prediction by n-grams counted one at a time and the model's weights; the weights are at the optimum of their loss."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    m = langid.fit(docs, queries.quality_usable(F.col("doc_id")))
+    given = dict(duckdb.sql(f"select doc_id, text from '{medium}/documents.parquet' where doc_id % 7 = 0").fetchall())
+    got = {r.doc_id: r for r in queries.op10_langid(spark, medium).collect()}
+    squash = lambda v: 1 / (1 + math.exp(-3 * v))
+    for d, t in given.items():
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.lower().encode())
+        raw = re.sub(b" +", b" ", b" " + raw + b" ")
+        x = np.zeros(1 << 13)
+        for k in (1, 2, 3):
+            for i in range(len(raw) - k + 1):
+                x[(int.from_bytes(raw[i : i + k], "big") + k) * 2654435761 % (1 << 32) >> 19] += 1
+        x = np.sqrt(x / x.sum())
+        p = [squash(float(w[:-1] @ x + w[-1])) for w in m.family_weights] if len(m.families) > 1 else [1.0]
+        family = m.families[int(np.argmax(p))]
+        names = [g for g in m.langs if langid.family_of(g) == family]
+        votes = dict.fromkeys(names, 0.0)
+        for w, (a, b) in zip(m.pair_weights, m.pairs, strict=True):
+            if a in votes:
+                v = squash(float(w[:-1] @ x + w[-1]))
+                votes[a], votes[b] = votes[a] + v, votes[b] + 1 - v
+        best = max(names, key=lambda g: votes[g])
+        share = votes[best] / sum(votes.values()) if len(names) > 1 else 1.0
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(max(p) / sum(p) * share, abs=1e-3), d
+    rng = np.random.default_rng(1)
+    z = np.c_[rng.normal(0, 1, (80, 6)).astype(np.float32), np.ones(80, np.float32)]
+    y = np.where(z[:, 0] + 0.5 * rng.normal(0, 1, 80) > 0, 1, -1)
+    w = langid.train_svm(z, y, rounds=300).astype(float)
+    best = np.zeros(7)
+    for _ in range(50):  # Newton steps on the primal loss
+        on = y * (z @ best) < 1
+        best = np.linalg.solve(np.eye(7) + 2 * langid.COST * z[on].T @ z[on], 2 * langid.COST * z[on].T @ y[on])
+    assert np.abs(w - best).max() < 0.01
+
+
 def test_language_rows_are_bounded(spark):
     """What goes to the driver is bounded however many languages there are."""
     docs = spark.createDataFrame([(i, f"word{i % 30} {'abcdefghij'[i % 10] * 5}", f"l{i % 30}") for i in range(3000)], "doc_id bigint, text string, lang string")
