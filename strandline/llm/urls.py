@@ -1,21 +1,27 @@
 """URL filter: explicit rules first, then a tree of path templates for each host.
 
 Rules name a host, with all its subdomains, and a prefix of the path; the longest rule that fits decides. The urls that rules
-decide are the labelled ones. The tree of a host has a level for each path segment:
+decide are the labelled ones; verdicts known from elsewhere can be given as further labels. The tree of a host:
 
 1. Segments that are variable by their form (numbers, numbers with an extension, long hexadecimal strings) become
    wildcards at once. Urls are then counted by (host, template) before anything else, so a hot host is small.
-2. From the root on, a segment stays a branch of its node if it has at least MIN_SHARE of the node's urls, or if at least
-   MIN_LABELLED of its urls are labelled and their blocked share differs significantly from that of the node's other urls. The
-   others become wildcards: `*` for paths that have labelled urls up to this segment, `*?` for those that have none. Below a
-   wildcard, too, a path without labelled urls is kept apart by a `?`, so that no path has the labels of another one.
-3. Sibling branches whose labelled shares don't differ significantly (two proportions, |z| < MERGE_Z, compared with the
-   neighbour in order of the share) are merged and judged together, on what they have in common.
-4. A merged template is rejected if its share of blocked urls, smoothed with PRIOR urls of the overall share, is at least
-   REJECT and at least MIN_LABELLED of its urls are labelled.
-
-Urls whose template isn't rejected are allowed, and so are null urls and urls without `://`, whose host and path are empty.
-Paths deeper than DEPTH segments share one wildcard for the rest. Repeated rows are counted and judged one by one.
+2. A node grows as long as it has at least MIN_LABELLED labelled urls and urls without a label: where all are labelled, or too few,
+   nothing below could change a verdict. A segment stays a branch of its node if it has at least MIN_SHARE of the node's urls, or
+   if at least MIN_LABELLED of its urls are labelled and their blocked share differs significantly from that of the node's other
+   urls. The others become wildcards: `*` for paths that have labelled urls up to this segment, `*?` for those that have none.
+   Below a wildcard or a merged node, too, a path without labelled urls is kept apart by a `?`, so that no path has the labels of
+   another one as its own.
+3. Labelled branches of one node whose blocked shares don't differ significantly (two proportions, |z| < MERGE_Z, compared with
+   the neighbour in order of the share) are merged, at every level, and grow on as one node.
+4. A branch is judged by its labelled urls, smoothed with PRIOR urls of the share that a branch of this node is expected to have:
+   the mean of the shares of the node's labelled segments, each of which counts once however many urls it has, smoothed with PRIOR
+   segments of what the node itself was expected to have, which at the root is the share of all labelled urls. So labels reach
+   branches without any: what is expected is their purity. A branch is rejected from a purity of REJECT on, if it has MIN_LABELLED
+   labelled urls or its node has MIN_BRANCHES labelled segments.
+
+Urls whose template isn't rejected are allowed, and so are null urls and urls without `://`, whose host and path are empty. The
+tree is as deep as the labels ask for, whatever the length of a path. Repeated rows are counted and judged one by one; an empty
+table gives no rows; of the input only the id and the url are read, so that further columns can't clash with the results.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import cut
 
-DEPTH = 4
 MIN_SHARE = 1 / 32
 MERGE_Z = 1.96
 PRIOR = 10.0
 REJECT = 0.8
 MIN_LABELLED = 20
+MIN_BRANCHES = 8
+#: A path is common if it has more urls than this and than one in COMMON_SHARE of all; so there are fewer than COMMON_SHARE.
+COMMON_ROWS = 1024
+COMMON_SHARE = 10_000
 
 # Fixed values: (verdict, host, path) of the production rules.
 RULES = (
@@ -71,7 +80,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Path segments with those that are variable by their form generalised, the ones beyond DEPTH as one wildcard."""
+    """Path segments; those that are variable by their form are generalised, in the others the signs of templates are escaped."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
 
     def general(s):
@@ -79,33 +88,10 @@ def segments(path: Column) -> Column:
             F.when(s.rlike(r"^[0-9]+$"), F.lit("{n}"))
             .when(s.rlike(r"^[0-9]+\.[A-Za-z]+$"), F.concat(F.lit("{n}."), F.substring_index(s, ".", -1)))
             .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("{x}"))
-            .otherwise(s)
+            .otherwise(F.regexp_replace(s, r"([*?{}|\\])", r"\\$1"))
         )
 
-    deep = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    return F.transform(deep, general)
-
-
-def templates(counted: DataFrame) -> DataFrame:
-    """Adds `template`, with wildcards for the rare segments of each node. counted: host, segs, n, labelled, blocked."""
-    # node so far, and whether a wildcard is in it
-    out = counted.withColumn("node", F.lit("")).withColumn("pooled", F.lit(False))
-    for level in range(DEPTH + 1):
-        out = out.withColumn("seg", F.get("segs", F.lit(level))).withColumn("prefix", F.slice("segs", 1, level + 1))
-        # by the path itself, not by the node, which may hold several paths
-        known = out.where("labelled > 0 and seg is not null").select("host", "prefix", F.lit(False).alias("bare")).distinct()
-        out = cut(out.join(known, ["host", "prefix"], "left").withColumn("bare", F.col("seg").isNotNull() & F.col("bare").isNull()).drop("prefix"))
-        kids = out.where("seg is not null").groupBy("host", "node", "seg", "bare").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        total = kids.groupBy("host", "node").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        rest = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
-        unlike = (F.col("labelled") >= MIN_LABELLED) & (rest[0] > 0) & differ(F.col("labelled"), F.col("blocked"), *rest)
-        named = kids.join(total, ["host", "node"]).where((F.col("n") >= MIN_SHARE * F.col("all_n")) | unlike).select("host", "node", "seg", "bare", F.lit(True).alias("named"))
-        out = out.join(named, ["host", "node", "seg", "bare"], "left")
-        out = out.withColumn("pooled", F.col("seg").isNotNull() & (F.col("pooled") | F.col("named").isNull()))
-        name = F.concat(F.when(F.col("named"), F.col("seg")).otherwise(F.lit("*")), F.when(F.col("pooled") & F.col("bare"), F.lit("?")).otherwise(F.lit("")))
-        step = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), name))
-        out = out.withColumn("node", step).drop("seg", "bare", "named")
-    return out.drop("pooled").withColumnRenamed("node", "template")
+    return F.transform(parts, general)
 
 
 def differ(labelled: Column, blocked: Column, other_labelled: Column, other_blocked: Column) -> Column:
@@ -116,40 +102,95 @@ def differ(labelled: Column, blocked: Column, other_labelled: Column, other_bloc
     return F.abs(blocked / most(labelled) - other_blocked / most(other_labelled)) >= MERGE_Z * error
 
 
-def judge_templates(counted: DataFrame) -> DataFrame:
-    """(host, template, parent, n, labelled, blocked, grp, purity, rejected). counted: host, template, n, labelled, blocked.
-
-    After wildcards a node has at most 1 / MIN_SHARE frequent branches and those that differ, of MIN_LABELLED labelled urls at
-    least, so the windows below see few rows each; one host with many nodes is many windows."""
-    t = counted.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    total = t.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select((F.col("b") / F.greatest(F.col("l"), F.lit(1))).alias("overall"))
-    t = t.crossJoin(F.broadcast(total))  # one row
-    t = t.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    t = t.withColumn("share", (F.col("blocked") + PRIOR * F.col("overall")) / (F.col("labelled") + PRIOR))
-    w = Window.partitionBy("host", "parent").orderBy("share", "template")
+_SUMS = ("n", "labelled", "blocked")
+
+
+def _sums(prefix: str = "") -> list[Column]:
+    return [F.sum(c).alias(prefix + c) for c in _SUMS]
+
+
+def judge_paths(counted: DataFrame) -> DataFrame:
+    """Adds template, purity and rejected to rows of (host, segs, n, labelled, blocked), one for each host and path.
+
+    A round for each level that some node grows to; each works on the rows of growing nodes only."""
+    all_ = counted.agg(*_sums()).first()
+    overall = (all_["blocked"] or 0) / max(all_["labelled"] or 0, 1)
+    first = {"node": F.lit(""), "pooled": F.lit(False), "prior": F.lit(overall), "purity": F.lit(overall), "rejected": F.lit(False)}
+    rows, done, level = counted.select(*counted.columns, *[c.alias(k) for k, c in first.items()]), None, 0
+    while True:
+        nodes = rows.groupBy("host", "node").agg(*_sums(), F.max(F.size("segs")).alias("deepest"))
+        grows = nodes.where((F.col("labelled") >= MIN_LABELLED) & (F.col("labelled") < F.col("n")) & (F.col("deepest") > level))
+        rows = cut(rows.join(grows.select("host", "node", F.lit(True).alias("grows")), ["host", "node"], "left"))
+        rest = F.when(F.size("segs") > level, F.lit("/**")).otherwise(F.lit(""))
+        still = rows.where("grows is null").withColumn("template", F.concat("node", rest)).select(*counted.columns, "template", "purity", "rejected")
+        done = still if done is None else done.unionByName(still)
+        rows = rows.where("grows").drop("grows")
+        if rows.isEmpty():
+            return done
+        rows = _grown(rows, level)
+        level += 1
+
+
+def _grown(rows: DataFrame, level: int) -> DataFrame:
+    """The rows of growing nodes in their branches, with what these are judged to be."""
+    key = F.when(F.size("segs") > level, F.concat(F.lit("/"), F.get("segs", F.lit(level)))).otherwise(F.lit(""))
+    rows = rows.withColumn("key", key).withColumn("prefix", F.slice("segs", 1, level + 1))
+    # by the path itself, not by the node, which may hold several paths
+    known = rows.where("labelled > 0").select("host", "prefix", F.lit(False).alias("bare")).distinct()
+    rows = cut(rows.join(known, ["host", "prefix"], "left").withColumn("bare", F.col("bare").isNull()).drop("prefix"))
+    kids = rows.groupBy("host", "node", "pooled", "prior", "key", "bare").agg(*_sums())
+    share = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled"))
+    segs = kids.groupBy("host", "node", "key").agg(*_sums()).withColumn("share", share)
+    whole = segs.groupBy("host", "node").agg(*_sums("all_"), F.count("share").alias("k"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("s"))
+    kids = kids.join(whole, ["host", "node"])
+    rest = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
+    unlike = (F.col("labelled") >= MIN_LABELLED) & (rest[0] > 0) & differ(F.col("labelled"), F.col("blocked"), *rest)
+    named = (F.col("n") >= MIN_SHARE * F.col("all_n")) | unlike | (F.col("key") == "")
+    kids = kids.withColumn("expected", F.round((F.col("s") + PRIOR * F.col("prior")) / (F.col("k") + PRIOR), 9)).withColumn("wild", F.col("pooled") | ~named)
+    name = F.concat(F.when(named, F.col("key")).otherwise(F.lit("/*")), F.when(F.col("wild") & F.col("bare"), F.lit("?")).otherwise(F.lit("")))
+    kids = kids.withColumn("name", name)
+    # a node has at most 1 / MIN_SHARE frequent branches, those that differ, of MIN_LABELLED labelled urls at least, and the wildcards
+    branches = kids.groupBy("host", "node", "expected", "k", "name").agg(*_sums(), F.bool_or("wild").alias("wild"))
+    smoothed = lambda b, n: F.round((b + PRIOR * F.col("expected")) / (n + PRIOR), 9)
+    branches = branches.withColumn("purity", smoothed(F.col("blocked"), F.col("labelled")))
+    w = Window.partitionBy("host", "node").orderBy("purity", "name")
     before = {c: F.lag(c).over(w) for c in ("labelled", "blocked")}
-    # branches without labels have nothing to compare and stay by themselves
-    unlike = differ(F.col("labelled"), F.col("blocked"), before["labelled"], before["blocked"])
-    apart = before["labelled"].isNull() | (F.col("labelled") == 0) | (before["labelled"] == 0) | unlike
-    t = t.withColumn("grp", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = Window.partitionBy("host", "parent", "grp")
-    all_l, all_b = F.sum("labelled").over(g), F.sum("blocked").over(g)
-    t = t.withColumn("purity", (all_b + PRIOR * F.coalesce("overall", F.lit(0.0))) / (all_l + PRIOR))
-    return t.withColumn("rejected", (F.col("purity") >= REJECT) & (all_l >= MIN_LABELLED)).drop("share", "overall")
-
-
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """One row per row of pages: the id, host, path, rule, verdict, template. Other columns are left out."""
+    apart = before["labelled"].isNull() | differ(F.col("labelled"), F.col("blocked"), before["labelled"], before["blocked"])
+    some = branches.where("labelled > 0").withColumn("grp", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = Window.partitionBy("host", "node", "grp")
+    names = F.array_sort(F.collect_set("name").over(g))
+    some = some.withColumn("as", F.when(F.size(names) > 1, F.concat(F.lit("/{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("name")))
+    some = some.withColumn("wild", F.col("wild") | (F.size(names) > 1)).withColumn("purity", smoothed(F.sum("blocked").over(g), F.sum("labelled").over(g)))
+    enough = (F.sum("labelled").over(g) >= MIN_LABELLED) | (F.col("k") >= MIN_BRANCHES)
+    some = some.withColumn("enough", enough).drop("grp")
+    none = branches.where("labelled = 0").withColumn("as", F.col("name")).withColumn("enough", F.col("k") >= MIN_BRANCHES)
+    judged = some.unionByName(none).withColumn("rejected", (F.col("purity") >= REJECT) & F.col("enough"))
+    judged = judged.select("host", "node", "name", "as", "purity", "rejected", F.col("wild").alias("pooled"), F.col("expected").alias("prior"))
+    to = kids.select("host", "node", "key", "bare", "name").join(judged, ["host", "node", "name"]).drop("name")
+    out = rows.drop("pooled", "prior", "purity", "rejected").join(to, ["host", "node", "key", "bare"])
+    return out.withColumn("node", F.concat("node", "as")).drop("key", "bare", "as")
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, known: Column | None = None) -> DataFrame:
+    """One row per row of pages: the id, host, path, rule, verdict, and the template, if it is rejected. Other columns are left out.
+    known: `allow`, `block` or null, a label of urls that no rule decides, which is their verdict too."""
     host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
-    # the last segment's form matters, its value is counted below
-    counted = urls.groupBy("host", "segs").agg(
-        F.count("*").alias("n"), F.count("r").alias("labelled"), F.count_if(F.col("r.verdict") == "block").alias("blocked")
-    )
-    named = cut(templates(cut(counted)))
-    judged = judge_templates(named.select("host", "template", "n", "labelled", "blocked")).where("rejected").select("host", "template", "rejected")
-    bad = named.join(judged, ["host", "template"]).select("host", "segs", "template", "rejected")
-    out = urls.join(bad, ["host", "segs"], "left")
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(id_col, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template")
+    known = F.lit(None).cast("string") if known is None else known
+    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), known.alias("known"))
+    urls = urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("label", F.coalesce("r.verdict", "known"))
+    urls = urls.withColumn("segs", segments(F.col("path")))
+    counted = cut(urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")))
+    judged = judge_paths(counted).select("host", "segs", "n", "template", "rejected")
+    judged = cut(judged.where("rejected").select("host", "segs", "n", "template"))
+    result = [id_col, "host", "path", F.col("r.rule").alias("rule"), "verdict", "template"]
+    sure = urls.where("label is not null").withColumn("verdict", F.col("label")).withColumn("template", F.lit(None).cast("string"))
+    # urls of a rejected path with a great many stay where they are, so that no key of the join below is large
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") > max(COMMON_ROWS, total // COMMON_SHARE)
+    open_ = urls.where("label is null")
+    few = judged.where(common).select("host", "segs", F.col("template").alias("at"))
+    open_ = open_.join(F.broadcast(few), ["host", "segs"], "left")  # fewer than COMMON_SHARE paths
+    rare = open_.where("at is null").join(judged.where(~common).select("host", "segs", "template"), ["host", "segs"], "left")
+    rare = rare.unionByName(open_.where("at is not null").withColumn("template", F.col("at")))
+    rare = rare.withColumn("verdict", F.when(F.col("template").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return sure.select(*result).unionByName(rare.select(*result))

@@ -298,28 +298,140 @@ def test_urls_odd_ones(spark):
     assert urls.filter_urls(df.where("false")).count() == 0
 
 
+COUNTED = "host string, segs array<string>, n bigint, labelled bigint, blocked bigint"
+
+
+def plain_tree(counted):
+    """The tree of path templates, node by node: {(host, segs): (template, purity, rejected)}."""
+    prior_urls, z = urls.PRIOR, urls.MERGE_Z
+    sums = lambda rows: [sum(r[k] for r in rows) for k in (2, 3, 4)]
+    _, all_l, all_b = sums(counted)
+    out = {}
+
+    def differ(n, b, m, c):
+        p = (b + c + 1) / (n + m + 2)
+        return abs(b / max(n, 1) - c / max(m, 1)) >= z * math.sqrt(p * (1 - p) * (1 / max(n, 1) + 1 / max(m, 1)))
+
+    def grow(rows, name, level, pooled, prior, purity, rejected):
+        n, lab, _ = sums(rows)
+        if not (lab >= urls.MIN_LABELLED and lab < n and any(len(r[1]) > level for r in rows)):
+            for r in rows:
+                out[r[0], tuple(r[1])] = (name + ("/**" if len(r[1]) > level else ""), purity, rejected)
+            return
+        seen = {tuple(r[1][: level + 1]) for r in rows if r[3]}
+        kids, segs = {}, {}
+        for r in rows:
+            key = "/" + r[1][level] if len(r[1]) > level else ""
+            kids.setdefault((key, tuple(r[1][: level + 1]) not in seen), []).append(r)
+            segs.setdefault(key, []).append(r)
+        shares = [b / m for _, m, b in map(sums, segs.values()) if m]
+        expected = round((sum(shares) + prior_urls * prior) / (len(shares) + prior_urls), 9)
+        whole = sums(rows)
+        branches = {}
+        for (key, bare), part in kids.items():
+            k, m, b = sums(part)
+            named = key == "" or k >= urls.MIN_SHARE * whole[0] or (m >= urls.MIN_LABELLED and whole[1] > m and differ(m, b, whole[1] - m, whole[2] - b))
+            wild = pooled or not named
+            branch = branches.setdefault((key if named else "/*") + ("?" if wild and bare else ""), [[], False])
+            branch[0].extend(part)
+            branch[1] |= wild
+        smooth = lambda b, m: round((b + prior_urls * expected) / (m + prior_urls), 9)
+        groups, last = [], None
+        for part_name, (part, wild) in sorted(branches.items(), key=lambda x: (smooth(sums(x[1][0])[2], sums(x[1][0])[1]), x[0])):
+            _, m, b = sums(part)
+            if not m:
+                groups.append([[part_name], part, wild])
+            elif last is None or differ(m, b, last[0], last[1]):
+                groups.append([[part_name], part, wild])
+                last, into = (m, b), groups[-1]
+            else:
+                into[0].append(part_name)
+                into[1], into[2], last = into[1] + part, True, (m, b)
+        for names, part, wild in groups:
+            _, m, b = sums(part)
+            p = smooth(b, m) if m else expected
+            bad = p >= urls.REJECT and (m >= urls.MIN_LABELLED or len(shares) >= urls.MIN_BRANCHES)
+            grow(part, name + (names[0] if len(names) == 1 else "/{" + "|".join(sorted(names)) + "}"), level + 1, wild, expected, p, bad)
+
+    overall = all_b / max(all_l, 1)
+    for host in {r[0] for r in counted}:
+        grow([r for r in counted if r[0] == host], "", 0, False, overall, overall, False)
+    return out
+
+
+def judged(spark, counted):
+    return {(r.host, tuple(r.segs)): (r.template, r.purity, r.rejected) for r in urls.judge_paths(spark.createDataFrame(counted, COUNTED)).collect()}
+
+
+def test_urls_tree_equals_plain_version(spark):
+    rnd = random.Random(9)
+    for round_ in range(4):
+        rows = {}
+        for host in "abc":
+            bad = {s for s in "pqrstuvw" if rnd.random() < 0.6}
+            for _ in range(250):
+                segs = [rnd.choice("pqrstuvw" if rnd.random() < 0.8 else [f"x{rnd.randint(0, 99)}"]) for _ in range(rnd.randint(1, 4))]
+                n = rnd.randint(1, 12)
+                m = rnd.choice([0, 0, rnd.randint(0, n)])
+                rows[host, tuple(segs)] = (n, m, m if bad & set(segs[: 1 + round_ % 2]) else rnd.randint(0, m) // 3)
+        counted = [(h, list(s), *v) for (h, s), v in rows.items()]
+        want, got = plain_tree(counted), judged(spark, counted)
+        assert got.keys() == want.keys()
+        for k, (template, purity, bad) in want.items():
+            assert got[k][0] == template and got[k][1] == pytest.approx(purity, abs=1e-7) and got[k][2] == bad, (k, got[k], want[k])
+        assert len({t for t, *_ in want.values()}) > 30 and any("{" in t for t, *_ in want.values()) and any("?" in t for t, *_ in want.values())
+
+
 def test_urls_templates(spark):
-    """Unlabelled urls of a template whose labelled ones are blocked go; numbers and many children are wildcards."""
-    rules = (("block", "bad.org", "/spam/"), ("allow", "bad.org", "/ok/"))
-    rows = [f"http://bad.org/spam/{i}" for i in range(60)] + [f"http://bad.org/ok/{i}" for i in range(60)]
-    counted = [("h", ["a", str(i)], 1, 1, 1) for i in range(50)] + [("h", ["b", "x"], 30, 30, 0), ("h", ["c"], 5, 0, 0)]
-    named = urls.templates(spark.createDataFrame(counted, "host string, segs array<string>, n bigint, labelled bigint, blocked bigint"))
-    judged = {r.template: r for r in urls.judge_templates(named.select("host", "template", "n", "labelled", "blocked")).collect()}
-    assert set(judged) == {"/a/*", "/b/x", "/c"}
-    assert judged["/a/*"].rejected and not judged["/b/x"].rejected and not judged["/c"].rejected
-    out = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules=rules)
-    assert Counter(r.verdict for r in out.collect()) == {"block": 60, "allow": 60}
+    """Branches are judged by their labels, and stay apart where these differ."""
+    counted = [("h", ["a", str(i)], 2, 1, 1) for i in range(50)] + [("h", ["b", "x"], 60, 30, 0), ("h", ["c"], 5, 0, 0)]
+    got = judged(spark, counted)
+    assert all(r[2] == (k[1][0] == "a" and r[0] == "/a/*") for k, r in got.items())
+    assert {r[0] for r in got.values()} == {"/a/*", "/b/x", "/*?"}
+
+
+def test_urls_merged_branches(spark):
+    """Branches with like shares of blocked urls are one node, and what is alike below them, too."""
+    counted = [("h", [s, t], 40, 20, 20 * (t == "ads")) for s in ("en", "de", "fr") for t in ("ads", "news")] + [("h", ["ok", "ads"], 40, 20, 0)]
+    got = judged(spark, counted)
+    assert {r[0] for r in got.values()} == {"/{/de|/en|/fr}/ads", "/{/de|/en|/fr}/news", "/ok/ads"}
+    assert {k[1] for k, r in got.items() if r[2]} == {(s, "ads") for s in ("en", "de", "fr")}
 
 
 def test_urls_wildcards_by_share(spark):
     """Frequent and different segments stay branches however many others there are, and no path has the labels of another one."""
     counted = [("h", ["en", "{n}"], 400, 0, 0), ("h", ["es", "{n}"], 400, 400, 400), ("h", ["odd", "{n}"], 30, 30, 30)]
     counted += [("h", [f"good{i}", "{n}"], 5, 5, 0) for i in range(100)] + [("h", [f"new{i}", "{n}"], 5, 0, 0) for i in range(100)]
-    named = urls.templates(spark.createDataFrame(counted, "host string, segs array<string>, n bigint, labelled bigint, blocked bigint"))
-    at = {r.segs[0]: r.template for r in named.collect()}
-    assert len(at) == len(counted) and (at["en"], at["es"], at["odd"], at["good7"], at["new7"]) == ("/en/{n}", "/es/{n}", "/odd/{n}", "/*/{n}", "/*?/{n}?")
-    judged = {r.template for r in urls.judge_templates(named.select("host", "template", "n", "labelled", "blocked")).where("rejected").collect()}
-    assert judged == {"/es/{n}", "/odd/{n}"}
+    at = {k[1][0]: r for k, r in judged(spark, counted).items()}
+    assert len(at) == len(counted) and at["en"][0] == "/en/**" and at["good7"][0] == "/*/**" and at["new7"][0] == "/*?/**"
+    assert at["es"][0] == at["odd"][0] == "/{/es|/odd}/**"
+    assert {s for s, r in at.items() if r[2]} == {"es", "odd"}
+
+
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_urls_labels_reach_siblings(spark, monkeypatch, hot):
+    """A host whose labelled sections are all blocked loses the sections without labels; one with good sections or few labels doesn't."""
+    monkeypatch.setattr(urls, "COMMON_ROWS", hot)
+    monkeypatch.setattr(urls, "COMMON_SHARE", 10**6)
+    rules = [("block", "bad.org", f"/s{i}/") for i in range(20)] + [("block", "mixed.org", f"/s{i}/") for i in range(6)] + [("allow", "mixed.org", f"/s{i}/") for i in range(6, 12)]
+    rules += [("block", "few.org", f"/s{i}/") for i in range(2)] + [("allow", "fine.org", "/")]
+    rows = [f"http://{h}.org/s{i}/{k}" for h in ("bad", "mixed", "few", "fine") for i in range(25) for k in range(12)] + ["http://bad.org/", "http://bad.org/s24/1/" + "deep/" * 300]
+    out = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string"), rules=rules).collect()
+    assert len(out) == len(rows)
+    unknown = {(r.host, r.path): r.verdict for r in out if r.rule is None}
+    assert {v for (h, _), v in unknown.items() if h == "bad.org"} == {"block"} and len([1 for h, _ in unknown if h == "bad.org"]) == 62
+    assert {v for (h, _), v in unknown.items() if h != "bad.org"} == {"allow"}
+    # the same labels, given instead of rules
+    df = spark.createDataFrame([(r.page_id, rows[r.page_id], r.verdict if r.rule else None) for r in out], "page_id bigint, url string, verdict string")
+    again = urls.filter_urls(df, rules=(("allow", "nowhere", "/"),), known=F.col("verdict")).collect()
+    assert {r.page_id: r.verdict for r in again} == {r.page_id: r.verdict for r in out}
+
+
+def test_urls_long(spark):
+    """Very long urls, alone and often, and many rows of one url."""
+    rows = ["http://a.net/" + "x/" * 50000, "http://" + "h" * 100000, "http://a.net/es/" + "y" * 200000] * 2 + ["http://a.net/es/1"] * 40 + ["http://a.net/en/" + "z/" * 2000] * 30
+    out = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")).collect()
+    assert Counter((r.verdict, r.rule) for r in out) == {("allow", None): 34, ("block", "net/es/"): 42}
 
 
 @pytest.mark.parametrize("langs", [2, 20, 60])
