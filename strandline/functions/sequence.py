@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASES = ("A", "C", "G", "T")
@@ -249,3 +252,197 @@ def linkage_score(k: Column, n: Column, accuracy: float) -> Column:
     underflows to zero the score is infinite, where both do it is 0."""
     linked, chance = binomial_test(k, n, accuracy), binomial_test(k, n, 1 - accuracy)
     return F.when(chance > 0, F.log10(linked / F.nullif(chance, F.lit(0.0)) + 1)).when(linked > 0, F.lit(math.inf)).otherwise(F.lit(0.0))
+
+
+def clips(ops: Column, flag: Column) -> Column:
+    """Struct (start, end): the soft clips at the beginning and the end of the read as it was sequenced; a reverse alignment swaps them."""
+    a, b, back = soft_clip(ops), soft_clip(ops, end=True), reverse_strand(flag)
+    return F.struct(F.when(back, b).otherwise(a).alias("start"), F.when(back, a).otherwise(b).alias("end"))
+
+
+def read_title(name: Column) -> Column:
+    """Struct (movie, zmw, start, end) of `movie/zmw/start_end`; null if it has other parts."""
+    pattern = r"^([^/]+)/([0-9]+)/([0-9]+)_([0-9]+)$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    return F.when(name.rlike(pattern), F.struct(part(1).alias("movie"), part(2).try_cast("bigint").alias("zmw"), part(3).try_cast("bigint").alias("start"), part(4).try_cast("bigint").alias("end")))
+
+
+def first_with_prefix(values: Column, prefix: str, until: str | None = None) -> Column:
+    """What follows a prefix in the first value that has it, up to a mark if one is given and there; null without such a value."""
+    found = F.try_element_at(F.filter(values, lambda v: F.startswith(v, F.lit(prefix))), F.lit(1))
+    found = F.substr(found, F.lit(len(prefix) + 1))
+    return F.substring_index(found, until, 1) if until else found
+
+
+def end_distance(pos: Column, length: Column) -> Column:
+    """From a position to the nearer end."""
+    return F.least(pos, length - pos)
+
+
+def homopolymer_around(seq: Column, pos0: Column) -> Column:
+    """Length of the run of one base that a position lies in; 0 outside of the sequence."""
+    base = F.substr(seq, (pos0 + 1).cast("int"), F.lit(1))
+    run = lambda s: F.length(s) - F.length(F.ltrim(s, base))
+    before, behind = F.reverse(F.substr(seq, F.lit(1), pos0.cast("int"))), F.substr(seq, (pos0 + 1).cast("int"))
+    return F.when((pos0 >= 0) & (pos0 < F.length(seq)), run(before) + run(behind)).otherwise(F.lit(0)).cast("bigint")
+
+
+def one_base(seq: Column) -> Column:
+    """Whether a sequence has letters, all of them the same."""
+    return (F.length(seq) > 0) & (F.ltrim(seq, F.substr(seq, F.lit(1), F.lit(1))) == "")
+
+
+def mask_strand(seq: Column, start0: Column, end0: Column, reverse: Column) -> Column:
+    """hard_mask with coordinates that on the reverse strand count from the other end."""
+    n = F.length(seq)
+    return hard_mask(seq, F.when(reverse, n - end0).otherwise(start0), F.when(reverse, n - start0).otherwise(end0))
+
+
+def with_genotype_phase(line: Column, sample: Column) -> Column:
+    """A line of a VCF with a phase set: everywhere in it `GT` becomes `GT:PS` and `NA` becomes `0`; of the column names the last one
+    becomes the sample's. The replacement is textual, as the tool has it whose files are read."""
+    body = F.replace(F.replace(line, F.lit("GT"), F.lit("GT:PS")), F.lit("NA"), F.lit("0"))
+    return F.when(F.startswith(line, F.lit("#CHROM")), F.concat(F.regexp_replace(line, r"[^\t]*$", ""), sample)).when(F.startswith(line, F.lit("##")), line).otherwise(body)
+
+
+def scaled_identity(per_id: Column, kind: Column, kinds: tuple[str, ...]) -> Column:
+    """The whole part of an identity plus its fraction in the part of [0, 1) that belongs to its kind, so that kinds lie apart in a plot."""
+    place = F.array_position(F.array(*map(F.lit, kinds)), kind) - 1
+    return F.floor(per_id) + (place + per_id - F.floor(per_id)) / len(kinds)
+
+
+def regions_in(text: Column) -> Column:
+    """Array of (contig, start, end, rest) of a list of regions with semicolons between, each `contig:start-end` and what follows;
+    the contig goes to the last colon that numbers follow, and parts that are no region are left out."""
+    pattern = r"^(.*):(.*)-([0-9]*)(.*)$"
+    parts = F.filter(F.split(text, ";"), lambda p: F.regexp_like(p, F.lit(pattern)))
+    part = lambda p, k: F.regexp_extract(p, pattern, k)
+    return F.transform(parts, lambda p: F.struct(part(p, 1).alias("contig"), part(p, 2).try_cast("bigint").alias("start"), part(p, 3).try_cast("bigint").alias("end"), part(p, 4).alias("rest")))
+
+
+def cluster_name(name: Column) -> Column:
+    """Struct (prefix, grp, contigs, assembler, uid) of `prefix.P_grp.G_contigs.C_assembler.A_uid.U`, null if it is of another form."""
+    pattern = r"^(.*)\.([^.]*)_([0-9]+)\.([0-9]+)_([0-9]+)\.([^_.]*)_([0-9]+)$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    names = ("prefix", "grp", "contigs", "assembler", "uid")
+    values = (part(1), part(3).try_cast("int"), part(5).try_cast("int"), part(6), part(7).try_cast("bigint"))
+    return F.when(name.rlike(pattern), F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)]))
+
+
+def _walk(cigar: str) -> list[tuple[str, int]]:
+    return [(op, int(n)) for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar or "")]
+
+
+def condense_indels(cigar: Column, below: int) -> Column:
+    """The CIGAR with indels of one kind as one where only match blocks shorter than `below` lie between; these come behind it as one
+    M. The operations of a read are looked at in order, in Arrow batches."""
+
+    def one(text: str) -> str:
+        ops, out, i = _walk(text), [], 0
+        while i < len(ops):
+            op, n = ops[i]
+            match = 0
+            while op in "ID" and i + 2 < len(ops) and ops[i + 2][0] == op and ops[i + 1][0] in "M=X" and ops[i + 1][1] < below:
+                match, n, i = match + ops[i + 1][1], n + ops[i + 2][1], i + 2
+            out.append(f"{n}{op}")
+            if match:
+                out.append(f"{match}M")
+            i += 1
+        return "".join(out)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(cigar)
+
+
+def aligned_strings(cigar: Column, seq: Column) -> Column:
+    """Struct (query, target): the aligned letters of a read, `-` where one is deleted; below them `M`, `-` for an inserted letter, `D` for
+    a deleted one. In Arrow batches."""
+
+    def one(text: str, letters: str) -> tuple[str, str]:
+        q, query, target = 0, [], []
+        for op, n in _walk(text):
+            if op in "M=XI":
+                part = letters[q : q + n]
+                query.append(part)
+                target.append(("-" if op == "I" else "M") * len(part))
+            elif op == "D":
+                query.append("-" * n)
+                target.append("D" * n)
+            q += n * (op in "MIS=X")
+        return "".join(query), "".join(target)
+
+    def run(texts: pd.Series, seqs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(a, b or "") for a, b in zip(texts, seqs, strict=True)], columns=["query", "target"], dtype=object)
+
+    return F.pandas_udf(run, "query string, target string")(cigar, seq)
+
+
+def accuracy(cigar: Column, seq: Column, ref: Column) -> Column:
+    """(matches - mismatches - inserted and deleted letters) / matches of a read against the reference letters from its first aligned one
+    on; null without a match. In Arrow batches, each match block by numpy."""
+
+    def one(text: str, letters: str, other: str) -> float | None:
+        q = t = match = errors = 0
+        x, y = (np.frombuffer((s or "").upper().encode("utf-32-le"), np.uint32) for s in (letters, other))
+        for op, n in _walk(text):
+            if op in "M=X":
+                a, b = x[q : q + n], y[t : t + n]
+                size = min(len(a), len(b))
+                same = int((a[:size] == b[:size]).sum())
+                match, errors = match + same, errors + size - same
+            elif op in "ID":
+                errors += n
+            q, t = q + n * (op in "MIS=X"), t + n * (op in "MDN=X")
+        return (match - errors) / match if match else None
+
+    def run(texts: pd.Series, seqs: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([one(*r) for r in zip(texts, seqs, refs, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(cigar, seq, ref)
+
+
+def joined_contigs(contigs: DataFrame, spacer: int = 5000) -> DataFrame:
+    """Adds start0, where each contig begins in one sequence of all, in order of `k`, with `spacer` letters N between. contigs: k, seq. The
+    sequence itself is what `joined_sequence` makes; a start is the sum of what stands before, from ranges of k and shifts."""
+    return running_total(contigs.withColumn("_len", F.length("seq").cast("bigint") + spacer), "k", "_len", "start0").drop("_len")
+
+
+def joined_sequence(contigs: DataFrame, spacer: int = 5000) -> DataFrame:
+    """(k, value): the pieces of the joined sequence, in order of k: each contig with the spacer that stands before it, the first without."""
+    first = contigs.agg(F.min("k").alias("_first"))
+    x = contigs.crossJoin(F.broadcast(first))  # one row
+    return x.select("k", F.concat(F.when(F.col("k") == F.col("_first"), "").otherwise(F.repeat(F.lit("N"), F.lit(spacer))), "seq").alias("value"))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, ranges: int = 64) -> DataFrame:
+    """Adds the sum of a column over all rows before, in order of a column of different values, without putting all rows into one task."""
+    x = df.repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id())
+    before = lambda part: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_s", F.coalesce(F.sum(value).over(before("_p")), F.lit(0)))
+    sizes = x.groupBy("_p").agg(F.sum(value).alias("_n"))
+    # one row for each range
+    shift = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_t"))
+    return x.join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_s") + F.col("_t")).cast("bigint")).drop("_p", "_s", "_t")
+
+
+def padded_contigs(contigs: DataFrame, tiling: DataFrame, reads: DataFrame) -> DataFrame:
+    """(id, seq): contigs whose 5' end no edge leads to get the read that they begin with in front, reverse-complemented if the end is `B`,
+    and `_p` behind their id. contigs: id, seq; tiling: id, k (place), v, w (ends `read:E`); reads: read, seq."""
+    first = tiling.groupBy("id").agg(F.min_by("v", "k").alias("v"))
+    free = first.join(tiling.select(F.col("w").alias("v")).distinct(), "v", "left_anti")
+    x = free.select("id", F.substring_index("v", ":", 1).alias("read"), F.substring_index("v", ":", -1).alias("end"))
+    x = x.join(reads.select("read", F.col("seq").alias("pad")), "read")
+    x = x.select("id", F.when(F.col("end") == "B", reverse_complement(F.col("pad"))).otherwise(F.col("pad")).alias("pad"))
+    out = contigs.join(x, "id", "left")
+    return out.select(F.concat("id", F.when(F.col("pad").isNotNull(), "_p").otherwise("")).alias("id"), F.concat(F.coalesce("pad", F.lit("")), "seq").alias("seq"))
+
+
+def nearest_text(rows: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
+    """Adds `nearest`, the name with the fewest edits, the first in order among equals. names is a short list of fixed names, one row each;
+    it is collected and compared within each row."""
+    known = [r[0] for r in names.select(name).distinct().orderBy(name).collect()]
+    best = F.array_min(F.array(*[F.struct(F.levenshtein(F.col(text), F.lit(n)).alias("d"), F.lit(n).alias("n")) for n in known]))
+    return rows.withColumn("nearest", best["n"])

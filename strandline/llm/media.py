@@ -21,10 +21,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import text_column
+from strandline.llm.common import arrow_type, chunks, fields, text_column
 
 RATE = 8000
 PCM_RATE = 16000
@@ -184,36 +185,57 @@ def feature(codec: str, pcm: np.ndarray, rate: int) -> str:
     return f"{codec};ms={len(x) * 1000 // rate};peak={int(np.abs(x).max())};rms={math.isqrt(energy)};zero_crossings={crossings}"
 
 
+FIELDS = "n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,pcm_bytes:bigint,pcm_sha256:string,feature:string"
+FILES = ",media:binary,pcm:binary"
+#: Characters whose stored files leave a task at once, unless a single text is longer.
+FILE_CHARS = 500_000
+
+
+def _store(texts: list[str | None], keep: bool, pcm_rate: int) -> list[list]:
+    """The columns of FIELDS and, if kept, of FILES."""
+    sizes, files = [], []
+    for t in texts:
+        n, payload = payload_of(t)
+        sizes.append(n)
+        files.append(wave(codec_of(payload), payload, RATE))
+    read = [read_wave(f) for f in files]
+    pcm = [resample(x, rate, pcm_rate) for x, (_, rate, _) in zip(expand([(c, d) for c, _, d in read]), read, strict=True)]
+    stored = [wave("pcm", x.astype("<i2", copy=False).tobytes(), pcm_rate) for x in pcm]
+    cols = [
+        sizes,
+        [len(d) for _, _, d in read],
+        [hashlib.sha256(d).hexdigest() for _, _, d in read],
+        [zlib.crc32(d[-BLOCK:]) for _, _, d in read],
+        [len(f) for f in files],
+        [hashlib.sha256(f).hexdigest() for f in files],
+        [len(f) for f in stored],
+        [hashlib.sha256(f).hexdigest() for f in stored],
+        [feature(c, x, pcm_rate) for (c, _, _), x in zip(read, pcm, strict=True)],
+    ]
+    return [*cols, files, stored] if keep else cols
+
+
 def media_column(text: Column, keep: bool = True, pcm_rate: int = PCM_RATE) -> Column:
     """Struct column: n_bytes, payload_bytes, payload_sha256, tail_crc32 (all of the bytes read back), media_bytes,
     media_sha256, pcm_bytes, pcm_sha256, feature and, if kept, media and pcm, the two stored files."""
-
-    def work(texts):
-        sizes, files = [], []
-        for t in texts:
-            n, payload = payload_of(t)
-            sizes.append(n)
-            files.append(wave(codec_of(payload), payload, RATE))
-        read = [read_wave(f) for f in files]
-        pcm = [resample(x, rate, pcm_rate) for x, (_, rate, _) in zip(expand([(c, d) for c, _, d in read]), read, strict=True)]
-        stored = [wave("pcm", x.astype("<i2", copy=False).tobytes(), pcm_rate) for x in pcm]
-        cols = [
-            sizes,
-            [len(d) for _, _, d in read],
-            [hashlib.sha256(d).hexdigest() for _, _, d in read],
-            [zlib.crc32(d[-BLOCK:]) for _, _, d in read],
-            [len(f) for f in files],
-            [hashlib.sha256(f).hexdigest() for f in files],
-            [len(f) for f in stored],
-            [hashlib.sha256(f).hexdigest() for f in stored],
-            [feature(c, x, pcm_rate) for (c, _, _), x in zip(read, pcm, strict=True)],
-        ]
-        return [*cols, files, stored] if keep else cols
-
-    ddl = "n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,pcm_bytes:bigint,pcm_sha256:string,feature:string"
-    return text_column(text, ddl + ",media:binary,pcm:binary" * keep, lambda: work)
-
-
-def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """One row per row of docs: the id and the columns of media_column; other columns are left out."""
-    return docs.select(F.col(id_col), media_column(F.col(text_col), keep).alias("m")).select(id_col, "m.*")
+    return text_column(text, FIELDS + FILES * keep, lambda: lambda texts: _store(texts, keep, pcm_rate))
+
+
+def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, pcm_rate: int = PCM_RATE) -> DataFrame:
+    """One row per row of docs: the id and the columns of media_column; other columns are left out. Rows with files leave a task in
+    batches of their own, as files are several times the texts."""
+    if not keep:
+        return docs.select(F.col(id_col), media_column(F.col(text_col), False, pcm_rate).alias("m")).select(id_col, "m.*")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = fields(FIELDS + FILES)
+
+    def run(batches):
+        for b in batches:
+            at, texts = 0, b["text"]
+            for some in chunks(texts.to_pylist(), FILE_CHARS):
+                cols = [pa.array(c, arrow_type(t)) for c, (_, t) in zip(_store(some, True, pcm_rate), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(some)), *cols], ["id", *(n for n, _ in kinds)])
+                at += len(some)
+
+    out = given.mapInArrow(run, f"id {dict(given.dtypes)['id']}, " + ", ".join(f"{n} {t}" for n, t in kinds))
+    return out.withColumnRenamed("id", id_col)

@@ -38,6 +38,10 @@ class _Graph:
             side[a].add(b)
             side[b].add(a)
 
+    def similarity(self, a, b) -> int:
+        """Common neighbours."""
+        return len(self.plus[a] & self.plus[b])
+
     def gain(self, node, members: set, penalty: float) -> float:
         """Change of the total score if node joins members: its edges into them no longer leave, repulsion counts."""
         return penalty * len(self.minus[node] & members) - 2 * len(self.plus[node] & members)
@@ -50,42 +54,106 @@ class _Graph:
 
 
 def _grow(g: _Graph, rng: np.random.Generator, penalty: float, min_common: int) -> list[set]:
-    """Clusters grown from random seeds: a neighbour joins if it has enough common neighbours and the score falls."""
-    free, cuts = set(g.nodes), []
+    """Clusters grown from random seeds that no cluster has yet: a neighbour joins if it has enough common neighbours and the score
+    falls. Clusters may overlap."""
+    seen, cuts = set(), []
     for seed in rng.permutation(g.nodes).tolist():
-        if seed not in free:
+        if seed in seen:
             continue
         cut, queue = {seed}, [seed]
-        free.discard(seed)
         while queue:
             at = queue.pop(int(rng.integers(len(queue))))
-            for n in sorted(g.plus[at] & free):
-                common = len(g.plus[n] & g.plus[at])
-                if common >= min_common and g.gain(n, cut, penalty) < 0:
+            for n in sorted(g.plus[at] - cut):
+                if g.similarity(n, at) >= min_common and g.gain(n, cut, penalty) < 0:
                     cut.add(n)
-                    free.discard(n)
                     queue.append(n)
+        seen |= cut
         cuts.append(cut)
     return cuts
 
 
+def expansion_delta(g: _Graph, cut: set, more: set, penalty: float) -> float:
+    """Change of a cluster's score if some nodes outside join: their edges to the rest, and new repulsion times penalty, less their edges
+    into the cluster and among themselves."""
+    inside = sum(len(g.plus[n] & cut) for n in more)
+    among = sum(len(g.plus[n] & more) for n in more)
+    crossing = sum(len(g.plus[n] - cut - more) for n in more)
+    return crossing + penalty * sum(len(g.minus[n] & cut) for n in more) - inside - among
+
+
+def merge_reciprocal(cuts: list[set], ratio: float = 0.75) -> list[set]:
+    """Clusters of which two with more than a share of both in common are one; the first takes in every later one that fits it as it is
+    by then."""
+    out: list[set] = []
+    rest = [set(c) for c in cuts]
+    while rest:
+        first, others = rest[0], []
+        for c in rest[1:]:
+            common = len(first & c)
+            if common > ratio * len(first) and common > ratio * len(c):
+                first |= c
+            else:
+                others.append(c)
+        out.append(first)
+        rest = others
+    return out
+
+
+def unique_members(g: _Graph, cuts: list[set], penalty: float) -> list[set]:
+    """Nodes of several clusters stay in the one whose own score is lowest without them, the first among equals."""
+
+    def score(cut: set) -> float:
+        return sum(len(g.plus[n] - cut) for n in cut) + penalty * sum(len(g.minus[n] & cut) for n in cut) / 2
+
+    cuts = [set(c) for c in cuts]
+    for n in g.nodes:
+        own = [k for k, c in enumerate(cuts) if n in c]
+        if len(own) > 1:
+            keep = min(own, key=lambda k: (score(cuts[k] - {n}), k))
+            for k in own:
+                if k != keep:
+                    cuts[k].discard(n)
+    return [c for c in cuts if c]
+
+
+def without_torn(g: _Graph, cuts: list[set], cutoff: int) -> list[set]:
+    """Clusters without the nodes that have more than `cutoff` neighbours in each of several clusters."""
+    out = [set(c) for c in cuts]
+    for n in g.nodes:
+        near = [k for k in (len(g.plus[n] & c) for c in out) if k]
+        if len(near) > 1 and min(near) > cutoff:
+            for c in out:
+                c.discard(n)
+    return [c for c in out if c]
+
+
 def _merge(g: _Graph, cuts: list[set], penalty: float) -> list[set]:
-    """Joins the pair of clusters that lowers the score most, as long as one does."""
-    while len(cuts) > 1:
-        best, pair = 0.0, None
-        for i in range(len(cuts)):
-            for j in range(i + 1, len(cuts)):
-                delta = sum(penalty * len(g.minus[n] & cuts[j]) - 2 * len(g.plus[n] & cuts[j]) for n in cuts[i])
-                if delta < best:
-                    best, pair = delta, (i, j)
-        if pair is None:
-            break
-        cuts[pair[0]] |= cuts.pop(pair[1])
-    return cuts
+    """Joins the pair of clusters that lowers the score most, as long as one does. Only pairs with an edge between them can, and joining
+    two adds up what each has towards the others, so that pairs are counted once."""
+    where = {n: k for k, c in enumerate(cuts) for n in c}
+    delta: dict[int, dict[int, float]] = {k: {} for k in range(len(cuts))}
+    for side, cost in ((g.plus, -2.0), (g.minus, penalty)):
+        for n in where:
+            for m in side[n]:
+                a, b = where[n], where.get(m)
+                if b is not None and a != b:
+                    delta[a][b] = delta[a].get(b, 0.0) + cost
+    alive = {k: set(c) for k, c in enumerate(cuts)}
+    while True:
+        best = min(((d, a, b) for a, near in delta.items() for b, d in near.items() if a < b and d < 0), default=None)
+        if best is None:
+            return [alive[k] for k in sorted(alive)]
+        _, a, b = best
+        alive[a] |= alive.pop(b)
+        for c, d in delta.pop(b).items():
+            delta[c].pop(b)
+            if c != a:
+                delta[a][c] = delta[c][a] = delta[a].get(c, 0.0) + d
 
 
-def _swap(g: _Graph, cuts: list[set], penalty: float, rounds: int) -> list[set]:
-    """Moves single nodes to the cluster where they cost least."""
+def _swap(g: _Graph, cuts: list[set], penalty: float, rounds: int, min_gain: float = 0.0, min_similar: int = 0) -> list[set]:
+    """Moves single nodes to the cluster where they cost least, if that gains more than min_gain and some neighbour there has at least
+    min_similar neighbours in common with the node."""
     for _ in range(rounds):
         moved = False
         where = {n: k for k, c in enumerate(cuts) for n in c}
@@ -93,10 +161,10 @@ def _swap(g: _Graph, cuts: list[set], penalty: float, rounds: int) -> list[set]:
             if n not in where:
                 continue
             here = where[n]
-            near = sorted({where[m] for m in g.plus[n] if m in where} | {here})
-            cost = {k: g.gain(n, cuts[k] - {n}, penalty) for k in near}
-            k = min(near, key=lambda k: (cost[k], k != here))
-            if k != here and cost[k] < cost[here]:
+            fits = {where[m] for m in g.plus[n] if m in where and g.similarity(n, m) >= min_similar}
+            cost = {k: g.gain(n, cuts[k] - {n}, penalty) for k in sorted(fits | {here})}
+            k = min(cost, key=lambda k: (cost[k], k != here))
+            if k != here and cost[here] - cost[k] > min_gain:
                 cuts[here].discard(n)
                 cuts[k].add(n)
                 where[n] = k
@@ -107,16 +175,20 @@ def _swap(g: _Graph, cuts: list[set], penalty: float, rounds: int) -> list[set]:
 
 
 def correlation_clusters(
-    edges: DataFrame, restarts: int = 10, penalty: float = 5.0, min_common: int = 3, min_size: int = 4, min_span: int = 0, swap_rounds: int = 20, seed: int = 1
-) -> DataFrame:
+    edges: DataFrame, restarts: int = 10, penalty: float = 5.0, min_common: int = 3, min_size: int = 4, min_span: int = 0, swap_rounds: int = 20, seed: int = 1,
+    overlap: float = 0.75, min_gain: float = 10.0, min_similar: int = 3,
+) -> DataFrame:
     """(component, cut, node, score) of the best of some restarts in each component. edges: component, src, dst, sign (1 or -1).
-    Clusters of fewer than min_size nodes or a span under min_span are dropped; the same seed gives the same result."""
+    Grown clusters that have more than `overlap` of each other in common are merged, nodes get one cluster each, and clusters are joined
+    as long as that lowers the score; then single nodes move, for a gain over min_gain. Clusters of fewer than min_size nodes or a span
+    under min_span are dropped; the same seed gives the same result."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         component, restart = key
         g = _Graph(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["sign"].tolist())
         rng = np.random.default_rng([seed, int(component) & 0x7FFFFFFF, int(restart)])
-        cuts = _swap(g, _merge(g, _grow(g, rng, penalty, min_common), penalty), penalty, swap_rounds)
+        cuts = unique_members(g, merge_reciprocal(_grow(g, rng, penalty, min_common), overlap), penalty)
+        cuts = _swap(g, _merge(g, cuts, penalty), penalty, swap_rounds, min_gain, min_similar)
         score = g.total(cuts, penalty)
         cuts = sorted((sorted(c) for c in cuts if len(c) >= min_size and max(c) - min(c) >= min_span), key=lambda c: c[0])
         rows = [(component, restart, score, k, n) for k, c in enumerate(cuts) for n in c]
@@ -173,3 +245,141 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["component", "src", "dst", "weight"])
 
     return edges.groupBy("component").applyInPandas(kruskal, "component bigint, src bigint, dst bigint, weight double")
+
+
+def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, max_edges: int = 1 << 62) -> DataFrame:
+    """(component, node, root): nodes of each component joined along its triangles, those with the fewest missing neighbours first, until it
+    has at most max_nodes nodes and max_edges edges; a triangle is joined if its corners are still three different nodes. An edge between
+    joined nodes adds up the costs. edges: component, src, dst, cost; triangles: i, j, k, missing. One component is one task."""
+
+    def one(key: tuple, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, dict[int, float]] = {}
+        for a, b, c in e[["src", "dst", "cost"]].itertuples(index=False):
+            near.setdefault(a, {})[b] = c
+            near.setdefault(b, {})[a] = c
+        up = {n: n for n in near}
+        n_edges = len(e)
+
+        def root(n):
+            while up[n] != n:
+                up[n] = n = up[up[n]]
+            return n
+
+        alive = len(near)
+        for tri in t.sort_values(["missing", "i", "j", "k"])[["i", "j", "k"]].itertuples(index=False):
+            if alive <= max_nodes and n_edges <= max_edges:
+                break
+            a, *others = [root(n) for n in tri]
+            if len({a, *others}) < 3:
+                continue
+            for b in others:
+                for m, cost in near.pop(b).items():
+                    near[m].pop(b)
+                    if m == a or m in near[a]:
+                        n_edges -= 1
+                    if m != a:
+                        near[a][m] = near[m][a] = near[a].get(m, 0.0) + cost
+                up[b] = a
+            alive -= 2
+        return pd.DataFrame([(key[0], n, root(n)) for n in sorted(up)], columns=["component", "node", "root"])
+
+    by = edges.select(F.explode(F.array("src", "dst")).alias("i"), F.col("component").alias("of")).distinct()
+    own = triangles.join(by, "i").select("of", "i", "j", "k", "missing")
+    return edges.groupBy("component").cogroup(own.groupBy("of")).applyInPandas(one, "component bigint, node bigint, root bigint")
+
+
+def partition_graph(edges: DataFrame, parts: int, rounds: int = 1000, seed: int = 1) -> DataFrame:
+    """(component, node, part, score): nodes of each component dealt into `parts` parts of like size at random, then pairs of nodes of two
+    parts that each lean to the other one's change places, round by round, until the score stays: the weights within parts less those
+    between, both ways. edges: component, src, dst, weight. One component is one task."""
+
+    def one(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(e[["src", "dst"]].to_numpy())
+        a, b = (np.searchsorted(nodes, e[c].to_numpy()) for c in ("src", "dst"))
+        w = e["weight"].to_numpy(float)
+        rng = np.random.default_rng([seed, int(key[0]) & 0x7FFFFFFF])
+        part = rng.permutation(np.arange(len(nodes)) % parts)
+        score = lambda: float(2 * np.where(part[a] == part[b], w, -w).sum())
+        now = score()
+        for _ in range(rounds):
+            pull = np.zeros((len(nodes), parts))
+            np.add.at(pull, (a, part[b]), w)
+            np.add.at(pull, (b, part[a]), w)
+            to = pull.argmax(axis=1)
+            before = part.copy()
+            want: dict[tuple[int, int], list[int]] = {}
+            for n in rng.permutation(len(nodes)).tolist():
+                p, q = int(before[n]), int(to[n])
+                if p == q or pull[n, q] <= pull[n, p]:
+                    continue
+                if partners := want.get((q, p)):
+                    part[n], part[partners.pop()] = q, p
+                else:
+                    want.setdefault((p, q), []).append(n)
+            after = score()
+            if after <= now:
+                part = before
+                break
+            now = after
+        return pd.DataFrame({"component": key[0], "node": nodes, "part": part.astype(np.int32), "score": now})
+
+    return edges.groupBy("component").applyInPandas(one, "component bigint, node bigint, part int, score double")
+
+
+def clique_numbers(edges: DataFrame) -> DataFrame:
+    """(component, node, clique): the size of the largest clique that each node is in. edges: component, src, dst. The search is exponential
+    in the worst case; one component is one task, so this is for small ones."""
+
+    def one(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        for a, b in e[["src", "dst"]].itertuples(index=False):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        best = dict.fromkeys(near, 1)
+        stack = [(frozenset(), set(near), set())]
+        while stack:
+            clique, maybe, done = stack.pop()
+            if not maybe and not done:
+                for n in clique:
+                    best[n] = max(best[n], len(clique))
+                continue
+            if not maybe:
+                continue
+            pivot = max(maybe | done, key=lambda n: len(near[n] & maybe))
+            for n in sorted(maybe - near[pivot]):
+                stack.append((clique | {n}, maybe & near[n], done & near[n]))
+                maybe = maybe - {n}
+                done = done | {n}
+        return pd.DataFrame([(key[0], n, k) for n, k in sorted(best.items())], columns=["component", "node", "clique"])
+
+    return edges.groupBy("component").applyInPandas(one, "component bigint, node bigint, clique int")
+
+
+def traceback(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[str, str, int]:
+    """The letters of both texts in the best local alignment, and its score; on the way back a gap in a goes before one in b, and these before
+    a pair."""
+    h = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i, c in enumerate(a, 1):
+        for j, d in enumerate(b, 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (match if c == d else mismatch), h[i - 1, j] + gap, h[i, j - 1] + gap)
+    i, j = (int(k) for k in np.unravel_index(h.argmax(), h.shape))
+    best, i_end, j_end = int(h[i, j]), i, j
+    while h[i, j] > 0:
+        if h[i, j] == h[i, j - 1] + gap:
+            j -= 1
+        elif h[i, j] == h[i - 1, j] + gap:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+    return a[i:i_end], b[j:j_end], best
+
+
+def local_alignments(pairs: DataFrame) -> DataFrame:
+    """(id, part_a, part_b, score) of columns a and b, by traceback; nulls count as empty. Memory grows with the product of the lengths."""
+
+    def work(frames):
+        for f in frames:
+            got = [traceback(x or "", y or "") for x, y in zip(f["a"], f["b"], strict=True)]
+            yield pd.DataFrame({"id": f["id"], "part_a": [g[0] for g in got], "part_b": [g[1] for g in got], "score": [g[2] for g in got]})
+
+    return pairs.select("id", "a", "b").mapInPandas(work, "id bigint, part_a string, part_b string, score bigint")

@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import linkage_score, minor_allele
+from strandline.operators.alignment import number_rows
 from strandline.operators.graph import both_ways, cut_lineage
+from strandline.operators.intervals import overlap_join
+
+#: Sites of a region, or reads on a site, that one key of a join of all pairs has on either side, about.
+BLOCK = 1024
 
 
 def site_counts(matrix: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def read_bounds(matrix: DataFrame) -> DataFrame:
     return out.select("read_id", F.when(few, 0).otherwise(F.col("a")).alias("first"), F.when(few, 0).otherwise(F.col("b")).alias("last"))
 
 
-def linkage(matrix: DataFrame, min_cov: int, max_cov: int, min_shared: int = 5, accuracy: float = 0.8, order: str = "read_id") -> DataFrame:
+def linkage(matrix: DataFrame, min_cov: int, max_cov: int, min_shared: int = 5, accuracy: float = 0.8, order: str = "read_id", zero_pairs: bool = True) -> DataFrame:
     """For sites i < j where i has a minor allele: n_overlap (reads with both), n_i and n_j (of these, reads with the minor
     allele), n_shared (with both), lrt_i, lrt_j and lrt, the smaller one.
 
@@ -63,17 +68,21 @@ def linkage(matrix: DataFrame, min_cov: int, max_cov: int, min_shared: int = 5,
     sites = sites.select("site", F.when(F.col("minor") == ".", 0).when(F.col("minor") == "1", 1).alias("m"))
     reads = matrix.join(sites, "site").select("read_id", F.col(order).alias("place"), "site", F.coalesce((F.col("allele") == F.col("m")).cast("int"), F.lit(0)).alias("has"))
     ends = reads.where("has = 1").groupBy("site").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    left = ends.select(F.col("site").alias("i"), "last")
-    right = sites.select("site").join(ends, "site", "left").select(F.col("site").alias("j"), "first")
-    # sites x sites of one region; above 32 bits a site has the number of its region
-    region = F.shiftright(F.col("i").cast("bigint"), 32) == F.shiftright(F.col("j").cast("bigint"), 32)
-    pairs = left.join(right, region & (F.col("i") < F.col("j")) & (F.col("first").isNull() | (F.col("first") <= F.col("last")))).select("i", "j")
+    # above 32 bits a site has the number of its region
+    of = lambda c: F.shiftright(F.col(c).cast("bigint"), 32)
+    region = of("i") == of("j")
+    blocks = ends.groupBy(of("site").alias("region")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    left = ends.select(F.col("site").alias("i"), "last", of("site").alias("region")).join(blocks, "region")
+    left = left.select("i", "last", "region", F.pmod(F.xxhash64("i"), F.col("of")).cast("int").alias("block"))
+    right = sites.select("site").join(ends, "site", "left").select(F.col("site").alias("j"), "first", of("site").alias("region")).join(blocks, "region")
+    right = right.select("j", "first", "region", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"))
+    pairs = left.join(right, ["region", "block"]).where((F.col("i") < F.col("j")) & (F.col("first").isNull() | (F.col("first") <= F.col("last")))).select("i", "j")
     a = reads.join(ends, "site", "left_semi").select("read_id", F.col("site").alias("i"), F.col("has").alias("x"))
     b = reads.select("read_id", F.col("site").alias("j"), F.col("has").alias("y"))
     counts = a.join(b, "read_id").where(region & (F.col("i") < F.col("j"))).groupBy("i", "j").agg(
         F.count("*").alias("n_overlap"), F.sum("x").alias("n_i"), F.sum("y").alias("n_j"), F.sum(F.col("x") * F.col("y")).alias("n_shared")
     )
-    out = pairs.join(counts, ["i", "j"], "left").select("i", "j", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_overlap", "n_i", "n_j", "n_shared")])
+    out = pairs.join(counts, ["i", "j"], "left" if zero_pairs else "inner").select("i", "j", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_overlap", "n_i", "n_j", "n_shared")])
     score = lambda n: F.when(F.col("n_shared") >= min_shared, linkage_score(F.col("n_shared"), F.col(n), accuracy)).otherwise(F.lit(0.0))
     return out.withColumn("lrt_i", score("n_i")).withColumn("lrt_j", score("n_j")).withColumn("lrt", F.least("lrt_i", "lrt_j"))
 
@@ -98,12 +107,23 @@ def repulsion_edges(links: DataFrame, edges: DataFrame, components: DataFrame, m
     return x.where((F.col("ci") == F.col("cj")) & inside).select(F.col("i").alias("src"), F.col("j").alias("dst"))
 
 
+def _site_pairs(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of a site's reads with each other on (site, p, q): p is the block of the left read, q of the right one."""
+    of = matrix.groupBy("site").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    x = matrix.join(of, "site").withColumn("own", F.pmod(F.xxhash64("read_id"), F.col("of")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    side = lambda mine, other: x.select(*matrix.columns, F.col("own").alias(mine), every.alias(other))
+    return side("p", "q"), side("q", "p")
+
+
 def read_scores(matrix: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """(a, b, matches, mismatches, score) of reads a < b with a common site."""
-    x = matrix.select("site", F.col("read_id").alias("a"), F.col("allele").alias("x"))
-    y = matrix.select("site", F.col("read_id").alias("b"), F.col("allele").alias("y"))
+    """(a, b, matches, mismatches, score) of reads a < b with a common site. The reads on a site are dealt into blocks, and every block
+    meets every other one, so that a deep site is many keys."""
+    x, y = _site_pairs(matrix.select("site", "read_id", "allele"))
+    x = x.select("site", "p", "q", F.col("read_id").alias("a"), F.col("allele").alias("x"))
+    y = y.select("site", "p", "q", F.col("read_id").alias("b"), F.col("allele").alias("y"))
     same = F.col("x") == F.col("y")
-    out = x.join(y, "site").where("a < b").groupBy("a", "b").agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("mismatches"))
+    out = x.join(y, ["site", "p", "q"]).where("a < b").groupBy("a", "b").agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("mismatches"))
     return out.withColumn("score", F.col("matches") - penalty * F.col("mismatches"))
 
 
@@ -218,3 +238,72 @@ def smooth(matrix: DataFrame, edges: DataFrame, rounds: int = 10, min_changes: i
         if changed < min_changes:
             break
     return m
+
+
+def fragment_overlaps(matrix: DataFrame) -> DataFrame:
+    """(a, b, n_shared, n_equal) of reads a < b whose spans, from first to last site, share a position: common sites, and those with
+    equal alleles. Reads with fewer than two different sites have no span. Spans meet in bins of the mean span."""
+    span = matrix.groupBy("read_id").agg(F.min("site").alias("start0"), F.max("site").alias("end0")).where("start0 < end0")
+    span = span.select(F.lit(0).alias("contig"), "read_id", F.col("start0").cast("bigint").alias("start0"), (F.col("end0").cast("bigint") + 1).alias("end0"))
+    width = span.agg(F.avg(F.col("end0") - F.col("start0")).alias("w")).first()["w"]
+    pairs = overlap_join(span, span, max(1, int(width or 1))).where("read_id < b_read_id").select(F.col("read_id").alias("a"), F.col("b_read_id").alias("b"))
+    shared = read_scores(matrix).select("a", "b", "matches", "mismatches")
+    n = lambda c, name: F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", n(F.col("matches") + F.col("mismatches"), "n_shared"), n(F.col("matches"), "n_equal"))
+
+
+def overlap_graph(overlaps: DataFrame, min_shared: int = 1, min_equal: float = 0.0) -> DataFrame:
+    """(src, dst, weight) of overlapping reads with enough common sites, of which at least a share are equal; weight is that share."""
+    share = F.col("n_equal") / F.col("n_shared")
+    return overlaps.where(F.col("n_shared") >= max(1, min_shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"), share.alias("weight")).where(F.col("weight") >= min_equal)
+
+
+def agreement_graph(scores: DataFrame, coverage: int) -> DataFrame:
+    """(src, dst, weight): each read with its k best partners, k the smaller one of `coverage` and its number of partners; an edge that both
+    ends choose comes once."""
+    best = top_neighbours(scores, coverage)
+    return best.select(F.least("read_id", "other").alias("src"), F.greatest("read_id", "other").alias("dst"), F.col("score").alias("weight")).distinct()
+
+
+def site_triples(matrix: DataFrame, radius: int) -> DataFrame:
+    """(i, j, k, n): triples of a read's sites, in order, from first to last fewer than `radius` places apart, and in how many reads."""
+    place = F.row_number().over(Window.partitionBy("read_id").orderBy("site"))
+    x = matrix.select("read_id", "site", place.alias("r"))
+    side = lambda s, r: x.select("read_id", F.col("site").alias(s), F.col("r").alias(r))
+    # a place meets those behind it by its number, so that a read with many sites is no key of all pairs
+    near = lambda r, new: F.explode(F.sequence(F.col(r) + 1, F.col(r) + radius - 1)).alias(new)
+    two = side("i", "ri").select("*", near("ri", "rj")).join(side("j", "rj"), ["read_id", "rj"])
+    three = two.select("*", near("rj", "rk")).where(F.col("rk") - F.col("ri") < radius).join(side("k", "rk"), ["read_id", "rk"])
+    return three.groupBy("i", "j", "k").agg(F.count("*").alias("n"))
+
+
+def position_lookup(fragments: DataFrame, sites: DataFrame) -> DataFrame:
+    """Fragments' positions with the site of the same number, whatever its contig; of several sites the last one in file order counts.
+    fragments: ..., pos; sites: pos, line_no, ..."""
+    keep = [c for c in sites.columns if c not in ("pos", "line_no")]
+    last = sites.groupBy("pos").agg(F.max_by(F.struct(*keep), "line_no").alias("_s")).select("pos", "_s.*")
+    return fragments.join(last, "pos")
+
+
+def indexed_alleles(fragments: DataFrame, sites: DataFrame) -> DataFrame:
+    """(read_id, snv, allele) of fragments' SNVs by the number of their site in order of position, from 0; of a repeated position the
+    first one counts. fragments: read_id, k (place in the row), pos, allele; sites: pos."""
+    number = number_rows(sites.select("pos").distinct(), ["pos"], "_n").select("pos", (F.col("_n") - 1).alias("snv"))
+    first = fragments.groupBy("read_id", "pos").agg(F.min(F.struct("k", "allele"))["allele"].alias("allele"))
+    return first.join(number, "pos").select("read_id", "snv", "allele")
+
+
+def drop_last_site(matrix: DataFrame) -> DataFrame:
+    """The matrix without the last site of all, which an old writer leaves without a signal in every read."""
+    last = matrix.agg(F.max("site").alias("_last"))
+    return matrix.crossJoin(F.broadcast(last)).where("site < _last").drop("_last")  # one row
+
+
+def minor_read_groups(matrix: DataFrame, groups: DataFrame, min_cov: int, max_cov: int) -> DataFrame:
+    """(site, minor, n, grp, share): of each site with a minor allele, how many reads have it, and the group that most of them are in,
+    the smallest one among equals, with its share."""
+    sites = minor_alleles(matrix, min_cov, max_cov).where("minor is not null").select("site", "minor")
+    has = matrix.join(sites, "site").where(F.col("allele") == F.when(F.col("minor") == ".", 0).otherwise(1)).join(groups, "read_id")
+    n = has.groupBy("site", "minor", "grp").agg(F.count("*").alias("k"))
+    best = n.groupBy("site", "minor").agg(F.sum("k").alias("n"), F.max(F.struct("k", (-F.col("grp")).alias("g"))).alias("b"))
+    return best.select("site", "minor", "n", (-F.col("b.g")).alias("grp"), (F.col("b.k") / F.col("n")).alias("share"))

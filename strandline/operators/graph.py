@@ -172,3 +172,65 @@ def prune_cut_tree(tree: DataFrame, min_cut: int, min_size: int = 0) -> DataFram
     c = nodes.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     large = c.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("component")
     return c.join(large, "component", "left_semi").select("node", "component")
+
+
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (column node) that are an end of some edge."""
+    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
+
+
+def thin_repulsion(repulsion: DataFrame, edges: DataFrame, factor: float = 1.0) -> DataFrame:
+    """(node, other): of each node with more repulsion than `factor` times its edges, that many, evenly spread over the others in order;
+    of other nodes all. Nodes without an edge are left out."""
+    both = both_ways(repulsion).select(F.col("a").alias("node"), F.col("b").alias("other"))
+    w = Window.partitionBy("node")
+    x = both.withColumn("_i", F.row_number().over(w.orderBy("other")) - 1).withColumn("_n", F.count("*").over(w))
+    x = x.join(degrees(edges).select("node", (F.col("degree") * factor).alias("_most")), "node")
+    # the i-th of n stays where the number of kept ones, i * most / n, reaches the next whole number
+    kept = lambda i: F.floor(i * F.col("_most") / F.col("_n"))
+    return x.where((F.col("_n") <= F.col("_most")) | (kept(F.col("_i") + 1) > kept(F.col("_i")))).select("node", "other")
+
+
+def triangle_scores(edges: DataFrame) -> DataFrame:
+    """(i, j, k, missing, phase, repulsion) of the triangles of attracting edges: how many neighbours of each corner are not common to all
+    three; pairs of corners times their common neighbours, both ways; and neighbours of one corner that repel another. edges: src, dst,
+    sign, src < dst."""
+    plus = edges.where("sign > 0").select("src", "dst")
+    t = triangles(plus)
+    nb = both_ways(plus)
+    corners = t.select("i", "j", "k", F.explode(F.array("i", "j", "k")).alias("a"))
+    near = corners.join(nb, "a").groupBy("i", "j", "k", "b").agg(F.count("*").alias("n"))
+    # a node next to n corners is n - 1 common neighbours for each of them; next to all three it is missing from none
+    each = near.groupBy("i", "j", "k").agg(F.sum(F.when(F.col("n") < 3, F.col("n")).otherwise(0)).alias("missing"), F.sum(F.col("n") * (F.col("n") - 1)).alias("phase"))
+    minus = both_ways(edges.where("sign < 0"))
+    away = corners.join(minus, "a").select("i", "j", "k", F.col("a").alias("c"), "b")
+    # neighbours of one corner that repel another one
+    both = corners.join(nb, "a").select("i", "j", "k", "a", "b").join(away, ["i", "j", "k", "b"]).where("a <> c")
+    rep = both.groupBy("i", "j", "k").agg(F.count("*").alias("repulsion"))
+    return each.join(rep, ["i", "j", "k"], "left").select("i", "j", "k", "missing", "phase", F.coalesce("repulsion", F.lit(0)).cast("bigint").alias("repulsion"))
+
+
+def repulsion_detour(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, node, difference): by how many edges the shortest path is shorter if repelling edges count as edges, too, for nodes that
+    attracting edges alone reach within `most` steps. edges: src, dst, sign."""
+    with_all = path_lengths(edges, sources, most).withColumnRenamed("steps", "steps_all")
+    without = path_lengths(edges.where("sign > 0"), sources, most)
+    return without.join(with_all, ["source", "node"]).select("source", "node", (F.col("steps") - F.col("steps_all")).alias("difference"))
+
+
+def colored(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes with the number of their cut as `color`, null without one; of several cuts the smallest. Drop the column to clear it."""
+    own = members.groupBy("node").agg(F.min("cut").alias("color"))
+    return nodes.join(own, "node", "left")
+
+
+def without_solved(edges: DataFrame, solution: DataFrame, threshold: float) -> DataFrame:
+    """Edges but those to which a solver's report gives more than a threshold. solution: src, dst, value."""
+    gone = solution.where(F.col("value") > threshold).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    ends = edges.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    return ends.join(gone.select(F.col("src").alias("_a"), F.col("dst").alias("_b")), ["_a", "_b"], "left_anti").drop("_a", "_b")
+
+
+def without_negative(edges: DataFrame, cost: str = "cost") -> DataFrame:
+    """Edges whose cost isn't negative; one without a cost has none."""
+    return edges.where(F.coalesce(F.col(cost), F.lit(0)) >= 0)

@@ -1,12 +1,15 @@
 """Interval algebra on half-open, 0-based intervals (contig, start0, end0).
 
 Joins on overlap are equi-joins on (contig, bin): an interval goes to every bin that it touches, and a pair counts in the bin
-of its first common position only. Bins bound the rows of a key, so that a long or hot contig is spread over tasks. Merging needs
-an order within a contig; `merge` first merges within bins, so that a hot contig is reduced before its window runs.
+of its first common position only. Bins bound the rows of a key, so that a long or hot contig is spread over tasks. Merging works
+within bins, too: what reaches a bin from those before comes from a table of one row for each bin.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def _bins(start: str, end: str, width: int) -> Column:
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner") -> DataFrame:
     """Pairs with at least one common position, with `ov`, the overlap length. Columns of b get the prefix `b_`, contig apart.
-    how = "left": rows of a without a partner come once, with ov 0 and nulls (rows of a must be distinct or carry an id)."""
+    how = "left": rows of a without a partner come once, with ov 0 and nulls; nulls in other columns and equal rows don't matter."""
     right = b.select(*[F.col(c).alias("contig" if c == "contig" else f"b_{c}") for c in b.columns])
     x = a.withColumn("bin", _bins("start0", "end0", width))
     y = right.withColumn("bin", _bins("b_start0", "b_end0", width))
@@ -27,7 +30,9 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner") ->
     pairs = pairs.withColumn("ov", end - start).select(*a.columns, *[c for c in right.columns if c != "contig"], "ov")
     if how == "inner":
         return pairs
-    lonely = a.join(pairs.select(*a.columns).distinct(), a.columns, "left_anti")
+    met = pairs.select(*[F.col(c).alias(f"_{c}") for c in a.columns]).distinct()
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in a.columns])
+    lonely = a.join(met, same, "left_anti")
     return pairs.unionByName(lonely.withColumn("ov", F.lit(0).cast("bigint")), allowMissingColumns=True)
 
 
@@ -49,29 +54,36 @@ def window_coverage(wins: DataFrame, reads: DataFrame, width: int) -> DataFrame:
     return out.select("contig", "start0", "end0", (F.coalesce("covered", F.lit(0)) / (F.col("end0") - F.col("start0"))).alias("coverage"))
 
 
-def islands(df: DataFrame, distance: int) -> DataFrame:
-    """Adds `grp`: intervals of a contig that overlap or lie at most `distance` apart share it (-1: one base in common)."""
-    w = Window.partitionBy("contig").orderBy("start0", "end0")
-    reach = F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _carried(x: DataFrame, what: Column, name: str) -> DataFrame:
+    """Adds what an aggregate over all earlier bins of the contig gives. One row for each bin is in order, not the intervals."""
+    per = x.groupBy(F.col("contig").alias("_c"), F.col("_bin").alias("_b")).agg(what.alias("_v"))
+    before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.max("_v") if name == "_reach" else F.sum("_v")
+    per = per.select("_c", "_b", over.over(before).alias(name))
+    return x.join(per, F.col("contig").eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b"))).drop("_c", "_b")
+
+
+def islands(df: DataFrame, distance: int, width: int = 1 << 20) -> DataFrame:
+    """Adds `grp`: intervals of a contig that overlap or lie at most `distance` apart share it (-1: one base in common). Intervals
+    are in order within bins of `width` positions only, so that a hot contig is many tasks."""
+    x = _carried(df.withColumn("_bin", F.floor(F.col("start0") / width)), F.max("end0"), "_reach")
+    w = Window.partitionBy("contig", "_bin").orderBy("start0", "end0")
+    reach = F.greatest(F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    x = x.withColumn("_new", F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0))
+    x = _carried(x, F.sum("_new"), "_base")
+    grp = F.coalesce("_base", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("grp", grp).select(*df.columns, "grp")
 
 
-def merge(df: DataFrame, distance: int = 0, *aggs: Column) -> DataFrame:
+def merge(df: DataFrame, distance: int = 0, *aggs: Column, width: int = 1 << 20) -> DataFrame:
     """Merged intervals of each contig, with `n`, how many went in, and further aggregates over their rows."""
-    out = islands(df, distance).groupBy("contig", "grp")
+    out = islands(df, distance, width).groupBy("contig", "grp")
     return out.agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"), F.count("*").alias("n"), *aggs).drop("grp")
 
 
 def merge_spans(df: DataFrame, distance: int = 0, width: int = 1 << 20) -> DataFrame:
-    """As merge, without counts, for contigs too large for one task: spans are merged within bins of their start first."""
-    local = Window.partitionBy("contig", "_bin").orderBy("start0", "end0")
-    x = df.select("contig", "start0", "end0", F.floor(F.col("start0") / width).alias("_bin"))
-    reach = F.max("end0").over(local.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_new", F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0))
-    x = x.withColumn("_g", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.groupBy("contig", "_bin", "_g").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
-    return merge(x.select("contig", "start0", "end0"), distance).drop("n")
+    """As merge, without counts."""
+    return merge(df.select("contig", "start0", "end0"), distance, width=width).drop("n")
 
 
 def trimmed_stats(df: DataFrame, column: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -116,7 +128,7 @@ def parse_region(text: Column) -> Column:
     clean = F.replace(text, F.lit(","), F.lit(""))
     pattern = r"^(.+):([0-9]+)-([0-9]+)$"
     part = lambda k: F.regexp_extract(clean, pattern, k)
-    return F.when(clean.rlike(pattern), F.struct(part(1).alias("contig"), part(2).cast("bigint").alias("start0"), part(3).cast("bigint").alias("end0")))
+    return F.when(clean.rlike(pattern), F.struct(part(1).alias("contig"), part(2).try_cast("bigint").alias("start0"), part(3).try_cast("bigint").alias("end0")))
 
 
 def format_region(contig: Column, start: Column, end: Column) -> Column:
@@ -128,3 +140,36 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, width: int) ->
     x = intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor(F.col("end0") / width))))
     y = points.withColumn("bin", F.floor(F.col("p") / width))
     return x.join(y, ["contig", "bin"]).where("p >= start0 and p <= end0").drop("bin")
+
+
+def gap_between(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """Positions between two intervals, from the one that ends first; negative if they overlap."""
+    return F.when(end < other_end, other_start - end).otherwise(start - other_end)
+
+
+def overlap_length(start: Column, end: Column, other_start: Column, other_end: Column, compat: bool = False) -> Column:
+    """Common positions, 0 if there are none. compat: as an old tool has it, from the end of the one that ends first back to the start
+    of the other, also where one holds the other."""
+    if not compat:
+        return F.greatest(F.lit(0), F.least(end, other_end) - F.greatest(start, other_start))
+    first = end < other_end
+    back = F.when(first, end - other_start).otherwise(other_end - start)
+    return F.greatest(F.lit(0), back)
+
+
+def reciprocal_overlap(a: DataFrame, b: DataFrame, width: int, fraction: float) -> DataFrame:
+    """Pairs of overlap_join whose overlap is over `fraction` of both."""
+    of = lambda s, e: F.col("ov") > fraction * (F.col(e) - F.col(s))
+    return overlap_join(a, b, width).where(of("start0", "end0") & of("b_start0", "b_end0"))
+
+
+def uncovered_fraction(part: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: `fraction`, one less the merged length of part over that of whole. Null without a length."""
+    total = lambda d, n: merge_spans(d).agg(F.sum(F.col("end0") - F.col("start0")).alias(n))
+    both = total(part, "p").crossJoin(F.broadcast(total(whole, "w")))  # one row each
+    return both.select((1 - F.try_divide(F.coalesce("p", F.lit(0)), F.col("w"))).alias("fraction"))
+
+
+def in_region(df: DataFrame, contig: str, start0: int, end0: int) -> DataFrame:
+    """Intervals that share a position with a region; plain comparisons, so that Parquet's statistics skip the others."""
+    return df.where((F.col("contig") == contig) & (F.col("start0") < end0) & (F.col("end0") > start0))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,3 +163,210 @@ def most_frequent(df: DataFrame, name: str, *keys: str) -> DataFrame:
     c = df.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), name)
     return c.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def natural_full_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Full outer join on all common columns, in which nulls are equal."""
+    common = [c for c in a.columns if c in b.columns]
+    x, y = a.alias("_a"), b.alias("_b")
+    same = reduce(and_, [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in common], F.lit(True))
+    keys = [F.coalesce(f"_a.{c}", f"_b.{c}").alias(c) for c in common]
+    mine = [F.col(f"_a.{c}") for c in a.columns if c not in common]
+    return x.join(y, same, "full_outer").select(*keys, *mine, *[F.col(f"_b.{c}") for c in b.columns if c not in common])
+
+
+def in_all(*tables: DataFrame) -> DataFrame:
+    """Rows that every table has, once."""
+    return reduce(lambda x, y: x.intersect(y), tables)
+
+
+def stacked(*tables: DataFrame) -> DataFrame:
+    """All rows of tables with different columns; what a table lacks is null. Tables without columns are left out."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [t for t in tables if t.columns])
+
+
+def reciprocal_members(a: DataFrame, b: DataFrame, fraction: float) -> DataFrame:
+    """(x, y, common) of sets that have more than a fraction of both in common. a and b: set, member, each pair once."""
+    size = lambda d, s, n: d.groupBy(F.col("set").alias(s)).agg(F.count("*").alias(n))
+    both = a.select(F.col("set").alias("x"), "member").join(b.select(F.col("set").alias("y"), "member"), "member")
+    both = both.groupBy("x", "y").agg(F.count("*").alias("common")).join(size(a, "x", "n"), "x").join(size(b, "y", "m"), "y")
+    return both.where((F.col("common") > fraction * F.col("n")) & (F.col("common") > fraction * F.col("m"))).select("x", "y", "common")
+
+
+def quantile_filter(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, log: bool = False) -> DataFrame:
+    """Rows whose value lies within two percentiles, both included, with `value`, which is its logarithm to 10 if asked for."""
+    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    x = df.crossJoin(F.broadcast(q))  # one row
+    x = x.where((F.col(column) >= F.col("_q")[0]) & (F.col(column) <= F.col("_q")[1])).drop("_q")
+    return x.withColumn("value", F.log10(column) if log else F.col(column).cast("double"))
+
+
+def split_by_length(df: DataFrame, length: str, limit: int, identity: str | None = None, least: float = 90.0, shortest: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Rows over and up to a length, of those that are long and like enough."""
+    x = df.where(F.col(length) >= shortest)
+    x = x if identity is None else x.where(F.col(identity) >= least)
+    return x.where(F.col(length) > limit), x.where(F.col(length) <= limit)
+
+
+def melt_filtered(df: DataFrame, size: int, most_repeats: float, near: int = 50_000) -> DataFrame:
+    """All rows as `All`, and those of at least a size with at most some percent of repeats again as `Filtered`; near_end tells those that
+    lie close to a contig's end. df: len, repeat_pct, end_distance."""
+    x = df.withColumn("near_end", F.col("end_distance") < near)
+    kept = x.where((F.col("len") >= size) & (F.col("repeat_pct") <= most_repeats))
+    return x.withColumn("part", F.lit("All")).unionByName(kept.withColumn("part", F.lit("Filtered")))
+
+
+def clone_validated(df: DataFrame) -> DataFrame:
+    """Adds `validated`: like its clone, unlike the reference, and aligned nearly whole."""
+    ok = (F.col("clone_per_id") >= RESOLVED) & (F.col("reference_per_id") <= RESOLVED) & (F.col("frac_in_aln") >= 0.9)
+    return df.withColumn("validated", F.coalesce(ok, F.lit(False)))
+
+
+def validated_fraction(df: DataFrame, total: float) -> DataFrame:
+    """One row: the validated bases and their share of a total."""
+    s = F.coalesce(F.sum(F.when(F.col("validated"), F.col("length"))), F.lit(0)).cast("bigint")
+    return df.agg(s.alias("bases"), (s / F.lit(float(total))).alias("fraction"))
+
+
+def named_genes(df: DataFrame, gene: str, unnamed: str = "LOC|LINC") -> DataFrame:
+    """Rows whose gene has a name of its own."""
+    return df.where(~F.col(gene).rlike(unnamed))
+
+
+def gene_table(genes: DataFrame) -> DataFrame:
+    """Different rows of named genes with length and status: over the limit assembled, else diverged. genes: start, end, per_id, gene, ..."""
+    x = named_genes(genes, "gene").withColumn("length", F.col("end") - F.col("start"))
+    return x.withColumn("status", F.when(F.col("per_id") > RESOLVED, "Assembled").otherwise("Diverged")).distinct()
+
+
+def numbered_labels(df: DataFrame, order: list, label: str, most: int = 15, always: str | None = None) -> DataFrame:
+    """Adds `label_id`: in order, the first rows with a label get numbers from 1 on, `most` of them, and later ones only if the label matches
+    a pattern. Rows are numbered over all; the windows see ranges of rows and one row for each range."""
+    from strandline.operators.alignment import number_rows
+
+    x = number_rows(df, order, "_row")
+    first = number_rows(x.where(F.col(label).isNotNull()), ["_row"], "_place")
+    shown = F.col("_place") <= most
+    if always:
+        shown = shown | F.col(label).rlike(always)
+    ids = number_rows(first.where(shown).select("_row"), ["_row"], "label_id")
+    return x.join(ids, "_row", "left").drop("_row")
+
+
+def relabelled(df: DataFrame) -> DataFrame:
+    """Older statuses by today's names: a success is partially resolved, or resolved from the limit on; MultipleAsm is written out."""
+    s = F.col("status")
+    new = F.when(s == "Success", F.when(F.col("per_id") >= RESOLVED, "Resolved").otherwise("Partially Resolved")).when(s == "MultipleAsm", "Multiple Assemblies").otherwise(s)
+    return df.withColumn("status", new)
+
+
+def status_labels(df: DataFrame) -> DataFrame:
+    """(status, n, mbp, label): rows of each status, millions of bases that they cover together, null for failed ones, and both as a
+    text. df: status, contig, start0, end0."""
+    from strandline.operators.intervals import merge_spans
+
+    ok = df.where("start0 is not null and status <> 'Failed'")
+    spans = merge_spans(ok.select(F.struct("status", "contig").alias("contig"), "start0", "end0"))
+    mbp = spans.groupBy(F.col("contig.status").alias("status")).agg(F.round(F.sum(F.col("end0") - F.col("start0")) / 1e6, 1).alias("mbp"))
+    n = df.groupBy("status").agg(F.count("*").alias("n"))
+    text = F.concat(F.col("n").cast("string"), F.lit(" / "), F.coalesce(F.concat(F.format_number("mbp", 1), F.lit(" Mbp")), F.lit("NA")))
+    return n.join(mbp, "status", "left").select("status", "n", "mbp", text.alias("label"))
+
+
+def genome_stats(df: DataFrame) -> DataFrame:
+    """One row for each genome: rows, mean length, bases resolved, diverged and both, and of different collapses, in millions. df: genome,
+    collapse, collapse_length, status, length."""
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("length"))), F.lit(0)) / 1e6
+    x = df.groupBy("genome").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), of("Resolved").alias("resolved"), of("Diverged").alias("diverged"))
+    once = df.groupBy("genome", "collapse").agg(F.max("collapse_length").alias("c")).groupBy("genome").agg((F.sum("c") / 1e6).alias("collapsed"))
+    return x.withColumn("both", F.col("resolved") + F.col("diverged")).join(once, "genome")
+
+
+def subset_sums(df: DataFrame, value: str, **subsets: Column) -> DataFrame:
+    """One row: the sum of a column over each named condition, in one pass."""
+    return df.agg(*[F.coalesce(F.sum(F.when(c, F.col(value))), F.lit(0)).alias(n) for n, c in subsets.items()])
+
+
+def read_bases(phase: DataFrame) -> DataFrame:
+    """One row: reads and bases of reads in one cluster and in several. phase: readid, cut, length."""
+    x = phase.groupBy("readid").agg(F.count("*").alias("k"), F.max("length").alias("b"))
+    many = F.col("k") > 1
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("b"))), F.lit(0))
+    return x.agg(F.count_if(~many).alias("unique_reads"), total(~many).alias("unique_bases"), F.count_if(many).alias("multi_reads"), total(many).alias("multi_bases"))
+
+
+def columns_like(df: DataFrame, drop_numbers: bool = False, pattern: str | None = None) -> DataFrame:
+    """The columns whose names aren't numbers, or match a pattern."""
+    names = [c for c in df.columns if not (drop_numbers and c.isdigit()) and (pattern is None or re.search(pattern, c))]
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def region_table(regions: DataFrame) -> DataFrame:
+    """One row: copies, the mean length, and the regions as a text, in order. regions: contig, start0, end0."""
+    text = F.concat_ws("", F.col("contig").cast("string"), F.lit(":"), F.col("start0").cast("string"), F.lit("-"), F.col("end0").cast("string"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig", "start0", "end0", text.alias("t")))), lambda r: r["t"]), ";")
+    return regions.agg(F.count("*").alias("copies"), F.avg(F.col("end0") - F.col("start0")).alias("mean_length"), listed.alias("regions"))
+
+
+def local_assembly_table(assemblies: DataFrame, names: DataFrame, reads: DataFrame, psvs: DataFrame) -> DataFrame:
+    """The wide table of local assemblies: every named sequence with its alignment, best match, status, sites and reads of its cluster, and the
+    totals of its collapse. assemblies: collapse, query_name, per_id, reference_name, reference_start, reference_end; names: collapse,
+    cut, query_name, length (null: the cluster has no assembly); reads and psvs: collapse, cut, n_reads or n_psvs."""
+    from strandline.operators.gaps import best_match
+
+    x = best_match(names.join(assemblies, ["collapse", "query_name"], "full_outer"))
+    x = classify(x).join(reads, ["collapse", "cut"], "left").join(psvs, ["collapse", "cut"], "left")
+    n = lambda s: F.count_if(F.col("status") == s)
+    once = x.groupBy("collapse", "cut", "status").agg(F.max("n_reads").alias("r"), F.max("n_psvs").alias("p"))
+    whole = once.groupBy("collapse").agg(
+        F.count("*").alias("n_groups"), n("Failed").alias("n_failed"), n("Multiple Assemblies").alias("n_multiple"), n("Diverged").alias("n_diverged"),
+        n("Resolved").alias("n_resolved"), F.sum("r").alias("total_reads"), F.sum("p").alias("total_psvs"),
+    )
+    return x.join(whole, "collapse").withColumn("n_assemblies", F.col("n_diverged") + F.col("n_resolved"))
+
+
+def summary_text(table: DataFrame) -> DataFrame:
+    """(collapse, value): a text for each collapse of local_assembly_table with its regions, three in a line. table has `regions`, too."""
+    listed = F.split("regions", ";")
+    lines = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(listed) / 3).cast("int") - 1, F.lit(0))), lambda k: F.array_join(F.slice(listed, k * 3 + 1, 3), "  "))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("cut", "status", "per_id", "bestMatch", "length", "n_psvs", "query_name")]
+    row = F.struct("cut", "query_name", F.concat_ws(" ", *cells).alias("line"))
+    per = table.groupBy("collapse").agg(
+        F.first("regions").alias("regions"), F.first("n_assemblies").alias("a"), F.first("n_groups").alias("g"), F.transform(F.array_sort(F.collect_list(row)), lambda r: r["line"]).alias("rows")
+    )
+    head = F.format_string("region: %s\nnumber of assemblies: %d\nnumber of groups: %d\nregions in reference:\n", F.col("collapse").cast("string"), "a", "g")
+    return per.select("collapse", F.concat(head, F.array_join(lines, "\n"), F.lit("\ngroups:\n"), F.array_join("rows", "\n")).alias("value"))
+
+
+def ks_test(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """One row: the two-sample Kolmogorov-Smirnov statistic, the largest distance of both distributions, and its asymptotic p-value. Equal
+    values are counted first, so that the window sees different ones only."""
+    side = lambda d, k: d.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.lit(k).alias("s"))
+    c = side(a, 0).unionByName(side(b, 1)).groupBy("v").agg(F.count_if(F.col("s") == 0).alias("x"), F.count_if(F.col("s") == 1).alias("y"))
+    run, whole = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
+    share = lambda n: F.sum(n).over(run) / F.sum(n).over(whole)
+    out = c.select(F.abs(share("x") - share("y")).alias("d"), F.sum("x").over(whole).alias("n"), F.sum("y").over(whole).alias("m"))
+    out = out.agg(F.max("d").alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
+    root = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("d")
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * root * root))
+    p = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    return out.select("n", "m", F.col("d").alias("statistic"), F.when(root < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).alias("p_value"))
+
+
+def signed_rank_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, the sum of the ranks of positive differences of two columns, and the two-sided p-value of Wilcoxon's test by the normal
+    approximation with ties. Differences are counted by size first, so that the window sees different sizes only."""
+    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
+    c = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.select("k", "up", (before + (F.col("k") + 1) / 2).alias("rank"))
+    s = c.agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.expr("k * k * k - k")).alias("ties"))
+    n = F.col("n")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    z = F.abs(F.col("w") - n * (n + 1) / 4) / F.sqrt(var)
+    # the normal tail by the continued fraction of the error function's complement
+    x = z / math.sqrt(2)
+    frac = F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda f, k: x + k / (2.0 * f))
+    near = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.struct(x.alias("t"), F.lit(0.0).alias("s")), lambda s, k: F.struct((s["t"] * -x * x / (k + 1)).alias("t"), (s["s"] + s["t"] / (2 * k + 1)).alias("s")))["s"]
+    tail = F.when(x > 2, F.exp(-x * x) / (math.sqrt(math.pi) * frac)).otherwise(1 - 2 / math.sqrt(math.pi) * near)
+    return s.select("n", F.col("w").alias("statistic"), tail.alias("p_value"))

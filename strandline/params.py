@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 from strandline.functions.sequence import thresholds
 
 PLATFORMS = ("subread", "ccs", "ont")
-#: Values that the ccs platform takes where the default was left.
+# Those that the ccs platform takes where the default was left.
 CCS = {"min_shared": 2, "max_pos_rep": 1, "min_lrt": 1.0, "min_cut_size": 2}
 
 
@@ -34,6 +34,7 @@ class Params:
     def __post_init__(self):
         if not self.coverage or self.coverage < 0:
             raise ValueError("coverage must be over 0")
+        object.__setattr__(self, "platform", str(self.platform).lower())  # SUBREAD, CCS and ONT are the same
         if self.platform not in PLATFORMS:
             raise ValueError(f"platform must be one of {', '.join(PLATFORMS)}")
 

@@ -14,7 +14,7 @@ from strandline.operators import genotype as G
 from strandline.operators import graph as H
 from strandline.operators import intervals as I
 from strandline.operators import summary as R
-from strandline.plans import catalogue
+from strandline.plans import catalogue, reports  # noqa: F401
 from strandline.plans.fixtures import TABLES
 from strandline.sources import formats, sinks
 
@@ -350,7 +350,8 @@ def test_sinks(spark, tmp_path):
     assert [(r.contig, r.rest) for r in formats.bed(spark, str(tmp_path / "bed")).collect()] == [("a", ["1.0"]), ("b", ["0.1234568"])]
     sinks.vcf_by_cut(values(spark, "cut int, contig string, pos1 bigint, ref string, alt string", [(0, "c", 9, "A", "C"), (0, "c", 2, "G", "T"), (1, "c", 5, "A", "G")]), values(spark, "contig string, len bigint", [("c", 10)]), str(tmp_path / "vcf"))
     lines = spark.read.text(str(tmp_path / "vcf" / "cut=0")).collect()
-    assert [r.value.split("\t")[0:2] for r in lines][3:] == [["c", "2"], ["c", "9"]] and lines[1].value == "##contig=<ID=c,length=10>"
+    assert [r.value.split("\t")[0:2] for r in lines][5:] == [["c", "2"], ["c", "9"]] and lines[3].value == "##contig=<ID=c,length=10>"
+    assert lines[5].value == "c\t2\t.\tG\tT\t.\tPASS\tAN=2;AO=NA;RO=NA;AL=NA\tGT\t0|1:100" and lines[1].value.startswith("##INFO=<ID=AO")
     m = sinks.matrix_lines(values(spark, "read_id int, site int, allele int", [(1, 0, 0), (1, 2, 1)]), 4).first()
     assert m.row == ".n1n"
     metis = {r.node: r.value for r in sinks.metis_lines(values(spark, "src int, dst int, weight int", [(0, 1, 4), (1, 2, 6)]), 4).collect()}
