@@ -71,7 +71,9 @@ def islands(df: DataFrame, distance: int, width: int = 1 << 20) -> DataFrame:
     reach = F.greatest(F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
     x = x.withColumn("_new", F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0))
     x = _carried(x, F.sum("_new"), "_base")
-    grp = F.coalesce("_base", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # of equal intervals the one that begins a group is first, whatever order they come in after the join
+    w = w.orderBy("start0", "end0", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
+    grp = F.coalesce("_base", F.lit(0)) + F.sum("_new").over(w)
     return x.withColumn("grp", grp).select(*df.columns, "grp")
 
 

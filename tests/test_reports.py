@@ -56,6 +56,15 @@ def test_islands_by_bins(spark, width):
         assert sorted(got, key=repr) == sorted(want, key=repr), d
 
 
+def test_islands_of_repeated_intervals(spark):
+    """Equal intervals come in any order after a shuffle; the groups are the same."""
+    rows = [(c, s, s + 4) for c in range(40) for s in (0, 10, 10, 20, 20, 20, 30) for _ in range(3)]
+    df = spark.createDataFrame(rows, "contig bigint, start0 bigint, end0 bigint").repartition(7)
+    for width in (8, 1 << 20):
+        got = I.merge(df, -1, width=width).groupBy("start0", "end0", "n").count().collect()
+        assert sorted(tuple(r) for r in got) == [(0, 4, 3, 40), (10, 14, 6, 40), (20, 24, 9, 40), (30, 34, 3, 40)]
+
+
 def test_left_overlap_with_nulls_and_equal_rows(spark):
     a = spark.createDataFrame([("c", 0, 5, None), ("c", 0, 5, None), ("c", 50, 60, None), ("c", 50, 60, "x"), ("d", 0, 5, None)], "contig string, start0 bigint, end0 bigint, note string")
     b = spark.createDataFrame([("c", 3, 9), ("c", 4, 7)], "contig string, start0 bigint, end0 bigint")
