@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import primary, reference_span, reverse_complement, reverse_strand
 from strandline.operators.intervals import parse_region
+from strandline.session import cut_lineage
 
 NUMBERED_RANGES = 64
 
@@ -130,12 +131,13 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFram
     ranges, numbered within each, and shifted by the sizes of the ranges before."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     x = df.repartitionByRange(NUMBERED_RANGES, *cols).withColumn("_p", F.spark_partition_id())
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*cols)))
+    # ranges come from a sample, so that they must not be drawn again for their sizes
+    x = cut_lineage(x.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*cols))))
     sizes = x.groupBy("_p").agg(F.count("*").alias("_n"))
     # one row for each range
     shift = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = x.join(F.broadcast(shift.select("_p", "_s")), "_p")
-    return out.withColumn(name, F.col("_s") + F.col("_k")).drop("_p", "_k", "_s")
+    return out.select(*df.columns, (F.col("_s") + F.col("_k")).alias(name))
 
 
 def overhangs(alignments: DataFrame, least: int = 2000) -> DataFrame:

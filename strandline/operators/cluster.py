@@ -117,7 +117,8 @@ def unique_members(g: _Graph, cuts: list[set], penalty: float) -> list[set]:
 
 
 def without_torn(g: _Graph, cuts: list[set], cutoff: int) -> list[set]:
-    """Clusters without the nodes that have more than `cutoff` neighbours in each of several clusters."""
+    """Clusters without the nodes that have more than `cutoff` neighbours in each of several clusters. Nodes go one
+    after the other, in order; a neighbour that has gone counts no longer."""
     out = [set(c) for c in cuts]
     for n in g.nodes:
         near = [k for k in (len(g.plus[n] & c) for c in out) if k]

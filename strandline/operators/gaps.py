@@ -144,7 +144,7 @@ def unknown_letters(alignments: DataFrame, reference: DataFrame, chunk: int = 10
     x = contig_spans(alignments).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start0") / chunk), F.floor((F.col("end0") - 1) / chunk))))
     n = _chunks(reference, chunk).where(F.col("part").contains("N"))
     at = F.explode(F.filter(F.sequence(F.lit(1), F.length("part")), lambda i: F.substr(F.col("part"), i, F.lit(1)) == "N"))
-    n = n.select("contig", "bin", (F.col("bin") * chunk + at - 1).alias("rpos"))
+    n = n.select("contig", "bin", at.alias("k")).select("contig", "bin", (F.col("bin") * chunk + F.col("k") - 1).alias("rpos"))
     return x.join(n, ["contig", "bin"]).where("rpos >= start0 and rpos < end0").select("contig", "rpos").distinct()
 
 

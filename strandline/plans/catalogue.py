@@ -91,8 +91,8 @@ t AS (SELECT avg(coverage) AS m, stddev_samp(coverage) AS sd, count(*) AS n FROM
 def merged(source: str, distance: int, extra: str = "") -> str:
     return f"""
 o AS (SELECT *, max(end0) OVER (PARTITION BY contig ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
-f AS (SELECT *, CASE WHEN reach IS NULL OR start0 > reach + {distance} THEN 1 ELSE 0 END AS fresh FROM o),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY start0, end0, fresh DESC ROWS UNBOUNDED PRECEDING) AS grp FROM f),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY start0, end0, fresh DESC ROWS UNBOUNDED PRECEDING) AS grp
+  FROM (SELECT *, CASE WHEN reach IS NULL OR start0 > reach + {distance} THEN 1 ELSE 0 END AS fresh FROM o) t),
 m AS (SELECT contig, min(start0) AS start0, max(end0) AS end0, count(*) AS n {extra} FROM g GROUP BY contig, grp)
 """
 

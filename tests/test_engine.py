@@ -318,7 +318,7 @@ def test_sources(spark, tmp_path):
     sam = formats.sam(spark, write(tmp_path, "a.sam", "@SQ\tSN:c1\tLN:6\nq\t16\tc1\t3\t60\t2S4M\t*\t0\t0\tACGTAC\t*\tNM:i:1\tHP:i:2\n"))
     r = sam.first()
     assert (r.qname, r.pos0, r.tags, len(r.ops)) == ("q", 2, {"NM": "1", "HP": "2"}, 2)
-    assert [tuple(x) for x in formats.sam_header(spark, str(tmp_path / "a.sam")).collect()] == [("c1", 6)]
+    assert [tuple(x) for x in formats.sam_header(spark, str(tmp_path / "a.sam")).collect()] == [("c1", 6, 0)]
     b = formats.bed(spark, write(tmp_path, "a.bed", "#x\ntrack a\nc1\t0\t5\tname\t3.5\nc2\t1\t2\n")).collect()
     assert [(x.contig, x.start0, x.end0, x.rest) for x in b] == [("c1", 0, 5, ["name", "3.5"]), ("c2", 1, 2, [])]
     t = formats.trf(spark, write(tmp_path, "a.dat", "@c1 x\n1 9 3 3.0 3 100 0 18 30 30 30 0 1.5 ACG ACGACGACG\n@c2\nnoise\n5 8 2 2.0 2 90 0 8 50 50 0 0 1.0 AC ACAC\n"))
