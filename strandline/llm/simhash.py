@@ -199,14 +199,18 @@ def _links_of(batches):
 def near_links(prints: DataFrame) -> DataFrame:
     """Links (src, dst) whose components are those of all pairs within the radius. prints: distinct `fp`."""
     mask = [sum(masks()[k] for k in g) for g in grids()]
+    # one exchange serves all three uses below, as each reads fp, and the plan knows that no column is null and needs no filter for it
+    fp = F.coalesce("fp", F.lit(0).cast("bigint"))
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), embedding(F.col("fp")).bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(mask)]))
-    rows = prints.select("fp", at.alias("at")).select("at.grid", "at.cell", "fp")
+    rows = prints.select(fp.alias("fp")).select("fp", at.alias("at")).select("at.grid", "at.cell", "fp")
     rows = rows.repartition("grid", "cell")
-    heavy = rows.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
-    small = rows.join(heavy, ["grid", "cell"], "left_anti").sortWithinPartitions("grid", "cell")
+    sizes = rows.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    heavy = sizes.where((F.col("n") > CELL_ROWS) & (F.col("low") < F.col("high"))).select("grid", "cell", "n")
+    sized = rows.join(heavy, ["grid", "cell"], "left")  # an anti join would be moved below the exchange, which then had a twin
+    small = sized.where("n is null").select("grid", "cell", "fp").sortWithinPartitions("grid", "cell")
     # two blocks meet in one task: block numbers i <= j; a row of block b goes to all (b, j) and (i, b)
     blocks = F.ceil(F.col("n") * 2 / CELL_ROWS).cast("int")
-    large = rows.join(heavy, ["grid", "cell"]).select("grid", "cell", "fp", blocks.alias("of")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
+    large = sized.where("n is not null").select("grid", "cell", "fp", blocks.alias("of")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     large = large.select("grid", "cell", "fp", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
     large = large.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
