@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, decontam, langid, media, pii, quality, simhash, toxicity, urls
+from strandline.llm import bpe, chat, codebooks, decontam, embeddings, langid, media, phrases, pii, quality, simhash, toxicity, urls
 from strandline.llm.common import crc_mod, fresh, table
 
 
@@ -96,6 +96,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (~usable).alias("held_out"), langid.language_column(spark, F.col("text"), model).alias("l")).select("doc_id", "held_out", "l.*")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 # Stages of the corpus pipeline: each takes (spark, docs, sf_dir).
 
 
@@ -151,11 +163,11 @@ def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_urls, op5_pii, op6_toxicity, op7_simhash, op8_decontamination, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_chat, op3_bpe, op4_urls, op5_pii, op6_toxicity, op7_simhash, op8_decontamination, op9_quality, op10_langid, op11_vector_codes, op12_collocations, op13_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL}
+    return {"op2_chat": OP2_SQL, "op11_vector_codes": OP11_SQL, "op12_collocations": OP12_SQL}
 
 
 OP2_SQL = r"""
@@ -175,3 +187,64 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
   sha256(loss) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars
 FROM s
 """
+
+
+def _op11_sql() -> str:
+    """Codebooks by window sums; each round assigns all parts and moves the entries."""
+    near = """near{k} AS (
+  SELECT p.id, p.pos, arg_min(c.entry, (d.far, c.entry)) AS entry, min(d.far) AS far
+  FROM parts p JOIN book{k} c ON c.pos = p.pos, LATERAL (SELECT list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far) d
+  GROUP BY p.id, p.pos
+)"""
+    moved = """sums{k} AS (
+  SELECT n.pos, n.entry, t.i, CAST(floor(sum(p.x[t.i]) / count(*)) AS BIGINT) AS v
+  FROM near{k} n JOIN parts p ON p.id = n.id AND p.pos = n.pos, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) t GROUP BY n.pos, n.entry, t.i
+), book{next} AS (
+  SELECT c.pos, c.entry, coalesce(s.x, c.x) AS x FROM book{k} c
+  LEFT JOIN (SELECT pos, entry, list(v ORDER BY i) AS x FROM sums{k} GROUP BY pos, entry) s ON s.pos = c.pos AND s.entry = c.entry
+)"""
+    steps = [near.format(k=0), moved.format(k=0, next=1), near.format(k=1), moved.format(k=1, next=2), near.format(k=2)]
+    return (
+        """
+WITH kept AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT id, pos, v[pos * (len(v) // 16) + 1:(pos + 1) * (len(v) // 16)] AS x FROM kept, (SELECT unnest(range(16)) AS pos)
+), book0 AS (
+  SELECT p.pos, f.entry, p.x FROM parts p JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM kept) f ON f.id = p.id AND f.entry < 64
+), """
+        + ", ".join(steps)
+        + """, coded AS (SELECT id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY id
+), all_books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) AS digest FROM book2)
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM coded JOIN kept USING (id), all_books
+"""
+    )
+
+
+OP11_SQL = _op11_sql()
+
+OP12_SQL = r"""
+WITH raw AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM raw
+), place AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p WHERE len(ws) > 0
+), total AS (SELECT lang, count(*) AS n FROM place GROUP BY lang
+), grams AS (SELECT lang, ws[i:i + k - 1] AS ws, k FROM place, range(1, 6) AS o(k) WHERE i + k - 1 <= len(ws)
+), f AS (SELECT lang, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, k, count(*) AS f FROM grams GROUP BY lang, phrase, k HAVING count(*) >= 100
+), longer AS (
+  SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(f) AS longer
+  FROM f, range(2, 5) AS a(j), range(1, 5) AS b(i) WHERE k >= 3 AND j < k AND i + j - 1 <= k GROUP BY ALL
+), cand AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR longer < f)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, n, CAST(1000 AS HUGEINT) * c.f * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cand c CROSS JOIN range(1, 5) AS o(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:c.k], ' ') JOIN total t ON t.lang = c.lang WHERE j < c.k
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE o = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
