@@ -5,7 +5,8 @@ hashed byte trigrams; a hidden layer embeds it; gated attention (tanh times sigm
 weighs the embeddings; a logistic unit scores the weighted sum. All layers are learned together, from document labels only.
 
 Fit. At most MAX_PER_CLASS labelled rows of each label are used, those with the smallest hash of the id, and of these, by a hash
-of the text, at most as many as have MAX_PASSAGES passages together; a row comes with all its passages. Training is full-batch
+of the text, those that fit into half of MAX_PASSAGES passages for each label; one that doesn't fit keeps no other out, a row comes
+with all its passages, and of a label of which no row fits the smallest one is used. Training is full-batch
 Adam in numpy on the driver, with rows weighted back to the labels' true shares. Labels other than 0 and 1 and labels of an id
 that disagree don't count.
 
@@ -166,6 +167,23 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
     return MilModel({k: t.astype(np.float32) for k, t in (p | {"mean": mean, "std": std}).items()})
 
 
+def within(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
+    """(y, h) of the rows to learn from: of (y, h, passages), each label's in order of h as far as they fit into its half of `most`
+    passages; one that doesn't fit is left out and later ones go on. Of a label of which none fits, the smallest row is taken."""
+    out = []
+    for y in sorted({y for y, *_ in sizes}):
+        own, left = sorted((h, n) for k, h, n in sizes if k == y), most // 2
+        if min(n for _, n in own) > left:
+            h, _ = min(own, key=lambda r: (r[1], r[0]))
+            out.append((y, h))
+            continue
+        for h, n in own:
+            if n <= left:
+                out.append((y, h))
+                left -= n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_PER_CLASS) -> MilModel:
     """Learns from rows of docs for which `usable`, an expression over a column named id, holds."""
     rows, weigh = training_rows(docs, labels, label, usable, id_col, text_col, most)
@@ -178,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
     # passages of each training row, a few thousand numbers
     words = F.size(F.filter(F.split("text", "[ \t\n\u000b\f\r]+"), lambda w: w != ""))
-    sizes = sorted((r["h"], max(1, -(-r["n"] // PASSAGE_WORDS))) for r in rows.select("h", F.coalesce(words, F.lit(0)).alias("n")).collect())
-    within = np.cumsum([n for _, n in sizes]) <= MAX_PASSAGES
-    if not within.all():
-        rows = rows.where(F.col("h") < sizes[int(within.sum())][0])
+    sizes = rows.select("y", "h", F.coalesce(words, F.lit(0)).alias("n")).collect()
+    kept = within([(r["y"], r["h"], max(1, -(-r["n"] // PASSAGE_WORDS))) for r in sizes], MAX_PASSAGES)
+    if len(kept) < len(sizes):
+        few = docs.sparkSession.createDataFrame(kept, "y int, h bigint").distinct()
+        rows = rows.join(F.broadcast(few), ["y", "h"], "left_semi")  # 2 * `most` rows at most
     found = sorted(((r["y"], bytes(r["x"])) for r in rows.select("text", "y").mapInArrow(bags, "y int, x binary").collect()))
     y = np.array([a for a, _ in found], float)
     if not len(y) or y.min() == y.max():

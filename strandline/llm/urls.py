@@ -11,8 +11,9 @@ decide are the labelled ones; verdicts known from elsewhere can be given as furt
    urls. The others become wildcards: `*` for paths that have labelled urls up to this segment, `*?` for those that have none.
    Below a wildcard or a merged node, too, a path without labelled urls is kept apart by a `?`, so that no path has the labels of
    another one as its own.
-3. Labelled branches of one node whose blocked shares don't differ significantly (two proportions, |z| < MERGE_Z, compared with
-   the neighbour in order of the share) are merged, at every level, and grow on as one node.
+3. Labelled branches of one node whose blocked shares don't differ significantly (two proportions, |z| < MERGE_Z) are merged, at
+   every level, and grow on as one node. In order of the share, a branch joins the group before it if it differs neither from all
+   of the group together nor from the branch that began it, so that a chain of small steps doesn't bring unlike ends together.
 4. A branch is judged by its labelled urls, smoothed with PRIOR urls of the share that a branch of this node is expected to have:
    the mean of the shares of the node's labelled segments, each of which counts once however many urls it has, smoothed with PRIOR
    segments of what the node itself was expected to have, which at the root is the share of all labelled urls. So labels reach
@@ -26,6 +27,8 @@ table gives no rows; of the input only the id and the url are read, so that furt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +134,26 @@ def judge_paths(counted: DataFrame) -> DataFrame:
         level += 1
 
 
+def grouped(branches: DataFrame) -> DataFrame:
+    """Adds `grp`, the merged branches of each (host, node), which are taken one after the other in order of purity and name."""
+    apart = lambda m, b, n, c: abs(b / m - c / n) >= MERGE_Z * math.sqrt((p := (b + c + 1) / (m + n + 2)) * (1 - p) * (1 / m + 1 / n))
+
+    def run(frames):
+        at, grp = None, 0
+        for f in frames:
+            out = []
+            for node, m, b in zip(zip(f["host"], f["node"], strict=True), f["labelled"].tolist(), f["blocked"].tolist(), strict=True):
+                if node != at or apart(*first, m, b) or apart(*pooled, m, b):
+                    at, grp, first, pooled = node, 1 if node != at else grp + 1, (m, b), (m, b)
+                else:
+                    pooled = pooled[0] + m, pooled[1] + b
+                out.append(grp)
+            yield f.assign(grp=out)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in branches.dtypes)
+    return branches.repartition("host", "node").sortWithinPartitions("host", "node", "purity", "name").mapInPandas(run, f"{kinds}, grp bigint")
+
+
 def _grown(rows: DataFrame, level: int) -> DataFrame:
     """The rows of growing nodes in their branches, with what these are judged to be."""
     key = F.when(F.size("segs") > level, F.concat(F.lit("/"), F.get("segs", F.lit(level)))).otherwise(F.lit(""))
@@ -153,10 +176,7 @@ def _grown(rows: DataFrame, level: int) -> DataFrame:
     branches = kids.groupBy("host", "node", "expected", "k", "name").agg(*_sums(), F.bool_or("wild").alias("wild"))
     smoothed = lambda b, n: F.round((b + PRIOR * F.col("expected")) / (n + PRIOR), 9)
     branches = branches.withColumn("purity", smoothed(F.col("blocked"), F.col("labelled")))
-    w = Window.partitionBy("host", "node").orderBy("purity", "name")
-    before = {c: F.lag(c).over(w) for c in ("labelled", "blocked")}
-    apart = before["labelled"].isNull() | differ(F.col("labelled"), F.col("blocked"), before["labelled"], before["blocked"])
-    some = branches.where("labelled > 0").withColumn("grp", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    some = grouped(branches.where("labelled > 0"))
     g = Window.partitionBy("host", "node", "grp")
     names = F.array_sort(F.collect_set("name").over(g))
     some = some.withColumn("as", F.when(F.size(names) > 1, F.concat(F.lit("/{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("name")))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, decontam, langid, media, pii, quality, queries, simhash, toxicity, urls
+from strandline.llm import bpe, chat, codebooks, decontam, embeddings, langid, media, phrases, pii, quality, queries, simhash, toxicity, urls
 from tests.llm import choose_toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -336,17 +336,17 @@ def plain_tree(counted):
             branch[0].extend(part)
             branch[1] |= wild
         smooth = lambda b, m: round((b + prior_urls * expected) / (m + prior_urls), 9)
-        groups, last = [], None
+        groups, first, into = [], None, None
         for part_name, (part, wild) in sorted(branches.items(), key=lambda x: (smooth(sums(x[1][0])[2], sums(x[1][0])[1]), x[0])):
             _, m, b = sums(part)
             if not m:
                 groups.append([[part_name], part, wild])
-            elif last is None or differ(m, b, last[0], last[1]):
+            elif first is None or differ(m, b, *first) or differ(m, b, *sums(into[1])[1:]):
                 groups.append([[part_name], part, wild])
-                last, into = (m, b), groups[-1]
+                first, into = (m, b), groups[-1]
             else:
                 into[0].append(part_name)
-                into[1], into[2], last = into[1] + part, True, (m, b)
+                into[1], into[2] = into[1] + part, True
         for names, part, wild in groups:
             _, m, b = sums(part)
             p = smooth(b, m) if m else expected
@@ -398,6 +398,15 @@ def test_urls_merged_branches(spark):
     assert {k[1] for k, r in got.items() if r[2]} == {(s, "ads") for s in ("en", "de", "fr")}
 
 
+def test_urls_chains_dont_merge(spark):
+    """Branches that differ little from the next one each don't become one node; the worst are rejected, the best aren't."""
+    counted = [("h", [f"s{k:02d}", "{n}"], 120, 100, 5 * k) for k in range(21)]
+    at = {k[1][0]: r for k, r in judged(spark, counted).items()}
+    groups = {r[0]: sorted(s for s, q in at.items() if q[0] == r[0]) for r in at.values()}
+    assert len(groups) > 5 and max(map(len, groups.values())) <= 5
+    assert {f"s{k}" for k in (19, 20)} <= {s for s, r in at.items() if r[2]} and not any(at[f"s{k:02d}"][2] for k in range(14))
+
+
 def test_urls_wildcards_by_share(spark):
     """Frequent and different segments stay branches however many others there are, and no path has the labels of another one."""
     counted = [("h", ["en", "{n}"], 400, 0, 0), ("h", ["es", "{n}"], 400, 400, 400), ("h", ["odd", "{n}"], 30, 30, 30)]
@@ -853,16 +862,26 @@ def test_quality_scores_equal_plain_version(spark, small, texts):
 
 
 def test_quality_learns_from_all_passages(spark, monkeypatch):
-    """A row is learned from with all its passages; what bounds the fit is the number of rows."""
+    """A row is learned from with all its passages; one over the bound keeps no other out, and both labels stay."""
     long = " ".join(f"word{i}" for i in range(64 * 40))
-    docs = spark.createDataFrame([(i, long if i < 4 else f"short {i}") for i in range(12)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{long} {i}" if i < 4 else f"short {i}") for i in range(12)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
     seen = []
-    monkeypatch.setattr(quality, "train", lambda bags, y, w, seed=11: seen.append(sorted(map(len, bags))) or quality.MilModel(None))
+    monkeypatch.setattr(quality, "train", lambda bags, y, w, seed=11: seen.append(sorted((int(k), len(b)) for k, b in zip(y, bags, strict=True))) or quality.MilModel(None))
     quality.fit(docs, labels, F.lit(True))
-    monkeypatch.setattr(quality, "MAX_PASSAGES", 30)
+    monkeypatch.setattr(quality, "MAX_PASSAGES", 60)
     quality.fit(docs, labels, F.lit(True))
-    assert seen[0] == [1] * 8 + [40] * 2 and seen[1:] in ([], [[1] * len(seen[-1])])
+    quality.fit(docs.where("doc_id < 3 or doc_id > 8"), labels.where("doc_id in (0, 2, 9, 11)"), F.lit(True))
+    assert sorted(n for _, n in seen[0]) == [1] * 8 + [41] * 2  # copies but for the last word count once
+    assert seen[1] == [(0, 1)] * 4 + [(1, 1)] * 4
+    assert seen[2] == [(0, 41), (1, 1), (1, 1)]  # of label 0 no row fits
+
+
+def test_rows_within_the_bound():
+    # the first row alone is over the bound, another one only fits at times
+    assert quality.within([(0, 1, 500), (0, 2, 3), (0, 3, 60), (0, 4, 40), (1, 1, 7), (1, 2, 90)], 100) == [(0, 2), (0, 4), (1, 1)]
+    assert quality.within([(0, 1, 500), (0, 2, 80), (1, 5, 1)], 100) == [(0, 2), (1, 5)]
+    assert quality.within([], 100) == []
 
 
 def test_attention_finds_the_telling_passage():
@@ -960,6 +979,237 @@ def test_language_hard(spark, hard, empty):
     assert langid.fit(empty, F.lit(True)).langs == []
 
 
+# 11 vector codes
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, code string, error bigint, kept boolean"
+
+
+def vectors_of(spark, rows):
+    """Rows (id, vector, label), with further columns whose names are those of results."""
+    return spark.createDataFrame([(i, v, k, "x", 1, True) for i, v, k in rows], VECTORS)
+
+
+def plain_codes(rows, parts=16, entries=64, rounds=2):
+    """{id: (code, error)} and the entries, by all distances in Python's whole numbers."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows]
+    step = len(ints[0][1]) // parts
+    part = lambda v, p: v[p * step : (p + 1) * step]
+    far = lambda x, e: sum((a - b) ** 2 for a, b in zip(x, e, strict=True))
+    first = sorted(ints)[:entries]
+    books = [[part(v, p) for _, v in first] for p in range(parts)]
+    best = lambda x, book: min((far(x, e), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            own = {}
+            for _, v in ints:
+                own.setdefault(best(part(v, p), books[p])[1], []).append(part(v, p))
+            books[p] = [[sum(c) // len(own[k]) for c in zip(*own[k], strict=True)] if k in own else e for k, e in enumerate(books[p])]
+    out = {}
+    for i, v in ints:
+        got = [best(part(v, p), books[p]) for p in range(parts)]
+        out[i] = "".join(f"{k:02x}" for _, k in got), sum(d for d, _ in got)
+    return out, hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("size", "scale", "n"), [(32, 0.1, 150), (48, 3.0, 90), (16, 1e6, 70), (64, 0.02, 20)])
+def test_vector_codes_equal_plain_version(spark, size, scale, n):
+    rng = np.random.default_rng(size)
+    v = np.round(rng.normal(0, scale, (n, size)), 2).astype(np.float32)
+    v[n // 2 : n // 2 + 8] = v[3]  # ties and copies
+    rows = [(int(i) * 3 - 7, [float(x) for x in v[k]], int(i) % 3 if i % 5 else None) for k, i in enumerate(rng.permutation(n))]
+    want, digest = plain_codes(rows)
+    label = {i: k for i, _, k in rows}
+    sums = Counter()
+    for i, (_, e) in want.items():
+        sums[label[i]] += e
+    got = codebooks.vector_codes(vectors_of(spark, rows)).collect()
+    assert {(r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got} == {(i, c, e, sums[label[i]], digest) for i, (c, e) in want.items()}
+
+
+def test_nearest_entries_equal_all_distances():
+    rng = np.random.default_rng(2)
+    for width, top in ((1, 3), (2, 2), (5, 40), (16, 300), (4, 1 << 40)):
+        x, e = rng.integers(-top, top, (400, width)), rng.integers(-top, top, (64, width))
+        x[:50] = e[rng.integers(0, 64, 50)]
+        if top > codebooks.PLAIN:
+            x, e = x.astype(object), e.astype(object)
+        index, far, made = codebooks.nearest(x, e)
+        every = ((x[:, None] - e[None]) ** 2).sum(axis=2)
+        assert (far == every.min(axis=1)).all() and (index == np.array([r.tolist().index(min(r)) for r in every])).all()
+        assert made < every.size / 2 or width < 5  # the bounds do filter
+
+
+def test_vector_codes_hard(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    good = [(i, [float(x) for x in rng.normal(0, 1, 16)], i % 2) for i in range(80)]
+    bad = [(100, None, 1), (101, [], 1), (102, [1.0] * 15 + [None], 1), (103, [float("nan")] + [0.0] * 15, 1), (104, [float("inf")] + [0.0] * 15, 1), (105, [1.0] * 32, 1), (106, [1.0] * 7, 0)]
+    copies = [(5, good[5][1], None), (None, good[6][1], 1), (None, [3e38] * 16, 1)]
+    got = {}
+    for common in (1024, 1):
+        monkeypatch.setattr(codebooks, "COMMON_ROWS", common)
+        monkeypatch.setattr(codebooks, "COMMON_SHARE", 10**6)
+        rows = codebooks.vector_codes(vectors_of(spark, good + bad + copies)).collect()
+        assert len(rows) == 83 and Counter(r.vec_id for r in rows)[5] == 2 and {r.vec_id for r in rows} == {*range(80), None}
+        got[common] = sorted(map(str, rows))
+        assert len({r.code for r in rows if r.vec_id == 5}) == 1
+    assert got[1024] == got[1]
+    for none in (vectors_of(spark, bad[:5]), vectors_of(spark, good).where("false")):
+        out = codebooks.vector_codes(none)
+        assert out.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and out.count() == 0
+
+
+# 12 collocations
+
+
+def plain_collocations(rows, least, longest, top):
+    words, f = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            words[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    found = {k: n for k, n in f.items() if n >= least and len(k[1]) > 1}
+    inside = lambda a, b: any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+    out = {}
+    for (lang, p), a in found.items():
+        if any(g == lang and len(q) > len(p) and b >= a and inside(p, q) for (g, q), b in found.items()):
+            continue
+        score, _, left, right = min((1000 * a * words[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return {
+        (lang, r, p.decode(), -a, left, right, words[lang], -s) for lang, v in out.items() for r, (s, a, p, left, right) in enumerate(sorted(v)[:top], 1)
+    }
+
+
+def collocated(spark, rows, **settings):
+    df = spark.createDataFrame([(t, g, "x", 1) for g, t in rows], "text string, lang string, phrase string, n int")
+    return {tuple(r) for r in phrases.collocations(df, **settings).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+
+
+@pytest.mark.parametrize("block", [8_000_000, 300])
+def test_collocations_equal_plain_version(spark, monkeypatch, block):
+    monkeypatch.setattr(phrases, "BLOCK_CHARS", block)
+    monkeypatch.setattr(phrases, "MIN_SLOTS", 6)
+    monkeypatch.setattr(phrases, "MAX_SLOTS", 12)
+    rnd = random.Random(block)
+    rows = []
+    for _ in range(250):
+        vocabulary = "The the a of big Ärger cat\tdog é ab\u00a0c x-y".split(" ")
+        text = "".join(rnd.choice(vocabulary) + rnd.choice([" ", " ", "  ", "\t", " \t ", ", ", ".", "!\n", "; ? "]) for _ in range(rnd.randint(0, 40)))
+        rows.append((rnd.choice(["en", "fr", None, "und"]), text))
+    rows += [("en", "deep learning works well here today")] * 9 + [("en", None), (None, ""), ("de", " .,. "), ("en", "of " * 400)]
+    for settings in ({"least": 5, "longest": 5, "top": 2000}, {"least": 12, "longest": 3, "top": 7}):
+        want = plain_collocations(rows, **settings)
+        assert len(want) > 15 and collocated(spark, rows, **settings) == want
+
+
+def test_collocations_hard(spark):
+    assert collocated(spark, [("en", None), (None, "")]) == set() and collocated(spark, [("en", "a b")] * 99) == set()
+    assert collocated(spark, [("en", "A b")] * 100) == {("en", 1, "a b", 100, 100, 100, 200, 2000)}
+    df = spark.createDataFrame([], "text string, lang string")
+    assert phrases.collocations(df).count() == 0
+    # counts beyond 64 bits in the product
+    big = [("en", "x y")] * 3 + [("en", "x"), ("en", "y " * 5)]
+    assert collocated(spark, big, least=3) == plain_collocations(big, 3, 5, 2000)
+
+
+def test_collocations_equal_sql(spark, small):
+    want = duckdb.connect()
+    want.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    got = {tuple(r) for r in queries.op12_collocations(spark, small).collect()}
+    assert got == set(want.execute(queries.OP12_SQL).fetchall())
+
+
+# 13 embedding near-duplicates
+
+
+def plain_near(rows, threshold=0.98):
+    """[(id, links, component)] by all pairs."""
+    ok = [k for k, (_, v, lab) in enumerate(rows) if v and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    up, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in ok:
+        for b in ok:
+            (_, v, m), (_, w, n) = rows[a], rows[b]
+            if a < b and m == n and len(v) == len(w):
+                x, y = np.array(v, np.float64), np.array(w, np.float64)
+                if x / np.linalg.norm(x) @ (y / np.linalg.norm(y)) >= threshold:
+                    links[a] += 1
+                    links[b] += 1
+                    up[root(a)] = root(b)
+    smallest = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            smallest[root(k)] = min(smallest.get(root(k), i), i)
+    return sorted((str(i), links[k], str(smallest.get(root(k)))) for k, (i, *_) in enumerate(rows))
+
+
+def near_rows(seed, size, groups, each, spread):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 1, (groups, size))
+    rows = [(centre[g] + rng.normal(0, spread, size), g % 3) for g in range(groups) for _ in range(each)]
+    return [(i, [float(x) for x in v.astype(np.float32)], k) for i, (v, k) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_near_vectors_equal_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(embeddings.dealt, "__defaults__", (cell,))
+    rows = near_rows(cell, 64, 60, 12, 0.08) + [(1000 + i, v, k) for i, v, k in near_rows(1, 64, 200, 1, 1.0)]
+    rows += [(2000 + i, rows[0][1], rows[0][2]) for i in range(40)] + [(3000, rows[0][1], 7), (3001, [2 * x for x in rows[0][1]], rows[0][2])]
+    want = plain_near(rows)
+    assert 500 < sum(n for _, n, _ in want)
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(vectors_of(spark, rows)).collect())
+    found, there = sum(n for _, n, _ in got), sum(n for _, n, _ in want)
+    assert there * 0.99 <= found <= there and sum(a != b for a, b in zip(got, want, strict=True)) < len(rows) / 20
+
+
+@pytest.mark.parametrize("size", [2, 5, 200])
+def test_near_vectors_of_other_sizes(spark, size):
+    rows = near_rows(size, size, 30, 5, 0.02)
+    want = plain_near(rows)
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(vectors_of(spark, rows)).collect())
+    there = sum(n for _, n, _ in want)
+    assert there * 0.99 <= sum(n for _, n, _ in got) <= there
+
+
+def test_near_vectors_hard(spark, monkeypatch):
+    one, big = [0.5, 0.25, 0.0, 1.0], [3e38, 1.5e38, 0.0, 1e38]
+    rows = [(1, None, 1), (2, [], 1), (3, [0.0] * 4, 1), (4, [0.0] * 4, 1), (5, [1.0, None, 0.0, 0.0], 1), (6, [float("nan"), 1.0, 1.0, 1.0], 1), (7, [float("inf"), 1.0, 1.0, 1.0], 1)]
+    rows += [(8, one, None), (9, one, None), (10, one, 2), (11, one, 2), (11, one, 2), (None, one, 2), (None, [1.0, 0.0, 0.0, 0.0], 2), (12, big, 3), (13, [x / 2 for x in big], 3), (14, [1e-44] * 4, 3), (15, [1e-44] * 4, 3)]
+    rows += [(20, [1.0, 0.0], 2), (21, [1.0, 0.1], 2), (22, [0.0, 1.0], 2)]  # of another length than most
+    want = plain_near(rows)
+    for common in (1024, 1):
+        monkeypatch.setattr(embeddings, "COMMON_ROWS", common)
+        monkeypatch.setattr(embeddings, "COMMON_SHARE", 10**6)
+        got = embeddings.near_duplicates(vectors_of(spark, rows)).collect()
+        assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == want
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert embeddings.near_duplicates(vectors_of(spark, rows).where("false")).count() == 0
+    assert {(r.n_links, r.kept) for r in embeddings.near_duplicates(vectors_of(spark, rows[:7])).collect()} == {(0, True)}
+
+
+def test_near_vectors_of_the_tables(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in queries.op13_embedding_dedup(spark, small).collect())
+    assert got == plain_near(rows)
+
+
+def test_rotation_balances_codes():
+    rng = np.random.default_rng(3)
+    v = rng.normal(0.3, 1, (3000, 64)) * np.linspace(0.2, 2, 64)
+    bits = np.unpackbits(embeddings.Rotation.learnt(v).codes(v).view(np.uint8).reshape(-1, 8), axis=1)
+    assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.05
+
+
 # the pipeline
 
 
