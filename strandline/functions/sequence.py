@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import cut_lineage
+
 BASES = ("A", "C", "G", "T")
 #: unmapped, secondary, supplementary
 EXCLUDE_FLAGS = 4 | 256 | 2048
@@ -418,14 +420,16 @@ def joined_sequence(contigs: DataFrame, spacer: int = 5000) -> DataFrame:
 
 def running_total(df: DataFrame, order: str, value: str, name: str, ranges: int = 64) -> DataFrame:
     """Adds the sum of a column over all rows before, in order of a column of different values, without putting all rows into one task."""
-    x = df.repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id())
+    x = df.select(order, value).repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id())
     before = lambda part: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_s", F.coalesce(F.sum(value).over(before("_p")), F.lit(0)))
+    # ranges come from a sample, so that they must not be drawn again for their sizes; of the rows only these two columns are written
+    x = cut_lineage(x.withColumn("_s", F.coalesce(F.sum(value).over(before("_p")), F.lit(0))))
     sizes = x.groupBy("_p").agg(F.sum(value).alias("_n"))
     # one row for each range
     shift = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_t"))
-    return x.join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_s") + F.col("_t")).cast("bigint")).drop("_p", "_s", "_t")
+    starts = x.join(F.broadcast(sizes), "_p").select(F.col(order).alias("_o"), (F.col("_s") + F.col("_t")).cast("bigint").alias(name))
+    return df.join(starts, F.col(order).eqNullSafe(F.col("_o"))).drop("_o")
 
 
 def padded_contigs(contigs: DataFrame, tiling: DataFrame, reads: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.sequence import end_distance, homopolymer_around, identities, indels, n_fraction, one_base, query_span, reference_span, reverse_strand, soft_clip
 from strandline.operators.alignment import _chunks, bases_at
 from strandline.operators.intervals import parse_region
+from strandline.session import cut_lineage
 
 IDENTITY_COLUMNS = (
     "query_name query_start query_end query_length reference_name reference_start reference_end perID_by_matches perID_by_events perID_by_all "
@@ -60,16 +61,16 @@ def identity_table(alignments: DataFrame, cs: Column | None = None) -> DataFrame
 
 
 def with_reference_part(rows: DataFrame, reference: DataFrame, start: Column, end: Column, name: str, chunk: int = 1024) -> DataFrame:
-    """Different rows with the letters of the reference from start to end of their `contig`, clipped at its ends. reference: contig, seq.
+    """Rows with the letters of the reference from start to end of their `contig`, clipped at its ends. reference: contig, seq.
     Only pieces of the reference move to the rows, never a whole contig."""
-    x = rows.select("*", F.greatest(start, F.lit(0)).cast("bigint").alias("_s"), end.cast("bigint").alias("_e"))
-    bins = F.explode_outer(F.when(F.col("_e") > F.col("_s"), F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk))))
-    x = x.select("*", bins.alias("bin")).join(_chunks(reference, chunk), ["contig", "bin"], "left")
+    numbered = cut_lineage(rows.select("*", F.greatest(start, F.lit(0)).cast("bigint").alias("_s"), end.cast("bigint").alias("_e"), F.monotonically_increasing_id().alias("_row")))
+    bins = F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk)))
+    x = numbered.where("_e > _s").select("_row", "contig", "_s", "_e", bins.alias("bin")).join(_chunks(reference, chunk), ["contig", "bin"])
     lo, hi = F.greatest("_s", F.col("bin") * chunk), F.least("_e", (F.col("bin") + 1) * chunk)
     piece = F.substr("part", (lo - F.col("bin") * chunk + 1).cast("int"), (hi - lo).cast("int"))
-    x = x.withColumn("_p", F.struct("bin", F.coalesce(piece, F.lit("")).alias("text")))
-    out = x.groupBy(*rows.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["text"]), "").alias(name))
-    return out
+    pieces = x.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("bin", piece.alias("text")))).alias("_p"))
+    text = F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("_t")
+    return numbered.join(pieces.select("_row", text), "_row", "left").select(*rows.columns, F.coalesce("_t", F.lit("")).alias(name))
 
 
 def anchored_run(a: Column, b: Column) -> Column:
@@ -176,8 +177,9 @@ def best_match(rows: DataFrame, region: str = "reference_name", start: str = "re
 
 
 def best_alignment(alignments: DataFrame, score: Column) -> DataFrame:
-    """(qname, label): the reference of each read's best alignment, the first in order among equals."""
-    best = F.min(F.struct((-score).alias("s"), F.col("rname").alias("label"))).alias("b")
+    """(qname, label): the reference of each read's best alignment, the first in order among equals. An alignment without a score is
+    worse than any with one."""
+    best = F.min(F.struct(score.isNull().alias("none"), (-score).alias("s"), F.col("rname").alias("label"))).alias("b")
     return alignments.groupBy("qname").agg(best).select("qname", "b.label")
 
 

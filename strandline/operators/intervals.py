@@ -7,12 +7,11 @@ within bins, too: what reaches a bin from those before comes from a table of one
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import cut_lineage
+
 
 def _bins(start: str, end: str, width: int) -> Column:
     first = F.floor(F.col(start) / width)
@@ -22,6 +21,8 @@ def _bins(start: str, end: str, width: int) -> Column:
 def overlap_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner") -> DataFrame:
     """Pairs with at least one common position, with `ov`, the overlap length. Columns of b get the prefix `b_`, contig apart.
     how = "left": rows of a without a partner come once, with ov 0 and nulls; nulls in other columns and equal rows don't matter."""
+    if how == "left":  # rows are told apart by a number, which is written so that it stays
+        a = cut_lineage(a.withColumn("_row", F.monotonically_increasing_id()))
     right = b.select(*[F.col(c).alias("contig" if c == "contig" else f"b_{c}") for c in b.columns])
     x = a.withColumn("bin", _bins("start0", "end0", width))
     y = right.withColumn("bin", _bins("b_start0", "b_end0", width))
@@ -30,10 +31,8 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner") ->
     pairs = pairs.withColumn("ov", end - start).select(*a.columns, *[c for c in right.columns if c != "contig"], "ov")
     if how == "inner":
         return pairs
-    met = pairs.select(*[F.col(c).alias(f"_{c}") for c in a.columns]).distinct()
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in a.columns])
-    lonely = a.join(met, same, "left_anti")
-    return pairs.unionByName(lonely.withColumn("ov", F.lit(0).cast("bigint")), allowMissingColumns=True)
+    lonely = a.join(pairs.select("_row").distinct(), "_row", "left_anti").withColumn("ov", F.lit(0).cast("bigint"))
+    return pairs.unionByName(lonely, allowMissingColumns=True).drop("_row")
 
 
 def windows(contigs: DataFrame, width: int) -> DataFrame:
@@ -54,33 +53,57 @@ def window_coverage(wins: DataFrame, reads: DataFrame, width: int) -> DataFrame:
     return out.select("contig", "start0", "end0", (F.coalesce("covered", F.lit(0)) / (F.col("end0") - F.col("start0"))).alias("coverage"))
 
 
-def _carried(x: DataFrame, what: Column, name: str) -> DataFrame:
-    """Adds what an aggregate over all earlier bins of the contig gives. One row for each bin is in order, not the intervals."""
-    per = x.groupBy(F.col("contig").alias("_c"), F.col("_bin").alias("_b")).agg(what.alias("_v"))
-    before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    over = F.max("_v") if name == "_reach" else F.sum("_v")
-    per = per.select("_c", "_b", over.over(before).alias(name))
+def _before(per: DataFrame, what: Column, name: str) -> DataFrame:
+    """(contig, _bin, name): an aggregate over all earlier bins of the contig, from one row for each bin."""
+    earlier = Window.partitionBy("contig").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(F.col("contig").alias("_c"), F.col("_bin").alias("_b"), what.over(earlier).alias(name))
+
+
+def _with(x: DataFrame, per: DataFrame) -> DataFrame:
     return x.join(per, F.col("contig").eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b"))).drop("_c", "_b")
 
 
+def _local(df: DataFrame, distance: int, width: int) -> DataFrame:
+    """Adds `_bin` and `_k`: the bin in which an interval starts and which island of this bin alone it is in, from one sort."""
+    w = Window.partitionBy("contig", "_bin").orderBy("start0", "end0")
+    x = df.withColumn("_bin", F.floor(F.col("start0") / width))
+    reach = F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0)
+    # equal intervals lie next to each other, and only the first of them can begin an island: whatever their order, the count is the same
+    return x.withColumn("_new", new).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def _stitched(parts: DataFrame, distance: int) -> DataFrame:
+    """Adds `grp` to the islands of bins (contig, _bin, _k, start0, end0, ...): those that an island of earlier bins reaches go on with its
+    number. What comes from earlier bins is one row for each bin: how far they reach, and how many islands began in them."""
+    reach = parts.groupBy("contig", "_bin").agg(F.max("end0").alias("end0"))
+    x = _with(parts, _before(reach, F.max("end0"), "_reach"))
+    x = x.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start0") > F.col("_reach") + distance), 1).otherwise(0)).drop("_reach")
+    began = x.groupBy("contig", "_bin").agg(F.sum("_new").alias("n"))
+    x = _with(x, _before(began, F.sum("n"), "_base"))
+    w = Window.partitionBy("contig", "_bin").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("grp", F.coalesce("_base", F.lit(0)) + F.sum("_new").over(w)).drop("_new", "_base")
+
+
 def islands(df: DataFrame, distance: int, width: int = 1 << 20) -> DataFrame:
     """Adds `grp`: intervals of a contig that overlap or lie at most `distance` apart share it (-1: one base in common). Intervals
-    are in order within bins of `width` positions only, so that a hot contig is many tasks."""
-    x = _carried(df.withColumn("_bin", F.floor(F.col("start0") / width)), F.max("end0"), "_reach")
-    w = Window.partitionBy("contig", "_bin").orderBy("start0", "end0")
-    reach = F.greatest(F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
-    x = x.withColumn("_new", F.when(reach.isNull() | (F.col("start0") > reach + distance), 1).otherwise(0))
-    x = _carried(x, F.sum("_new"), "_base")
-    # of equal intervals the one that begins a group is first, whatever order they come in after the join
-    w = w.orderBy("start0", "end0", F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
-    grp = F.coalesce("_base", F.lit(0)) + F.sum("_new").over(w)
-    return x.withColumn("grp", grp).select(*df.columns, "grp")
+    are in order within bins of `width` positions only, so that a hot contig is many tasks. The intervals are read and shuffled once, then
+    written for the join with the numbers of their islands."""
+    x = cut_lineage(_local(df, distance, width))
+    parts = x.groupBy("contig", "_bin", "_k").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
+    number = _stitched(parts, distance).select(F.col("contig").alias("_c"), F.col("_bin").alias("_b"), F.col("_k").alias("_i"), "grp")
+    same = F.col("contig").eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b")) & (F.col("_k") == F.col("_i"))
+    return x.join(number, same).select(*df.columns, "grp")
 
 
 def merge(df: DataFrame, distance: int = 0, *aggs: Column, width: int = 1 << 20) -> DataFrame:
-    """Merged intervals of each contig, with `n`, how many went in, and further aggregates over their rows."""
-    out = islands(df, distance, width).groupBy("contig", "grp")
-    return out.agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"), F.count("*").alias("n"), *aggs).drop("grp")
+    """Merged intervals of each contig, with `n`, how many went in, and further aggregates over their rows. Without further ones the
+    intervals become islands of bins as they are read, and only these are written and stitched."""
+    ends = F.min("start0").alias("start0"), F.max("end0").alias("end0")
+    if aggs:
+        return islands(df, distance, width).groupBy("contig", "grp").agg(*ends, F.count("*").alias("n"), *aggs).drop("grp")
+    parts = cut_lineage(_local(df.select("contig", "start0", "end0"), distance, width).groupBy("contig", "_bin", "_k").agg(*ends, F.count("*").alias("n")))
+    return _stitched(parts, distance).groupBy("contig", "grp").agg(*ends, F.sum("n").alias("n")).drop("grp")
 
 
 def merge_spans(df: DataFrame, distance: int = 0, width: int = 1 << 20) -> DataFrame:
