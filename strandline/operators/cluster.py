@@ -1,17 +1,23 @@
 """Correlation clustering of site graphs: minimise repulsion inside clusters and edges between them.
 
-Components are independent, so each (component, restart) is one group of applyInPandas; the restarts of a component run in
-parallel and the best one is kept by a declarative minimum. A component must fit in one task: components come from one region
-of a genome, whose sites are bounded by its length.
+The search runs in rounds of joins over all components and restarts at once; no component and no cluster is gathered. Balls around
+pivots are the first clusters; balls with nearly the same members are one; nodes of several clusters stay in the one that
+they fit best; pairs of clusters that are each other's best partner join; single nodes move, of neighbours that want to only the one
+that gains most, so that gains add up. The best restart of each component is kept by a minimum.
+
+A node belongs to one component. A search is told apart by (restart, node); equal seeds give equal results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import graph as H
+from strandline.session import cut_lineage
+
 
 def cut_score(edges: DataFrame, members: DataFrame, penalty: float = 5.0) -> DataFrame:
     """(cut, internal_repulsion, leaving, score): repulsion inside, times penalty, plus edges that leave. edges: src, dst, sign;
@@ -27,178 +33,191 @@ def cut_score(edges: DataFrame, members: DataFrame, penalty: float = 5.0) -> Dat
     return all_.withColumn("score", penalty * F.col("internal_repulsion") + F.col("leaving"))
 
 
-class _Graph:
-    def __init__(self, src, dst, sign):
-        nodes = sorted(set(src) | set(dst))
-        self.nodes = nodes
-        self.plus = {n: set() for n in nodes}
-        self.minus = {n: set() for n in nodes}
-        for a, b, s in zip(src, dst, sign, strict=True):
-            side = self.plus if s > 0 else self.minus
-            side[a].add(b)
-            side[b].add(a)
-
-    def similarity(self, a, b) -> int:
-        """Common neighbours."""
-        return len(self.plus[a] & self.plus[b])
-
-    def gain(self, node, members: set, penalty: float) -> float:
-        """Change of the total score if node joins members: its edges into them no longer leave, repulsion counts."""
-        return penalty * len(self.minus[node] & members) - 2 * len(self.plus[node] & members)
-
-    def total(self, cuts: list[set], penalty: float) -> float:
-        where = {n: k for k, c in enumerate(cuts) for n in c}
-        leave = sum(where.get(a, -1 - a) != where.get(b, -1 - b) for a in self.nodes for b in self.plus[a] if a < b)
-        inside = sum(len(self.minus[n] & c) for c in cuts for n in c) // 2
-        return 2 * leave + penalty * inside
-
-
-def _grow(g: _Graph, rng: np.random.Generator, penalty: float, min_common: int) -> list[set]:
-    """Clusters grown from random seeds that no cluster has yet: a neighbour joins if it has enough common neighbours and the score
-    falls. Clusters may overlap."""
-    seen, cuts = set(), []
-    for seed in rng.permutation(g.nodes).tolist():
-        if seed in seen:
-            continue
-        cut, queue = {seed}, [seed]
-        while queue:
-            at = queue.pop(int(rng.integers(len(queue))))
-            for n in sorted(g.plus[at] - cut):
-                if g.similarity(n, at) >= min_common and g.gain(n, cut, penalty) < 0:
-                    cut.add(n)
-                    queue.append(n)
-        seen |= cut
-        cuts.append(cut)
-    return cuts
-
-
-def expansion_delta(g: _Graph, cut: set, more: set, penalty: float) -> float:
-    """Change of a cluster's score if some nodes outside join: their edges to the rest, and new repulsion times penalty, less their edges
-    into the cluster and among themselves."""
-    inside = sum(len(g.plus[n] & cut) for n in more)
-    among = sum(len(g.plus[n] & more) for n in more)
-    crossing = sum(len(g.plus[n] - cut - more) for n in more)
-    return crossing + penalty * sum(len(g.minus[n] & cut) for n in more) - inside - among
-
-
-def merge_reciprocal(cuts: list[set], ratio: float = 0.75) -> list[set]:
-    """Clusters of which two with more than a share of both in common are one; the first takes in every later one that fits it as it is
-    by then."""
-    out: list[set] = []
-    rest = [set(c) for c in cuts]
-    while rest:
-        first, others = rest[0], []
-        for c in rest[1:]:
-            common = len(first & c)
-            if common > ratio * len(first) and common > ratio * len(c):
-                first |= c
-            else:
-                others.append(c)
-        out.append(first)
-        rest = others
-    return out
-
-
-def unique_members(g: _Graph, cuts: list[set], penalty: float) -> list[set]:
-    """Nodes of several clusters stay in the one whose own score is lowest without them, the first among equals."""
-
-    def score(cut: set) -> float:
-        return sum(len(g.plus[n] - cut) for n in cut) + penalty * sum(len(g.minus[n] & cut) for n in cut) / 2
-
-    cuts = [set(c) for c in cuts]
-    for n in g.nodes:
-        own = [k for k, c in enumerate(cuts) if n in c]
-        if len(own) > 1:
-            keep = min(own, key=lambda k: (score(cuts[k] - {n}), k))
-            for k in own:
-                if k != keep:
-                    cuts[k].discard(n)
-    return [c for c in cuts if c]
-
-
-def without_torn(g: _Graph, cuts: list[set], cutoff: int) -> list[set]:
-    """Clusters without the nodes that have more than `cutoff` neighbours in each of several clusters. Nodes go one
-    after the other, in order; a neighbour that has gone counts no longer."""
-    out = [set(c) for c in cuts]
-    for n in g.nodes:
-        near = [k for k in (len(g.plus[n] & c) for c in out) if k]
-        if len(near) > 1 and min(near) > cutoff:
-            for c in out:
-                c.discard(n)
-    return [c for c in out if c]
-
-
-def _merge(g: _Graph, cuts: list[set], penalty: float) -> list[set]:
-    """Joins the pair of clusters that lowers the score most, as long as one does. Only pairs with an edge between them can, and joining
-    two adds up what each has towards the others, so that pairs are counted once."""
-    where = {n: k for k, c in enumerate(cuts) for n in c}
-    delta: dict[int, dict[int, float]] = {k: {} for k in range(len(cuts))}
-    for side, cost in ((g.plus, -2.0), (g.minus, penalty)):
-        for n in where:
-            for m in side[n]:
-                a, b = where[n], where.get(m)
-                if b is not None and a != b:
-                    delta[a][b] = delta[a].get(b, 0.0) + cost
-    alive = {k: set(c) for k, c in enumerate(cuts)}
+def _ways(edges: DataFrame) -> DataFrame:
+    """(a, b, sign), both ways."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "sign").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "sign"))
+
+
+def _cost(penalty: float) -> Column:
+    """What an edge into a cluster adds to the total score if its end joins: repulsion counts, an edge leaves no longer on both sides."""
+    return F.when(F.col("sign") < 0, F.lit(float(penalty))).otherwise(F.lit(-2.0))
+
+
+def alike(edges: DataFrame, least: int) -> DataFrame:
+    """(a, b), both ways, of attracting edges whose ends have at least `least` common neighbours."""
+    plus = edges.where("sign > 0").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    if least > 0:
+        plus = H.common_neighbours(cut_lineage(plus)).where(F.col("common") >= least)
+    return H.both_ways(plus.select("src", "dst"))
+
+
+def pivots(nodes: DataFrame, near: DataFrame, seed: int) -> DataFrame:
+    """(restart, node) of nodes without a pivot among their neighbours, as many as go: in each round the nodes that come before all their
+    undecided neighbours in a random order become pivots, and their neighbours go. The rounds grow with the logarithm of the nodes.
+    nodes: restart, node; near: a, b, both ways."""
+    left = cut_lineage(nodes.select("restart", "node", F.xxhash64(F.lit(seed), "restart", "node").alias("place")))
+    found = None
+    while not left.isEmpty():
+        other = left.select("restart", F.col("node").alias("b"), F.struct("place", F.col("node").alias("n")).alias("o"))
+        first = left.join(near, left["node"] == near["a"]).join(other, ["restart", "b"]).groupBy("restart", "node").agg(F.min("o").alias("o"))
+        new = left.join(first, ["restart", "node"], "left").where(F.col("o").isNull() | (F.struct("place", F.col("node").alias("n")) < F.col("o")))
+        new = cut_lineage(new.select("restart", "node"))
+        gone = new.join(near, new["node"] == near["a"]).select("restart", F.col("b").alias("node")).unionByName(new).distinct()
+        left = cut_lineage(left.join(gone, ["restart", "node"], "left_anti"))
+        found = new if found is None else found.unionByName(new)
+    return nodes.select("restart", "node").limit(0) if found is None else found
+
+
+def balls(centres: DataFrame, near: DataFrame) -> DataFrame:
+    """(restart, cut, node): each centre, which names the cluster, and its neighbours."""
+    own = centres.select("restart", F.col("node").alias("cut"), "node")
+    return own.unionByName(centres.join(near, centres["node"] == near["a"]).select("restart", F.col("node").alias("cut"), F.col("b").alias("node")))
+
+
+def merge_reciprocal(members: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """Clusters of which two have more than a share of both in common are one, and so are chains of such. members: restart, cut, node.
+
+    Two such clusters have a common node among the 1 - ratio of each that the fewest clusters have; only over these are pairs made, so
+    that a node of very many clusters isn't one that they meet at."""
+    m = cut_lineage(members.distinct())
+    n = m.groupBy("restart", "cut").agg(F.count("*").alias("n"))
+    often = m.groupBy("restart", "node").agg(F.count("*").alias("often"))
+    by = m.join(often, ["restart", "node"]).groupBy("restart", "cut").agg(F.array_sort(F.collect_list(F.struct("often", "node"))).alias("by"), F.count("*").alias("n"))
+    most = F.floor((1 - ratio) * F.col("n")).cast("int") + 1
+    rare = by.select("restart", "cut", F.explode(F.slice("by", 1, most)).alias("r")).select("restart", "cut", F.col("r.node").alias("node"))
+    other = rare.select("restart", F.col("cut").alias("with"), "node")
+    pairs = rare.join(other, ["restart", "node"]).where(F.col("cut") < F.col("with")).select("restart", "cut", "with").distinct()
+    common = pairs.join(m, ["restart", "cut"]).join(m.select("restart", F.col("cut").alias("with"), "node"), ["restart", "with", "node"])
+    common = common.groupBy("restart", "cut", "with").agg(F.count("*").alias("c"))
+    sized = common.join(n, ["restart", "cut"]).join(n.select("restart", F.col("cut").alias("with"), F.col("n").alias("o")), ["restart", "with"])
+    one = sized.where((F.col("c") > ratio * F.col("n")) & (F.col("c") > ratio * F.col("o")))
+    at = lambda c: F.struct("restart", F.col(c).alias("cut"))
+    to = H.connected_components(one.select(at("cut").alias("src"), at("with").alias("dst")))
+    to = to.select(F.col("node.restart").alias("restart"), F.col("node.cut").alias("cut"), F.col("component.cut").alias("to"))
+    return m.join(to, ["restart", "cut"], "left").select("restart", F.coalesce("to", "cut").alias("cut"), "node").distinct()
+
+
+def gains(ways: DataFrame, members: DataFrame, penalty: float) -> DataFrame:
+    """(restart, node, cut, cost) of nodes and the clusters of their neighbours: what the total score gets if the node joins."""
+    m = members.select("restart", "cut", F.col("node").alias("b"))
+    x = ways.join(m, "b").groupBy("restart", F.col("a").alias("node"), "cut")
+    return x.agg(F.sum(_cost(penalty)).alias("cost"))
+
+
+def unique_members(edges: DataFrame, members: DataFrame, penalty: float = 5.0) -> DataFrame:
+    """Nodes of several clusters stay in the one where they cost least, of equals the smallest. members: restart, cut, node."""
+    cost = gains(_ways(edges), members, penalty)
+    x = members.join(cost, ["restart", "node", "cut"], "left")
+    best = F.min(F.struct(F.coalesce("cost", F.lit(0.0)).alias("c"), "cut")).alias("b")
+    return x.groupBy("restart", "node").agg(best).select("restart", F.col("b.cut").alias("cut"), "node")
+
+
+def without_torn(edges: DataFrame, members: DataFrame, cutoff: int) -> DataFrame:
+    """Members without the nodes that have more than `cutoff` attracting neighbours in each cluster that they have any in, if these are
+    several. members: cut, node, one cluster for each node."""
+    near = _ways(edges.where("sign > 0")).join(members.select("cut", F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node"), "cut").agg(F.count("*").alias("n"))
+    torn = near.groupBy("node").agg(F.count("*").alias("k"), F.min("n").alias("n")).where((F.col("k") > 1) & (F.col("n") > cutoff))
+    return members.join(torn.select("node"), "node", "left_anti").select(members.columns)
+
+
+def expansion_delta(edges: DataFrame, members: DataFrame, more: DataFrame, penalty: float = 5.0) -> DataFrame:
+    """(cut, delta): change of each cluster's own score if the nodes of `more` (cut, node), which are outside, join it: their edges to the
+    rest, and new repulsion times penalty, less their edges into the cluster and among themselves."""
+    kind = members.select("cut", F.col("node").alias("b"), F.lit("in").alias("kind")).unionByName(more.select("cut", F.col("node").alias("b"), F.lit("new").alias("kind")))
+    x = more.select("cut", F.col("node").alias("a")).join(_ways(edges), "a").join(kind, ["cut", "b"], "left")
+    plus = F.when(F.col("kind").isNull(), 1.0).otherwise(-1.0)  # an edge among new nodes is there from both ends, as its two ends are
+    return x.groupBy("cut").agg(F.sum(F.when(F.col("sign") > 0, plus).when(F.col("kind") == "in", float(penalty)).otherwise(0.0)).alias("delta"))
+
+
+def merge_best(edges: DataFrame, members: DataFrame, penalty: float) -> DataFrame:
+    """Pairs of clusters that lower the score by joining, and each other's best partner, join, round by round, until no pair does. The
+    rounds work on one row for each pair of clusters with an edge between. members: restart, cut, node, one cluster for each node."""
+    m = members.select("restart", "cut", "node")
+    side = lambda n, c: m.select("restart", F.col("cut").alias(c), F.col("node").alias(n))
+    x = edges.select("src", "dst", "sign").join(side("src", "x"), "src").join(side("dst", "y"), ["restart", "dst"]).where("x <> y")
+    between = x.groupBy("restart", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum(_cost(penalty)).alias("delta"))
+    between = cut_lineage(between)
+    name = m.select("restart", F.col("cut").alias("was"), "cut").distinct()
     while True:
-        best = min(((d, a, b) for a, near in delta.items() for b, d in near.items() if a < b and d < 0), default=None)
-        if best is None:
-            return [alive[k] for k in sorted(alive)]
-        _, a, b = best
-        alive[a] |= alive.pop(b)
-        for c, d in delta.pop(b).items():
-            delta[c].pop(b)
-            if c != a:
-                delta[a][c] = delta[c][a] = delta[a].get(c, 0.0) + d
-
-
-def _swap(g: _Graph, cuts: list[set], penalty: float, rounds: int, min_gain: float = 0.0, min_similar: int = 0) -> list[set]:
-    """Moves single nodes to the cluster where they cost least, if that gains more than min_gain and some neighbour there has at least
-    min_similar neighbours in common with the node."""
+        one = F.struct("delta", "lo", "hi").alias("p")
+        good = between.where("delta < 0")
+        ends = good.select("restart", F.col("lo").alias("at"), one).unionByName(good.select("restart", F.col("hi").alias("at"), one))
+        best = ends.groupBy("restart", "at").agg(F.min("p").alias("p"))
+        joined = cut_lineage(best.groupBy("restart", "p").agg(F.count("*").alias("n")).where("n = 2").select("restart", "p.lo", "p.hi"))
+        if joined.isEmpty():
+            break
+        to = joined.select("restart", F.col("hi").alias("cut"), F.col("lo").alias("to"))
+        move = lambda d, c: d.join(to.withColumnRenamed("cut", c), ["restart", c], "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        name = cut_lineage(move(name, "cut"))
+        moved = move(move(between, "lo"), "hi").where("lo <> hi")
+        between = cut_lineage(moved.groupBy("restart", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.sum("delta").alias("delta")))
+    return m.withColumnRenamed("cut", "was").join(name, ["restart", "was"]).select("restart", "cut", "node")
+
+
+def move_nodes(edges: DataFrame, members: DataFrame, near: DataFrame, penalty: float, rounds: int, min_gain: float) -> DataFrame:
+    """Nodes move to the cluster of a neighbour (a, b of near) where they cost least, for a gain over min_gain; of neighbours that would
+    move in one round only the one that gains most does, so that the score falls by the sum of the gains."""
+    ways = cut_lineage(_ways(edges))
+    m = cut_lineage(members.select("restart", "cut", "node"))
     for _ in range(rounds):
-        moved = False
-        where = {n: k for k, c in enumerate(cuts) for n in c}
-        for n in g.nodes:
-            if n not in where:
-                continue
-            here = where[n]
-            fits = {where[m] for m in g.plus[n] if m in where and g.similarity(n, m) >= min_similar}
-            cost = {k: g.gain(n, cuts[k] - {n}, penalty) for k in sorted(fits | {here})}
-            k = min(cost, key=lambda k: (cost[k], k != here))
-            if k != here and cost[here] - cost[k] > min_gain:
-                cuts[here].discard(n)
-                cuts[k].add(n)
-                where[n] = k
-                moved = True
-        if not moved:
+        cost = cut_lineage(gains(ways, m, penalty))
+        here = m.withColumnRenamed("cut", "own").join(cost.withColumnRenamed("cut", "own").withColumnRenamed("cost", "now"), ["restart", "node", "own"], "left")
+        here = here.select("restart", "node", "own", F.coalesce("now", F.lit(0.0)).alias("now"))
+        fits = near.join(m.withColumnRenamed("node", "b"), "b").select("restart", F.col("a").alias("node"), "cut").distinct()
+        x = cost.join(fits, ["restart", "node", "cut"]).groupBy("restart", "node").agg(F.min(F.struct("cost", "cut")).alias("to")).join(here, ["restart", "node"])
+        wish = x.select("restart", "node", F.col("to.cut").alias("cut"), (F.col("now") - F.col("to.cost")).alias("gain"), "own").where((F.col("gain") > min_gain) & (F.col("cut") != F.col("own")))
+        wish = cut_lineage(wish.select("restart", "node", "cut", "gain"))
+        if wish.isEmpty():
             break
-    return [c for c in cuts if c]
+        rival = wish.select("restart", F.col("node").alias("b"), F.struct((-F.col("gain")).alias("g"), "node").alias("r"))
+        first = wish.join(ways, wish["node"] == ways["a"]).join(rival, ["restart", "b"]).groupBy("restart", "node").agg(F.min("r").alias("r"))
+        goes = wish.join(first, ["restart", "node"], "left").where(F.col("r").isNull() | (F.struct((-F.col("gain")).alias("g"), "node") < F.col("r")))
+        m = cut_lineage(m.join(goes.select("restart", "node", F.col("cut").alias("to")), ["restart", "node"], "left").select("restart", F.coalesce("to", "cut").alias("cut"), "node"))
+    return m
+
+
+def total_scores(edges: DataFrame, members: DataFrame, penalty: float) -> DataFrame:
+    """(component, restart, score): twice the edges between clusters, plus repulsion inside times penalty. edges: component, src, dst, sign."""
+    side = lambda n, c: members.select("restart", F.col("cut").alias(c), F.col("node").alias(n))
+    x = edges.join(side("src", "x"), "src").join(side("dst", "y"), ["restart", "dst"])
+    one = F.when((F.col("sign") > 0) & (F.col("x") != F.col("y")), 2.0).when((F.col("sign") < 0) & (F.col("x") == F.col("y")), float(penalty)).otherwise(0.0)
+    return x.groupBy("component", "restart").agg(F.sum(one).alias("score"))
 
 
 def correlation_clusters(
     edges: DataFrame, restarts: int = 10, penalty: float = 5.0, min_common: int = 3, min_size: int = 4, min_span: int = 0, swap_rounds: int = 20, seed: int = 1,
-    overlap: float = 0.75, min_gain: float = 10.0, min_similar: int = 3,
+    overlap: float = 0.75, min_gain: float = 10.0, min_similar: int = 3, torn: int | None = None,
 ) -> DataFrame:
-    """(component, cut, node, score) of the best of some restarts in each component. edges: component, src, dst, sign (1 or -1).
-    Grown clusters that have more than `overlap` of each other in common are merged, nodes get one cluster each, and clusters are joined
-    as long as that lowers the score; then single nodes move, for a gain over min_gain. Clusters of fewer than min_size nodes or a span
-    under min_span are dropped; the same seed gives the same result."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        component, restart = key
-        g = _Graph(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["sign"].tolist())
-        rng = np.random.default_rng([seed, int(component) & 0x7FFFFFFF, int(restart)])
-        cuts = unique_members(g, merge_reciprocal(_grow(g, rng, penalty, min_common), overlap), penalty)
-        cuts = _swap(g, _merge(g, cuts, penalty), penalty, swap_rounds, min_gain, min_similar)
-        score = g.total(cuts, penalty)
-        cuts = sorted((sorted(c) for c in cuts if len(c) >= min_size and max(c) - min(c) >= min_span), key=lambda c: c[0])
-        rows = [(component, restart, score, k, n) for k, c in enumerate(cuts) for n in c]
-        return pd.DataFrame(rows, columns=["component", "restart", "score", "cut", "node"])
-
-    tries = edges.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).select("component", "restart", "src", "dst", "sign")
-    found = tries.groupBy("component", "restart").applyInPandas(one, "component bigint, restart int, score double, cut int, node bigint")
-    best = found.groupBy("component").agg(F.min(F.struct("score", "restart")).alias("b")).select("component", F.col("b.restart").alias("restart"))
-    return found.join(best, ["component", "restart"]).select("component", "cut", "node", "score")
+    """(component, cut, node, score) of the best of some restarts in each component. edges: component, src, dst, sign (1 or -1). `cut` is a
+    cluster's smallest node.
+
+    Balls hold neighbours with min_common common neighbours; balls that have more than `overlap` of each other in common are merged, nodes
+    get one cluster each, clusters are joined as long as that lowers the score; then single nodes move, for a gain over min_gain, to a
+    cluster with a neighbour that has min_similar neighbours in common with them. Clusters of fewer than min_size nodes or a span under
+    min_span are dropped, and with `torn` the nodes with more neighbours than that in each of several clusters."""
+    e = cut_lineage(edges.select("component", "src", "dst", "sign").where("src <> dst").distinct())
+    near = cut_lineage(alike(e, min_common))
+    nodes = e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    tries = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+    m = merge_reciprocal(balls(pivots(tries, near, seed), near), overlap)
+    m = cut_lineage(unique_members(e, cut_lineage(m), penalty))
+    m = cut_lineage(merge_best(e, m, penalty))
+    m = move_nodes(e, m, near if min_similar == min_common else cut_lineage(alike(e, min_similar)), penalty, swap_rounds, min_gain)
+    best = cut_lineage(total_scores(e, m, penalty)).groupBy("component").agg(F.min(F.struct("score", "restart")).alias("b"))
+    kept = m.join(nodes, "node").join(best, "component").where("restart = b.restart").select("component", "cut", "node", F.col("b.score").alias("score"))
+    if torn is not None:
+        kept = without_torn(e, cut_lineage(kept), torn)
+    enough = kept.groupBy("component", "cut").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
+    enough = enough.where((F.col("n") >= min_size) & (F.col("last") - F.col("first") >= min_span)).select("component", "cut", "first")
+    return kept.join(enough, ["component", "cut"]).select("component", F.col("first").alias("cut"), "node", "score")
+
+
+def clustered_sites(clusters: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a clustering is written as: (cut, sites, n), the sites of each cluster in one row, in order; and the graph of sites, as
+    (node, color, degree), where those of no cluster have no colour. clusters: cut, node; edges: src, dst."""
+    sites = clusters.groupBy("cut").agg(F.array_sort(F.collect_list("node")).alias("sites"), F.count("*").alias("n"))
+    graph = H.colored(H.degrees(edges).select("node", "degree"), clusters.select("node", "cut"))
+    return sites, graph.select("node", "color", "degree")
 
 
 def smith_waterman(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: int = -1) -> DataFrame:
@@ -226,136 +245,6 @@ def smith_waterman(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: in
     return pairs.select("id", "a", "b").mapInPandas(work, "id bigint, score bigint, end_a bigint, end_b bigint")
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(component, src, dst, weight): the heaviest spanning tree of each component. edges: component, src, dst, weight."""
-
-    def kruskal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        rows = []
-        for r in pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True]).itertuples():
-            a, b = root(r.src), root(r.dst)
-            if a != b:
-                parent[a] = b
-                rows.append((key[0], r.src, r.dst, r.weight))
-        return pd.DataFrame(rows, columns=["component", "src", "dst", "weight"])
-
-    return edges.groupBy("component").applyInPandas(kruskal, "component bigint, src bigint, dst bigint, weight double")
-
-
-def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, max_edges: int = 1 << 62) -> DataFrame:
-    """(component, node, root): nodes of each component joined along its triangles, those with the fewest missing neighbours first, until it
-    has at most max_nodes nodes and max_edges edges; a triangle is joined if its corners are still three different nodes. An edge between
-    joined nodes adds up the costs. edges: component, src, dst, cost; triangles: i, j, k, missing. One component is one task."""
-
-    def one(key: tuple, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, float]] = {}
-        for a, b, c in e[["src", "dst", "cost"]].itertuples(index=False):
-            near.setdefault(a, {})[b] = c
-            near.setdefault(b, {})[a] = c
-        up = {n: n for n in near}
-        n_edges = len(e)
-
-        def root(n):
-            while up[n] != n:
-                up[n] = n = up[up[n]]
-            return n
-
-        alive = len(near)
-        for tri in t.sort_values(["missing", "i", "j", "k"])[["i", "j", "k"]].itertuples(index=False):
-            if alive <= max_nodes and n_edges <= max_edges:
-                break
-            a, *others = [root(n) for n in tri]
-            if len({a, *others}) < 3:
-                continue
-            for b in others:
-                for m, cost in near.pop(b).items():
-                    near[m].pop(b)
-                    if m == a or m in near[a]:
-                        n_edges -= 1
-                    if m != a:
-                        near[a][m] = near[m][a] = near[a].get(m, 0.0) + cost
-                up[b] = a
-            alive -= 2
-        return pd.DataFrame([(key[0], n, root(n)) for n in sorted(up)], columns=["component", "node", "root"])
-
-    by = edges.select(F.explode(F.array("src", "dst")).alias("i"), F.col("component").alias("of")).distinct()
-    own = triangles.join(by, "i").select("of", "i", "j", "k", "missing")
-    return edges.groupBy("component").cogroup(own.groupBy("of")).applyInPandas(one, "component bigint, node bigint, root bigint")
-
-
-def partition_graph(edges: DataFrame, parts: int, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """(component, node, part, score): nodes of each component dealt into `parts` parts of like size at random, then pairs of nodes of two
-    parts that each lean to the other one's change places, round by round, until the score stays: the weights within parts less those
-    between, both ways. edges: component, src, dst, weight. One component is one task."""
-
-    def one(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(e[["src", "dst"]].to_numpy())
-        a, b = (np.searchsorted(nodes, e[c].to_numpy()) for c in ("src", "dst"))
-        w = e["weight"].to_numpy(float)
-        rng = np.random.default_rng([seed, int(key[0]) & 0x7FFFFFFF])
-        part = rng.permutation(np.arange(len(nodes)) % parts)
-        score = lambda: float(2 * np.where(part[a] == part[b], w, -w).sum())
-        now = score()
-        for _ in range(rounds):
-            pull = np.zeros((len(nodes), parts))
-            np.add.at(pull, (a, part[b]), w)
-            np.add.at(pull, (b, part[a]), w)
-            to = pull.argmax(axis=1)
-            before = part.copy()
-            want: dict[tuple[int, int], list[int]] = {}
-            for n in rng.permutation(len(nodes)).tolist():
-                p, q = int(before[n]), int(to[n])
-                if p == q or pull[n, q] <= pull[n, p]:
-                    continue
-                if partners := want.get((q, p)):
-                    part[n], part[partners.pop()] = q, p
-                else:
-                    want.setdefault((p, q), []).append(n)
-            after = score()
-            if after <= now:
-                part = before
-                break
-            now = after
-        return pd.DataFrame({"component": key[0], "node": nodes, "part": part.astype(np.int32), "score": now})
-
-    return edges.groupBy("component").applyInPandas(one, "component bigint, node bigint, part int, score double")
-
-
-def clique_numbers(edges: DataFrame) -> DataFrame:
-    """(component, node, clique): the size of the largest clique that each node is in. edges: component, src, dst. The search is exponential
-    in the worst case; one component is one task, so this is for small ones."""
-
-    def one(key: tuple, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in e[["src", "dst"]].itertuples(index=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        best = dict.fromkeys(near, 1)
-        stack = [(frozenset(), set(near), set())]
-        while stack:
-            clique, maybe, done = stack.pop()
-            if not maybe and not done:
-                for n in clique:
-                    best[n] = max(best[n], len(clique))
-                continue
-            if not maybe:
-                continue
-            pivot = max(maybe | done, key=lambda n: len(near[n] & maybe))
-            for n in sorted(maybe - near[pivot]):
-                stack.append((clique | {n}, maybe & near[n], done & near[n]))
-                maybe = maybe - {n}
-                done = done | {n}
-        return pd.DataFrame([(key[0], n, k) for n, k in sorted(best.items())], columns=["component", "node", "clique"])
-
-    return edges.groupBy("component").applyInPandas(one, "component bigint, node bigint, clique int")
-
-
 def traceback(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[str, str, int]:
     """The letters of both texts in the best local alignment, and its score; on the way back a gap in a goes before one in b, and these before
     a pair."""

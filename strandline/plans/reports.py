@@ -12,6 +12,7 @@ from strandline.operators import gaps as P
 from strandline.operators import genotype as G
 from strandline.operators import graph as H
 from strandline.operators import intervals as I
+from strandline.operators import rounds as RO
 from strandline.operators import summary as R
 from strandline.plans.catalogue import _BOTH, _CUTS, _EXPLODED, _PURCHASES, _SQL, BIN, SITES, _cuts, _ops, _purchases, _r, _recursive, components_sql, merged, minor_sql, query
 from strandline.plans.fixtures import duck_views, spark_view
@@ -510,25 +511,25 @@ def _with_component(spark, sf_dir):
 @query()
 def spanning_forest(spark, sf_dir):
     """The tests compare weights and sizes with a plain version."""
-    return C.spanning_forest(_with_component(spark, sf_dir))
+    return RO.spanning_forest(_with_component(spark, sf_dir))
 
 
 @query()
 def clique_numbers(spark, sf_dir):
-    return C.clique_numbers(_with_component(spark, sf_dir).select("component", "src", "dst"))
+    return RO.clique_numbers(_with_component(spark, sf_dir).select("component", "src", "dst"))
 
 
 @query()
 def partition_graph(spark, sf_dir):
     """Randomised: the tests check the sizes of the parts and that the score doesn't fall."""
-    return C.partition_graph(_with_component(spark, sf_dir).select("component", "src", "dst", "weight"), 2)
+    return RO.partition_graph(_with_component(spark, sf_dir).select("component", "src", "dst", "weight"), 2)
 
 
 @query()
 def condense_triangles(spark, sf_dir):
     e = H.cut_lineage(spark_view(spark, sf_dir, "v_edges_dense"))
     t = H.triangle_scores(e.withColumn("sign", F.lit(1)))
-    return C.condense_triangles(e.select(F.lit(0).cast("bigint").alias("component"), "src", "dst", F.lit(1.0).alias("cost")), t, 20)
+    return RO.condense_triangles(e.select(F.lit(0).cast("bigint").alias("component"), "src", "dst", F.lit(1.0).alias("cost")), t, 20)
 
 
 # ---------------------------------------------------------------- reports

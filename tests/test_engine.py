@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import sequence as S
 from strandline.operators import alignment as AL
 from strandline.operators import cluster as C
+from strandline.operators import rounds as RO
 from strandline.operators import genotype as G
 from strandline.operators import graph as H
 from strandline.operators import intervals as I
@@ -234,7 +235,7 @@ def test_graph_helpers(spark):
     assert [(r.src, r.dst) for r in near.collect()] == [(3, 6)]
     assert H.repulsion_within_radius(nodes, values(spark, "src bigint, dst bigint", [(0, 3)]), 3).count() == 0
     w = values(spark, "component bigint, src bigint, dst bigint, weight double", [(0, 0, 1, 5.0), (0, 1, 2, 1.0), (0, 0, 2, 4.0)])
-    assert sorted((r.src, r.dst) for r in C.spanning_forest(w).collect()) == [(0, 1), (0, 2)]
+    assert sorted((r.src, r.dst) for r in RO.spanning_forest(w).collect()) == [(0, 1), (0, 2)]
 
 
 def test_repulsion_load(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import sequence as S
 from strandline.operators import alignment as AL
 from strandline.operators import cluster as C
+from strandline.operators import rounds as RO
 from strandline.operators import gaps as P
 from strandline.operators import genotype as G
 from strandline.operators import graph as H
@@ -284,30 +285,10 @@ def test_condensed_triangles(spark):
     e = spark.createDataFrame([(0, a, b, 1.0) for a, b in ((1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (4, 5), (5, 6))], "component bigint, src bigint, dst bigint, cost double")
     t = H.triangle_scores(e.withColumn("sign", F.lit(1)))
     assert {(r.i, r.j, r.k): (r.missing, r.phase) for r in t.collect()} == {(1, 2, 3): (8, 8), (2, 3, 4): (9, 8)}
-    roots = lambda n: {r.node: r.root for r in C.condense_triangles(e, t, n).collect()}
+    roots = lambda n: {r.node: r.root for r in RO.condense_triangles(e, t, n).collect()}
     assert roots(6) == {n: n for n in range(1, 7)} and roots(4) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6} and roots(1) == roots(4)
 
 
-def test_steps_of_the_clustering():
-    g = C._Graph([1, 1, 2, 4, 4, 5, 3], [2, 3, 3, 5, 6, 6, 4], [1, 1, 1, 1, 1, 1, 1])
-    assert C.expansion_delta(g, {1, 2}, {3}, 5.0) == 1 - 2 and g.similarity(1, 2) == 1
-    assert C.merge_reciprocal([{1, 2, 3, 4}, {1, 2, 3, 4, 5}, {8}, {5, 6}], 0.75) == [{1, 2, 3, 4, 5}, {8}, {5, 6}]
-    assert C.unique_members(g, [{1, 2, 3}, {3, 4, 5, 6}], 5.0) in ([{1, 2, 3}, {4, 5, 6}], [{1, 2}, {3, 4, 5, 6}])
-    assert C.without_torn(g, [{1, 2, 3}, {4, 5, 6}], 0) == [{1, 2}, {4, 5, 6}] and C.without_torn(g, [{1, 2, 3}, {4, 5, 6}], 1) == [{1, 2, 3}, {4, 5, 6}]
-    rnd = random.Random(1)
-    for _ in range(60):
-        edges = [(a, b, rnd.choice([1, 1, -1])) for a, b in itertools.combinations(range(9), 2) if rnd.random() < 0.5]
-        g = C._Graph(*map(list, zip(*edges, strict=True)))
-        cuts = [{n} for n in g.nodes]
-        merged = C._merge(g, cuts, 5.0)
-        pair = lambda x, y: sum(5.0 * len(g.minus[n] & y) - 2 * len(g.plus[n] & y) for n in x)  # noqa: B023, E731
-        assert sorted(n for c in merged for n in c) == g.nodes and all(pair(x, y) >= 0 for x, y in itertools.combinations(merged, 2))
-        assert g.total(C._swap(g, [set(c) for c in merged], 5.0, 9), 5.0) <= g.total(merged, 5.0) <= g.total(cuts, 5.0)
-
-
-# reports
-
-
 def test_tests_have_known_p_values(spark):
     a = spark.createDataFrame([(float(x),) for x in range(40)], "v double")
     b = a.select((F.col("v") + 8).alias("v"))

@@ -1,16 +1,18 @@
 """Operators that work in rounds or stitch bins, against plain versions; and what kept columns, nulls and equal rows do to others."""
 
+import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
+from strandline.operators import cluster as C
 from strandline.operators import gaps, intervals
-
-
-def executed(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+from strandline.operators import graph as H
+from strandline.operators import rounds as RO
+from tests import plain_clusters as plain
 
 
 def plain_islands(rows, distance):
@@ -80,3 +82,259 @@ def test_equal_gaps_stay_apart(spark):
     reference = spark.createDataFrame([("g", "ACGTACGTAC")], "contig string, seq string")
     got = gaps.with_reference_part(rows, reference, F.col("s"), F.col("e"), "part", chunk=3)
     assert sorted(tuple(r) for r in got.collect()) == [("g", 1, 4, "CGT"), ("g", 1, 4, "CGT"), ("g", 3, 3, ""), ("g", 6, 20, "GTAC"), ("h", 0, 2, "")]
+
+
+# clustering
+
+
+def table(spark, ddl, rows):
+    return spark.createDataFrame(rows, ddl)
+
+
+SIGNED = "component bigint, src bigint, dst bigint, sign int"
+
+
+def planted_graph(seed, groups, each, inside, between, repelled):
+    """Edges (component 0, src, dst, sign) of groups that are dense inside and repel each other, with false edges between."""
+    rnd = random.Random(seed)
+    edges = []
+    for a, b in itertools.combinations(range(groups * each), 2):
+        same = a % groups == b % groups
+        if rnd.random() < (inside if same else between):
+            edges.append((0, a, b, 1))
+        elif not same and rnd.random() < repelled:
+            edges.append((0, a, b, -1))
+    return edges
+
+
+def score_of(edges, cut):
+    return sum(2 for _, a, b, s in edges if s > 0 and cut.get(a, -a) != cut.get(b, -b)) + 5 * sum(1 for _, a, b, s in edges if s < 0 and cut.get(a, -a) == cut.get(b, -b))
+
+
+GRAPHS = [(1, 4, 12, 0.7, 0.05, 0.3), (2, 3, 20, 0.5, 0.1, 0.2), (3, 6, 9, 0.9, 0.02, 0.5)]
+
+
+def test_distributed_clusters_are_no_worse(spark):
+    """The scores of three graphs at once are at most 5 % over those of the plain search, and planted groups are found."""
+    graphs = [[(k, a + 1000 * k, b + 1000 * k, s) for _, a, b, s in planted_graph(*g)] for k, g in enumerate(GRAPHS)]
+    got = C.correlation_clusters(table(spark, SIGNED, [e for g in graphs for e in g]), restarts=4, min_size=1).collect()
+    for component, part in enumerate(graphs):
+        groups = GRAPHS[component][1]
+        cut = {r.node: r.cut for r in got if r.component == component}
+        assert set(cut) == {n for _, a, b, _ in part for n in (a, b)}
+        said = {r.score for r in got if r.component == component}
+        assert said == {score_of(part, cut)}
+        best = min(plain.clusters(*([e[k] for e in part] for k in (1, 2, 3)), seed=[r])[0] for r in range(4))
+        assert said.pop() <= 1.05 * best + 1e-9
+        groups_of = {}
+        for n, c in cut.items():
+            groups_of.setdefault(c, []).append(n % 1000 % groups)
+        assert sum(max(map(v.count, set(v))) for v in groups_of.values()) >= 0.95 * len(cut)
+
+
+def test_no_component_is_gathered(spark):
+    import inspect
+
+    assert not any(x in inspect.getsource(m) for m in (C, RO) for x in ("applyInPandas(", "cogroup(", "toPandas("))
+
+
+def test_pivots_cover_and_dont_touch(spark):
+    rnd = random.Random(4)
+    near = {(a, b) for a, b in itertools.combinations(range(60), 2) if rnd.random() < 0.06} | {(0, k) for k in range(1, 40)}
+    both = table(spark, "a bigint, b bigint", [p for a, b in near for p in ((a, b), (b, a))])
+    nodes = table(spark, "restart int, node bigint", [(r, n) for r in range(2) for n in range(60)])
+    rows = C.pivots(nodes, both, 3).collect()
+    assert len({frozenset(x.node for x in rows if x.restart == r) for r in range(2)}) == 2
+    for r in range(2):
+        chosen = {x.node for x in rows if x.restart == r}
+        assert not any(a in chosen and b in chosen for a, b in near)
+        assert all(n in chosen or any((n in p) and (set(p) & chosen) for p in near) for n in range(60))
+
+
+def members(spark, cuts, restart=0):
+    return table(spark, "restart int, cut bigint, node bigint", [(restart, k, n) for k, c in cuts.items() for n in c])
+
+
+def sets(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.cut, set()).add(r.node)
+    return sorted(map(sorted, out.values()))
+
+
+def test_reciprocal_balls_are_one(spark):
+    assert sets(C.merge_reciprocal(members(spark, {1: {1, 2, 3, 4}, 2: {1, 2, 3, 4, 5}, 3: {8}, 4: {5, 6}}), 0.75)) == [[1, 2, 3, 4, 5], [5, 6], [8]]
+    rnd = random.Random(5)
+    base = [set(rnd.sample(range(40), rnd.randint(2, 9))) for _ in range(15)]
+    cuts = dict(enumerate([*base, *(b | {100} for b in base), *(b - {min(b)} for b in base)]))
+    up = {k: k for k in cuts}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in itertools.combinations(cuts, 2):
+        if min(len(cuts[a] & cuts[b]) / len(c) for c in (cuts[a], cuts[b])) > 0.6:
+            up[root(b)] = root(a)
+    want = {}
+    for k, c in cuts.items():
+        want.setdefault(root(k), set()).update(c)
+    assert sets(C.merge_reciprocal(members(spark, cuts), 0.6)) == sorted(map(sorted, want.values()))
+
+
+def test_steps_of_the_clustering(spark):
+    edges = table(spark, SIGNED, [(0, a, b, 1) for a, b in ((1, 2), (1, 3), (2, 3), (4, 5), (4, 6), (5, 6), (3, 4))] + [(0, 2, 5, -1)])
+    assert sets(C.unique_members(edges, members(spark, {1: {1, 2, 3}, 2: {3, 4, 5, 6}}))) == [[1, 2, 3], [4, 5, 6]]
+    two = table(spark, "cut bigint, node bigint", [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (2, 6)])
+    assert sets(C.without_torn(edges, two, 0)) == [[1, 2], [5, 6]] and sets(C.without_torn(edges, two, 1)) == [[1, 2, 3], [4, 5, 6]]
+    new = table(spark, "cut bigint, node bigint", [(1, 3), (1, 4), (2, 3)])
+    # 3 and 4 into {1, 2}: two edges into it, one among the two from both ends, 4 to 5 and 6 leave; 3 into {4, 5}: one in, two out
+    delta = C.expansion_delta(edges, table(spark, "cut bigint, node bigint", [(1, 1), (1, 2), (2, 4), (2, 5)]), new)
+    assert {r.cut: r.delta for r in delta.collect()} == {1: 2 - 2 - 2, 2: 2 - 1}
+    more = C.expansion_delta(edges, table(spark, "cut bigint, node bigint", [(1, 5)]), table(spark, "cut bigint, node bigint", [(1, 2)]))
+    assert more.first().delta == 2 + 5
+    sites, graph = C.clustered_sites(two, edges)
+    assert {r.cut: (r.sites, r.n) for r in sites.collect()} == {1: ([1, 2, 3], 3), 2: ([4, 5, 6], 3)}
+    assert {r.node: r.color for r in graph.collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}
+
+
+def test_moves_and_merges_lower_the_score(spark):
+    edges = planted_graph(9, 3, 12, 0.7, 0.15, 0.3)
+    df = table(spark, SIGNED, edges)
+    rnd = random.Random(6)
+    nodes = sorted({n for _, a, b, _ in edges for n in (a, b)})
+    start = {n: rnd.choice(nodes[:9]) for n in nodes}
+    own = members(spark, {k: {n for n in nodes if start[n] == k} for k in set(start.values())})
+    joined = C.merge_best(df, own, 5.0)
+    after = {r.node: r.cut for r in joined.collect()}
+    moved = {r.node: r.cut for r in C.move_nodes(df, joined, C.alike(df, 0), 5.0, 3, 0.0).collect()}
+    assert score_of(edges, start) > score_of(edges, after) > score_of(edges, moved) and set(moved) == set(nodes)
+
+
+# other algorithms in rounds
+
+
+def random_edges(seed, n, p, components=2):
+    rnd = random.Random(seed)
+    return [(c, c * 1000 + a, c * 1000 + b, float(rnd.randint(0, 6))) for c in range(components) for a, b in itertools.combinations(range(n), 2) if rnd.random() < p]
+
+
+def plain_forest(edges):
+    up, out = {}, set()
+
+    def root(n):
+        while up.setdefault(n, n) != n:
+            n = up[n]
+        return n
+
+    for c, a, b, w in sorted(edges, key=lambda e: (-e[3], e[1], e[2])):
+        if root(a) != root(b):
+            up[root(a)] = root(b)
+            out.add((c, a, b, w))
+    return out
+
+
+WEIGHTED = "component bigint, src bigint, dst bigint, weight double"
+
+
+def test_forest_equals_one_edge_after_the_other(spark):
+    edges = random_edges(3, 40, 0.1) + [(5, 5000 + k, 5001 + k, 1.0) for k in range(40)] + [(6, 6000, 6000 + k, 2.0) for k in range(1, 90)] + [(7, 7000, 7001, 1.0)] * 2
+    assert {tuple(r) for r in RO.spanning_forest(table(spark, WEIGHTED, edges)).collect()} == plain_forest(edges)
+    assert RO.spanning_forest(table(spark, WEIGHTED, [(0, 1, 1, 1.0)])).count() == 0
+
+
+def plain_condensed(edges, triangles, max_nodes):
+    root = {n: (c, n) for c, a, b, *_ in edges for n in (a, b)}
+    tri = sorted((m, i, j, k) for i, j, k, m in triangles)
+    while True:
+        at = lambda n: root[n][1]
+        alive = [(t, sorted({at(t[1]), at(t[2]), at(t[3])})) for t in tri]
+        alive = [(t, c) for t, c in alive if len(c) == 3]
+        size = {}
+        for c, n in set(root.values()):
+            size[c] = size.get(c, 0) + 1
+        alive = [(t, c) for t, c in alive if size[root[t[1]][0]] > max_nodes]
+        first = {}
+        for t, corners in alive:
+            for n in corners:
+                first.setdefault(n, t)
+        ready = [(t, c) for t, c in alive if all(first[n] == t for n in c)]
+        if not ready:
+            return {n: (c, r) for n, (c, r) in root.items()}
+        used = {}
+        for t, corners in ready:
+            c = root[t[1]][0]
+            used[c] = used.get(c, 0) + 1
+            if used[c] <= math.ceil((size[c] - max_nodes) / 2):
+                root = {n: (k, corners[0] if r in corners else r) for n, (k, r) in root.items()}
+
+
+@pytest.mark.parametrize("most", [1, 11])
+def test_contraction_equals_plain_rounds(spark, most):
+    edges = random_edges(8, 18, 0.28)
+    near = {}
+    for _, a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rnd = random.Random(most)
+    tri = [(i, j, k, rnd.randint(0, 4)) for i, j, k in itertools.combinations(sorted(near), 3) if j in near[i] and k in near[i] and k in near[j]]
+    df = table(spark, "component bigint, src bigint, dst bigint, cost double", edges)
+    got = RO.condense_triangles(df, table(spark, "i bigint, j bigint, k bigint, missing int", tri), most)
+    roots = {r.node: (r.component, r.root) for r in got.collect()}
+    assert roots == plain_condensed(edges, tri, most) and (most == 1 or min(sum(c == k for c, _ in set(roots.values())) for k in (0, 1)) <= most)
+    cost = {}
+    for _, a, b, w in edges:
+        x, y = sorted((roots[a][1], roots[b][1]))
+        if x != y:
+            cost[x, y] = cost.get((x, y), 0) + w
+    assert {(r.src, r.dst): r.cost for r in RO.condensed_edges(df, got).collect()} == cost
+
+
+def test_parts_keep_their_sizes(spark):
+    parts = 3
+    edges = [(0, a, b, 3.0 if a % parts == b % parts else 1.0) for a, b in itertools.combinations(range(31), 2) if (a * b) % 3 or a % parts == b % parts]
+    edges += [(1, 100 + a, 100 + b, float((a * b) % 5) - 1) for a, b in itertools.combinations(range(14), 2)]
+    df = table(spark, WEIGHTED, edges)
+
+    def score(part, c):
+        return sum((2 if part[a] == part[b] else -2) * w for k, a, b, w in edges if k == c)
+
+    results = []
+    for rounds in (0, 1, 5):
+        rows = RO.partition_graph(df, parts, rounds=rounds).collect()
+        part = {r.node: r.part for r in rows}
+        for c in (0, 1):
+            sizes = [sum(r.component == c and r.part == p for r in rows) for p in range(parts)]
+            assert max(sizes) - min(sizes) <= 1 and {r.score for r in rows if r.component == c} == {score(part, c)}
+        results.append([score(part, c) for c in (0, 1)])
+    assert all(a <= b <= c for a, b, c in zip(*results, strict=True)) and results[0][0] < results[2][0]
+
+
+def plain_cliques(near):
+    def largest(clique, rest):
+        return max([len(clique), *(largest(clique | {n}, rest & near[n]) for n in rest)])
+
+    return {n: largest({n}, near[n]) for n in near}
+
+
+def test_cliques_equal_brute_force(spark):
+    edges = random_edges(12, 16, 0.5) + [(2, 2000, 2000 + k, 1.0) for k in range(1, 60)] + [(3, 3000 + k, 3001 + k, 1.0) for k in range(20)]
+    near = {}
+    for _, a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert {r.node: r.clique for r in RO.clique_numbers(table(spark, WEIGHTED, edges)).collect()} == plain_cliques(near)
+    layer = {r.node: r.layer for r in RO.peeling(table(spark, WEIGHTED, edges)).collect()}
+    assert set(layer) == set(near) and layer[2000] > layer[2001]
+    order = lambda n: (layer[n], n)
+    densest = max(len(near[n]) for n in near if n < 2000)
+    assert max(sum(order(m) > order(n) for m in near[n]) for n in near) <= 2 * densest
+
+
+def test_triangles_of_a_hub(spark):
+    """A star of a million leaves around a node of middling number, and two triangles at it."""
+    n = 1_000_000
+    leaves = spark.range(n).select(F.least("id", F.lit(n // 2)).alias("src"), F.greatest("id", F.lit(n // 2)).alias("dst")).where("src <> dst")
+    more = table(spark, "src bigint, dst bigint", [(0, 1), (7, n - 1)])
+    assert {tuple(r) for r in H.triangles(leaves.unionByName(more)).collect()} == {(0, 1, n // 2), (7, n // 2, n - 1)}
