@@ -418,17 +418,29 @@ def joined_sequence(contigs: DataFrame, spacer: int = 5000) -> DataFrame:
     return x.select("k", F.concat(F.when(F.col("k") == F.col("_first"), "").otherwise(F.repeat(F.lit("N"), F.lit(spacer))), "seq").alias("value"))
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, ranges: int = 64) -> DataFrame:
-    """Adds the sum of a column over all rows before, in order of a column of different values, without putting all rows into one task."""
-    x = df.select(order, value).repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id())
+def ranges_of(spark) -> int:
+    """Into how many ranges rows are dealt that are to be put in order: as many as the session's shuffles have parts."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running_totals(df: DataFrame, order: str, **values: str) -> DataFrame:
+    """(order, name, ...): for each value of a column the sum of others over all rows before, without putting all rows into one task. Values
+    of `order` are different; values: name of the sum and of the column. Of the rows only these columns are moved and written."""
+    narrow = df.select(F.col(order), *[F.col(c).alias(f"_v_{n}") for n, c in values.items()])
+    x = narrow.repartitionByRange(ranges_of(df.sparkSession), order).withColumn("_p", F.spark_partition_id())
     before = lambda part: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # ranges come from a sample, so that they must not be drawn again for their sizes; of the rows only these two columns are written
-    x = cut_lineage(x.withColumn("_s", F.coalesce(F.sum(value).over(before("_p")), F.lit(0))))
-    sizes = x.groupBy("_p").agg(F.sum(value).alias("_n"))
+    # ranges come from a sample, so that they must not be drawn again for their sizes
+    x = cut_lineage(x.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(before("_p")), F.lit(0)).alias(f"_s_{n}") for n in values]))
+    sizes = x.groupBy("_p").agg(*[F.sum(f"_v_{n}").alias(f"_n_{n}") for n in values])
     # one row for each range
     shift = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_t"))
-    starts = x.join(F.broadcast(sizes), "_p").select(F.col(order).alias("_o"), (F.col("_s") + F.col("_t")).cast("bigint").alias(name))
+    sizes = sizes.select("_p", *[F.coalesce(F.sum(f"_n_{n}").over(shift), F.lit(0)).alias(f"_t_{n}") for n in values])
+    return x.join(F.broadcast(sizes), "_p").select(order, *[F.col(f"_v_{n}").alias(c) for n, c in values.items()], *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in values])
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of a whole-number column over all rows before, in order of a column of different values."""
+    starts = running_totals(df, order, **{name: value}).select(F.col(order).alias("_o"), F.col(name).cast("bigint").alias(name))
     return df.join(starts, F.col(order).eqNullSafe(F.col("_o"))).drop("_o")
 
 

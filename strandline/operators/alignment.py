@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import primary, reference_span, reverse_complement, reverse_strand
+from strandline.functions.sequence import primary, ranges_of, reference_span, reverse_complement, reverse_strand
 from strandline.operators.intervals import parse_region
 from strandline.session import cut_lineage
 
-NUMBERED_RANGES = 64
 
 
 def to_bed(alignments: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str) -> DataFram
     """Adds the place of each row in a total order, from 1 on, without putting all rows into one task: rows are dealt into
     ranges, numbered within each, and shifted by the sizes of the ranges before."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    x = df.repartitionByRange(NUMBERED_RANGES, *cols).withColumn("_p", F.spark_partition_id())
+    x = df.repartitionByRange(ranges_of(df.sparkSession), *cols).withColumn("_p", F.spark_partition_id())
     # ranges come from a sample, so that they must not be drawn again for their sizes
     x = cut_lineage(x.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*cols))))
     sizes = x.groupBy("_p").agg(F.count("*").alias("_n"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.summary import percentiles
 from strandline.session import cut_lineage
 
 
@@ -113,9 +114,8 @@ def merge_spans(df: DataFrame, distance: int = 0, width: int = 1 << 20) -> DataF
 
 def trimmed_stats(df: DataFrame, column: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """One row: mean and sample deviation of the values strictly between two percentiles, and their number."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q"))
-    x = df.select(column).crossJoin(F.broadcast(q))  # one row
-    x = x.where((F.col(column) > F.col("q")[0]) & (F.col(column) < F.col("q")[1]))
+    x = df.select(column).crossJoin(F.broadcast(percentiles(df, column, low, high)))  # one row
+    x = x.where((F.col(column) > F.col("p0")) & (F.col(column) < F.col("p1")))
     return x.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.count("*").alias("n"))
 
 

@@ -137,7 +137,7 @@ def partition_graph(edges: DataFrame, parts: int, rounds: int = 100, seed: int =
         x = best.join(at.select("node", "part"), "node").join(own, "node", "left").where("to.part <> part")
         x = x.select("component", "node", F.col("part").alias("p"), F.col("to.part").alias("q"), (-F.col("to.w") - F.coalesce("now", F.lit(0.0))).alias("gain"), "misses").where("gain > 0")
         # after a miss, one in two, in four, ... may move
-        x = x.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node"), F.shiftleft(F.lit(1), F.col("misses")).cast("bigint")) == 0) if k else x
+        x = x.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node"), F.expr("shiftleft(1L, misses)")) == 0) if k else x
         x = _placed(x.drop("misses"), ["component", "p", "q"], [F.desc("gain"), F.xxhash64(F.lit(seed), F.lit(k), "node"), F.col("node")], "place")
         other = x.select("component", F.col("p").alias("q"), F.col("q").alias("p"), "place")
         moves = cut_lineage(x.join(other, ["component", "p", "q", "place"]).select("node", F.col("q").alias("to")))

@@ -11,26 +11,57 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.sequence import running_totals
+from strandline.session import cut_lineage
+
 RESOLVED = 99.8
 
 
+def counted(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(v, k, before): different values of a column with how many rows have them and how many have smaller ones, nulls left out; and one
+    row `n`, how many there are. Values are put in order by ranges, never all in one task."""
+    c = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    c = cut_lineage(running_totals(c, "v", before="k"))
+    return c, c.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+
+
+def percentiles(df: DataFrame, column: str, *shares: float) -> DataFrame:
+    """One row, p0, p1, ...: exact percentiles with linear interpolation between the neighbouring ranks; null without values."""
+    c, n = counted(df, column)
+    x = c.crossJoin(F.broadcast(n))  # one row
+    aggs = []
+    for k, p in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        here = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("k")), F.col("v").cast("double")))
+        aggs += [here(F.floor(at)).alias(f"_lo{k}"), here(F.ceil(at)).alias(f"_hi{k}"), F.max(at).alias(f"_at{k}")]
+    out = x.agg(*aggs)
+    lo, hi, at = (lambda k, s=s: F.col(f"_{s}{k}") for s in ("lo", "hi", "at"))
+    mix = lambda k: F.when(lo(k) == hi(k), lo(k)).otherwise((F.ceil(at(k)) - at(k)) * lo(k) + (at(k) - F.floor(at(k))) * hi(k))
+    return out.select(*[mix(k).alias(f"p{k}") for k in range(len(shares))])
+
+
 def describe(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max, overall or per group."""
+    """count, mean, std, min, quartiles and max, overall or per group. Overall, quartiles come from ranges of values; in a group, from its
+    different values."""
     q = lambda p: F.percentile(column, F.lit(p))
     aggs = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min")]
-    aggs += [q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).alias("max")]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if keys:
+        return df.groupBy(*keys).agg(*aggs, q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).alias("max"))
+    out = df.agg(*aggs, F.max(column).alias("max")).crossJoin(F.broadcast(percentiles(df, column, 0.25, 0.5, 0.75)))  # one row each
+    return out.select("count", "mean", "std", "min", F.col("p0").alias("q25"), F.col("p1").alias("q50"), F.col("p2").alias("q75"), "max")
 
 
 def n50(df: DataFrame, length: str, *keys: str) -> DataFrame:
-    """Length at which the running sum of ascending lengths reaches half of all. Lengths are counted before they are ordered, so
-    the window has as many rows as there are different lengths."""
+    """Length at which the running sum of ascending lengths reaches half of all. Lengths are counted before they are ordered; within a group
+    the window has as many rows as it has different lengths, overall lengths are ordered by ranges."""
     c = df.groupBy(*keys, length).agg(F.sum(length).alias("bases"))
-    run = Window.partitionBy(*keys).orderBy(length).rowsBetween(Window.unboundedPreceding, 0) if keys else Window.partitionBy(F.lit(0)).orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    c = c.withColumn("run", F.sum("bases").over(run)).withColumn("total", F.sum("bases").over(whole))
-    hit = c.where(F.col("run") * 2 >= F.col("total"))
-    return hit.groupBy(*keys).agg(F.min(length).alias("n50")) if keys else hit.agg(F.min(length).alias("n50"))
+    if not keys:
+        c = cut_lineage(running_totals(c.where(F.col(length).isNotNull()), length, run="bases"))
+        hit = c.crossJoin(F.broadcast(c.agg(F.sum("bases").alias("total"))))  # one row
+        return hit.where((F.col("run") + F.col("bases")) * 2 >= F.col("total")).agg(F.min(length).alias("n50"))
+    run = Window.partitionBy(*keys).orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("run", F.sum("bases").over(run)).withColumn("total", F.sum("bases").over(Window.partitionBy(*keys)))
+    return c.where(F.col("run") * 2 >= F.col("total")).groupBy(*keys).agg(F.min(length).alias("n50"))
 
 
 def status(per_id: Column, rows: Column, has_assembly: Column) -> Column:
@@ -60,11 +91,11 @@ def first_success(rows: DataFrame, group: str, rank: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
-    """(value, share of rows, or of weight, up to it), one row per value."""
-    w = F.sum(weight) if weight else F.count("*")
-    c = df.groupBy(F.col(column).alias("value")).agg(w.alias("w"))
-    run = Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("value", (F.sum("w").over(run) / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("ecdf"))
+    """(value, share of rows, or of weight, up to it), one row per value, null first if there is one."""
+    c = df.groupBy(F.col(column).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("w"))
+    c = cut_lineage(running_totals(c, "value", before="w"))
+    total = c.agg(F.sum("w").alias("total"))
+    return c.crossJoin(F.broadcast(total)).select("value", ((F.col("before") + F.col("w")) / F.col("total")).alias("ecdf"))  # one row
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,12 +144,10 @@ def collapse_count(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def rank_trim(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """One row: the values at the ranks round(p * n) of the ordered column, not interpolated. Values are counted first."""
-    c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k"))
-    run = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("upto", F.sum("k").over(run)).withColumn("n", F.sum("k").over(Window.partitionBy(F.lit(0))))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.round(p * F.col("n"))), F.col(column)))
-    return c.agg(at(low).alias("low"), at(high).alias("high"))
+    """One row: the values at the ranks round(p * n) of the ordered column, not interpolated."""
+    c, n = counted(df, column)
+    at = lambda p: F.min(F.when(F.col("before") + F.col("k") >= F.greatest(F.lit(1), F.round(p * F.col("n"))), F.col("v")))
+    return c.crossJoin(F.broadcast(n)).agg(at(low).alias("low"), at(high).alias("high"))  # one row
 
 
 def identity_band(per_id: Column) -> Column:
@@ -195,9 +224,9 @@ def reciprocal_members(a: DataFrame, b: DataFrame, fraction: float) -> DataFrame
 
 def quantile_filter(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, log: bool = False) -> DataFrame:
     """Rows whose value lies within two percentiles, both included, with `value`, which is its logarithm to 10 if asked for."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = percentiles(df, column, low, high).select(F.col("p0").alias("_p"), F.col("p1").alias("_q"))
     x = df.crossJoin(F.broadcast(q))  # one row
-    x = x.where((F.col(column) >= F.col("_q")[0]) & (F.col(column) <= F.col("_q")[1])).drop("_q")
+    x = x.where((F.col(column) >= F.col("_p")) & (F.col(column) <= F.col("_q"))).drop("_p", "_q")
     return x.withColumn("value", F.log10(column) if log else F.col(column).cast("double"))
 
 
@@ -343,9 +372,10 @@ def ks_test(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     values are counted first, so that the window sees different ones only."""
     side = lambda d, k: d.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.lit(k).alias("s"))
     c = side(a, 0).unionByName(side(b, 1)).groupBy("v").agg(F.count_if(F.col("s") == 0).alias("x"), F.count_if(F.col("s") == 1).alias("y"))
-    run, whole = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    share = lambda n: F.sum(n).over(run) / F.sum(n).over(whole)
-    out = c.select(F.abs(share("x") - share("y")).alias("d"), F.sum("x").over(whole).alias("n"), F.sum("y").over(whole).alias("m"))
+    c = cut_lineage(running_totals(c, "v", xs="x", ys="y"))
+    whole = c.agg(F.sum("x").alias("n"), F.sum("y").alias("m"))
+    d = F.abs((F.col("xs") + F.col("x")) / F.col("n") - (F.col("ys") + F.col("y")) / F.col("m"))
+    out = c.crossJoin(F.broadcast(whole)).select(d.alias("d"), "n", "m")  # one row
     out = out.agg(F.max("d").alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
     root = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("d")
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * root * root))
@@ -358,8 +388,8 @@ def signed_rank_test(df: DataFrame, a: str, b: str) -> DataFrame:
     approximation with ties. Differences are counted by size first, so that the window sees different sizes only."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     c = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.select("k", "up", (before + (F.col("k") + 1) / 2).alias("rank"))
+    c = cut_lineage(running_totals(c, "size", before="k", less="up"))
+    c = c.select("k", "up", (F.col("before") + (F.col("k") + 1) / 2).alias("rank"))
     s = c.agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"), F.sum(F.expr("k * k * k - k")).alias("ties"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
