@@ -12,7 +12,7 @@ has a segment as good follows from the law; a segment is significant if it is un
 is the sum of -ln(chance) over its significant segments, and a logistic curve over it, fitted on the same rows weighted
 back to the labels' true shares, gives the score.
 
-The settings were chosen by cross-validation within rows that may be learned from (tests/llm/choose_toxicity.py).
+The settings were picked from a regular grid by cross-validation within rows that may be learned from (tests/llm/choose_toxicity.py).
 
 Null and empty texts have no segments and get the score of no evidence. Labels that are null, neither 0 nor 1, of documents that
 don't exist or of an id whose labels disagree don't count; with no labels of one kind every score is the share of label 1 (0 if
@@ -36,11 +36,11 @@ from strandline.llm.common import cut, text_column
 from strandline.llm.decontam import words_of
 
 MAX_PER_CLASS = 8_000
-PRIOR_DOCS = 5.0
+PRIOR_DOCS = 25.0
 ERRORS = 2.0
 MIN_SCORE = 1.0
-DRIFT = -0.7
-PREFIXES = (4, 5, 6, 7)
+DRIFT = -2.0
+PREFIXES = (4, 5, 6, 7, 8)
 #: Words whose score a Python worker remembers before it starts afresh.
 WORDS_KEPT = 300_000
 SIGNIFICANT = 0.01
