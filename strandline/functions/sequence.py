@@ -6,7 +6,7 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,78 +331,111 @@ def cluster_name(name: Column) -> Column:
     return F.when(name.rlike(pattern), F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)]))
 
 
-def _walk(cigar: str) -> list[tuple[str, int]]:
-    return [(op, int(n)) for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar or "")]
+def condense_indels(cigar: Column, below: int) -> Column:
+    """The CIGAR with indels of one kind as one where only match blocks shorter than `below` lie between; these come behind it as one M.
 
+    An operation goes on with the group before it if it is an indel like the one two before, across a short match block, or that block."""
+    ops = parse_cigar(cigar)
+    at = lambda i: F.get(ops, i)
+    like = lambda i: at(i)["op"].isin("I", "D") & (at(i - 2)["op"] == at(i)["op"]) & at(i - 1)["op"].isin("M", "=", "X") & (at(i - 1)["len"] < below)
+    goes_on = lambda i: F.coalesce(like(i), F.lit(False)) | F.coalesce(like(i + 1), F.lit(False))
+    places = F.when(F.size(ops) > 0, F.sequence(F.lit(0), F.size(ops) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(F.filter(places, lambda i: ~goes_on(i)), F.array(F.size(ops)))
+    total = lambda part, kinds: F.aggregate(F.filter(part, lambda x: x["op"].isin(*kinds)), F.lit(0).cast("bigint"), lambda n, x: n + x["len"])
 
-def condense_indels(cigar: Column, below: int) -> Column:
-    """The CIGAR with indels of one kind as one where only match blocks shorter than `below` lie between; these come behind it as one
-    M. The operations of a read are looked at in order, in Arrow batches."""
+    def text(start, k):
+        part = F.slice(ops, start + 1, F.get(starts, k + 1) - start)
+        whole = F.concat(total(part, "ID").cast("string"), at(start)["op"], total(part, "M=X").cast("string"), F.lit("M"))
+        return F.when(F.size(part) == 1, F.concat(at(start)["len"].cast("string"), at(start)["op"])).otherwise(whole)
+
+    # the last start is the end of the last group
+    return F.when(ops.isNull(), cigar).otherwise(F.array_join(F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), text), ""))
+
+
+class _Walked:
+    """The operations of many alignments in one row each: of which alignment, kind, length, and where they begin on read and reference."""
 
-    def one(text: str) -> str:
-        ops, out, i = _walk(text), [], 0
-        while i < len(ops):
-            op, n = ops[i]
-            match = 0
-            while op in "ID" and i + 2 < len(ops) and ops[i + 2][0] == op and ops[i + 1][0] in "M=X" and ops[i + 1][1] < below:
-                match, n, i = match + ops[i + 1][1], n + ops[i + 2][1], i + 2
-            out.append(f"{n}{op}")
-            if match:
-                out.append(f"{match}M")
-            i += 1
-        return "".join(out)
+    def __init__(self, ops: pa.Array):
+        sizes = np.diff(ops.offsets.to_numpy())
+        flat = ops.flatten()
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.kind = np.array(flat.field("op").to_pylist(), "U1") if len(flat) else np.zeros(0, "U1")
+        self.len = flat.field("len").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.query, self.target = self._starts("MIS=X"), self._starts("MDN=X")
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+    def _starts(self, moves: str) -> np.ndarray:
+        """Sum of what moves before an operation, within its alignment."""
+        n = np.where(np.isin(self.kind, list(moves)), self.len, 0)
+        before = np.cumsum(n) - n
+        first = np.r_[True, self.row[1:] != self.row[:-1]] if len(n) else np.zeros(0, bool)
+        return before - before[np.maximum.accumulate(np.where(first, np.arange(len(n)), 0))] if len(n) else before
 
-    return F.pandas_udf(run, "string")(cigar)
+    def letters(self, kinds: str) -> tuple[np.ndarray, np.ndarray]:
+        """(operation, offset in it) of each letter of the operations of some kinds."""
+        own = np.flatnonzero(np.isin(self.kind, list(kinds)))
+        of = np.repeat(own, self.len[own])
+        ends = np.cumsum(self.len[own])
+        return of, np.arange(len(of)) - np.repeat(ends - self.len[own], self.len[own])
+
+
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of texts as numbers, one after the other, where each text begins, and its length."""
+    listed = [t or "" for t in texts.to_pylist()]
+    size = np.array([len(t) for t in listed], np.int64)
+    return np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size, size
+
+
+def _texts(points: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    whole = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum(sizes)
+    return pa.array([whole[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.string())
 
 
 def aligned_strings(cigar: Column, seq: Column) -> Column:
     """Struct (query, target): the aligned letters of a read, `-` where one is deleted; below them `M`, `-` for an inserted letter, `D` for
-    a deleted one. In Arrow batches."""
+    a deleted one. The letters of a whole batch of reads are laid out at once."""
+
+    def run(ops: pa.Array, seqs: pa.Array) -> pa.Array:
+        w = _Walked(ops)
+        x, begin, size = _code_points(seqs)
+        of, k = w.letters("M=XID")
+        row, kind, at = w.row[of], w.kind[of], w.query[of] + k
+        there = (kind == "D") | (at < size[row])
+        row, kind, at = row[there], kind[there], at[there]
+        query = np.full(len(row), ord("-"), np.uint32)
+        read = kind != "D"
+        query[read] = x[begin[row[read]] + at[read]]
+        target = np.select([kind == "I", kind == "D"], [ord("-"), ord("D")], ord("M"))
+        n = np.bincount(row, minlength=len(size))
+        return pa.StructArray.from_arrays([_texts(query, n), _texts(target, n)], ["query", "target"])
 
-    def one(text: str, letters: str) -> tuple[str, str]:
-        q, query, target = 0, [], []
-        for op, n in _walk(text):
-            if op in "M=XI":
-                part = letters[q : q + n]
-                query.append(part)
-                target.append(("-" if op == "I" else "M") * len(part))
-            elif op == "D":
-                query.append("-" * n)
-                target.append("D" * n)
-            q += n * (op in "MIS=X")
-        return "".join(query), "".join(target)
+    run.__annotations__ = {"ops": pa.Array, "seqs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<query:string,target:string>")(_some(parse_cigar(cigar)), seq)
 
-    def run(texts: pd.Series, seqs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(a, b or "") for a, b in zip(texts, seqs, strict=True)], columns=["query", "target"], dtype=object)
 
-    return F.pandas_udf(run, "query string, target string")(cigar, seq)
+def _some(ops: Column) -> Column:
+    return F.coalesce(ops, F.array().cast("array<struct<op:string,len:bigint>>"))
 
 
 def accuracy(cigar: Column, seq: Column, ref: Column) -> Column:
     """(matches - mismatches - inserted and deleted letters) / matches of a read against the reference letters from its first aligned one
-    on; null without a match. In Arrow batches, each match block by numpy."""
-
-    def one(text: str, letters: str, other: str) -> float | None:
-        q = t = match = errors = 0
-        x, y = (np.frombuffer((s or "").upper().encode("utf-32-le"), np.uint32) for s in (letters, other))
-        for op, n in _walk(text):
-            if op in "M=X":
-                a, b = x[q : q + n], y[t : t + n]
-                size = min(len(a), len(b))
-                same = int((a[:size] == b[:size]).sum())
-                match, errors = match + same, errors + size - same
-            elif op in "ID":
-                errors += n
-            q, t = q + n * (op in "MIS=X"), t + n * (op in "MDN=X")
-        return (match - errors) / match if match else None
-
-    def run(texts: pd.Series, seqs: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([one(*r) for r in zip(texts, seqs, refs, strict=True)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(cigar, seq, ref)
+    on; null without a match. The letters of a whole batch of reads are compared at once."""
+
+    def run(ops: pa.Array, seqs: pa.Array, refs: pa.Array) -> pa.Array:
+        w = _Walked(ops)
+        (x, x0, nx), (y, y0, ny) = _code_points(seqs), _code_points(refs)
+        of, k = w.letters("M=X")
+        row, q, t = w.row[of], w.query[of] + k, w.target[of] + k
+        there = (q < nx[row]) & (t < ny[row])
+        row = row[there]
+        same = x[x0[row] + q[there]] == y[y0[row] + t[there]]
+        match = np.bincount(row, same, len(nx))
+        indel = np.isin(w.kind, ["I", "D"])
+        errors = np.bincount(row, ~same, len(nx)) + np.bincount(w.row[indel], w.len[indel], len(nx))
+        return pa.array(np.divide(match - errors, match, out=np.zeros(len(nx)), where=match > 0), mask=match == 0)
+
+    run.__annotations__ = {"ops": pa.Array, "seqs": pa.Array, "refs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(_some(parse_cigar(cigar)), F.upper(seq), F.upper(ref))
 
 
 def joined_contigs(contigs: DataFrame, spacer: int = 5000) -> DataFrame:

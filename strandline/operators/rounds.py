@@ -61,17 +61,18 @@ def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, m
     """(component, node, root): nodes of each component joined along its triangles until it has at most max_nodes nodes and max_edges edges,
     or no triangle is left. edges: component, src, dst, cost; triangles: i, j, k, missing.
 
-    Triangles are in order of missing neighbours and corners. In each round those that come first at all three of their corners contract
+    Triangles are in order of missing neighbours, those of equally many in random order, so that rounds are few. In each round those that come first at all three of their corners contract
     at once, in a component with too many nodes only as many, in order, as bring it to max_nodes; corners become the smallest of them,
     parallel edges one. A triangle whose corners aren't three nodes any more is gone."""
     e = edges.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
     e = cut_lineage(e)
     at = cut_lineage(e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("root", F.col("node")))
     of = at.select("component", F.col("node").alias("a"))
-    tri = triangles.select(F.struct("missing", "i", "j", "k").alias("key"), F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias("c")).join(of, "a")
-    tri = cut_lineage(tri)
+    tri = triangles.select(F.struct("missing", F.xxhash64("i", "j", "k").alias("place"), "i", "j", "k").alias("key"), F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias("c")).join(of, "a")
+    tri, edges_count = cut_lineage(tri), max_edges < 1 << 62
     while True:
-        n = at.groupBy("component").agg(F.count_distinct("root").alias("n")).join(e.groupBy("component").agg(F.count("*").alias("m")), "component", "left")
+        n = at.where("node = root").groupBy("component").agg(F.count("*").alias("n"))
+        n = n.join(e.groupBy("component").agg(F.count("*").alias("m")), "component", "left") if edges_count else n.withColumn("m", F.lit(0))
         large = n.where((F.col("n") > max_nodes) | (F.col("m") > max_edges))
         need = F.when(F.coalesce("m", F.lit(0)) > max_edges, F.col("n")).otherwise(F.ceil((F.col("n") - max_nodes) / 2))
         own = tri.join(large.select("component", need.alias("need")), "component")
@@ -80,14 +81,14 @@ def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, m
         ready = cut_lineage(ready.groupBy("component", "need", "key", "a", "b", "c").agg(F.count("*").alias("k")).where("k = 3"))
         if ready.isEmpty():
             return at
-        placed = cut_lineage(number_rows(ready, ["component", "key"], "place"))
-        before = placed.groupBy("component").agg((F.min("place") - 1).alias("before"))
-        goes = placed.join(before, "component").where(F.col("place") - F.col("before") <= F.col("need"))
+        goes = ready
+        if ready.groupBy("component").agg((F.count("*") > F.max("need")).alias("over")).where("over").count():
+            goes = _placed(ready, ["component"], ["key"], "place").where("place < need")
         to = goes.select(F.explode(F.array("a", "b", "c")).alias("node"), F.least("a", "b", "c").alias("to")).where("node <> to")
-        to = cut_lineage(to)
         at = cut_lineage(_renamed(at, to, "root").select("component", "node", "root"))
-        e = _renamed(e, to, "src", "dst").where("src <> dst")
-        e = cut_lineage(e.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        if edges_count:
+            e = _renamed(e, to, "src", "dst").where("src <> dst")
+            e = cut_lineage(e.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
         tri = cut_lineage(_renamed(tri, to, "a", "b", "c").where("a <> b and b <> c and a <> c"))
 
 
@@ -112,7 +113,7 @@ def _cut_weight(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return x.groupBy("component").agg((2 * F.sum(F.when(F.col("p") == F.col("q"), F.col("weight")).otherwise(-F.col("weight")))).cast("double").alias("score"))
 
 
-def partition_graph(edges: DataFrame, parts: int, rounds: int = 100, seed: int = 1, patience: int = 3) -> DataFrame:
+def partition_graph(edges: DataFrame, parts: int, rounds: int = 12, seed: int = 1, patience: int = 2) -> DataFrame:
     """(component, node, part, score): nodes of each component dealt into `parts` parts, whose sizes differ by one at most, at random; then
     nodes of two parts that each lean to the other one's change places, until the score stays: the weights within parts less those
     between, both ways. edges: component, src, dst, weight.

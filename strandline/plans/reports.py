@@ -522,7 +522,7 @@ def clique_numbers(spark, sf_dir):
 @query()
 def partition_graph(spark, sf_dir):
     """Randomised: the tests check the sizes of the parts and that the score doesn't fall."""
-    return RO.partition_graph(_with_component(spark, sf_dir).select("component", "src", "dst", "weight"), 2)
+    return RO.partition_graph(_with_component(spark, sf_dir).select("component", "src", "dst", "weight"), 2, rounds=4)
 
 
 @query()

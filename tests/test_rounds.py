@@ -244,17 +244,17 @@ def test_forest_equals_one_edge_after_the_other(spark):
     assert RO.spanning_forest(table(spark, WEIGHTED, [(0, 1, 1, 1.0)])).count() == 0
 
 
-def plain_condensed(edges, triangles, max_nodes):
+def plain_condensed(edges, triangles, places, max_nodes):
     root = {n: (c, n) for c, a, b, *_ in edges for n in (a, b)}
-    tri = sorted((m, i, j, k) for i, j, k, m in triangles)
+    tri = [x[1:] for x in sorted(((m, places[i, j, k]), i, j, k) for i, j, k, m in triangles)]
     while True:
         at = lambda n: root[n][1]
-        alive = [(t, sorted({at(t[1]), at(t[2]), at(t[3])})) for t in tri]
+        alive = [(t, sorted({at(t[0]), at(t[1]), at(t[2])})) for t in tri]
         alive = [(t, c) for t, c in alive if len(c) == 3]
         size = {}
         for c, n in set(root.values()):
             size[c] = size.get(c, 0) + 1
-        alive = [(t, c) for t, c in alive if size[root[t[1]][0]] > max_nodes]
+        alive = [(t, c) for t, c in alive if size[root[t[0]][0]] > max_nodes]
         first = {}
         for t, corners in alive:
             for n in corners:
@@ -264,7 +264,7 @@ def plain_condensed(edges, triangles, max_nodes):
             return {n: (c, r) for n, (c, r) in root.items()}
         used = {}
         for t, corners in ready:
-            c = root[t[1]][0]
+            c = root[t[0]][0]
             used[c] = used.get(c, 0) + 1
             if used[c] <= math.ceil((size[c] - max_nodes) / 2):
                 root = {n: (k, corners[0] if r in corners else r) for n, (k, r) in root.items()}
@@ -280,9 +280,11 @@ def test_contraction_equals_plain_rounds(spark, most):
     rnd = random.Random(most)
     tri = [(i, j, k, rnd.randint(0, 4)) for i, j, k in itertools.combinations(sorted(near), 3) if j in near[i] and k in near[i] and k in near[j]]
     df = table(spark, "component bigint, src bigint, dst bigint, cost double", edges)
-    got = RO.condense_triangles(df, table(spark, "i bigint, j bigint, k bigint, missing int", tri), most)
+    triangles = table(spark, "i bigint, j bigint, k bigint, missing int", tri)
+    places = {(r.i, r.j, r.k): r.h for r in triangles.select("i", "j", "k", F.xxhash64("i", "j", "k").alias("h")).collect()}
+    got = RO.condense_triangles(df, triangles, most)
     roots = {r.node: (r.component, r.root) for r in got.collect()}
-    assert roots == plain_condensed(edges, tri, most) and (most == 1 or min(sum(c == k for c, _ in set(roots.values())) for k in (0, 1)) <= most)
+    assert roots == plain_condensed(edges, tri, places, most) and (most == 1 or min(sum(c == k for c, _ in set(roots.values())) for k in (0, 1)) <= most)
     cost = {}
     for _, a, b, w in edges:
         x, y = sorted((roots[a][1], roots[b][1]))
@@ -301,14 +303,14 @@ def test_parts_keep_their_sizes(spark):
         return sum((2 if part[a] == part[b] else -2) * w for k, a, b, w in edges if k == c)
 
     results = []
-    for rounds in (0, 1, 5):
+    for rounds in (0, 3):
         rows = RO.partition_graph(df, parts, rounds=rounds).collect()
         part = {r.node: r.part for r in rows}
         for c in (0, 1):
             sizes = [sum(r.component == c and r.part == p for r in rows) for p in range(parts)]
             assert max(sizes) - min(sizes) <= 1 and {r.score for r in rows if r.component == c} == {score(part, c)}
         results.append([score(part, c) for c in (0, 1)])
-    assert all(a <= b <= c for a, b, c in zip(*results, strict=True)) and results[0][0] < results[2][0]
+    assert all(a <= b for a, b in zip(*results, strict=True)) and results[0][0] < results[1][0]
 
 
 def plain_cliques(near):
