@@ -238,6 +238,12 @@ def colored(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return nodes.join(own, "node", "left")
 
 
+def with_attribute(nodes: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Nodes with an attribute from a vector (node, value), null where it has none. A value of the name that nodes have already goes."""
+    own = values.select("node", F.col("value").alias("_new"))
+    return nodes.drop(name).join(own, "node", "left").withColumnRenamed("_new", name)
+
+
 def without_solved(edges: DataFrame, solution: DataFrame, threshold: float) -> DataFrame:
     """Edges but those to which a solver's report gives more than a threshold. solution: src, dst, value."""
     gone = solution.where(F.col("value") > threshold).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

@@ -113,14 +113,14 @@ def _cut_weight(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return x.groupBy("component").agg((2 * F.sum(F.when(F.col("p") == F.col("q"), F.col("weight")).otherwise(-F.col("weight")))).cast("double").alias("score"))
 
 
-def partition_graph(edges: DataFrame, parts: int, rounds: int = 12, seed: int = 1, patience: int = 2) -> DataFrame:
+def partition_graph(edges: DataFrame, parts: int, rounds: int = 20, seed: int = 1, patience: int = 4) -> DataFrame:
     """(component, node, part, score): nodes of each component dealt into `parts` parts, whose sizes differ by one at most, at random; then
     nodes of two parts that each lean to the other one's change places, until the score stays: the weights within parts less those
     between, both ways. edges: component, src, dst, weight.
 
     Nodes that want from one part to another are placed by their gain and change with the one of equal place that wants the other way, so
-    that sizes stay. Nodes of one round don't see each other move: a component's round counts only if its score rises; if not, a random
-    half, then a quarter and so on of its nodes may move, `patience` times, before the component is done."""
+    that sizes stay. Nodes of one round don't see each other move: a component's round counts only if its score rises; if not, the first
+    quarter, then a sixteenth and so on of those that want to move do, `patience` times, before the component is done."""
     e = cut_lineage(edges.select("component", "src", "dst", "weight").where("src <> dst"))
     nodes = e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
     dealt = _placed(nodes, ["component"], [F.xxhash64(F.lit(seed), "node"), F.col("node")], "place")
@@ -137,9 +137,10 @@ def partition_graph(edges: DataFrame, parts: int, rounds: int = 12, seed: int =
         own = pull.join(at, ["component", "node", "part"]).select("node", F.col("w").alias("now"))
         x = best.join(at.select("node", "part"), "node").join(own, "node", "left").where("to.part <> part")
         x = x.select("component", "node", F.col("part").alias("p"), F.col("to.part").alias("q"), (-F.col("to.w") - F.coalesce("now", F.lit(0.0))).alias("gain"), "misses").where("gain > 0")
-        # after a miss, one in two, in four, ... may move
-        x = x.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node"), F.expr("shiftleft(1L, misses)")) == 0) if k else x
-        x = _placed(x.drop("misses"), ["component", "p", "q"], [F.desc("gain"), F.xxhash64(F.lit(seed), F.lit(k), "node"), F.col("node")], "place")
+        x = _placed(x, ["component", "p", "q"], [F.desc("gain"), F.xxhash64(F.lit(seed), F.lit(k), "node"), F.col("node")], "place")
+        # after a miss only the first quarter moves, then a sixteenth, ..., and in the end the first pair
+        n = x.groupBy("component", "p", "q").agg(F.ceil(F.count("*") / F.pow(F.lit(4), F.max("misses"))).alias("n"))
+        x = x.join(n, ["component", "p", "q"]).where("place < n").drop("n", "misses")
         other = x.select("component", F.col("p").alias("q"), F.col("q").alias("p"), "place")
         moves = cut_lineage(x.join(other, ["component", "p", "q", "place"]).select("node", F.col("q").alias("to")))
         after = cut_lineage(_renamed_part(at, moves))

@@ -187,24 +187,42 @@ def genotype_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cuts(spark: SparkSession, path: str) -> DataFrame:
-    """(cut, node): a line of numbers for each cluster, whose place in the file is its id. Files have few, long lines."""
-    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("cut", "line"))
-    return x.select("cut", F.explode(F.split("line", r"[\t ]+")).alias("n")).where("n <> ''").select("cut", F.col("n").cast("int").alias("node"))
+    """(cut, node): a line of numbers for each cluster, whose place in the file is its id."""
+    x = _numbered(spark, path).select(F.col("line_no").cast("int").alias("cut"), F.explode(F.split("value", r"[\t ]+")).alias("n"))
+    return x.where("n <> ''").select("cut", F.col("n").cast("int").alias("node"))
 
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no, value) of whole small files, whose line order matters."""
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return x
+    """(file, block, line_no, value): lines with their place in the file, from 0 on. Files are read in splits; lines are counted within each
+    split, and shifted by a table of one row for each."""
+    x = spark.read.text(path)
+    x = x.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_k"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy("file", "block").orderBy("_k")) - 1)
+    n = x.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return x.join(n, ["file", "block"]).select("file", "block", (F.col("_before") + F.col("_at")).alias("line_no"), "value")
+
+
+def _carried(x: DataFrame, head: Column, name: str) -> DataFrame:
+    """Adds the last value of `head` that isn't null in the lines of the file up to each one: that of its own split, or what a table of one
+    row for each split brings from those before."""
+    w = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_head", head)
+    last = x.where(F.col("_head").isNotNull()).groupBy("file", "block").agg(F.max_by("_head", "line_no").alias("_last"))
+    splits = x.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", F.last("_last", ignorenulls=True).over(before).alias("_from"))
+    x = x.withColumn("_own", F.last("_head", ignorenulls=True).over(w)).join(splits, ["file", "block"])
+    return x.withColumn(name, F.coalesce("_own", "_from")).drop("_head", "_own", "_from")
 
 
 def trf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Tandem repeats: a header (`@name` or `Sequence: name`) names the sequence of the rows below it; rows that don't begin with
     a number are skipped."""
-    x = _numbered(spark, path)
     head = F.when(F.col("value").startswith("@"), F.substr("value", F.lit(2))).when(F.col("value").startswith("Sequence:"), F.trim(F.substr("value", F.lit(10))))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("contig", F.substring_index(F.last(head, ignorenulls=True).over(w), " ", 1)).withColumn("f", F.split("value", " "))
+    x = _carried(_numbered(spark, path), head, "head")
+    x = x.withColumn("contig", F.substring_index("head", " ", 1)).withColumn("f", F.split("value", " "))
     x = x.where(F.col("f")[0].rlike("^[0-9]+$") & F.col("contig").isNotNull())
     kind = lambda n: "string" if n in ("Motif", "Sequence") else "bigint" if n in ("start", "end") else "double"
     return x.select("contig", *[F.get("f", F.lit(i)).cast(kind(n)).alias(n) for i, n in enumerate(TRF_NAMES)])
@@ -325,7 +343,7 @@ def string_graph(spark: SparkSession, path: str) -> DataFrame:
 
 def partition_vector(spark: SparkSession, path: str) -> DataFrame:
     """(node, part) of a file with one number a line; the node is the line's place."""
-    return _numbered(spark, path).where("trim(value) <> ''").select(F.col("line_no").alias("node"), F.trim("value").cast("int").alias("part"))
+    return _numbered(spark, path).where("trim(value) <> ''").select(F.col("line_no").cast("int").alias("node"), F.trim("value").cast("int").alias("part"))
 
 
 def file_of_files(spark: SparkSession, path: str, reader) -> DataFrame:
