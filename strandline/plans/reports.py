@@ -105,6 +105,44 @@ def best_alignment(spark, sf_dir):
     return P.best_alignment(x, F.col("l_quantity"))
 
 
+_LETTERS = "'0123456789abcdef', 'ACGTACGTACGTACGN'"
+
+
+@query(
+    rf"""WITH p AS (
+  SELECT qname, rname AS contig, flag, pos0, CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) AS s, CAST(regexp_extract(cigar, 'S([0-9]+)=', 1) AS BIGINT) AS a,
+    CAST(regexp_extract(cigar, '=([0-9]+)X', 1) AS BIGINT) AS x, CAST(regexp_extract(cigar, 'X([0-9]+)I', 1) AS BIGINT) AS i, CAST(regexp_extract(cigar, 'I([0-9]+)=', 1) AS BIGINT) AS b,
+    CAST(regexp_extract(cigar, '=([0-9]+)D', 1) AS BIGINT) AS d, CAST(regexp_extract(cigar, 'D([0-9]+)=', 1) AS BIGINT) AS e FROM v_cigar
+), r AS (SELECT *, s + a + x + i + b + e AS n, repeat(translate(md5(qname), {_LETTERS}), 1 + (s + a + x + i + b + e) // 32) AS seq FROM p
+), rf AS (SELECT contig, repeat(translate(md5(CAST(contig AS VARCHAR)), {_LETTERS}), 1 + (max(pos0) + 900) // 32) AS ref FROM p GROUP BY contig
+), g AS (
+  SELECT qname, contig, flag, n, seq, pos0 + a + x AS t, 'insertion' AS kind, i AS len, s + a + x AS q FROM r
+  UNION ALL SELECT qname, contig, flag, n, seq, pos0 + a + x + b, 'deletion', d, s + a + x + i + b FROM r
+), l AS (
+  SELECT g.*, CASE WHEN kind = 'insertion' THEN substr(seq, q + 1, len) ELSE substr(ref, t + 1, len) END AS letters, substr(ref, t - 1, 2) AS bef, substr(ref, t + 1, 2) AS beh, least(q, n - q) AS dist
+  FROM g JOIN rf USING (contig) WHERE len >= 3 AND len < 11 AND least(q, n - q) >= 60
+), m AS (
+  SELECT *, CASE WHEN right(letters, 2) = bef THEN 2 WHEN right(letters, 1) = right(bef, 1) THEN 1 ELSE 0 END AS lo, CASE WHEN left(letters, 2) = beh THEN 2 WHEN left(letters, 1) = left(beh, 1) THEN 1 ELSE 0 END AS hi,
+    substr(seq, q + 1, 1) AS base, length(letters) - length(replace(letters, 'N', '')) AS masked FROM l
+)
+SELECT qname, contig, t AS "tStart", t + len AS "tEnd", kind AS "svType", len AS "svLen", letters AS "svSeq",
+  CASE WHEN kind = 'deletion' OR lo + hi = 0 THEN 'notsd' WHEN lo >= hi THEN right(letters, lo) ELSE left(letters, hi) END AS tsd,
+  q AS "qStart", CASE WHEN kind = 'insertion' THEN q + len ELSE q END AS "qEnd", CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END AS strand, n AS "qLen", dist,
+  CAST(q - length(rtrim(substr(seq, 1, q), base)) + (n - q) - length(ltrim(substr(seq, q + 1, n - q), base)) AS BIGINT) AS run, masked / length(letters) AS frac
+FROM m WHERE masked < 2 AND length(replace(letters, left(letters, 1), '')) > 0""",
+    ("v_cigar",),
+)
+def gap_report(spark, sf_dir):
+    """Insertions and deletions with all gates: lengths, the distance to the read's ends, letters N and runs of one letter, with the letters of
+    reads and contigs made from the digests of their names."""
+    letters = lambda name, n: F.repeat(F.translate(F.md5(name.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGN"), (1 + F.floor(n / 32)).cast("int"))
+    x = _ops(spark, sf_dir)
+    n = S.op_total(F.col("ops"), "MIS=X")
+    reads = x.withColumn("seq", F.substr(letters(F.col("qname"), n), F.lit(1), n.cast("int")))
+    reference = x.groupBy(F.col("rname").alias("contig")).agg(F.max("pos0").alias("last")).select("contig", letters(F.col("contig"), F.col("last") + 900).alias("seq"))
+    return P.gaps(reads, reference, 3, max_length=11, min_dist=60, max_masked=2, ignore_homopolymers=True, tsd=2)
+
+
 @query("SELECT o_orderkey AS qname FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 40) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def other_reads(spark, sf_dir):
     reads = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qname"))
