@@ -30,6 +30,7 @@ class Params:
     min_cut_size: int = 4
     min_cut_len: int = 9000
     restarts: int = 10
+    keep: str | None = None  # a folder in which the tables between stages stay under their names; without one they are temporary
 
     def __post_init__(self):
         if not self.coverage or self.coverage < 0:

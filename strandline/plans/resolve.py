@@ -18,6 +18,7 @@ from strandline.operators import genotype as G
 from strandline.operators import graph as H
 from strandline.operators.summary import read_uniqueness
 from strandline.params import EmptyStageError, Params
+from strandline.session import stage_table
 
 BASES = ("A", "C", "G", "T")
 
@@ -53,29 +54,29 @@ def resolve(alignments: DataFrame, reference: DataFrame, contigs: DataFrame, par
     """Clusters of sites that tell the copies of collapsed regions apart, with the reads of each.
 
     alignments: qname, rname, flag, pos0, ops, seq (one primary alignment for each name); reference: contig, seq; contigs: contig,
-    contig_idx. Raises EmptyStageError if no site or no cluster is found."""
+    contig_idx. Raises EmptyStageError if no site or no cluster is found. With params.keep the tables between the stages stay there."""
     p = params.for_platform()
     lim = p.limits
     reads = alignments.where(primary(F.col("flag")) & (reference_span(F.col("ops")) >= p.min_aln))
-    sites = H.cut_lineage(candidate_sites(nucleotide_counts(AL.base_rows(reads)), reference, p))
+    sites = stage_table(candidate_sites(nucleotide_counts(AL.base_rows(reads)), reference, p), "sites", p.keep)
     if sites.isEmpty():
         raise EmptyStageError("no candidate sites")
     order = AL.number_rows(reads.select("rname", "pos0", "qname"), ["rname", "pos0", "qname"], "read_id").select("qname", "read_id")
     number = F.shiftleft(F.col("contig_idx").cast("bigint"), 32) + F.col("rpos")
     seen = AL.bases_at(reads, sites.join(contigs.select("contig", "contig_idx"), "contig")).join(order, "qname")
-    matrix = H.cut_lineage(seen.select("read_id", "qname", number.alias("site"), (F.col("base") == F.col("alt")).cast("int").alias("allele")))
-    links = H.cut_lineage(G.linkage(matrix, lim["min_cov"], lim["max_cov"], p.min_shared, p.accuracy))
-    edges = H.cut_lineage(G.psv_edges(links, p.min_lrt))
-    comps = H.cut_lineage(H.connected_components(edges))
-    repulsion = H.cut_lineage(G.repulsion_edges(links, edges, comps, p.max_pos_rep))
+    matrix = stage_table(seen.select("read_id", "qname", number.alias("site"), (F.col("base") == F.col("alt")).cast("int").alias("allele")), "matrix", p.keep)
+    links = stage_table(G.linkage(matrix, lim["min_cov"], lim["max_cov"], p.min_shared, p.accuracy), "links", p.keep)
+    edges = stage_table(G.psv_edges(links, p.min_lrt), "edges", p.keep)
+    comps = stage_table(H.connected_components(edges), "components", p.keep)
+    repulsion = stage_table(G.repulsion_edges(links, edges, comps, p.max_pos_rep), "repulsion", p.keep)
     signed = edges.select("src", "dst", F.lit(1).alias("sign")).unionByName(repulsion.withColumn("sign", F.lit(-1)))
     signed = signed.join(comps.select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst", "sign")
-    found = H.cut_lineage(C.correlation_clusters(signed, p.restarts, min_size=p.min_cut_size, min_span=p.min_cut_len))
+    found = stage_table(C.correlation_clusters(signed, p.restarts, min_size=p.min_cut_size, min_span=p.min_cut_len), "clusters", p.keep)
     if found.isEmpty():
         raise EmptyStageError("no clusters of sites")
     sizes = found.groupBy("component", "cut").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     ranked = AL.number_rows(sizes, [F.desc("n"), F.asc("first")], "k").select("component", "cut", (F.col("k") - 1).cast("int").alias("id"))
-    cuts = H.cut_lineage(found.join(ranked, ["component", "cut"]).select(F.col("id").alias("cut"), F.col("node").alias("site")))
+    cuts = stage_table(found.join(ranked, ["component", "cut"]).select(F.col("id").alias("cut"), F.col("node").alias("site")), "cuts", p.keep)
     phased = read_uniqueness(G.supports(matrix, cuts).select(F.col("read_id").alias("readid"), "cut"))
     assigned = G.mec_assignment(matrix, cuts)
     psvs = cuts.groupBy("cut").agg(F.count("*").alias("n_psvs"), F.min("site").alias("first"), F.max("site").alias("last"))

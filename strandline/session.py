@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder of checkpoint_folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
+    """A table between two stages, without lineage: a checkpoint, which goes with the session's other temporary files, or with a folder to keep
+    it in, Parquet of this name there. A file of an earlier run is replaced."""
+    if keep is None:
+        return cut_lineage(df)
+    path = f"{keep.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

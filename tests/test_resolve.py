@@ -90,14 +90,16 @@ def copies(n_reads=60, n_sites=18, gap=20):
     return rows, refs, truth
 
 
-def test_planted_copies(spark):
+def test_planted_copies(spark, tmp_path):
     rows, refs, truth = copies()
     al = spark.createDataFrame(rows, ROWS).withColumn("ops", S.parse_cigar(F.col("cigar")))
     ref = spark.createDataFrame(refs, "contig string, seq string")
     contigs = spark.createDataFrame([("c1", 0), ("c2", 1)], "contig string, contig_idx int")
-    p = Params(20, min_aln=100, min_cut_len=50, restarts=2)
+    p = Params(20, min_aln=100, min_cut_len=50, restarts=2, keep=str(tmp_path))
     out = resolve(al, ref, contigs, p)
     assert out.sites.count() == 36
+    kept = {x.name for x in tmp_path.iterdir()}
+    assert kept == {"sites", "matrix", "links", "edges", "components", "repulsion", "clusters", "cuts"} and spark.read.parquet(f"{tmp_path}/sites").count() == 36
     rows = out.summary.collect()
     assert sorted((r.contig_idx, r["first"], r["last"], r.n_psvs, r.n_reads, r.n_unique_reads) for r in rows) == sorted(
         (c, 20 * (k + 1), 20 * (k + 16), 6, 20, 20) for c in range(2) for k in range(3)
