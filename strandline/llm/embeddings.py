@@ -71,11 +71,11 @@ class Rotation:
         _, axes = np.linalg.eigh(x.T @ x)
         axes = axes[:, ::-1]  # most variance first
         made, rng = [], np.random.default_rng(7)
-        while sum(t.shape[1] for t in made) < bits:  # short vectors take several rotations
+        while sum(t.shape[1] for t in made) < bits:  # short vectors take further rotations, which stay random so that they tell other things
             k = min(x.shape[1], bits - sum(t.shape[1] for t in made))
             low = x @ axes[:, :k]
             turn = np.linalg.qr(rng.standard_normal((k, k)))[0]
-            for _ in range(LEARNING_ROUNDS):
+            for _ in range(0 if made else LEARNING_ROUNDS):
                 signs = np.where(low @ turn >= 0, 1.0, -1.0)
                 a, _, b = np.linalg.svd(low.T @ signs)
                 turn = a @ b

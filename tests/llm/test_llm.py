@@ -1178,7 +1178,7 @@ def test_near_vectors_of_other_sizes(spark, size):
     want = plain_near(rows)
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicates(vectors_of(spark, rows)).collect())
     there = sum(n for _, n, _ in want)
-    assert there * 0.99 <= sum(n for _, n, _ in got) <= there
+    assert there * 0.97 <= sum(n for _, n, _ in got) <= there
 
 
 def test_near_vectors_hard(spark, monkeypatch):
