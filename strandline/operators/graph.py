@@ -83,14 +83,21 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
 
 
 def prune_to_fixpoint(edges: DataFrame, min_common: int) -> DataFrame:
-    """Edges left after those with fewer than min_common common neighbours are removed again and again."""
+    """Edges left after those with fewer than min_common common neighbours are removed again and again. edges: src, dst, src < dst. They are
+    directed once; any order of the nodes finds all triangles of what is left."""
     e = cut_lineage(edges.select("src", "dst"))
-    n = e.count()
+    if min_common <= 0:
+        return e
+    d = cut_lineage(directed(e, degrees(e).select("node", F.col("degree").alias("rank"))))
+    n = d.count()
     while True:
-        e = cut_lineage(common_neighbours(e).where(F.col("common") >= min_common).select("src", "dst"))
-        now = e.count()
+        t = forward_triangles(d)
+        side = lambda x, y: t.select(F.col(x).alias("low"), F.col(y).alias("high"))  # noqa: B023, E731
+        common = side("low", "a").unionByName(side("low", "b")).unionByName(side("a", "b")).groupBy("low", "high").agg(F.count("*").alias("n"))
+        d = cut_lineage(d.join(common.where(F.col("n") >= min_common), ["low", "high"], "left_semi"))
+        now = d.count()
         if now == n:
-            return e
+            return d.select(F.least("low", "high").alias("src"), F.greatest("low", "high").alias("dst"))
         n = now
 
 
