@@ -18,6 +18,7 @@ come in the order of their bytes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import duckdb
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import cut
+from strandline.session import checkpoint_folder
 
 LEAST = 100
 LONGEST = 5
@@ -209,13 +211,25 @@ def _count(least: int):
     return run
 
 
+def _remove(spark, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f) of all phrases of up to `longest` words that occur at least `least` times; the empty phrase has the words' number."""
-    own = cut(pieces(docs))
-    words = own.agg(F.sum(F.col("w") * F.size(F.split("piece", " ")))).first()[0] or 0
-    bits = min(MAX_SLOTS, max(MIN_SLOTS, int(words).bit_length()))
-    grams = ngrams(own, bits, frequent_slots(own, bits, least), longest)
-    return grams.repartition("lang", "phrase").mapInArrow(_count(least), "lang string, phrase string, f bigint")
+    """(lang, phrase, f) of all phrases of up to `longest` words that occur at least `least` times; the empty phrase has the words' number.
+    The pieces, which are read twice, are a compressed table in the shared folder meanwhile."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    try:
+        pieces(docs).write.parquet(path, compression="zstd")
+        own = spark.read.parquet(path)
+        words = own.agg(F.sum(F.col("w") * F.size(F.split("piece", " ")))).first()[0] or 0
+        bits = min(MAX_SLOTS, max(MIN_SLOTS, int(words).bit_length()))
+        grams = ngrams(own, bits, frequent_slots(own, bits, least), longest)
+        return cut(grams.repartition("lang", "phrase").mapInArrow(_count(least), "lang string, phrase string, f bigint"))
+    finally:
+        _remove(spark, path)
 
 
 def _salt(*names: str):
@@ -232,7 +246,7 @@ def _run(start, length):
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the `top` phrases of each language. docs: lang, text."""
-    known = cut(counts(docs, least, longest))
+    known = counts(docs, least, longest)
     totals = known.where("phrase = ''").select("lang", F.col("f").alias("n"))
     cand = known.where("phrase <> ''").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words")).where(F.size("words") >= 2)
     # a candidate goes if a longer one with as many occurrences has its words: what longer ones say of their parts is one row a part
