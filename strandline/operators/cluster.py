@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.sequence import ranges_of
 from strandline.operators import graph as H
 from strandline.session import cut_lineage
 
@@ -220,29 +221,90 @@ def clustered_sites(clusters: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     return sites, graph.select("node", "color", "degree")
 
 
+#: Letters of the first texts of the pairs that are aligned together, and by how much their lengths may differ.
+LANES, SPREAD = 1 << 15, 1.4
+
+
+def _together(sizes: list[tuple[int, int]], alone: bool) -> list[list[int]]:
+    """Numbers of pairs in lots of similar lengths on both sides."""
+    step = lambda n: round(np.log(n + 16) / np.log(SPREAD))
+    lots: list[list[int]] = []
+    key, room = None, 0
+    for k in sorted(range(len(sizes)), key=lambda k: (step(sizes[k][0]), step(sizes[k][1]))):
+        m = sizes[k][0] + 1
+        now = step(sizes[k][0]), step(sizes[k][1])
+        if alone or now != key or m > room:
+            lots.append([])
+            key, room = now, LANES
+        lots[-1].append(k)
+        room -= m
+    return lots
+
+
+def _aligned(pairs: list[tuple[bytes, bytes]], match: int, mismatch: int, gap: int) -> list[tuple[int, int, int]]:
+    """(score, end_a, end_b) of each pair, the first row of the best score and its first column. All pairs go through their tables at once, one
+    diagonal after the other; rows of an array are letters of a, columns pairs. Bytes 254 and 255, which no text has, fill up."""
+    m, n = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    out = [(0, 0, 0)] * len(pairs)
+    if not m or not n:
+        return out
+    most = max(abs(match), abs(mismatch), abs(gap), abs(match - mismatch))
+    small = most <= 256 and most * (min(m, n) + 2) < 1 << 15
+    kind = np.int16 if small else np.int64
+    # different letters differ by at least the step between a match and a mismatch
+    step, shift = match - mismatch, max(abs(match - mismatch), 1).bit_length()
+    x, y = np.full((m, len(pairs)), 254, np.int64), np.full((n, len(pairs)), 255, np.int64)
+    for k, (a, b) in enumerate(pairs):
+        x[: len(a), k] = np.frombuffer(a, np.uint8)
+        y[n - len(b) :, k] = np.frombuffer(b, np.uint8)[::-1]
+    small = small and step >= 0 and shift <= 7
+    x, y = (x << shift, y << shift) if step >= 0 else (x, y)
+    x, y, kind = (x.astype(np.int16), y.astype(np.int16), kind) if small else (x, y, np.int64)
+    h = [np.zeros((m + 1, len(pairs)), kind) for _ in range(3)]
+    best, when = np.zeros((m + 1, len(pairs)), kind), np.zeros((m + 1, len(pairs)), np.int32)
+    t, u, over = np.empty((m, len(pairs)), kind), np.empty((m, len(pairs)), kind), np.empty((m, len(pairs)), bool)
+    # arrays, as numpy compares two of them faster than one with a number
+    none, steps = np.zeros((m, len(pairs)), kind), np.full((m, len(pairs)), step, kind)
+    for d in range(2, m + n + 1):
+        lo, hi = max(1, d - n), min(m, d - 1)
+        w = hi - lo + 1
+        two, one, new = h[(d - 2) % 3], h[(d - 1) % 3], h[d % 3]
+        s, g = t[:w], u[:w]
+        np.bitwise_xor(x[lo - 1 : hi], y[n - d + lo : n - d + hi + 1], out=s)
+        if step >= 0:
+            np.minimum(s, steps[:w], out=s)
+        else:
+            np.multiply(s != 0, step, out=s)
+        np.subtract(two[lo - 1 : hi], s, out=s)
+        np.add(s, match, out=s)
+        np.maximum(one[lo - 1 : hi], one[lo : hi + 1], out=g)
+        np.add(g, gap, out=g)
+        np.maximum(s, g, out=s)
+        np.maximum(s, none[:w], out=new[lo : hi + 1])
+        np.greater(new[lo : hi + 1], best[lo : hi + 1], out=over[:w])
+        np.maximum(new[lo : hi + 1], best[lo : hi + 1], out=best[lo : hi + 1])
+        np.putmask(when[lo : hi + 1], over[:w], d)
+    row = best.argmax(axis=0)
+    return [(int(best[i, k]), int(i), int(when[i, k] - i)) if best[i, k] > 0 else (0, 0, 0) for k, i in enumerate(row)]
+
+
 def smith_waterman(pairs: DataFrame, match: int = 1, mismatch: int = -1, gap: int = -1) -> DataFrame:
-    """(id, score, end_a, end_b) of the best local alignment of columns a and b; linear gap costs, rows by numpy."""
-
-    def align(a: str, b: str) -> tuple[int, int, int]:
-        x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-        above, best = np.zeros(len(y) + 1, np.int64), (0, 0, 0)
-        slope = gap * np.arange(len(y) + 1)
-        for i, c in enumerate(x, 1):
-            row = np.maximum(0, np.r_[0, np.maximum(above[:-1] + np.where(y == c, match, mismatch), above[1:] + gap)])
-            # gaps along the row: a running maximum after taking the slope out
-            row = np.maximum(np.maximum.accumulate(row - slope) + slope, 0)
-            j = int(row.argmax())
-            if row[j] > best[0]:
-                best = (int(row[j]), i, j)
-            above = row
-        return best
+    """(id, score, end_a, end_b) of the best local alignment of columns a and b; linear gap costs. Pairs of similar lengths go through numpy
+    together, diagonal by diagonal, so that memory grows with the lengths only."""
 
     def work(frames):
         for f in frames:
-            got = [align(a or "", b or "") for a, b in zip(f["a"], f["b"], strict=True)]
+            texts = [((a or "").encode(), (b or "").encode()) for a, b in zip(f["a"], f["b"], strict=True)]
+            got = [(0, 0, 0)] * len(texts)
+            # what fills up must not raise a score
+            for lot in _together([(len(a), len(b)) for a, b in texts], alone=max(mismatch, gap) > 0):
+                for k, g in zip(lot, _aligned([texts[k] for k in lot], match, mismatch, gap), strict=True):
+                    got[k] = g
             yield pd.DataFrame({"id": f["id"], "score": [g[0] for g in got], "end_a": [g[1] for g in got], "end_b": [g[2] for g in got]})
 
-    return pairs.select("id", "a", "b").mapInPandas(work, "id bigint, score bigint, end_a bigint, end_b bigint")
+    # a few texts are hours of work, but one small partition
+    dealt = pairs.select("id", "a", "b").repartition(ranges_of(pairs.sparkSession), "id")
+    return dealt.mapInPandas(work, "id bigint, score bigint, end_a bigint, end_b bigint")
 
 
 def traceback(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[str, str, int]:

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import alignment as AL
+from strandline.operators import cluster as C
 from strandline.operators import genotype as G
 from strandline.operators import pairs
 
@@ -80,3 +82,43 @@ def test_pairs_are_not_shuffled(spark):
         above = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
         assert len(above) > 1 and "Exchange" not in above[0]
     assert G.read_scores(m.where(F.lit(False))).count() == 0 and G.top_neighbours(m.where(F.lit(False)), 2).count() == 0
+
+
+def test_alignments_of_many_lengths(spark):
+    """Score and end, the first row and then column of the best score, for pairs that go through their tables together; nulls are empty."""
+    rnd = random.Random(8)
+    text = lambda: rnd.choice(["", "A" * 40, None] + ["".join(rnd.choice("ACGTé") for _ in range(rnd.randint(0, 60))) for _ in range(9)])
+    rows = [(k, text(), text()) for k in range(200)]
+
+    def plain(a, b, match, mismatch, gap):
+        above, best = [0] * (len(b) + 1), (0, 0, 0)
+        for i, x in enumerate(a, 1):
+            row = [0]
+            for j, y in enumerate(b, 1):
+                row.append(max(0, above[j - 1] + (match if x == y else mismatch), above[j] + gap, row[-1] + gap))
+                if row[-1] > best[0]:
+                    best = (row[-1], i, j)
+            above = row
+        return best
+
+    df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    for costs in ((1, -1, -1), (300, -2, -1), (2, 1, -1), (1, 0, 0), (1, 2, -3)):
+        got = {r.id: (r.score, r.end_a, r.end_b) for r in C.smith_waterman(df, *costs).collect()}
+        assert got == {k: plain((a or "").encode(), (b or "").encode(), *costs) for k, a, b in rows}
+
+
+def test_alignments_of_a_lot_take_little():
+    """Texts of one length are one table: many pairs take no more calls of numpy than one."""
+    texts = [(b"ACGT" * 100, b"AGCT" * 100)] * 64
+    calls = sum(1 for lot in C._together([(len(a), len(b)) for a, b in texts], alone=False))
+    assert calls == 1 and len(set(C._aligned(texts, 1, -1, -1))) == 1
+
+
+def test_common_run_of_long_texts(spark):
+    """A table of 200,000 by 200,000 places would not end; of several runs the one that ends last in a counts."""
+    rnd = random.Random(9)
+    a, b = ("".join(rnd.choice("ACGT") for _ in range(200_000)) for _ in range(2))
+    run = "".join(rnd.choice("ACGT") for _ in range(5000))
+    rows = [(1, a[:70_000] + run + a[70_000:], b + run), (2, "abxab", "ab"), (3, None, "a"), (4, "é\U0001f600x", "y\U0001f600x")]
+    got = {r.id: (r.run, r.length) for r in AL.common_run(spark.createDataFrame(rows, "id bigint, a string, b string")).collect()}
+    assert run in got[1][0] and got[1][1] == len(got[1][0]) < 5050 and got[2] == ("ab", 2) and got[3] == ("", 0) and got[4] == ("\U0001f600x", 2)
