@@ -23,7 +23,7 @@ def gate(alignments: DataFrame, min_mapq: int = 0, min_contig: int = 0, min_frac
     """Alignments of enough quality, of contigs that are long enough, with enough letters aligned: as a number, and as a share of the
     contig's letters but N (0 without any)."""
     aligned = query_span(F.col("ops"))
-    letters = F.length("seq") - F.length(F.regexp_replace("seq", "[^N]", ""))
+    letters = F.length(F.replace("seq", F.lit("N"), F.lit("")))
     share = F.when(letters > 0, aligned / letters).otherwise(F.lit(0.0))
     return alignments.where((F.col("mapq") >= min_mapq) & (F.length("seq") >= min_contig) & (share >= min_fraction) & (aligned >= min_aligned))
 
@@ -61,8 +61,8 @@ def identity_table(alignments: DataFrame, cs: Column | None = None) -> DataFrame
 
 
 def with_reference_part(rows: DataFrame, reference: DataFrame, start: Column, end: Column, name: str, chunk: int = 1024) -> DataFrame:
-    """Rows with the letters of the reference from start to end of their `contig`, clipped at its ends. reference: contig, seq.
-    Only pieces of the reference move to the rows, never a whole contig."""
+    """Rows with the letters of the reference from start to end of their `contig`, clipped at its ends. reference: contig, seq,
+    or in chunks as _chunks makes them. Only pieces of the reference move to the rows, never a whole contig."""
     numbered = cut_lineage(rows.select("*", F.greatest(start, F.lit(0)).cast("bigint").alias("_s"), end.cast("bigint").alias("_e"), F.monotonically_increasing_id().alias("_row")))
     bins = F.explode(F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk)))
     x = numbered.where("_e > _s").select("_row", "contig", "_s", "_e", bins.alias("bin")).join(_chunks(reference, chunk), ["contig", "bin"])
