@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import sequence as S
 from strandline.operators import alignment as AL
 from strandline.operators import cluster as C
+from strandline.operators import gaps as P
 from strandline.operators import genotype as G
 from strandline.operators import pairs
 
@@ -122,3 +124,19 @@ def test_common_run_of_long_texts(spark):
     rows = [(1, a[:70_000] + run + a[70_000:], b + run), (2, "abxab", "ab"), (3, None, "a"), (4, "é\U0001f600x", "y\U0001f600x")]
     got = {r.id: (r.run, r.length) for r in AL.common_run(spark.createDataFrame(rows, "id bigint, a string, b string")).collect()}
     assert run in got[1][0] and got[1][1] == len(got[1][0]) < 5050 and got[2] == ("ab", 2) and got[3] == ("", 0) and got[4] == ("\U0001f600x", 2)
+
+
+def test_reference_in_chunks_and_pair_sums(spark):
+    """A reference that comes in chunks gives the same gaps as whole contigs; sums of pairs equal those over their rows."""
+    rnd = random.Random(6)
+    ref = {c: "".join(rnd.choice("ACGTn") for _ in range(n)) for c, n in (("c", 5000), ("d", 1024), ("e", 2100))}
+    rows = [(f"q{k % 30}", c, 16 * (k % 2), rnd.randint(0, len(ref[c]) - 200), f"3S{rnd.randint(9, 40)}={rnd.randint(3, 9)}I20M{rnd.randint(3, 9)}D30=2X", "".join(rnd.choice("ACGT") for _ in range(140))) for k in range(60) for c in ref]
+    aln = spark.createDataFrame(rows + [("none", "c", 4, 0, "*", "A"), ("clip", "c", 0, 0, "5S", "ACGTA")], "qname string, rname string, flag int, pos0 bigint, cigar string, seq string").withColumn("ops", S.parse_cigar(F.col("cigar")))
+    whole = spark.createDataFrame(list(ref.items()), "contig string, seq string")
+    parts = [(c, k, s[k * 1024 : (k + 1) * 1024]) for c, s in ref.items() for k in range(-(-len(s) // 1024))]
+    chunks = spark.createDataFrame(parts, "contig string, bin bigint, part string")
+    assert sorted(map(tuple, AL._chunks(whole, 1024).collect())) == sorted((c, k, p.upper()) for c, k, p in parts)
+    got, want = (sorted(map(str, P.gaps(aln, r, 3, tsd=4, context=2).collect())) for r in (chunks, whole))
+    assert got == want and len(got) == 360
+    sums = AL.aligned_pairs(aln).groupBy("qname").agg(F.count("*"), F.sum("qpos"), F.sum("rpos"))
+    assert sorted(map(tuple, AL.aligned_pair_sums(aln).collect())) == sorted(map(tuple, sums.collect()))
