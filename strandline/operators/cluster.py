@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import ranges_of
 from strandline.operators import graph as H
-from strandline.session import cut_lineage
+from strandline.session import round_table
 
 
 def cut_score(edges: DataFrame, members: DataFrame, penalty: float = 5.0) -> DataFrame:
@@ -48,7 +48,7 @@ def alike(edges: DataFrame, least: int) -> DataFrame:
     """(a, b), both ways, of attracting edges whose ends have at least `least` common neighbours."""
     plus = edges.where("sign > 0").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
     if least > 0:
-        plus = H.common_neighbours(cut_lineage(plus)).where(F.col("common") >= least)
+        plus = H.common_neighbours(round_table(plus)).where(F.col("common") >= least)
     return H.both_ways(plus.select("src", "dst"))
 
 
@@ -56,15 +56,15 @@ def pivots(nodes: DataFrame, near: DataFrame, seed: int) -> DataFrame:
     """(restart, node) of nodes without a pivot among their neighbours, as many as go: in each round the nodes that come before all their
     undecided neighbours in a random order become pivots, and their neighbours go. The rounds grow with the logarithm of the nodes.
     nodes: restart, node; near: a, b, both ways."""
-    left = cut_lineage(nodes.select("restart", "node", F.xxhash64(F.lit(seed), "restart", "node").alias("place")))
+    left = round_table(nodes.select("restart", "node", F.xxhash64(F.lit(seed), "restart", "node").alias("place")))
     found = None
     while not left.isEmpty():
         other = left.select("restart", F.col("node").alias("b"), F.struct("place", F.col("node").alias("n")).alias("o"))
         first = left.join(near, left["node"] == near["a"]).join(other, ["restart", "b"]).groupBy("restart", "node").agg(F.min("o").alias("o"))
         new = left.join(first, ["restart", "node"], "left").where(F.col("o").isNull() | (F.struct("place", F.col("node").alias("n")) < F.col("o")))
-        new = cut_lineage(new.select("restart", "node"))
+        new = round_table(new.select("restart", "node"))
         gone = new.join(near, new["node"] == near["a"]).select("restart", F.col("b").alias("node")).unionByName(new).distinct()
-        left = cut_lineage(left.join(gone, ["restart", "node"], "left_anti"))
+        left = round_table(left.join(gone, ["restart", "node"], "left_anti"))
         found = new if found is None else found.unionByName(new)
     return nodes.select("restart", "node").limit(0) if found is None else found
 
@@ -80,7 +80,7 @@ def merge_reciprocal(members: DataFrame, ratio: float = 0.75) -> DataFrame:
 
     Two such clusters have a common node among the 1 - ratio of each that the fewest clusters have; only over these are pairs made, so
     that a node of very many clusters isn't one that they meet at."""
-    m = cut_lineage(members.distinct())
+    m = round_table(members.distinct())
     n = m.groupBy("restart", "cut").agg(F.count("*").alias("n"))
     often = m.groupBy("restart", "node").agg(F.count("*").alias("often"))
     by = m.join(often, ["restart", "node"]).groupBy("restart", "cut").agg(F.array_sort(F.collect_list(F.struct("often", "node"))).alias("by"), F.count("*").alias("n"))
@@ -137,43 +137,43 @@ def merge_best(edges: DataFrame, members: DataFrame, penalty: float) -> DataFram
     side = lambda n, c: m.select("restart", F.col("cut").alias(c), F.col("node").alias(n))
     x = edges.select("src", "dst", "sign").join(side("src", "x"), "src").join(side("dst", "y"), ["restart", "dst"]).where("x <> y")
     between = x.groupBy("restart", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.sum(_cost(penalty)).alias("delta"))
-    between = cut_lineage(between)
+    between = round_table(between)
     name = m.select("restart", F.col("cut").alias("was"), "cut").distinct()
     while True:
         one = F.struct("delta", "lo", "hi").alias("p")
         good = between.where("delta < 0")
         ends = good.select("restart", F.col("lo").alias("at"), one).unionByName(good.select("restart", F.col("hi").alias("at"), one))
         best = ends.groupBy("restart", "at").agg(F.min("p").alias("p"))
-        joined = cut_lineage(best.groupBy("restart", "p").agg(F.count("*").alias("n")).where("n = 2").select("restart", "p.lo", "p.hi"))
+        joined = round_table(best.groupBy("restart", "p").agg(F.count("*").alias("n")).where("n = 2").select("restart", "p.lo", "p.hi"))
         if joined.isEmpty():
             break
         to = joined.select("restart", F.col("hi").alias("cut"), F.col("lo").alias("to"))
         move = lambda d, c: d.join(to.withColumnRenamed("cut", c), ["restart", c], "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        name = cut_lineage(move(name, "cut"))
+        name = round_table(move(name, "cut"))
         moved = move(move(between, "lo"), "hi").where("lo <> hi")
-        between = cut_lineage(moved.groupBy("restart", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.sum("delta").alias("delta")))
+        between = round_table(moved.groupBy("restart", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.sum("delta").alias("delta")))
     return m.withColumnRenamed("cut", "was").join(name, ["restart", "was"]).select("restart", "cut", "node")
 
 
 def move_nodes(edges: DataFrame, members: DataFrame, near: DataFrame, penalty: float, rounds: int, min_gain: float) -> DataFrame:
     """Nodes move to the cluster of a neighbour (a, b of near) where they cost least, for a gain over min_gain; of neighbours that would
     move in one round only the one that gains most does, so that the score falls by the sum of the gains."""
-    ways = cut_lineage(_ways(edges))
-    m = cut_lineage(members.select("restart", "cut", "node"))
+    ways = round_table(_ways(edges))
+    m = round_table(members.select("restart", "cut", "node"))
     for _ in range(rounds):
-        cost = cut_lineage(gains(ways, m, penalty))
+        cost = round_table(gains(ways, m, penalty))
         here = m.withColumnRenamed("cut", "own").join(cost.withColumnRenamed("cut", "own").withColumnRenamed("cost", "now"), ["restart", "node", "own"], "left")
         here = here.select("restart", "node", "own", F.coalesce("now", F.lit(0.0)).alias("now"))
         fits = near.join(m.withColumnRenamed("node", "b"), "b").select("restart", F.col("a").alias("node"), "cut").distinct()
         x = cost.join(fits, ["restart", "node", "cut"]).groupBy("restart", "node").agg(F.min(F.struct("cost", "cut")).alias("to")).join(here, ["restart", "node"])
         wish = x.select("restart", "node", F.col("to.cut").alias("cut"), (F.col("now") - F.col("to.cost")).alias("gain"), "own").where((F.col("gain") > min_gain) & (F.col("cut") != F.col("own")))
-        wish = cut_lineage(wish.select("restart", "node", "cut", "gain"))
+        wish = round_table(wish.select("restart", "node", "cut", "gain"))
         if wish.isEmpty():
             break
         rival = wish.select("restart", F.col("node").alias("b"), F.struct((-F.col("gain")).alias("g"), "node").alias("r"))
         first = wish.join(ways, wish["node"] == ways["a"]).join(rival, ["restart", "b"]).groupBy("restart", "node").agg(F.min("r").alias("r"))
         goes = wish.join(first, ["restart", "node"], "left").where(F.col("r").isNull() | (F.struct((-F.col("gain")).alias("g"), "node") < F.col("r")))
-        m = cut_lineage(m.join(goes.select("restart", "node", F.col("cut").alias("to")), ["restart", "node"], "left").select("restart", F.coalesce("to", "cut").alias("cut"), "node"))
+        m = round_table(m.join(goes.select("restart", "node", F.col("cut").alias("to")), ["restart", "node"], "left").select("restart", F.coalesce("to", "cut").alias("cut"), "node"))
     return m
 
 
@@ -196,18 +196,18 @@ def correlation_clusters(
     get one cluster each, clusters are joined as long as that lowers the score; then single nodes move, for a gain over min_gain, to a
     cluster with a neighbour that has min_similar neighbours in common with them. Clusters of fewer than min_size nodes or a span under
     min_span are dropped, and with `torn` the nodes with more neighbours than that in each of several clusters."""
-    e = cut_lineage(edges.select("component", "src", "dst", "sign").where("src <> dst").distinct())
-    near = cut_lineage(alike(e, min_common))
+    e = round_table(edges.select("component", "src", "dst", "sign").where("src <> dst").distinct())
+    near = round_table(alike(e, min_common))
     nodes = e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
     tries = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
     m = merge_reciprocal(balls(pivots(tries, near, seed), near), overlap)
-    m = cut_lineage(unique_members(e, cut_lineage(m), penalty))
-    m = cut_lineage(merge_best(e, m, penalty))
-    m = move_nodes(e, m, near if min_similar == min_common else cut_lineage(alike(e, min_similar)), penalty, swap_rounds, min_gain)
-    best = cut_lineage(total_scores(e, m, penalty)).groupBy("component").agg(F.min(F.struct("score", "restart")).alias("b"))
+    m = round_table(unique_members(e, round_table(m), penalty))
+    m = round_table(merge_best(e, m, penalty))
+    m = move_nodes(e, m, near if min_similar == min_common else round_table(alike(e, min_similar)), penalty, swap_rounds, min_gain)
+    best = round_table(total_scores(e, m, penalty)).groupBy("component").agg(F.min(F.struct("score", "restart")).alias("b"))
     kept = m.join(nodes, "node").join(best, "component").where("restart = b.restart").select("component", "cut", "node", F.col("b.score").alias("score"))
     if torn is not None:
-        kept = without_torn(e, cut_lineage(kept), torn)
+        kept = without_torn(e, round_table(kept), torn)
     enough = kept.groupBy("component", "cut").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
     enough = enough.where((F.col("n") >= min_size) & (F.col("last") - F.col("first") >= min_span)).select("component", "cut", "first")
     return kept.join(enough, ["component", "cut"]).select("component", F.col("first").alias("cut"), "node", "score")

@@ -8,20 +8,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import graph as H
-from strandline.operators.alignment import number_rows
-from strandline.session import cut_lineage
+from strandline.session import round_table
 
 
 def _jumped(up: DataFrame) -> DataFrame:
     """(node, to) with every node at its root, by doubling: each round leads on from where the one before ended."""
-    up = cut_lineage(up)
+    up = round_table(up)
     while True:
         on = up.join(up.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left")
-        on = cut_lineage(on.select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved")))
+        on = round_table(on.select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved")))
         if on.where("moved").isEmpty():
             return on.select("node", "to")
         up = on.select("node", "to")
@@ -41,19 +40,19 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     In each round every tree takes its heaviest leaving edge, and trees that these join are one; there are at most half as many after
     it. Of parallel edges between two trees one is left."""
     e = edges.select("component", "src", "dst", "weight").where("src <> dst").distinct()
-    e = cut_lineage(e.select("component", F.col("src").alias("a"), F.col("dst").alias("b"), F.struct((-F.col("weight")).alias("w"), "src", "dst").alias("k")))
+    e = round_table(e.select("component", F.col("src").alias("a"), F.col("dst").alias("b"), F.struct((-F.col("weight")).alias("w"), "src", "dst").alias("k")))
     found = None
     while not e.isEmpty():
         ends = e.select("component", F.col("a").alias("node"), F.struct("k", F.col("b").alias("to")).alias("p"))
         ends = ends.unionByName(e.select("component", F.col("b").alias("node"), F.struct("k", F.col("a").alias("to")).alias("p")))
-        best = cut_lineage(ends.groupBy("component", "node").agg(F.min("p").alias("p")).select("component", "node", "p.k", "p.to"))
+        best = round_table(ends.groupBy("component", "node").agg(F.min("p").alias("p")).select("component", "node", "p.k", "p.to"))
         new = best.select("component", "k.src", "k.dst", (-F.col("k.w")).alias("weight")).distinct()
         found = new if found is None else found.unionByName(new)
         # the order of edges is strict, so that only two trees that choose each other make a circle; the smaller one is the root
         back = best.select(F.col("node").alias("to"), F.col("to").alias("back"))
         up = best.join(back, "to").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to"))
         e = _renamed(e, _jumped(up), "a", "b").where("a <> b")
-        e = cut_lineage(e.groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k")))
+        e = round_table(e.groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k")))
     return edges.select("component", "src", "dst", "weight").limit(0) if found is None else found
 
 
@@ -65,11 +64,11 @@ def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, m
     at once, in a component with too many nodes only as many, in order, as bring it to max_nodes; corners become the smallest of them,
     parallel edges one. A triangle whose corners aren't three nodes any more is gone."""
     e = edges.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    e = cut_lineage(e)
-    at = cut_lineage(e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("root", F.col("node")))
+    e = round_table(e)
+    at = round_table(e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("root", F.col("node")))
     of = at.select("component", F.col("node").alias("a"))
     tri = triangles.select(F.struct("missing", F.xxhash64("i", "j", "k").alias("place"), "i", "j", "k").alias("key"), F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias("c")).join(of, "a")
-    tri, edges_count = cut_lineage(tri), max_edges < 1 << 62
+    tri, edges_count = round_table(tri), max_edges < 1 << 62
     while True:
         n = at.where("node = root").groupBy("component").agg(F.count("*").alias("n"))
         n = n.join(e.groupBy("component").agg(F.count("*").alias("m")), "component", "left") if edges_count else n.withColumn("m", F.lit(0))
@@ -78,18 +77,18 @@ def condense_triangles(edges: DataFrame, triangles: DataFrame, max_nodes: int, m
         own = tri.join(large.select("component", need.alias("need")), "component")
         first = own.select(F.explode(F.array("a", "b", "c")).alias("at"), "key").groupBy("at").agg(F.min("key").alias("key"))
         ready = own.select("component", "need", "key", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("at")).join(first, ["at", "key"])
-        ready = cut_lineage(ready.groupBy("component", "need", "key", "a", "b", "c").agg(F.count("*").alias("k")).where("k = 3"))
+        ready = round_table(ready.groupBy("component", "need", "key", "a", "b", "c").agg(F.count("*").alias("k")).where("k = 3"))
         if ready.isEmpty():
             return at
         goes = ready
         if ready.groupBy("component").agg((F.count("*") > F.max("need")).alias("over")).where("over").count():
-            goes = _placed(ready, ["component"], ["key"], "place").where("place < need")
+            goes = _placed(ready, ["component"], [F.col("key")], "place").where("place < need")
         to = goes.select(F.explode(F.array("a", "b", "c")).alias("node"), F.least("a", "b", "c").alias("to")).where("node <> to")
-        at = cut_lineage(_renamed(at, to, "root").select("component", "node", "root"))
+        at = round_table(_renamed(at, to, "root").select("component", "node", "root"))
         if edges_count:
             e = _renamed(e, to, "src", "dst").where("src <> dst")
-            e = cut_lineage(e.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-        tri = cut_lineage(_renamed(tri, to, "a", "b", "c").where("a <> b and b <> c and a <> c"))
+            e = round_table(e.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        tri = round_table(_renamed(tri, to, "a", "b", "c").where("a <> b and b <> c and a <> c"))
 
 
 def condensed_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -99,11 +98,17 @@ def condensed_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return x.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("cost").alias("cost"))
 
 
-def _placed(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
-    """Adds each row's place among those of equal `by`, from 0 on, over ranges and not group by group."""
-    x = cut_lineage(number_rows(df, [*by, *order], "_r"))
-    first = x.groupBy(*by).agg(F.min("_r").alias("_f"))
-    return x.join(first, by).withColumn(name, F.col("_r") - F.col("_f")).drop("_r", "_f")
+def _placed(df: DataFrame, by: list[str], order: list, name: str, of: str = "_of") -> DataFrame:
+    """Adds each row's place among those of equal `by`, from 0 on, and as `of` their number. Rows are dealt into ranges and numbered within
+    range and group; what a group has in the ranges before, one row for each, is added."""
+    x = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id())
+    # ranges come from a sample, so that they must not be drawn again for their sizes
+    x = round_table(x.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1))
+    group = Window.partitionBy(*by)
+    before = F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = x.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*by, "_p", F.coalesce(before, F.lit(0)).alias("_s"), F.sum("_n").over(group).alias(of))
+    return x.join(sizes, [*by, "_p"]).select(*df.columns, (F.col("_s") + F.col("_k")).alias(name), of)
 
 
 def _cut_weight(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -121,36 +126,34 @@ def partition_graph(edges: DataFrame, parts: int, rounds: int = 20, seed: int =
     Nodes that want from one part to another are placed by their gain and change with the one of equal place that wants the other way, so
     that sizes stay. Nodes of one round don't see each other move: a component's round counts only if its score rises; if not, the first
     quarter, then a sixteenth and so on of those that want to move do, `patience` times, before the component is done."""
-    e = cut_lineage(edges.select("component", "src", "dst", "weight").where("src <> dst"))
+    e = round_table(edges.select("component", "src", "dst", "weight").where("src <> dst"))
     nodes = e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
     dealt = _placed(nodes, ["component"], [F.xxhash64(F.lit(seed), "node"), F.col("node")], "place")
-    at = cut_lineage(dealt.select("component", "node", F.pmod("place", F.lit(parts)).cast("int").alias("part")))
-    ways = cut_lineage(e.select("component", F.col("src").alias("node"), F.col("dst").alias("b"), "weight").unionByName(e.select("component", F.col("dst").alias("node"), F.col("src").alias("b"), "weight")))
-    score = cut_lineage(_cut_weight(e, at).withColumns({"misses": F.lit(0), "round": F.lit(0)}))
+    at = round_table(dealt.select("component", "node", F.pmod("place", F.lit(parts)).cast("int").alias("part")))
+    ends = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("b"))
+    ways = e.select("component", "weight", F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
+    score = round_table(_cut_weight(e, at).withColumn("misses", F.lit(0)))
     for k in range(rounds):
         going = score.where(F.col("misses") < patience).select("component", "misses")
         if going.isEmpty():
             break
         pull = ways.join(going, "component").join(at.select(F.col("node").alias("b"), "part"), "b").groupBy("component", "node", "misses", "part").agg(F.sum("weight").alias("w"))
-        pull = cut_lineage(pull)
-        best = pull.groupBy("component", "node", "misses").agg(F.min(F.struct((-F.col("w")).alias("w"), "part")).alias("to"))
-        own = pull.join(at, ["component", "node", "part"]).select("node", F.col("w").alias("now"))
-        x = best.join(at.select("node", "part"), "node").join(own, "node", "left").where("to.part <> part")
-        x = x.select("component", "node", F.col("part").alias("p"), F.col("to.part").alias("q"), (-F.col("to.w") - F.coalesce("now", F.lit(0.0))).alias("gain"), "misses").where("gain > 0")
-        x = _placed(x, ["component", "p", "q"], [F.desc("gain"), F.xxhash64(F.lit(seed), F.lit(k), "node"), F.col("node")], "place")
+        best = pull.join(at.select("node", F.col("part").alias("p")), "node").groupBy("component", "node", "misses", "p")
+        x = best.agg(F.min(F.struct((-F.col("w")).alias("w"), "part")).alias("to"), F.max(F.when(F.col("part") == F.col("p"), F.col("w"))).alias("now")).where("to.part <> p")
+        x = x.select("component", "node", "p", F.col("to.part").alias("q"), (-F.col("to.w") - F.coalesce("now", F.lit(0.0))).alias("gain"), "misses").where("gain > 0")
+        x = _placed(x, ["component", "p", "q"], [F.desc("gain"), F.xxhash64(F.lit(seed), F.lit(k), "node"), F.col("node")], "place", "n")
         # after a miss only the first quarter moves, then a sixteenth, ..., and in the end the first pair
-        n = x.groupBy("component", "p", "q").agg(F.ceil(F.count("*") / F.pow(F.lit(4), F.max("misses"))).alias("n"))
-        x = x.join(n, ["component", "p", "q"]).where("place < n").drop("n", "misses")
+        x = x.where(F.col("place") < F.ceil(F.col("n") / F.pow(F.lit(4), "misses"))).select("component", "p", "q", "place", "node")
         other = x.select("component", F.col("p").alias("q"), F.col("q").alias("p"), "place")
-        moves = cut_lineage(x.join(other, ["component", "p", "q", "place"]).select("node", F.col("q").alias("to")))
-        after = cut_lineage(_renamed_part(at, moves))
+        moves = x.join(other, ["component", "p", "q", "place"]).select("node", F.col("q").alias("to"))
+        after = round_table(_renamed_part(at, moves))
         new = _cut_weight(e, after).withColumnRenamed("score", "then")
-        both = score.join(new, "component")
         better = F.col("then") > F.col("score")
-        both = cut_lineage(both.select("component", F.greatest("score", "then").alias("score"), F.when(better, 0).otherwise(F.col("misses") + 1).alias("misses"), better.alias("better")))
+        both = score.join(new, "component")
+        both = round_table(both.select("component", F.greatest("score", "then").alias("score"), F.when(better, 0).otherwise(F.col("misses") + 1).alias("misses"), better.alias("better")))
         score = both.select("component", "score", "misses")
         at = after.join(both.select("component", "better"), "component")
-        at = cut_lineage(at.select("component", "node", F.when(F.col("better"), F.col("part")).otherwise(F.col("was")).alias("part")))
+        at = round_table(at.select("component", "node", F.when(F.col("better"), F.col("part")).otherwise(F.col("was")).alias("part")))
     return at.join(score.select("component", "score"), "component").select("component", "node", "part", "score")
 
 
@@ -162,10 +165,10 @@ def peeling(edges: DataFrame, slack: float = 0.5) -> DataFrame:
     """(node, layer): in each round the nodes with at most 1 + slack times the mean degree of what is left go. At least a share of
     slack / (1 + slack) goes each time, and a node has at most 2 * (1 + slack) times the largest density of neighbours in its own and
     later layers. edges: src, dst, each once."""
-    e = cut_lineage(edges.select("src", "dst").where("src <> dst"))
+    e = round_table(edges.select("src", "dst").where("src <> dst"))
     found, layer = None, 0
     while True:
-        d = cut_lineage(H.degrees(e).select("node", "degree"))
+        d = round_table(H.degrees(e).select("node", "degree"))
         mean = d.agg(F.avg("degree")).first()[0]
         if mean is None:
             return edges.select(F.col("src").alias("node"), F.lit(0).alias("layer")).limit(0) if found is None else found
@@ -174,9 +177,9 @@ def peeling(edges: DataFrame, slack: float = 0.5) -> DataFrame:
         gone = low.select("node")
         lonely = d  # nodes that lose all neighbours in this round come in the next layer
         e = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        e = cut_lineage(e.select("src", "dst"))
+        e = round_table(e.select("src", "dst"))
         left = lonely.join(gone, "node", "left_anti").join(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti")
-        found = cut_lineage(found.unionByName(left.select("node", F.lit(layer + 1).alias("layer"))))
+        found = round_table(found.unionByName(left.select("node", F.lit(layer + 1).alias("layer"))))
         layer += 1
 
 
@@ -208,9 +211,9 @@ def clique_numbers(edges: DataFrame) -> DataFrame:
 
     Every clique has one node that comes first in the order of peeling, and its others are among the few that follow this node: each
     node's followers and the edges between them, which come from the triangles, are one small search."""
-    e = cut_lineage(edges.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
-    layer = cut_lineage(peeling(e))
-    directed = cut_lineage(H.directed(e, layer.select("node", F.col("layer").alias("rank"))))
+    e = round_table(edges.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
+    layer = round_table(peeling(e))
+    directed = round_table(H.directed(e, layer.select("node", F.col("layer").alias("rank"))))
     t = H.forward_triangles(directed)
     small = t.groupBy(F.col("low").alias("node")).agg(F.collect_list(F.struct(F.col("a"), F.col("b"))).alias("pairs"))
 
@@ -222,7 +225,7 @@ def clique_numbers(edges: DataFrame) -> DataFrame:
     search.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(search, "array<struct<node:bigint,size:bigint>>")
     pairs = F.transform("pairs", lambda p: F.struct(p["a"].cast("bigint").alias("a"), p["b"].cast("bigint").alias("b")))
-    got = cut_lineage(small.select("node", udf(pairs).alias("got")))
+    got = round_table(small.select("node", udf(pairs).alias("got")))
     sizes = got.select("node", (F.array_max(F.transform("got", lambda g: g["size"])) + 1).alias("size"))
     sizes = sizes.unionByName(got.select(F.explode("got").alias("g")).select("g.node", (F.col("g.size") + 1).alias("size")))
     all_ = e.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()

@@ -12,6 +12,7 @@ from strandline.operators import cluster as C
 from strandline.operators import gaps, intervals
 from strandline.operators import graph as H
 from strandline.operators import rounds as RO
+from strandline.session import round_table
 from tests import plain_clusters as plain
 
 
@@ -313,6 +314,40 @@ def test_parts_keep_their_sizes(spark):
     assert all(a <= b for a, b in zip(*results, strict=True))
 
 
+def estimate(df):
+    """Digits of the size in bytes that Spark expects of a table."""
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_rounds_forget_estimates(spark):
+    """A table of a round has its own size, not the product of all that was joined in rounds before: the digits stay few."""
+    edges = random_edges(4, 24, 0.3)
+    df = table(spark, WEIGHTED, edges)
+    x = df
+    for _ in range(6):
+        x = round_table(x.join(x.select("src", F.col("dst").alias("d")).distinct(), "src").groupBy("component", "src", "dst").agg(F.max("weight").alias("weight")))
+    assert estimate(x) <= 6 and x.count() == len(edges)
+    chain = table(spark, WEIGHTED, [(0, k, k + 1, float((k & -k).bit_length() % 7)) for k in range(1, 65)])
+    assert estimate(RO.spanning_forest(chain)) <= 40
+    assert estimate(RO.partition_graph(df, 2, rounds=2)) <= 40
+    # four clusters in two pairs, of which two rounds make one
+    members = table(spark, "restart int, cut bigint, node bigint", [(0, k // 2, k) for k in range(8)])
+    signed = table(spark, SIGNED, [(0, a, b, 1) for a, b in itertools.combinations(range(8), 2)])
+    assert estimate(C.move_nodes(signed, C.merge_best(signed, members, 5.0), C.alike(signed, 0), 5.0, 3, 0.0)) <= 40
+
+
+def test_places_over_ranges(spark):
+    """One group over many ranges, small groups within one, equal values of the first column of the order."""
+    rnd = random.Random(11)
+    rows = [(0, rnd.randint(0, 3), n) for n in range(3000)] + [(c, rnd.randint(0, 3), 5000 + 10 * c + k) for c in range(1, 40) for k in range(c % 4)]
+    got = RO._placed(table(spark, "c bigint, v bigint, n bigint", rows).repartition(7), ["c"], [F.desc("v"), F.col("n")], "place", "of").collect()
+    want, groups = {}, {}
+    for c, v, n in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        groups.setdefault(c, []).append(n)
+        want[n] = len(groups[c]) - 1
+    assert {r.n: r.place for r in got} == want and len(got) == len(rows) and all(r["of"] == len(groups[r.c]) for r in got)
+
+
 def plain_cliques(near):
     def largest(clique, rest):
         return max([len(clique), *(largest(clique | {n}, rest & near[n]) for n in rest)])
