@@ -16,14 +16,17 @@ from strandline.session import round_table
 
 
 def _jumped(up: DataFrame) -> DataFrame:
-    """(node, to) with every node at its root, by doubling: each round leads on from where the one before ended."""
+    """(node, to) with every node at its root, whose `to` is itself. Each round leads on four steps of what the one before found, of which the
+    last shows who has arrived."""
     up = round_table(up)
     while True:
-        on = up.join(up.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left")
-        on = round_table(on.select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved")))
-        if on.where("moved").isEmpty():
-            return on.select("node", "to")
+        on = up
+        for _ in range(3):
+            on = on.join(up.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"), F.col("to").alias("was"))
+        on = round_table(on)
         up = on.select("node", "to")
+        if on.where("to <> was").isEmpty():
+            return up
 
 
 def _renamed(df: DataFrame, to: DataFrame, *names: str) -> DataFrame:

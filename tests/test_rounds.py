@@ -348,6 +348,12 @@ def test_places_over_ranges(spark):
     assert {r.n: r.place for r in got} == want and len(got) == len(rows) and all(r["of"] == len(groups[r.c]) for r in got)
 
 
+def test_pointers_reach_their_roots(spark):
+    up = [(k, max(k - 1, 0)) for k in range(150)] + [(1000, 1000), (1001, 1000), (2000, 2000)]
+    got = {r.node: r.to for r in RO._jumped(table(spark, "node bigint, to bigint", up)).collect()}
+    assert got == {n: (n // 1000) * 1000 for n, _ in up}
+
+
 def plain_cliques(near):
     def largest(clique, rest):
         return max([len(clique), *(largest(clique | {n}, rest & near[n]) for n in rest)])
