@@ -13,6 +13,7 @@ from strandline.operators import cluster as C
 from strandline.operators import gaps as P
 from strandline.operators import genotype as G
 from strandline.operators import pairs
+from strandline.plans import reports
 
 
 def plain(rows):
@@ -77,6 +78,72 @@ def test_many_sites_in_parts(monkeypatch):
     assert all((x == y).all() for x, y in zip(pairs.shared(a, b), want, strict=True))
 
 
+@pytest.mark.parametrize("sent", [16, 2])
+def test_groups_of_blocks_give_the_same_pairs(spark, monkeypatch, sent):
+    """Blocks that all meet, in groups of several blocks, and blocks that meet few others, some of which stay unpacked, some not."""
+    monkeypatch.setattr(pairs, "TILE", 3)
+    monkeypatch.setattr(pairs, "SENT", sent)
+    monkeypatch.setattr(pairs, "CELLS", 40)
+    rows = cells(4, [f"r{i:02}" for i in range(40)], range(9))
+    rows += [(f"x{i:02}", 100 + 2 * i + k, (i + k) % 2) for i in range(40) for k in range(5)]
+    m = spark.createDataFrame(rows, "read_id string, site bigint, allele int")
+    want = sorted((a, b, e, d, e - d) for (a, b), (_, e, d) in plain(rows).items())
+    assert sorted(map(tuple, G.read_scores(m).collect())) == want
+
+
+def test_blocks_are_sent_a_few_times():
+    """When all blocks meet, groups grow with them: a block is sent to about SENT units, not to as many as there are blocks."""
+    for n in (10, 67, 1000):
+        per = pairs.blocks_of_group(n, n * (n + 1) // 2, 650_000)
+        assert per == 1 or -(-n // per) <= max(pairs.SENT, -(-n // max(1, pairs.HELD // 650_000)))
+    assert pairs.blocks_of_group(67, 67 * 34, 650_000) > 1 and pairs.blocks_of_group(1000, 3000, 650_000) == 1
+    assert pairs.blocks_of_group(10**6, 10**10, 10**9) == 1 and pairs.blocks_of_group(0, 0, 1) == 1
+
+
+def test_pairs_below_limits_stay_in_their_task(spark):
+    """With limits, fewer rows leave the tasks; they are those that the limits keep of all."""
+    rows = cells(7, [f"r{i:02}" for i in range(30)], range(12))
+    m = spark.createDataFrame(rows, "read_id string, site bigint, allele int")
+    every = [tuple(r) for r in G.fragment_overlaps(m).collect()]
+    for n, share in ((3, 0.75), (1, 0.5), (2, 0.0), (3, 1 / 3)):
+        want = sorted(r for r in every if r[2] >= n and r[3] / r[2] >= share)
+        assert sorted(map(tuple, G.fragment_overlaps(m, n, share).collect())) == want and 0 < len(want) < len(every)
+    for penalty in (1.0, 0.7):
+        scores = [tuple(r) for r in G.read_scores(m, penalty).collect()]
+        want = sorted(r for r in scores if r[4] >= 1.3)
+        assert sorted(map(tuple, G.read_scores(m, penalty, 1.3).collect())) == want and 0 < len(want) < len(scores)
+
+
+def test_counts_of_tiles(monkeypatch):
+    """One, two and more alleles, nulls, repeated cells, no common site; matrices that are kept and those that are not."""
+    rnd = random.Random(15)
+
+    def tile(n, sites, alleles):
+        site = [[rnd.choice(sites) for _ in range(rnd.randint(1, 9))] for _ in range(n)]
+        return pairs.Tile(pa.table({"read_id": range(n), "site": site, "allele": pa.array([[rnd.choice(alleles) for _ in s] for s in site], pa.list_(pa.int64()))}))
+
+    def counted(a, b, i, j):
+        x, y = ([(s, v) for s, v in zip(t.table["site"][k].as_py(), t.table["allele"][k].as_py(), strict=True)] for t, k in ((a, i), (b, j)))
+        both = [(v, w) for s, v in x for t, w in y if s == t]
+        known = [(v, w) for v, w in both if v is not None and w is not None]
+        return len(both), len(known), sum(v == w for v, w in known)
+
+    for kept in (512, 0):
+        monkeypatch.setattr(pairs, "KEPT", kept)
+        for left, right, far in (([0], [0], 0), ([0, 1], [0, 1], 0), ([0, 1], [1], 0), ([0], [5], 0), ([0, 1, None], [1, 2], 0), ([None], [None], 0), ([0, 1], [0, 1], 99)):
+            a, b, c = tile(5, range(8), left), tile(4, range(far, far + 8), right), tile(3, range(6), right)
+            for x, y in ((a, b), (a, c), (b, a), (a, b), (a, a)):
+                got = pairs.shared(x, y)
+                assert all(tuple(g[i, j] for g in got) == counted(x, y, i, j) for i in range(x.n) for j in range(y.n))
+
+
+def test_shares_have_nine_digits(spark):
+    """As `round` gives them, also halves and shares of many."""
+    rows = [(q / n,) for n in (1, 3, 7, 64, 1000, 1024, 3072, 5120, 2**20, 10**6 + 3) for q in {0, 1, 5, n // 3, n - 1, n}] + [(None,)]
+    df = spark.createDataFrame(rows, "weight double")
+    assert df.where(~reports._share("weight").eqNullSafe(F.round("weight", 9))).count() == 0
+
+
 def test_pairs_are_not_shuffled(spark):
     """A pair comes out of the two blocks that its reads are in; nothing is shuffled for each pair and site."""
     m = spark.createDataFrame([(r, s, 0) for r in range(6) for s in range(4)], "read_id bigint, site bigint, allele int")
